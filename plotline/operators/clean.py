@@ -20,7 +20,7 @@ def listing_id(cols=RAW_COLUMNS, schema=LISTING_SCHEMA) -> Column:
     types = {f.name: f.dataType.simpleString() for f in schema.fields}
     parts = []
     for c in cols:
-        v = F.format_string("%.4f", F.col(c)) if types.get(c) == "double" else F.col(c)
+        v = F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))) if types.get(c) == "double" else F.col(c)
         parts.append(F.coalesce(v, F.lit("\\N")))
     return F.md5(F.concat_ws("\u0001", *parts))
 

@@ -172,7 +172,7 @@ active_agg AS (
   FROM active GROUP BY state, zip_code, property_type),
 market_base AS (
   SELECT s.*, a.active_listing_count, a.median_list_price,
-    coalesce(y.gross_yield, {C.DEFAULT_GROSS_YIELD}) AS gross_yield
+    coalesce(y.gross_yield, CAST({C.DEFAULT_GROSS_YIELD} AS DOUBLE)) AS gross_yield
   FROM sold_agg s LEFT JOIN active_agg a USING (state, zip_code, property_type)
   LEFT JOIN {YIELD_DIM} y ON s.state = y.state),
 market AS (
@@ -189,3 +189,93 @@ BASE = [ADAPTER, BRONZE, CENSUS, SILVER, MARKET]
 def with_base(select: str, *extra: str) -> str:
     ctes = ",".join(BASE + list(extra))
     return f"WITH {ctes}\n{select}"
+
+FEATURES = f"""
+zip_ctx AS (
+  SELECT state, zip_code, median_sold_price AS zip_median_price, median_price_per_sqft AS zip_median_ppsqft,
+    sold_count AS zip_sold_count, active_listing_count AS zip_active_count, gross_yield AS zip_gross_yield,
+    estimated_monthly_rent AS zip_est_rent, price_to_rent_ratio AS zip_ptr_ratio, avg_hold_years AS zip_avg_hold_years
+  FROM market WHERE property_type = 'SFR'),
+prop AS (
+  SELECT s.*, z.zip_median_price, z.zip_median_ppsqft, z.zip_sold_count, z.zip_active_count, z.zip_gross_yield,
+    z.zip_est_rent, z.zip_ptr_ratio, z.zip_avg_hold_years,
+    CASE WHEN z.zip_median_price > 0 THEN s.price / z.zip_median_price END AS price_vs_zip_median,
+    CASE WHEN s.census_median_income > 0 THEN s.price / (s.census_median_income * 4) END AS affordability_ratio,
+    CASE WHEN z.zip_active_count > 0 THEN z.zip_sold_count / z.zip_active_count END AS absorption_proxy,
+    CAST(s.state_tier = 'coastal_premium' AS INTEGER) AS tier_coastal,
+    CAST(s.state_tier = 'sun_belt' AS INTEGER) AS tier_sun_belt,
+    CAST(s.state_tier = 'midwest' AS INTEGER) AS tier_midwest,
+    CAST(s.property_type = 'MULTI_FAMILY' AS INTEGER) AS is_multi_family,
+    CAST(s.property_type = 'CONDO' AS INTEGER) AS is_condo,
+    CAST(s.property_type = 'RURAL_RESIDENTIAL' AS INTEGER) AS is_rural,
+    CAST(s.census_median_income IS NOT NULL AS INTEGER) AS has_census_data,
+    CAST(s.sqft_bucket = 'micro' AS INTEGER) AS sqft_micro,
+    CAST(s.sqft_bucket = 'small' AS INTEGER) AS sqft_small,
+    CAST(s.sqft_bucket = 'medium' AS INTEGER) AS sqft_medium,
+    CAST(s.sqft_bucket = 'large' AS INTEGER) AS sqft_large,
+    CAST(s.sqft_bucket = 'xlarge' AS INTEGER) AS sqft_xlarge
+  FROM sold s LEFT JOIN zip_ctx z ON s.state = z.state AND s.zip_code = z.zip_code),
+lead_ctx AS (
+  SELECT state, zip_code, median_sold_price AS zip_current_median, gross_yield AS zip_gross_yield,
+    zip_vacancy_rate, zip_unemployment
+  FROM market WHERE property_type = 'SFR'),
+lead0 AS (
+  SELECT a.*, c.zip_current_median, c.zip_gross_yield, c.zip_vacancy_rate, c.zip_unemployment,
+    CASE WHEN a.years_since_last_sale IS NOT NULL AND a.price > 0
+         THEN a.price / pow({C.HINDSIGHT_APPRECIATION}, a.years_since_last_sale) END AS approx_purchase_price
+  FROM all_listings a LEFT JOIN lead_ctx c ON a.state = c.state AND a.zip_code = c.zip_code
+  WHERE a.has_prior_sale = 1),
+lead1 AS (
+  SELECT *, price - approx_purchase_price AS unrealized_gain_est,
+    CASE WHEN approx_purchase_price > 0 THEN (price - approx_purchase_price) / approx_purchase_price END
+      AS unrealized_gain_pct
+  FROM lead0),
+lead AS (
+  SELECT *,
+    CAST(years_since_last_sale < 2 AS INTEGER) AS hold_0_2,
+    CAST(years_since_last_sale BETWEEN 2 AND 5 AS INTEGER) AS hold_2_5,
+    CAST(years_since_last_sale BETWEEN 5 AND 10 AS INTEGER) AS hold_5_10,
+    CAST(years_since_last_sale > 10 AS INTEGER) AS hold_10_plus,
+    CAST(years_since_last_sale > 7 AS INTEGER) AS long_hold,
+    CAST(years_since_last_sale > 15 AS INTEGER) AS very_long_hold,
+    CAST(unrealized_gain_pct > 0.30 AS INTEGER) AS high_unrealized_gain,
+    CAST(zip_gross_yield > {C.DEFAULT_GROSS_YIELD} AS INTEGER) AS in_sellers_market,
+    CAST(acre_lot >= 1.0 AS INTEGER) AS large_lot,
+    CAST(house_size < 1200 AS INTEGER) AS small_unit,
+    CAST(census_vacancy_rate > 0.10 AS INTEGER) AS high_vacancy_area,
+    CAST(census_unemployment_rate > 0.07 AS INTEGER) AS high_unemployment_area,
+    CAST(state_tier = 'coastal_premium' AS INTEGER) AS tier_coastal,
+    CAST(state_tier = 'sun_belt' AS INTEGER) AS tier_sun_belt,
+    CAST(state_tier = 'midwest' AS INTEGER) AS tier_midwest,
+    CAST(property_type = 'CONDO' AS INTEGER) AS is_condo,
+    CAST(property_type = 'RURAL_RESIDENTIAL' AS INTEGER) AS is_rural,
+    CAST(property_type = 'MULTI_FAMILY' AS INTEGER) AS is_multi_family
+  FROM lead1),
+sold_addr AS (SELECT DISTINCT concat_ws('|', street, city, state) AS a FROM sold),
+active_addr AS (SELECT DISTINCT concat_ws('|', street, city, state) AS a FROM active),
+relisted AS (SELECT a FROM sold_addr INTERSECT SELECT a FROM active_addr),
+lead_labeled AS (
+  SELECT l.*, CASE WHEN r.a IS NOT NULL THEN 1 ELSE 0 END AS relisted,
+    CAST((r.a IS NOT NULL) OR coalesce(l.very_long_hold, 0) = 1
+         OR (coalesce(l.long_hold, 0) = 1 AND coalesce(l.in_sellers_market, 0) = 1) AS INTEGER) AS motivated_seller
+  FROM lead l LEFT JOIN relisted r
+    ON concat_ws('|', coalesce(l.street, ''), coalesce(l.city, ''), coalesce(l.state, '')) = r.a)"""
+
+FORECAST = f"""
+baseline AS (
+  SELECT state, property_type, state_tier, median(price) AS median_price, count(price) AS count
+  FROM active WHERE price IS NOT NULL AND property_type IS NOT NULL AND state IS NOT NULL
+  GROUP BY state, property_type, state_tier HAVING count(price) >= {C.FORECAST_MIN_GROUP}),
+fc_seg AS (
+  SELECT b.*, coalesce(r.annual_rate, {C.FORECAST_DEFAULT_RATE}) AS annual_rate
+  FROM baseline b LEFT JOIN {RATE_DIM} r ON b.state_tier = r.state_tier),
+fc_k AS (SELECT *, unnest(range(1, {C.FORECAST_HORIZON} + 1)) AS k FROM fc_seg),
+forecast AS (
+  SELECT CAST(date_trunc('month', {AS_OF}) + to_months(CAST(k AS INTEGER)) AS DATE) AS forecast_month,
+    median_price * pow(1 + (pow(1 + annual_rate, 1.0 / 12) - 1), k) AS forecast_price,
+    median_price * pow(1 + (pow(1 + annual_rate, 1.0 / 12) - 1), k) * (1 - {C.INTERVAL_PCT}) AS forecast_price_low,
+    median_price * pow(1 + (pow(1 + annual_rate, 1.0 / 12) - 1), k) * (1 + {C.INTERVAL_PCT}) AS forecast_price_high,
+    state, property_type, median_price AS last_actual
+  FROM fc_k)"""
+
+BASE.extend([FEATURES, FORECAST])

@@ -29,7 +29,24 @@ _DOUBLE_MARKET = {"median_sold_price", "median_price_per_sqft", "avg_hold_years"
                   "estimated_monthly_rent", "price_to_rent_ratio", "months_of_supply"}
 
 
-def sel(cols, doubles=(), src: str = "") -> str:
+# Double-typed columns across the layers (rounded in the oracle SQL).
+DOUBLES = {
+    "price", "bed", "bath", "acre_lot", "house_size", "price_per_sqft", "bath_bed_ratio", "lot_sqft",
+    "lot_to_living_ratio", "years_since_last_sale", "quality_score", "census_unemployment_rate",
+    "census_poverty_rate", "census_vacancy_rate", "census_owner_occ_rate", "census_college_pct",
+    "zip_median_price", "zip_median_ppsqft", "zip_gross_yield", "zip_est_rent", "zip_ptr_ratio",
+    "zip_avg_hold_years", "price_vs_zip_median", "affordability_ratio", "absorption_proxy",
+    "zip_current_median", "zip_vacancy_rate", "zip_unemployment", "approx_purchase_price",
+    "unrealized_gain_est", "unrealized_gain_pct", "median_price", "annual_rate", "forecast_price",
+    "forecast_price_low", "forecast_price_high", "last_actual", "purchase_price", "total_cash_in",
+    "monthly_payment", "monthly_rent", "gross_yield", "cap_rate", "cash_on_cash_yr1", "dscr_yr1", "noi_yr1",
+    "cash_flow_yr1", "exit_value", "irr", "npv", "avm_estimate", "est_rent", "est_monthly_rent",
+    "est_annual_rent", "log_price", "price_back", "estimate", "low", "high", "score", "value",
+} | _DOUBLE_MARKET
+
+
+def sel(cols, doubles=None, src: str = "") -> str:
+    doubles = DOUBLES if doubles is None else doubles
     pre = f"{src}." if src else ""
     return ", ".join(f"{O.r(pre + c)} AS {c}" if c in doubles else f"{pre}{c}" for c in cols)
 

@@ -59,3 +59,22 @@ def all_df(spark, sf):
 
 def market_df(spark, sf):
     return market_snapshot(silver_df(spark, sf), ADAPTER_AS_OF)
+
+
+def prop_df(spark, sf):
+    from plotline.operators.features import property_features
+    s = silver_df(spark, sf)
+    return property_features(sold_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+
+
+def lead_df(spark, sf):
+    from plotline.operators.features import lead_features
+    s = silver_df(spark, sf)
+    return lead_features(all_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+
+
+def lead_labeled_df(spark, sf):
+    from plotline.operators.features import lead_features, with_motivated_label
+    s = silver_df(spark, sf)
+    lead = lead_features(all_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+    return with_motivated_label(lead, sold_listings(s), active_listings(s))

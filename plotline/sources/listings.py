@@ -51,6 +51,14 @@ def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = LIS
             .load(path))
 
 
+def write_listings_csv(df: DataFrame, path: str) -> None:
+    """Land listings as a header CSV, keeping leading/trailing blanks and
+    writing null as an empty field."""
+    (df.write.mode("overwrite").option("header", "true")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .csv(path))
+
+
 def _null_if(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
