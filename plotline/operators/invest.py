@@ -124,6 +124,18 @@ def with_tier_assumptions(df: DataFrame, mapping: dict | None = None) -> DataFra
         .drop("_tier_key")
 
 
+def investment_frame(est: DataFrame, estimate: str = "avm_estimate", est_rent: str = "est_monthly_rent",
+                     fin: Financing = Financing(), ops: Operating = Operating(), hold: Hold = Hold()) -> DataFrame:
+    """F-15 with every intermediate column kept (loan, opex, NOI, flows...)."""
+    df = est if est_rent in est.columns else est.withColumn(est_rent, F.lit(None).cast("double"))
+    df = with_state_yield(df)
+    df = df.withColumn("price_", F.col(estimate).try_cast("double"))
+    df = df.withColumn("rent_", rent_fallback(est_rent, "price_", "gross_yield"))
+    df = df.filter((F.col("price_") > 0) & (F.col("rent_") > 0))
+    df = with_tier_assumptions(df).withColumnRenamed("gross_yield", "state_gross_yield")
+    return investment_summary(df, "price_", "rent_", fin, ops, hold)
+
+
 def investment_scores(est: DataFrame, estimate: str = "avm_estimate", est_rent: str = "est_monthly_rent",
                       fin: Financing = Financing(), ops: Operating = Operating(), hold: Hold = Hold(),
                       keep: tuple[str, ...] = tuple(C.ADDRESS_KEYS)) -> DataFrame:
@@ -134,12 +146,26 @@ def investment_scores(est: DataFrame, estimate: str = "avm_estimate", est_rent:
     yield rent; rows without a positive price and rent are dropped; tier
     assumptions come from the row's tier ('other' when missing).
     """
-    df = est if est_rent in est.columns else est.withColumn(est_rent, F.lit(None).cast("double"))
-    df = with_state_yield(df)
-    df = df.withColumn("price_", F.col(estimate).try_cast("double"))
-    df = df.withColumn("rent_", rent_fallback(est_rent, "price_", "gross_yield"))
-    df = df.filter((F.col("price_") > 0) & (F.col("rent_") > 0))
-    df = with_tier_assumptions(df)
-    df = investment_summary(df, "price_", "rent_", fin, ops, hold)
+    df = investment_frame(est, estimate, est_rent, fin, ops, hold)
     return df.select(*SUMMARY_COLUMNS, *keep, F.col("price_").alias("avm_estimate"),
                      F.col("rent_").alias("est_rent"), "state_tier")
+
+
+def cash_flow_schedule(frame: DataFrame, hold: Hold = Hold(), fin: Financing = Financing(),
+                       keep: tuple[str, ...] = ("listing_id",)) -> DataFrame:
+    """F-7..F-9 per year y = 1..hold_years: NOI, cash flow, remaining balance."""
+    df = frame.withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(hold.hold_years))))
+    return df.select(*keep, "year",
+                     noi(F.col("year"), hold).alias("noi"),
+                     cash_flow(F.col("year"), hold).alias("cash_flow"),
+                     X.loan_balance(F.col("loan_amount"), _lit(fin.interest_rate), _lit(fin.loan_term_years),
+                                    F.col("year")).alias("balance"))
+
+
+def rent_blend(model_rent: str, price: str = "price", gross_yield: str = "gross_yield",
+               model_weight: float = C.RENT_MODEL_WEIGHT, yield_weight: float = C.RENT_YIELD_WEIGHT) -> dict:
+    """P-41: max(w_model * max(model, 0) + w_yield * price * yield / 12, 0), and x12."""
+    m = F.greatest(F.coalesce(F.col(model_rent), F.lit(0.0)), F.lit(0.0))
+    est = F.greatest(_lit(model_weight) * m + _lit(yield_weight) * (F.col(price) * F.col(gross_yield) / 12),
+                     F.lit(0.0))
+    return {"est_monthly_rent": est, "est_annual_rent": est * 12}

@@ -20,10 +20,15 @@ def q(s: str) -> str:
 
 
 def values(rows, cols) -> str:
-    body = ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else repr(float(v)) for v in r) + ")" for r in rows)
+    body = ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else d(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
 
 
+def d(v) -> str:
+    """A DOUBLE literal (a bare 0.25 is a DECIMAL in DuckDB)."""
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def initcap(e: str) -> str:
     return f"array_to_string(list_transform(string_split(lower({e}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
@@ -279,3 +284,115 @@ forecast AS (
   FROM fc_k)"""
 
 BASE.extend([FEATURES, FORECAST])
+
+
+# ------------------------------------------------------------- investment maths
+def _npv(cfs: str, rate: str) -> str:
+    return (f"list_reduce(list_transform({cfs}, lambda c, i: c / pow(1 + ({rate}), i - 1)), "
+            f"lambda a, x: a + x, CAST(0.0 AS DOUBLE))")
+
+
+def _irr(cfs: str, low: float = -0.99, high: float = 10.0, steps: int = 60) -> str:
+    width = high - low
+    s_low = f"sign({_npv(cfs, d(low))})"
+    mid = f"(lo + {d(width)} / pow(CAST(2.0 AS DOUBLE), CAST(k AS DOUBLE)))"
+    step = f"CASE WHEN sign({_npv(cfs, mid)}) = {s_low} THEN {mid} ELSE lo END"
+    root = f"list_reduce(range(1, {steps} + 1), lambda lo, k: {step}, {d(low)})"
+    return (f"CASE WHEN {s_low} * sign({_npv(cfs, d(high))}) < 0 "
+            f"THEN {root} + {d(width / 2 ** (steps + 1))} END")
+
+
+def invest_ctes(src: str, fin=None, ops=None, hold=None, prefix: str = "inv") -> list[str]:
+    """Mirror of operators.invest.investment_frame over CTE ``src`` (columns:
+    the estimate ``avm_estimate``, ``est_monthly_rent``, state, state_tier)."""
+    fin, ops, hold = fin or C.Financing(), ops or C.Operating(), hold or C.Hold()
+    H = hold.hold_years
+    r = f"({d(fin.interest_rate)} / 12)"
+    n = f"({d(fin.loan_term_years)} * 12)"
+    g = f"pow(1 + {r}, {n})"
+    pay = (f"CASE WHEN {r} = 0 THEN loan_amount / {n} "
+           f"ELSE loan_amount * ({r} * {g}) / ({g} - 1) END")
+    bal = (f"CASE WHEN {r} = 0 THEN loan_amount * (1 - ({H} * 12) / {n}) "
+           f"ELSE loan_amount * ({g} - pow(1 + {r}, {H} * 12)) / ({g} - 1) END")
+
+    def noi(y: str) -> str:
+        return (f"(monthly_rent * pow(1 + {d(hold.annual_rg)}, {y} - 1) * 12 * (1 - vacancy_rate) - annual_opex)")
+
+    known = ", ".join(q(k) for k in C.TIER_ASSUMPTIONS)
+    p = prefix
+    last = f"(exit_value * (1 - {d(hold.selling_cost_pct)}) - balance_exit)"
+    cf_t = f"({noi('t')} - monthly_payment * 12)"
+    return [
+        f"""{p}_y AS (
+  SELECT s.*, coalesce(y.gross_yield, {d(C.DEFAULT_GROSS_YIELD)}) AS state_gross_yield,
+    TRY_CAST(s.avm_estimate AS DOUBLE) AS price_
+  FROM {src} s LEFT JOIN {YIELD_DIM} y ON s.state = y.state)""",
+        f"""{p}_r AS (
+  SELECT *, CASE WHEN est_monthly_rent IS NOT NULL AND est_monthly_rent > 0 THEN est_monthly_rent
+                 ELSE price_ * state_gross_yield / 12 END AS rent_
+  FROM {p}_y)""",
+        f"""{p}_t AS (
+  SELECT x.* EXCLUDE (state_tier), coalesce(x.state_tier, 'other') AS state_tier,
+    a.tax_rate, a.insurance_rate, a.mgmt_fee_pct, a.maintenance_pct, a.vacancy_rate, a.annual_pg, a.exit_cap_rate
+  FROM {p}_r x LEFT JOIN {ASSUMPTION_DIM} a
+    ON a.state_tier = CASE WHEN coalesce(x.state_tier, 'other') IN ({known}) THEN coalesce(x.state_tier, 'other')
+                           ELSE 'other' END
+  WHERE x.price_ > 0 AND x.rent_ > 0)""",
+        f"""{p}_1 AS (
+  SELECT *, price_ AS purchase_price, rent_ AS monthly_rent,
+    price_ * (1 - {d(fin.down_payment_pct)}) AS loan_amount,
+    price_ * ({d(fin.down_payment_pct)} + {d(fin.closing_cost_pct)}) AS total_cash_in
+  FROM {p}_t)""",
+        f"""{p}_2 AS (
+  SELECT *, {pay} AS monthly_payment,
+    monthly_rent * (1 - vacancy_rate) * 12 * (mgmt_fee_pct + {d(ops.capex_pct)})
+      + purchase_price * (tax_rate + insurance_rate + maintenance_pct) + {d(ops.hoa_monthly)} * 12 AS annual_opex
+  FROM {p}_1)""",
+        f"""{p}_3 AS (
+  SELECT *, {noi('1')} AS noi_yr1, {noi(str(H))} AS noi_exit, {bal} AS balance_exit FROM {p}_2)""",
+        f"""{p}_4 AS (
+  SELECT *, noi_yr1 - monthly_payment * 12 AS cash_flow_yr1,
+    (purchase_price * pow(1 + annual_pg, {H}) + noi_exit / exit_cap_rate) / 2 AS exit_value
+  FROM {p}_3)""",
+        f"""{p}_5 AS (
+  SELECT *, list_transform(range(0, {H} + 1), lambda t: CASE WHEN t = 0 THEN -total_cash_in
+      ELSE {cf_t} + CASE WHEN t = {H} THEN {last} ELSE CAST(0.0 AS DOUBLE) END END) AS cash_flows
+  FROM {p}_4)""",
+        f"""{p} AS (
+  SELECT *, monthly_rent * 12 / purchase_price AS gross_yield,
+    noi_yr1 / purchase_price AS cap_rate,
+    CASE WHEN total_cash_in > 0 THEN cash_flow_yr1 / total_cash_in END AS cash_on_cash_yr1,
+    CASE WHEN monthly_payment > 0 THEN noi_yr1 / (monthly_payment * 12) END AS dscr_yr1,
+    {_irr('cash_flows')} AS irr,
+    {_npv('cash_flows', d(hold.discount_rate))} AS npv,
+    CAST({H} AS BIGINT) AS hold_years
+  FROM {p}_5)""",
+    ]
+
+
+RENT_AND_INVEST = [
+    f"""rent_est AS (
+  SELECT a.*, coalesce(y.gross_yield, {d(C.DEFAULT_GROSS_YIELD)}) AS gross_yield, z.zip_est_rent,
+    greatest({d(C.RENT_MODEL_WEIGHT)} * greatest(coalesce(z.zip_est_rent, CAST(0.0 AS DOUBLE)), CAST(0.0 AS DOUBLE))
+      + {d(C.RENT_YIELD_WEIGHT)} * (a.price * coalesce(y.gross_yield, {d(C.DEFAULT_GROSS_YIELD)}) / 12),
+      CAST(0.0 AS DOUBLE)) AS est_monthly_rent
+  FROM active a LEFT JOIN zip_ctx z ON a.state = z.state AND a.zip_code = z.zip_code
+  LEFT JOIN {YIELD_DIM} y ON a.state = y.state)""",
+    """rent_addr AS (
+  SELECT street, city, state, zip_code,
+    quantile_disc(est_monthly_rent, 0.5) AS est_monthly_rent
+  FROM rent_est GROUP BY street, city, state, zip_code)""",
+    """tier_addr AS (
+  SELECT street, city, state, zip_code, max(state_tier) AS state_tier FROM active
+  GROUP BY street, city, state, zip_code)""",
+    """inv_src AS (
+  SELECT a.listing_id, a.street, a.city, a.state, a.zip_code, a.price AS avm_estimate,
+    r.est_monthly_rent, t.state_tier
+  FROM active a
+  LEFT JOIN rent_addr r ON a.street IS NOT DISTINCT FROM r.street AND a.city IS NOT DISTINCT FROM r.city
+    AND a.state IS NOT DISTINCT FROM r.state AND a.zip_code IS NOT DISTINCT FROM r.zip_code
+  LEFT JOIN tier_addr t ON a.street IS NOT DISTINCT FROM t.street AND a.city IS NOT DISTINCT FROM t.city
+    AND a.state IS NOT DISTINCT FROM t.state AND a.zip_code IS NOT DISTINCT FROM t.zip_code)""",
+] + invest_ctes("inv_src")
+
+BASE.extend(RENT_AND_INVEST)

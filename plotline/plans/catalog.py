@@ -42,6 +42,8 @@ DOUBLES = {
     "monthly_payment", "monthly_rent", "gross_yield", "cap_rate", "cash_on_cash_yr1", "dscr_yr1", "noi_yr1",
     "cash_flow_yr1", "exit_value", "irr", "npv", "avm_estimate", "est_rent", "est_monthly_rent",
     "est_annual_rent", "log_price", "price_back", "estimate", "low", "high", "score", "value",
+    "rent_", "price_", "annual_opex", "loan_amount", "noi", "cash_flow", "balance", "state_gross_yield",
+    "tax_rate", "insurance_rate", "mgmt_fee_pct", "maintenance_pct", "vacancy_rate", "annual_pg", "exit_cap_rate",
 } | _DOUBLE_MARKET
 
 
@@ -58,3 +60,4 @@ def q_market_snapshot(spark, sf):
 
 # Load the other query modules (they register themselves on import).
 from plotline.plans import queries_etl  # noqa: E402,F401
+from plotline.plans import queries_analytics  # noqa: E402,F401

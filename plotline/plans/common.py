@@ -78,3 +78,34 @@ def lead_labeled_df(spark, sf):
     s = silver_df(spark, sf)
     lead = lead_features(all_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
     return with_motivated_label(lead, sold_listings(s), active_listings(s))
+
+
+def rent_estimates_df(spark, sf):
+    """Rent estimates per active listing: the blend of P-41 with the zip's
+    comparable rent standing in for a fitted rent model."""
+    from plotline.operators.features import join_context, zip_context
+    from plotline.operators.invest import rent_blend, with_state_yield
+    s = silver_df(spark, sf)
+    ctx = zip_context(market_snapshot(s, ADAPTER_AS_OF), {"zip_est_rent": "estimated_monthly_rent"})
+    df = with_state_yield(join_context(active_listings(s), ctx))
+    return df.withColumns(rent_blend("zip_est_rent"))
+
+
+def invest_source_df(spark, sf):
+    """J-7 + J-8: active listings (estimate = list price) with the rent
+    estimate and the tier of their address, both collapsed to one row per
+    address first, then left-joined null-safe (no fan-out)."""
+    from plotline.config import ADDRESS_KEYS
+    from plotline.functions.joins import left_join_null_safe, one_per_key
+    s = silver_df(spark, sf)
+    active = active_listings(s)
+    rent = one_per_key(rent_estimates_df(spark, sf), ADDRESS_KEYS,
+                       {"est_monthly_rent": F.percentile_approx("est_monthly_rent", 0.5)})
+    tier = one_per_key(active, ADDRESS_KEYS, {"state_tier": F.max("state_tier")})
+    est = active.select("listing_id", *ADDRESS_KEYS, F.col("price").alias("avm_estimate"))
+    return left_join_null_safe(left_join_null_safe(est, rent, ADDRESS_KEYS), tier, ADDRESS_KEYS)
+
+
+def invest_frame_df(spark, sf):
+    from plotline.operators.invest import investment_frame
+    return investment_frame(invest_source_df(spark, sf))
