@@ -61,3 +61,4 @@ def q_market_snapshot(spark, sf):
 # Load the other query modules (they register themselves on import).
 from plotline.plans import queries_etl  # noqa: E402,F401
 from plotline.plans import queries_analytics  # noqa: E402,F401
+from plotline.plans import queries_prep  # noqa: E402,F401
