@@ -62,3 +62,4 @@ def q_market_snapshot(spark, sf):
 from plotline.plans import queries_etl  # noqa: E402,F401
 from plotline.plans import queries_analytics  # noqa: E402,F401
 from plotline.plans import queries_prep  # noqa: E402,F401
+from plotline.plans import queries_models  # noqa: E402,F401

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from plotline.config import ADAPTER_AS_OF
 from plotline.operators.clean import bronze
 from plotline.operators.market import market_snapshot
-from plotline.operators.silver import active_listings, all_listings, silver, sold_listings
+from plotline.operators.silver import active_listings, all_listings, silver, sold_listings  # noqa: F401
 from plotline.sources.census import census_fixture_documents, parse_census
 from plotline.sources.listings import adapter_listings
 
