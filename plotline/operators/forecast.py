@@ -37,7 +37,7 @@ def forecast_baseline(baseline: DataFrame, rates: dict | None = None,
 
 
 def forecast_path(seg: DataFrame, horizon: int | str = C.FORECAST_HORIZON, as_of: _dt.date = ADAPTER_AS_OF,
-                  pct: float = C.INTERVAL_PCT) -> DataFrame:
+                  pct: float = C.INTERVAL_PCT, keep: tuple[str, ...] = ()) -> DataFrame:
     """F-2: one row per segment and month k = 1..horizon.
 
     ``horizon`` is a constant or the name of a per-row column. Month k is the
@@ -54,6 +54,7 @@ def forecast_path(seg: DataFrame, horizon: int | str = C.FORECAST_HORIZON, as_of
         (price * (1 + pct)).alias("forecast_price_high"),
         "state", "property_type",
         F.col("median_price").alias("last_actual"),
+        *keep,
     )
 
 
@@ -65,7 +66,11 @@ def price_forecasts(active: DataFrame, horizon: int = C.FORECAST_HORIZON, as_of:
 
 def forecast_requests(requests: DataFrame, baseline: DataFrame, as_of: _dt.date = ADAPTER_AS_OF) -> DataFrame:
     """Forecast for (state, property_type, horizon) request rows; unknown
-    segments give no rows (inner join), horizon defaults to 12."""
+    segments give no rows (inner join), horizon defaults to 12. The baseline
+    has one row per (state, property type): bounded by states x 5 types, so
+    it is broadcast."""
     seg = forecast_baseline(baseline).drop("state_tier", "count")
     req = requests.withColumn("horizon", F.coalesce(F.col("horizon").cast("int"), F.lit(C.FORECAST_HORIZON)))
-    return forecast_path(req.join(seg, ["state", "property_type"], "inner"), "horizon", as_of)
+    keep = tuple(c for c in requests.columns if c not in ("state", "property_type", "horizon"))
+    return forecast_path(req.join(F.broadcast(seg), ["state", "property_type"], "inner"), "horizon", as_of,
+                         keep=keep)

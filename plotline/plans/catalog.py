@@ -55,7 +55,10 @@ def sel(cols, doubles=None, src: str = "") -> str:
 
 @register("market_snapshot", O.with_base(f"SELECT {sel(MARKET_COLS, _DOUBLE_MARKET)} FROM market"))
 def q_market_snapshot(spark, sf):
-    return P.rounded(P.market_df(spark, sf))
+    """G-3 (flagship): one aggregation over the silver listings, broadcast yield dim."""
+    from plotline.config import ADAPTER_AS_OF
+    from plotline.operators.market import market_snapshot
+    return P.rounded(market_snapshot(P.silver_df(spark, sf), ADAPTER_AS_OF))
 
 
 # Load the other query modules (they register themselves on import).
@@ -63,3 +66,4 @@ from plotline.plans import queries_etl  # noqa: E402,F401
 from plotline.plans import queries_analytics  # noqa: E402,F401
 from plotline.plans import queries_prep  # noqa: E402,F401
 from plotline.plans import queries_models  # noqa: E402,F401
+from plotline.plans import queries_requests  # noqa: E402,F401

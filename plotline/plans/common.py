@@ -29,12 +29,31 @@ def rounded(df: DataFrame, scale: int = SCALE) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+_LAYERS: dict = {}
+
+
+def layer(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A shared layer (bronze, silver, market) built once per session and
+    scale directory and checkpointed into spark.checkpoint.dir, so the many
+    queries over it do not recompute the adapter joins (the written copy also
+    survives executor loss, unlike a cache)."""
+    key = (id(spark), sf, name)
+    if key not in _LAYERS:
+        from plotline.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        _LAYERS[key] = build().checkpoint(eager=True)
+    return _LAYERS[key]
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     return adapter_listings(spark, sf)
 
 
 def bronze_df(spark: SparkSession, sf: str, lineage: bool = False) -> DataFrame:
-    return bronze(raw(spark, sf), ADAPTER_AS_OF, source_file=sf, lineage=lineage)
+    if lineage:
+        return bronze(raw(spark, sf), ADAPTER_AS_OF, source_file=sf, lineage=True)
+    return layer(spark, sf, "bronze",
+                 lambda: bronze(raw(spark, sf), ADAPTER_AS_OF, source_file=sf, lineage=False))
 
 
 def census_df(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +61,7 @@ def census_df(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def silver_df(spark: SparkSession, sf: str) -> DataFrame:
-    return silver(bronze_df(spark, sf), census_df(spark, sf), ADAPTER_AS_OF)
+    return layer(spark, sf, "silver", lambda: silver(bronze_df(spark, sf), census_df(spark, sf), ADAPTER_AS_OF))
 
 
 def sold_df(spark, sf):
@@ -58,25 +77,25 @@ def all_df(spark, sf):
 
 
 def market_df(spark, sf):
-    return market_snapshot(silver_df(spark, sf), ADAPTER_AS_OF)
+    return layer(spark, sf, "market", lambda: market_snapshot(silver_df(spark, sf), ADAPTER_AS_OF))
 
 
 def prop_df(spark, sf):
     from plotline.operators.features import property_features
     s = silver_df(spark, sf)
-    return property_features(sold_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+    return property_features(sold_listings(s), market_df(spark, sf), feature_ts=False)
 
 
 def lead_df(spark, sf):
     from plotline.operators.features import lead_features
     s = silver_df(spark, sf)
-    return lead_features(all_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+    return lead_features(all_listings(s), market_df(spark, sf), feature_ts=False)
 
 
 def lead_labeled_df(spark, sf):
     from plotline.operators.features import lead_features, with_motivated_label
     s = silver_df(spark, sf)
-    lead = lead_features(all_listings(s), market_snapshot(s, ADAPTER_AS_OF), feature_ts=False)
+    lead = lead_features(all_listings(s), market_df(spark, sf), feature_ts=False)
     return with_motivated_label(lead, sold_listings(s), active_listings(s))
 
 
@@ -86,7 +105,7 @@ def rent_estimates_df(spark, sf):
     from plotline.operators.features import join_context, zip_context
     from plotline.operators.invest import rent_blend, with_state_yield
     s = silver_df(spark, sf)
-    ctx = zip_context(market_snapshot(s, ADAPTER_AS_OF), {"zip_est_rent": "estimated_monthly_rent"})
+    ctx = zip_context(market_df(spark, sf), {"zip_est_rent": "estimated_monthly_rent"})
     df = with_state_yield(join_context(active_listings(s), ctx))
     return df.withColumns(rent_blend("zip_est_rent"))
 

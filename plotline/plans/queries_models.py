@@ -26,7 +26,7 @@ def active_features(spark, sf):
     """Active listings with the same zip context and indicators as training rows."""
     from plotline.operators.features import property_features
     s = P.silver_df(spark, sf)
-    return property_features(P.active_listings(s), P.market_snapshot(s), feature_ts=False)
+    return property_features(P.active_listings(s), P.market_df(spark, sf), feature_ts=False)
 
 
 def valuation(spark, sf):

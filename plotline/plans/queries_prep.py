@@ -270,7 +270,7 @@ def q_price_interval(spark, sf):
     """P-39: estimate with a +-10% band (comparable-sales estimate)."""
     from plotline.operators.features import join_context, zip_context
     s = P.silver_df(spark, sf)
-    ctx = zip_context(P.market_snapshot(s), {"zip_median_ppsqft": "median_price_per_sqft"})
+    ctx = zip_context(P.market_df(spark, sf), {"zip_median_ppsqft": "median_price_per_sqft"})
     df = join_context(SV.active_listings(s), ctx).withColumn("estimate", F.col("zip_median_ppsqft") * F.col("house_size"))
     return P.rounded(df.select("listing_id", "estimate", (F.col("estimate") * (1 - C.INTERVAL_PCT)).alias("low"),
                                (F.col("estimate") * (1 + C.INTERVAL_PCT)).alias("high")))
