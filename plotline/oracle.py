@@ -396,3 +396,38 @@ RENT_AND_INVEST = [
 ] + invest_ctes("inv_src")
 
 BASE.extend(RENT_AND_INVEST)
+
+
+def monte_carlo_select(n_draws: int, src: str = "inv", hold=None, ops=None,
+                       quantiles=(0.1, 0.5, 0.9), spread=None) -> str:
+    """Mirror of operators.invest.monte_carlo over ``src``."""
+    from plotline.operators.invest import MC_SPREAD
+    hold, ops, spread = hold or C.Hold(), ops or C.Operating(), spread or MC_SPREAD
+    H = hold.hold_years
+
+    def u(tag: str) -> str:
+        return (f"(CAST(('0x' || substr(md5(concat_ws('|', CAST(listing_id AS VARCHAR), CAST(i AS VARCHAR), "
+                f"'{tag}')), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))")
+
+    rg = f"({d(hold.annual_rg)} + (2 * {u('rg')} - 1) * {d(spread['annual_rg'])})"
+    pg = f"(annual_pg + (2 * {u('pg')} - 1) * {d(spread['annual_pg'])})"
+    vs = d(spread["vacancy_scale"])
+    vac = f"(vacancy_rate * (1 - {vs} + 2 * {vs} * {u('vac')}))"
+    opex = (f"(monthly_rent * (1 - {vac}) * 12 * (mgmt_fee_pct + {d(ops.capex_pct)}) + purchase_price * "
+            f"(tax_rate + insurance_rate + maintenance_pct) + {d(ops.hoa_monthly)} * 12)")
+
+    def noi(y: str) -> str:
+        return f"(monthly_rent * pow(1 + {rg}, {y} - 1) * 12 * (1 - {vac}) - {opex})"
+
+    exit_v = f"((purchase_price * pow(1 + {pg}, {H}) + {noi(str(H))} / exit_cap_rate) / 2)"
+    last = f"({exit_v} * (1 - {d(hold.selling_cost_pct)}) - balance_exit)"
+    term = (f"(CASE WHEN t = 0 THEN -total_cash_in ELSE {noi('t')} - monthly_payment * 12 + "
+            f"CASE WHEN t = {H} THEN {last} ELSE CAST(0.0 AS DOUBLE) END END) / pow(1 + {d(hold.discount_rate)}, t)")
+    npv = f"list_reduce(list_transform(range(0, {H} + 1), lambda t: {term}), lambda a, x: a + x, CAST(0.0 AS DOUBLE))"
+    npvs = f"list_sort(list_transform(range(1, {n_draws} + 1), lambda i: {npv}))"
+    cols = []
+    for q in quantiles:
+        idx = max(1, -(-int(round(q * n_draws * 1e6)) // 10 ** 6))
+        cols.append(f"{r(f'npvs[{idx}]')} AS npv_p{int(round(q * 100))}")
+    cols.append(f"{r(f'len(list_filter(npvs, lambda x: x > 0)) / {d(n_draws)}')} AS prob_npv_positive")
+    return f"SELECT listing_id, {', '.join(cols)} FROM (SELECT listing_id, {npvs} AS npvs FROM {src}) t"

@@ -193,3 +193,13 @@ def q_table_exists_fallback(spark, sf):
     else:
         est = est.withColumn("est_monthly_rent", F.lit(None).cast("double"))
     return P.rounded(IV.investment_frame(est).select("listing_id", "rent_", "irr"))
+
+
+MC_DRAWS = 100
+
+
+@register("investment_monte_carlo", O.with_base(O.monte_carlo_select(MC_DRAWS)))
+def q_investment_monte_carlo(spark, sf):
+    """F-16: NPV distribution over 100 repeatable scenarios per listing."""
+    mc = IV.monte_carlo(P.invest_frame_df(spark, sf), MC_DRAWS)
+    return P.rounded(mc.select("listing_id", "npv_p10", "npv_p50", "npv_p90", "prob_npv_positive"))
