@@ -203,3 +203,31 @@ def q_investment_monte_carlo(spark, sf):
     """F-16: NPV distribution over 100 repeatable scenarios per listing."""
     mc = IV.monte_carlo(P.invest_frame_df(spark, sf), MC_DRAWS)
     return P.rounded(mc.select("listing_id", "npv_p10", "npv_p50", "npv_p90", "prob_npv_positive"))
+
+
+@register("forecast", O.with_base(f"SELECT {sel(FC_COLS)} FROM forecast"))
+def q_forecast(spark, sf):
+    """C-6: the forecast run (baselines >= 3 listings, tier rates, 12 months)."""
+    return P.rounded(FC.price_forecasts(P.active_df(spark, sf), C.FORECAST_HORIZON))
+
+
+@register("investment", O.with_base(
+    f"SELECT {sel(['listing_id', *IV.SUMMARY_COLUMNS, *C.ADDRESS_KEYS])}, {O.r('price_')} AS avm_estimate, "
+    f"{O.r('rent_')} AS est_rent, state_tier FROM inv"))
+def q_investment(spark, sf):
+    """C-9: the investment run over the estimate, rent and tier tables."""
+    return q_investment_scores(spark, sf)
+
+
+_RENT_TRAIN = "census_median_gross_rent BETWEEN 200 AND 10000 AND quality_score >= 0.6"
+
+
+@register("min_rows_guard", O.with_base(
+    f"SELECT listing_id, census_median_gross_rent FROM prop WHERE {_RENT_TRAIN} "
+    f"AND (SELECT count(*) FROM prop WHERE {_RENT_TRAIN}) >= {C.MIN_TRAIN_ROWS}"))
+def q_min_rows_guard(spark, sf):
+    """P-15: the rent training rows, or none when fewer than 20 exist (the
+    check reads at most 20 rows)."""
+    df = P.prop_df(spark, sf).filter(F.col("census_median_gross_rent").between(200, 10_000)
+                                     & (F.col("quality_score") >= 0.6)).select("listing_id", "census_median_gross_rent")
+    return df if df.limit(C.MIN_TRAIN_ROWS).count() >= C.MIN_TRAIN_ROWS else df.limit(0)

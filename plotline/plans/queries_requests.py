@@ -203,3 +203,20 @@ def q_skip_empty_write(spark, sf):
     write_if_not_empty(fc.filter(F.lit(False)), _scratch(spark, "empty_forecasts", sf))
     write_if_not_empty(fc, path)
     return P.rounded(spark.read.parquet(path).select("state", "property_type", "forecast_month", "forecast_price"))
+
+
+@register("route_stream", None)
+def q_route_stream(spark, sf):
+    """K-2 as a stream: the forecast requests land as JSON files, a
+    Structured Streaming job routes each micro-batch, answers are read back."""
+    from plotline.operators.forecast import baseline_medians
+    from plotline.streaming.requests_stream import serve
+    base = _scratch(spark, "request_stream", sf)
+    req = request_batch(spark, sf).filter(F.col("request_id").startswith("fc-") | F.col("request_id").startswith("unk-"))
+    req.write.mode("overwrite").json(f"{base}/landing")
+    import uuid
+    run = uuid.uuid4().hex
+    q = serve(spark, f"{base}/landing", f"{base}/answers/{run}", f"{base}/checkpoints/{run}",
+              baseline=baseline_medians(P.active_df(spark, sf)))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/answers/{run}").select("request_id", "model_type", "result")
