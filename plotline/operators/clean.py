@@ -15,12 +15,13 @@ DATA_SOURCE = "realtor_national_csv"
 
 
 def listing_id(cols=RAW_COLUMNS, schema=LISTING_SCHEMA) -> Column:
-    """Content hash of the raw columns (doubles rendered with 4 decimals,
-    null as \\N). Identical raw rows share an id; they are interchangeable."""
+    """Content hash of the raw columns (doubles rendered as the integer
+    floor(x * 10^4 + 0.5), null as \\N). Identical raw rows share an id;
+    they are interchangeable."""
     types = {f.name: f.dataType.simpleString() for f in schema.fields}
     parts = []
     for c in cols:
-        v = F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))) if types.get(c) == "double" else F.col(c)
+        v = (F.floor(F.col(c) * 10000.0 + 0.5).cast("string") if types.get(c) == "double" else F.col(c))
         parts.append(F.coalesce(v, F.lit("\\N")))
     return F.md5(F.concat_ws("\u0001", *parts))
 

@@ -97,44 +97,71 @@ def split_hash(key: Column, seed: int) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label: str | None = None,
-                out: str = "is_test", bucket_hex: int = 4) -> DataFrame:
+                out: str = "is_test", bucket_hex: int = 4, max_rank_rows: int = 1_000_000) -> DataFrame:
     """M-6 / M-7: mark exactly ceil(test_size * n) rows (per label value when
     ``label`` is given) as test, taking the first rows in md5(key, seed) order.
 
-    Rows are bucketed by the first ``bucket_hex`` hex digits of the hash; the
-    bucket counts (bounded by 16^bucket_hex per label) locate the bucket where
-    each label's cut falls; only that bucket is ranked, by a window over one
-    bucket. Everything before it is test, everything after it train.
+    Rows are bucketed by a hex prefix of the hash. Per label, the bucket
+    counts (bounded by 16^bucket_hex) locate the bucket where the cut falls;
+    while that bucket holds more than ``max_rank_rows`` rows it is refined by
+    ``bucket_hex`` more digits (counting only its own rows). Rows before the
+    final bucket are test, rows after it train, and only the final bucket is
+    ranked by a window. (Rows with the same key share a hash and cannot be
+    told apart; they land in one bucket.)
     """
     lab = F.col(label) if label else F.lit(0)
-    h = split_hash(F.col(key), seed)
-    d = df.withColumns({"_h": h, "_lab": lab, "_bkt": F.conv(F.substring(h, 1, bucket_hex), 16, 10).cast("int")})
-    counts = d.groupBy("_lab", "_bkt").count().collect()
-    per_label: dict = {}
+    d = df.withColumns({"_h": split_hash(F.col(key), seed), "_lab": lab})
+    lab_type = d.schema["_lab"].dataType.simpleString()
+    # per label: [prefix, rows still needed inside the prefix, rows in the prefix]
+    state: dict = {}
+    level = bucket_hex
+    counts = d.groupBy("_lab", F.substring("_h", 1, level).alias("_p")).count().collect()
+    pending = {}
     for r in counts:
-        per_label.setdefault(r["_lab"], []).append((r["_bkt"], r["count"]))
-    cut_rows = []
-    for lab_v, lst in per_label.items():
-        lst.sort()
+        pending.setdefault(r["_lab"], []).append((r["_p"], r["count"]))
+    for lab_v, lst in pending.items():
         n = sum(c for _, c in lst)
-        need = math.ceil(test_size * n)
-        acc = 0
-        cut_b, rem = 1 << 62, 0
-        for b, c in lst:
-            if acc + c >= need:
-                cut_b, rem = b, need - acc
-                break
-            acc += c
-        cut_rows.append((lab_v, cut_b, rem))
-    lab_type = d.schema["_lab"].dataType.simpleString()
-    cuts = df.sparkSession.createDataFrame(cut_rows, f"_lab {lab_type}, _cut int, _rem long")
+        state[lab_v] = _crossing(sorted(lst), math.ceil(test_size * n))
+    while level < 32 and any(v[0] is not None and v[2] > max_rank_rows for v in state.values()):
+        refine = {k: v for k, v in state.items() if v[0] is not None and v[2] > max_rank_rows}
+        cond = None
+        for lab_v, (pref, _, _) in refine.items():
+            c = (F.col("_lab") == F.lit(lab_v)) & (F.substring("_h", 1, len(pref)) == F.lit(pref))
+            cond = c if cond is None else cond | c
+        level = min(32, level + bucket_hex)
+        sub = d.filter(cond).groupBy("_lab", F.substring("_h", 1, level).alias("_p")).count().collect()
+        grouped: dict = {}
+        for r in sub:
+            grouped.setdefault(r["_lab"], []).append((r["_p"], r["count"]))
+        for lab_v, lst in grouped.items():
+            state[lab_v] = _crossing(sorted(lst), refine[lab_v][1])
+    rows = [(k, v[0], v[1]) for k, v in state.items()]
+    cuts = df.sparkSession.createDataFrame(rows, f"_lab {lab_type}, _cut string, _rem long")
     d = d.join(F.broadcast(cuts), "_lab", "left")
-    w = Window.partitionBy("_lab", "_bkt").orderBy("_h", key)
-    ranked = (d.filter(F.col("_bkt") == F.col("_cut"))
-              .select(key, "_lab", (F.row_number().over(w) <= F.col("_rem")).alias("_in")))
-    d = d.join(ranked, [key, "_lab"], "left")
-    test = (F.col("_bkt") < F.col("_cut")) | ((F.col("_bkt") == F.col("_cut")) & F.coalesce(F.col("_in"), F.lit(False)))
-    return d.withColumn(out, test.cast("int")).drop("_h", "_lab", "_bkt", "_cut", "_rem", "_in")
+    pre = F.expr("substring(_h, 1, length(_cut))")
+    in_cut = F.coalesce(pre == F.col("_cut"), F.lit(False))
+    w = Window.partitionBy("_lab").orderBy("_h", key)
+    # rank only the final bucket; union (not join) it back, so repeated keys never multiply
+    ranked = d.filter(in_cut).withColumn("_in", F.row_number().over(w) <= F.col("_rem"))
+    rest = d.filter(~in_cut).withColumn("_in", F.lit(None).cast("boolean"))
+    d = ranked.unionByName(rest)
+    test = (F.when(F.col("_cut").isNull(), F.lit(False))
+            .when(in_cut, F.col("_in"))
+            .otherwise(pre < F.col("_cut")))
+    return d.withColumn(out, test.cast("int")).drop("_h", "_lab", "_cut", "_rem", "_in")
+
+
+def _crossing(buckets: list[tuple[str, int]], need: int) -> tuple[str | None, int, int]:
+    """(prefix of the bucket holding rank ``need``, ranks still needed in it,
+    its row count); prefix None when nothing is needed (need <= 0)."""
+    if need <= 0:
+        return None, 0, 0
+    acc = 0
+    for p, c in buckets:
+        if acc + c >= need:
+            return p, need - acc, c
+        acc += c
+    return None, 0, 0
 
 
 # --------------------------------------------------------------- group folds

@@ -70,7 +70,7 @@ adapter AS (
 
 
 def _idpart(c: str, dbl: bool) -> str:
-    v = f"printf('%.4f', {c})" if dbl else c
+    v = f"CAST(CAST(floor({c} * 10000.0 + 0.5) AS BIGINT) AS VARCHAR)" if dbl else c
     return f"coalesce({v}, '\\N')"
 
 

@@ -63,3 +63,13 @@ def test_group_kfold_never_splits_groups(spark):
     per_group = out.groupBy("g").agg(F.countDistinct("fold").alias("k")).collect()
     assert all(r["k"] == 1 for r in per_group)
     assert out.select("fold").distinct().count() == 3
+
+
+def test_exact_split_refines_large_buckets_and_keeps_duplicates(spark):
+    rows = [(f"id{i % 900}", i % 3 == 0) for i in range(1000)]  # 100 keys appear twice
+    df = spark.createDataFrame(rows, "listing_id string, lab boolean").withColumn("lab", F.col("lab").cast("int"))
+    out = PR.exact_split(df, "listing_id", 0.3, 7, label="lab", bucket_hex=1, max_rank_rows=5)
+    assert out.count() == 1000
+    counts = out.groupBy("lab").agg(F.sum("is_test").alias("t"), F.count("*").alias("n")).collect()
+    for r in counts:
+        assert r["t"] == -(-3 * r["n"] // 10)
