@@ -140,3 +140,88 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
     out = src.join(F.broadcast(off_df), "_b", "left")
     out = out.withColumns({f"cum_{v}": F.sum(v).over(w) + F.col(f"_off_{v}") for v in value_cols})
     return out.drop("_key", "_b", *[f"_off_{v}" for v in value_cols])
+
+
+def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy: int = ACCURACY,
+                        grid: int = 1000, collect_limit: int = 200_000, max_groups: int = 100_000,
+                        max_rounds: int = 8) -> DataFrame:
+    """Interpolated median of ``col`` per group, exactly, without holding a
+    group's values in one task.
+
+    Per round one aggregation over all pending groups (their brackets are a
+    broadcast table bounded by ``max_groups``) counts values inside and below
+    each bracket and their approximate distinct count. Groups with few
+    distinct values left send their (value, count) pairs; the others get a
+    new bracket from a fixed grid of ``grid + 1`` approximate quantiles taken
+    inside the bracket. Returns (keys..., median, n).
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    data = df.select(*keys, F.col(col).cast("double").alias("_v")).where(_bracket("_v", None, None)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = data.groupBy(*keys).count().limit(max_groups + 1).collect()
+        if len(sizes) > max_groups:
+            raise ValueError(f"more than {max_groups} groups")
+        key_of = lambda r: tuple(r[k] for k in keys)
+        st = {key_of(r): {"n": r["count"], "lo": None, "hi": None} for r in sizes}
+        out = {}
+        pending = set(st)
+        key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields if f.name in keys)
+        grid_q = [i / grid for i in range(grid + 1)]
+        for _ in range(max_rounds):
+            if not pending:
+                break
+            br = spark.createDataFrame([(*g, st[g]["lo"], st[g]["hi"]) for g in pending],
+                                       f"{key_schema}, _lo double, _hi double")
+            j = data.join(F.broadcast(br), keys)
+            inb = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & \
+                  (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+            below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
+            agg = j.groupBy(*keys).agg(F.count_if(inb).alias("_in"), F.count_if(below).alias("_lt"),
+                                       F.approx_count_distinct(F.when(inb, F.col("_v"))).alias("_nd")).collect()
+            small, narrow = [], []
+            for r in agg:
+                g = key_of(r)
+                s = st[g]
+                k1, k2 = (s["n"] - 1) // 2 - r["_lt"], s["n"] // 2 - r["_lt"]
+                s.update(inn=r["_in"], r=(k1, k2))
+                if k1 < 0 or k2 >= r["_in"]:
+                    s["lo"] = s["hi"] = None
+                    narrow.append(g)
+                elif r["_nd"] <= collect_limit // max(1, len(pending)):
+                    small.append(g)
+                else:
+                    narrow.append(g)
+            if small:
+                sb = br.join(spark.createDataFrame([g for g in small], key_schema), keys)
+                jj = data.join(F.broadcast(sb), keys).where(
+                    (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
+                    & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+                pairs: dict = {}
+                for r in jj.groupBy(*keys, "_v").count().collect():
+                    pairs.setdefault(key_of(r), []).append((r["_v"], r["count"]))
+                for g in small:
+                    lst = sorted(pairs.get(g, []))
+                    k1, k2 = st[g]["r"]
+                    out[g] = (_rank_value(lst, k1) + _rank_value(lst, k2)) / 2.0
+            if narrow:
+                nb = br.join(spark.createDataFrame([g for g in narrow], key_schema), keys)
+                jj = data.join(F.broadcast(nb), keys).where(
+                    (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
+                    & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+                qs = jj.groupBy(*keys).agg(F.percentile_approx("_v", grid_q, accuracy).alias("_q")).collect()
+                margin = 2.0 / accuracy
+                for r in qs:
+                    g = key_of(r)
+                    s = st[g]
+                    k1, k2 = s["r"]
+                    q1 = max(0.0, k1 / s["inn"] - margin)
+                    q2 = min(1.0, (k2 + 1) / s["inn"] + margin)
+                    s["lo"] = r["_q"][int(math.floor(q1 * grid))]
+                    s["hi"] = r["_q"][int(math.ceil(q2 * grid))]
+            pending = set(narrow)
+        rows = [(*g, out.get(g), st[g]["n"]) for g in st]
+        return spark.createDataFrame(rows, f"{key_schema}, median double, n long")
+    finally:
+        data.unpersist()

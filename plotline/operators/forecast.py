@@ -18,12 +18,12 @@ def baseline_medians(active: DataFrame, min_count: int = C.FORECAST_MIN_GROUP) -
     """G-4 + P-11 + P-14: exact (interpolated) median price per segment with at
     least ``min_count`` priced listings.
 
-    The median's aggregation buffer holds the distinct prices of a segment
-    with their counts (merged map-side), so its size follows the number of
-    distinct prices, not the number of rows."""
-    return (active.na.drop(subset=["price", "property_type", "state"])
-            .groupBy(*BASELINE_KEYS)
-            .agg(F.median("price").alias("median_price"), F.count("price").alias("count"))
+    Segments are few and large, so the median is computed by distributed
+    bracketing (``exact_group_medians``) instead of an aggregate that would
+    hold all of a segment's prices in one task."""
+    from plotline.functions.running import exact_group_medians
+    med = exact_group_medians(active.na.drop(subset=["price", "property_type", "state"]), BASELINE_KEYS, "price")
+    return (med.select(*BASELINE_KEYS, F.col("median").alias("median_price"), F.col("n").alias("count"))
             .filter(F.col("count") >= min_count))
 
 
