@@ -143,8 +143,8 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
 
 
 def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy: int = ACCURACY,
-                        grid: int = 1000, collect_limit: int = 200_000, max_groups: int = 100_000,
-                        max_rounds: int = 8) -> DataFrame:
+                        grid: int = 1000, collect_limit: int = 500_000, max_groups: int = 100_000,
+                        max_rounds: int = 8, direct_limit: int = 2_000_000) -> DataFrame:
     """Interpolated median of ``col`` per group, exactly, without holding a
     group's values in one task.
 
@@ -153,7 +153,9 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
     each bracket and their approximate distinct count. Groups with few
     distinct values left send their (value, count) pairs; the others get a
     new bracket from a fixed grid of ``grid + 1`` approximate quantiles taken
-    inside the bracket. Returns (keys..., median, n).
+    inside the bracket. When no group holds more than ``direct_limit`` values
+    a plain ``median`` aggregate is used instead (its per-group buffer is then
+    bounded by that limit). Returns (keys..., median, n).
     """
     keys = list(keys)
     spark = df.sparkSession
@@ -163,6 +165,11 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
         sizes = data.groupBy(*keys).count().limit(max_groups + 1).collect()
         if len(sizes) > max_groups:
             raise ValueError(f"more than {max_groups} groups")
+        if max((r["count"] for r in sizes), default=0) <= direct_limit:
+            from plotline.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(spark)
+            return (data.groupBy(*keys).agg(F.median("_v").alias("median"), F.count(F.lit(1)).alias("n"))
+                    .checkpoint(eager=True))
         key_of = lambda r: tuple(r[k] for k in keys)
         st = {key_of(r): {"n": r["count"], "lo": None, "hi": None} for r in sizes}
         out = {}

@@ -81,7 +81,10 @@ def test_exact_group_medians(spark):
     rows = [(f"g{rng.randint(0, 4)}", float(rng.choice([1, 2, 3, 3, 9])) if rng.random() < 0.5
              else rng.random() * 1000) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(6)
-    got = {r["g"]: (r["median"], r["n"]) for r in exact_group_medians(df, ["g"], "v", collect_limit=10).collect()}
+    got = {r["g"]: (r["median"], r["n"]) for r in exact_group_medians(df, ["g"], "v", collect_limit=10, direct_limit=10).collect()}
     for g in set(x for x, _ in rows):
         vals = [v for x, v in rows if x == g]
         assert got[g] == (float(np.median(vals)), len(vals))
+
+    direct = {r["g"]: (r["median"], r["n"]) for r in exact_group_medians(df, ["g"], "v").collect()}
+    assert direct == got
