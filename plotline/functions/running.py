@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.functions.dims import literal_table
+
 ACCURACY = 10_000
 
 
@@ -135,7 +137,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
         for v in value_cols:
             acc[v] += r[v] or 0
     off_schema = "_b double, " + ", ".join(f"_off_{v} {src.schema[v].dataType.simpleString()}" for v in value_cols)
-    off_df = df.sparkSession.createDataFrame(offs, off_schema)
+    off_df = literal_table(df.sparkSession, offs, off_schema)
     w = Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = src.join(F.broadcast(off_df), "_b", "left")
     out = out.withColumns({f"cum_{v}": F.sum(v).over(w) + F.col(f"_off_{v}") for v in value_cols})
@@ -179,7 +181,7 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
         for _ in range(max_rounds):
             if not pending:
                 break
-            br = spark.createDataFrame([(*g, st[g]["lo"], st[g]["hi"]) for g in pending],
+            br = literal_table(spark, [(*g, st[g]["lo"], st[g]["hi"]) for g in pending],
                                        f"{key_schema}, _lo double, _hi double")
             j = data.join(F.broadcast(br), keys)
             inb = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & \
@@ -201,7 +203,7 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
                 else:
                     narrow.append(g)
             if small:
-                sb = br.join(spark.createDataFrame([g for g in small], key_schema), keys)
+                sb = br.join(literal_table(spark, [g for g in small], key_schema), keys)
                 jj = data.join(F.broadcast(sb), keys).where(
                     (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
                     & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
@@ -213,7 +215,7 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
                     k1, k2 = st[g]["r"]
                     out[g] = (_rank_value(lst, k1) + _rank_value(lst, k2)) / 2.0
             if narrow:
-                nb = br.join(spark.createDataFrame([g for g in narrow], key_schema), keys)
+                nb = br.join(literal_table(spark, [g for g in narrow], key_schema), keys)
                 jj = data.join(F.broadcast(nb), keys).where(
                     (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
                     & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
@@ -229,6 +231,6 @@ def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy:
                     s["hi"] = r["_q"][int(math.ceil(q2 * grid))]
             pending = set(narrow)
         rows = [(*g, out.get(g), st[g]["n"]) for g in st]
-        return spark.createDataFrame(rows, f"{key_schema}, median double, n long")
+        return literal_table(spark, rows, f"{key_schema}, median double, n long")
     finally:
         data.unpersist()

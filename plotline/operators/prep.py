@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.functions.dims import literal_table
+
 from plotline.functions.running import exact_medians
 
 
@@ -136,7 +138,7 @@ def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label
         for lab_v, lst in grouped.items():
             state[lab_v] = _crossing(sorted(lst), refine[lab_v][1])
     rows = [(k, v[0], v[1]) for k, v in state.items()]
-    cuts = df.sparkSession.createDataFrame(rows, f"_lab {lab_type}, _cut string, _rem long")
+    cuts = literal_table(df.sparkSession, rows, f"_lab {lab_type}, _cut string, _rem long")
     d = d.join(F.broadcast(cuts), "_lab", "left")
     pre = F.expr("substring(_h, 1, length(_cut))")
     in_cut = F.coalesce(pre == F.col("_cut"), F.lit(False))
@@ -184,7 +186,7 @@ def group_kfold_map(df: DataFrame, group: str, n_folds: int = 3, max_groups: int
         load[f] += r["count"]
         rows.append((r[group], f))
     gtype = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{group} {gtype}, fold int")
+    return literal_table(df.sparkSession, rows, f"{group} {gtype}, fold int")
 
 
 def with_folds(df: DataFrame, group: str, n_folds: int = 3, default_group: str = "unknown") -> DataFrame:
