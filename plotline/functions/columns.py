@@ -137,9 +137,10 @@ def loan_balance(loan: Column, annual_rate: Column, term_years: Column, years: C
 
 
 def npv(cfs: Column, rate: Column) -> Column:
-    """sum_t cfs[t] / (1+rate)^t, t from 0."""
-    return F.aggregate(F.transform(cfs, lambda c, i: c / F.pow(1 + rate, i)),
-                       F.lit(0.0), lambda a, x: a + x)
+    """sum_t cfs[t] / (1+rate)^t, t from 0, folded left to right (no
+    intermediate array)."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(cfs) - 1), F.lit(0.0),
+                       lambda a, t: a + F.element_at(cfs, t + 1) / F.pow(1 + rate, t))
 
 
 IRR_LOW = -0.99
