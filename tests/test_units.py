@@ -94,3 +94,33 @@ def test_forecast_rates_and_months(spark):
     path = FC.forecast_path(FC.forecast_baseline(base).filter("state = 'B'"), 2, dt.date(2024, 11, 17)).collect()
     assert [r["forecast_month"] for r in path] == [dt.date(2024, 12, 1), dt.date(2025, 1, 1)]
     assert math.isclose(path[1]["forecast_price"], 100 * 1.06 ** (2 / 12))
+
+
+def test_irr_matches_polynomial_roots(spark):
+    """IRR by bisection equals the unique real root in the bracket found
+    from the polynomial (numpy), and is null when the bracket has no sign change."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    flows = []
+    for _ in range(300):
+        c = [-float(rng.uniform(50, 150))] + list(rng.uniform(-20, 60, size=5))
+        c[-1] += float(rng.uniform(-50, 200))
+        flows.append([float(x) for x in c])
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(flows)], "i int, c array<double>")
+    got = {r["i"]: r["irr"] for r in df.select("i", X.irr(F.col("c")).alias("irr")).collect()}
+
+    def npv(c, r):
+        return sum(x / (1 + r) ** t for t, x in enumerate(c))
+
+    checked = 0
+    for i, c in enumerate(flows):
+        roots = np.roots(c[::-1])
+        rates = sorted(1 / z.real - 1 for z in roots if abs(z.imag) < 1e-12 and z.real > 0)
+        inside = [r for r in rates if -0.99 < r < 10]
+        sign_change = npv(c, -0.99) * npv(c, 10.0) < 0
+        if not sign_change:
+            assert got[i] is None
+        elif len(inside) == 1:
+            assert abs(got[i] - inside[0]) < 1e-9
+            checked += 1
+    assert checked > 100
