@@ -148,13 +148,25 @@ IRR_HIGH = 10.0
 IRR_STEPS = 60
 
 
-def irr(cfs: Column, low: float = IRR_LOW, high: float = IRR_HIGH, steps: int = IRR_STEPS) -> Column:
+def npv_fixed(cfs: Column, rate: Column, n: int) -> Column:
+    """``npv`` for arrays of a known length n, unrolled into one expression
+    (same left-to-right sum, no lambda per element)."""
+    total = F.lit(0.0)
+    for t in range(n):
+        total = total + F.element_at(cfs, t + 1) / F.pow(1 + rate, F.lit(t))
+    return total
+
+
+def irr(cfs: Column, low: float = IRR_LOW, high: float = IRR_HIGH, steps: int = IRR_STEPS,
+        n: int | None = None) -> Column:
     """Internal rate of return by bisection on [low, high].
 
     The accumulator is the lower end of the bracket; at step k the midpoint is
     low + width/2^k. null when the ends of the bracket have the same sign.
+    With ``n`` (the known number of flows) the NPV inside each step is unrolled.
     """
     width = high - low
+    npv = (lambda c, r: npv_fixed(c, r, n)) if n is not None else globals()["npv"]
     f_low = npv(cfs, F.lit(low))
     f_high = npv(cfs, F.lit(high))
     s_low = F.signum(f_low)

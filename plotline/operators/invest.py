@@ -87,8 +87,8 @@ def investment_summary(df: DataFrame, price: str = "price", rent: str = "rent",
         "cap_rate": F.col("noi_yr1") / p,
         "cash_on_cash_yr1": X.guarded_ratio("cash_flow_yr1", "total_cash_in"),
         "dscr_yr1": F.when(F.col("monthly_payment") > 0, F.col("noi_yr1") / (F.col("monthly_payment") * 12)),
-        "irr": X.irr(F.col("cash_flows")),
-        "npv": X.npv(F.col("cash_flows"), _lit(hold.discount_rate)),
+        "irr": X.irr(F.col("cash_flows"), n=H + 1),
+        "npv": X.npv_fixed(F.col("cash_flows"), _lit(hold.discount_rate), H + 1),
         "hold_years": F.lit(H).cast("long"),
     })
     return df
@@ -221,7 +221,10 @@ def monte_carlo(frame: DataFrame, n_draws: int = 100, key: str = "listing_id", f
                 noi_y(t) - pay * 12 + F.when(t == H, last).otherwise(F.lit(0.0)))
             return flow / F.pow(1 + _lit(hold.discount_rate), t)
 
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(H)), term), F.lit(0.0), lambda a, x: a + x)
+        total = F.lit(0.0)
+        for t in range(H + 1):
+            total = total + term(F.lit(t))
+        return total
 
     draws = F.transform(F.sequence(F.lit(1), F.lit(n_draws)), shocks)
     out = frame.withColumn("_draws", draws).withColumn("_npvs", F.array_sort(F.transform("_draws", npv_of_draw)))
