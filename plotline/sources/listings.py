@@ -40,6 +40,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores
+    (e.g. one file with one row group) over ``defaultParallelism`` partitions.
+    A large input already has at least that many splits, so this adds no
+    shuffle there."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
     """Header CSV with a declared schema; empty string is null; a value that
     does not parse becomes null and the row is kept."""
@@ -71,10 +80,10 @@ def adapter_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled once per key it needs. nation (25 rows by definition) is left to
     the planner, which broadcasts it by its measured size.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = ensure_parallelism(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"))
+    orders = ensure_parallelism(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
