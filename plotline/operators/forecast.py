@@ -67,10 +67,11 @@ def price_forecasts(active: DataFrame, horizon: int = C.FORECAST_HORIZON, as_of:
 def forecast_requests(requests: DataFrame, baseline: DataFrame, as_of: _dt.date = ADAPTER_AS_OF) -> DataFrame:
     """Forecast for (state, property_type, horizon) request rows; unknown
     segments give no rows (inner join), horizon defaults to 12. The baseline
-    has one row per (state, property type): bounded by states x 5 types, so
-    it is broadcast."""
+    has one row per (state, property type), so it is broadcast after a row
+    count check."""
     seg = forecast_baseline(baseline).drop("state_tier", "count")
     req = requests.withColumn("horizon", F.coalesce(F.col("horizon").cast("int"), F.lit(C.FORECAST_HORIZON)))
     keep = tuple(c for c in requests.columns if c not in ("state", "property_type", "horizon"))
-    return forecast_path(req.join(F.broadcast(seg), ["state", "property_type"], "inner"), "horizon", as_of,
-                         keep=keep)
+    from plotline.functions.dims import broadcast_if_bounded
+    return forecast_path(req.join(broadcast_if_bounded(seg), ["state", "property_type"], "inner"), "horizon",
+                         as_of, keep=keep)
