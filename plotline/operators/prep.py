@@ -73,7 +73,7 @@ def standard_scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> Dat
 
 
 # ------------------------------------------------------------------ encoding
-def fit_vocabulary(df: DataFrame, col: str, max_size: int = 1_000_000) -> DataFrame:
+def fit_vocabulary(df: DataFrame, col: str, max_size: int = 200_000) -> DataFrame:
     """M-4: sorted distinct values -> code 0..n-1 (bounded vocabulary; the
     window runs over the distinct values only)."""
     vocab = df.select(F.col(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
@@ -99,7 +99,8 @@ def split_hash(key: Column, seed: int) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label: str | None = None,
-                out: str = "is_test", bucket_hex: int = 4, max_rank_rows: int = 1_000_000) -> DataFrame:
+                out: str = "is_test", bucket_hex: int = 4, max_rank_rows: int = 1_000_000,
+                max_labels: int = 10_000) -> DataFrame:
     """M-6 / M-7: mark exactly ceil(test_size * n) rows (per label value when
     ``label`` is given) as test, taking the first rows in md5(key, seed) order.
 
@@ -121,6 +122,8 @@ def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label
     pending = {}
     for r in counts:
         pending.setdefault(r["_lab"], []).append((r["_p"], r["count"]))
+    if len(pending) > max_labels:
+        raise ValueError(f"{len(pending)} label values exceed {max_labels}")
     for lab_v, lst in pending.items():
         n = sum(c for _, c in lst)
         state[lab_v] = _crossing(sorted(lst), math.ceil(test_size * n))
