@@ -173,7 +173,10 @@ def flag_relisted(df: DataFrame, relisted: DataFrame, cols: Sequence[str] = ("st
     The relisted set is distinct, so the left join never multiplies rows;
     it is broadcast only below the size limit, otherwise shuffled (AQE
     splits a skewed address partition)."""
-    r = broadcast_if_bounded(relisted.select(F.col("a").alias("_addr"), F.lit(1).alias(out)))
+    from plotline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # computed once: the size check and the join both read the checkpoint
+    r = broadcast_if_bounded(relisted.select(F.col("a").alias("_addr"), F.lit(1).alias(out)).checkpoint(eager=True))
     keyed = df.withColumn("_addr", address_key_keep_null(*cols))
     return keyed.join(r, "_addr", "left").withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_addr")
 
