@@ -34,3 +34,13 @@ def test_literal_dims_broadcast(spark):
         P.bronze_df(spark, SF_SMALL), None))
     assert "BroadcastHashJoin" in silver_plan
     assert p
+
+
+def test_market_snapshot_independent_of_partitioning(spark):
+    """Exact-decimal averages and order-free aggregates: identical results for
+    1 and 8 input partitions (not just equal after rounding)."""
+    s = P.silver_df(spark, SF_SMALL)
+    a = market_snapshot(s.coalesce(1)).collect()
+    b = market_snapshot(s.repartition(8, "listing_id")).collect()
+    key = lambda r: (r["state"], r["zip_code"], r["property_type"])
+    assert sorted(a, key=key) == sorted(b, key=key)
