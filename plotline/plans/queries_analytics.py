@@ -180,7 +180,13 @@ schedule_projection("cash_flow_by_year", "cash_flow", "F-8")
 schedule_projection("loan_balance", "balance", "F-9")
 
 
-@register("table_exists_fallback", None)
+_FALLBACK_SRC = ("fb_src AS (SELECT listing_id, state, state_tier, price AS avm_estimate, "
+                 "CAST(NULL AS DOUBLE) AS est_monthly_rent FROM active)")
+
+
+@register("table_exists_fallback", O.with_base(
+    f"SELECT listing_id, {O.r('rent_')} AS rent_, {O.r('irr')} AS irr FROM fb",
+    _FALLBACK_SRC, *O.invest_ctes("fb_src", prefix="fb")))
 def q_table_exists_fallback(spark, sf):
     """S-10: use the written rent table when it exists, else a null rent column
     (then F-17 falls back to the yield rent)."""
