@@ -118,7 +118,17 @@ def q_response_unpack(spark, sf):
     return RQ.unpack_responses(RQ.route(request_batch(spark, sf), **_models(spark, sf)))
 
 
-@register("example_payload", None)
+def _example_sql() -> str:
+    parts = [f'"{c}":0' for c in C.AVM_NUMERIC + C.AVM_BINARY]
+    cat = []
+    for c in C.AVM_CATEGORICAL:
+        cat.append(f'"{c}":"\' || property_type || \'"' if c == "property_type" else f'"{c}":"unknown"')
+    body = ",".join(parts + cat)
+    return (f"SELECT DISTINCT 'ex-' || property_type AS request_id, 'avm' AS model_type, "
+            f"'[{{{body}}}]' AS payload FROM active")
+
+
+@register("example_payload", O.with_base(_example_sql()))
 def q_example_payload(spark, sf):
     """K-7: the default input example per property type found in the data."""
     return request_batch(spark, sf).filter(F.col("request_id").startswith("ex-"))
