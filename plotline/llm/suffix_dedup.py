@@ -9,8 +9,9 @@ strings have equal samples wherever they stand:
    of one name form a run (about sixteen windows): one tuple (name, content name, document, place and common
    length). Tuples are sorted by Spark's external, disk-backed sort, which stands in for the priority queues.
 2. A run whose whole content also stands in a smaller document is settled: all its windows are repeats.
-3. Runs that share a name with different content (the ends of repeated passages) go down one level: their windows
-   are named one by one and compared in the same way. Nothing else is expanded.
+3. Runs that share a name with different content (the ends of repeated passages) go down one level: their bytes
+   are brought together by name and their windows are compared one by one. Names with more than ``HOT`` tuples
+   are not brought together; their windows are named and grouped themselves, which spreads them over all tasks.
 
 Equal windows always share a name, so no repeat is missed; content names are 64-bit hashes compared only within
 equal 64-bit names (together 128 bits).
@@ -33,6 +34,7 @@ GRAM = 20
 RUN = 64  # windows in one tuple, at most
 _BLOCK = 1 << 20  # bytes looked at in one piece
 _GATHER = 1 << 20  # tuples gathered in a task before equal ones are settled there
+HOT = 8192  # tuples of one name whose bytes one task may hold (about 100 bytes each)
 _BASE = 0x9E3779B97F4A7C15
 #: A tuple's place: start byte << 32 | 24 bits that tell apart texts of one id << 8 | settled << 7 | windows - 1
 _SETTLED = 1 << 7
@@ -180,26 +182,86 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held)
 
 
-def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the asked runs: (name, window, doc_id, tag, start)."""
+_ASKED = "name long, window long, doc_id long, tag int, place long, content binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked runs with their bytes; those of hot names window by window."""
+    def out(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        names = [c.split()[0] for c in _ASKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+
     for batch in batches:
-        for doc_id, text, tag, asked in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            data, asked = np.frombuffer(text, np.uint8), np.array(asked, dtype=np.int64)
-            begin, count = asked >> 32, (asked & (_SETTLED - 1)) + 1
-            found = []
-            for low in range(0, max(1, len(data) - SPAN + 1), _BLOCK):
-                mine = (begin >= low) & (begin < low + _BLOCK)
-                if not mine.any():
+        rows = []
+        for doc_id, text, tag, runs_ in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for run in runs_:
+                place = run["place"]
+                begin, count = place >> 32, (place & (_SETTLED - 1)) + 1
+                content = text[begin:begin + count + SPAN - 1]
+                if not run["hot"]:
+                    rows.append((run["name"], 0, doc_id, tag, place, content))
                     continue
-                h = _Hashes(data[low:low + _BLOCK + 2 * SPAN + RUN])
-                names = window_names(h)
-                at = np.unique(np.concatenate([np.arange(b, b + c) for b, c in zip(begin[mine] - low, count[mine])]))
-                found.append((names[at], h.at(at, SPAN), at + low))
-            if found:
-                name, window, start = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(window.view(np.int64)), pa.array(np.full(len(name), doc_id, np.int64)),
-                     pa.array(np.full(len(name), tag, np.int32)), pa.array(start)], names=["name", "window", "doc_id", "tag", "start"])
+                windows = _Hashes(np.frombuffer(content, np.uint8)).at(np.arange(count), SPAN).view(np.int64)
+                rows += [(run["name"], w, doc_id, tag, (begin + k) << 32, None) for k, w in enumerate(windows.tolist())]
+            if len(rows) >= 20_000:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
+
+
+def _late_windows(name: np.ndarray, doc: np.ndarray, place: np.ndarray, content: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows that also stand in a smaller document's content of the same name: (row, place)."""
+    count = (place & (_SETTLED - 1)) + 1
+    size = count + SPAN - 1
+    base = np.cumsum(size) - size
+    h = _Hashes(np.frombuffer(b"".join(content), np.uint8))
+    row = np.repeat(np.arange(len(name)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    window = h.at(base[row] + offset, SPAN)
+    order = np.lexsort((doc[row], window, name[row]))
+    n, w, d = name[row][order], window[order], doc[row][order]
+    first = np.ones(len(n), bool)
+    first[1:] = (n[1:] != n[:-1]) | (w[1:] != w[:-1])
+    late = np.zeros(len(n), bool)
+    late[order] = d > d[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    opens = late.copy()
+    opens[1:] &= ~late[:-1] | (row[1:] != row[:-1])
+    begin = np.flatnonzero(opens)
+    if not len(begin):
+        return begin, begin
+    length = np.bincount(np.cumsum(opens)[late] - 1, minlength=len(begin))
+    return row[begin], ((place[row[begin]] >> 32) + offset[begin]) << 32 | (length - 1)
+
+
+def _compare_by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by name: (doc_id, tag, place) of the late windows."""
+    held: pa.Table | None = None
+    for batch in _then_none(batches):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        now = table if held is None else held if table is None else pa.concat_tables([held, table])
+        if now is None or not len(now):
+            continue
+        name = now.column("name").to_numpy()
+        edges = np.flatnonzero(name[1:] != name[:-1]) + 1
+        done = len(name) if batch is None else int(edges[-1]) if len(edges) else 0
+        held = now.slice(done)
+        bounds = [0, *edges[edges < done].tolist(), done]
+        low = 0
+        for k, high in enumerate(bounds):  # whole names, at most HOT rows at a time
+            if high > low and (high == done or bounds[k + 1] - low > HOT):
+                part = now.slice(low, high - low)
+                doc, place = part.column("doc_id").to_numpy(), part.column("place").to_numpy()
+                row, late = _late_windows(part.column("name").to_numpy(), doc, place, part.column("content").to_pylist())
+                tag = part.column("tag").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array(late)], names=["doc_id", "tag", "place"])
+                low = high
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,24 +306,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .withColumn("first", F.min("doc_id").over(by_content))
               .withColumn("least", F.min("doc_id").over(by_name))
               .withColumn("most", F.max("doc_id").over(by_name))
-              .withColumn("mixed", F.min("content").over(by_name) != F.max("content").over(by_name)))
+              .withColumn("mixed", F.min("content").over(by_name) != F.max("content").over(by_name))
+              .withColumn("hot", F.count("*").over(by_name) > HOT))
     settled = (F.col("place").bitwiseAND(F.lit(_SETTLED)) != 0) | (F.col("doc_id") > F.col("first"))
-    asked = F.col("mixed") & (F.col("least") < F.col("most"))
+    asked = ~settled & F.col("mixed") & (F.col("least") < F.col("most"))
     found = materialise(
-        ranked.select("doc_id", _tag(F.col("place")).alias("tag"), "place", settled.alias("settled"), asked.alias("asked"))
-        .filter("settled or asked"), "suffix-runs")
-
-    per_text = lambda rows: rows.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
-    open_runs = per_text(found.filter("not settled"))
-    windows = materialise(
-        texts.join(open_runs, ["doc_id", "tag"]).select("doc_id", "text", "tag", "places")
-        .mapInArrow(_asked_windows, "name long, window long, doc_id long, tag int, start long"), "suffix-windows")
+        ranked.select("doc_id", _tag(F.col("place")).alias("tag"), "place", F.when(asked, F.struct("name", "place", "hot")).alias("ask"),
+                      settled.alias("settled")).filter("settled or ask is not null"), "suffix-runs")
+
+    open_runs = found.filter("not settled").groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asks"))
+    asks = materialise(texts.join(open_runs, ["doc_id", "tag"]).select("doc_id", "text", "tag", "asks").mapInArrow(_asked, _ASKED),
+                       "suffix-asked")
+    late = (asks.filter("content is not null").select("name", "doc_id", "tag", "place", "content").repartition("name")
+            .sortWithinPartitions("name").mapInArrow(_compare_by_name, "doc_id long, tag int, place long"))
+    windows = asks.filter("content is null").select("name", "window", "doc_id", "tag", "place")
     firsts = windows.groupBy("name", "window").agg(F.min("doc_id").alias("first"))
-    late = (windows.join(firsts, ["name", "window"]).filter("doc_id > first")
-            .select("doc_id", "tag", F.shiftleft("start", 32).alias("place")))
-    repeats = materialise(per_text(found.filter("settled").select("doc_id", "tag", "place").unionByName(late)), "suffix-places")
+    late_hot = windows.join(firsts, ["name", "window"]).filter("doc_id > first").select("doc_id", "tag", "place")
+    every = found.filter("settled").select("doc_id", "tag", "place").unionByName(late).unionByName(late_hot)
+    repeats = materialise(every.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")), "suffix-places")
     drop_written(found)
-    drop_written(windows)
+    drop_written(asks)
     return (texts.join(repeats, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "places")
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 

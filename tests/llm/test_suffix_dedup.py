@@ -78,6 +78,18 @@ def test_report_against_brute_force(spark, monkeypatch, seed, block, gather):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize("hot, rows_at_once", [(0, 10_000), (8192, 1), (8192, 7)])
+def test_hot_names_and_small_batches(spark, monkeypatch, hot, rows_at_once):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = corpus(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        got = [tuple(r) for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.report(docs).count() == 0
