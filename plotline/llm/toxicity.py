@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from plotline.llm.langid import held_out
 
-DIM_BITS = 20
-SAMPLE = 6000  # labelled documents learned from, at most, half of each class where there are as many
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 1.0
-EPOCHS = 4
+DIM_BITS = 22
+SAMPLE = 8000  # labelled documents learned from, at most, half of each class where there are as many
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 6.0, 0.0
+EPOCHS = 10
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 _BLOCK = 1 << 18  # words hashed at once
