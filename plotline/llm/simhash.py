@@ -54,15 +54,16 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; texts without words (null too) have 0."""
+    """(doc_id, tag, fp): fp is the fingerprint as a signed long; texts without words (null too) have 0."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "tag", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(scan, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return picked.mapInArrow(scan, "doc_id long, tag long, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -277,11 +278,12 @@ def _then_none(batches):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, tag, fp, component_id, root) for every row of ``docs``.
 
     component_id is the smallest doc_id whose fingerprint is reachable over links of at most ``radius`` (< 7)
-    differing bits. Null and empty texts share fingerprint 0 and link like any other. A null doc_id never names
-    a class while another id is in it; repeated rows get equal results; an empty table gives an empty table.
+    differing bits, root the smallest such fingerprint; tag is a hash of the text. Null and empty texts share
+    fingerprint 0 and link like any other. A null doc_id never names a class while another id is in it; repeated
+    rows get equal results; an empty table gives an empty table.
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
@@ -289,10 +291,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     roots = connected_components(links, "a", "b")
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
+    named = linked.join(least, "root").select("fp", "least", "root")
     classes = (distinct.join(named, "fp", "left")
-               .select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+               .select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"),
+                       F.coalesce("root", "fp").alias("root")))
+    return fps.join(classes, "fp").select("doc_id", "tag", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, its own columns as they are.
+
+    The row with the smallest id stays (a null id only if the class has no other; equal ids by a hash of the text).
+    """
+    classes = near_duplicates(docs, shingle, radius, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("best")
+    kept = classes.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.tag").alias("_tag")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_tag"))
+    rows = docs.join(kept, same, "left_semi").withColumn("_tag", F.xxhash64(F.col(text_col).cast("string")))
+    return rows.dropDuplicates([id_col, "_tag"]).drop("_tag")
 
 
 def class_table(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ sizes as (select distinct size from windows),
 places as (select r, size, unnest(range(1, len(w) - size + 2)) as s from docs, sizes where len(w) >= size),
 found as (select p.r, p.s, p.size, x.item from places p join docs d on p.r = d.r
           join windows x on x.size = p.size and x.win = array_to_string(d.w[p.s:p.s + p.size - 1], ' ')),
-hit_places as (select r, unnest(range(s, s + size)) as at from found),
-hits as (select r, count(distinct at) as n_hit from hit_places group by r),
+hit_places as (select r, unnest(range(s, s + size)) as pos from found),
+hits as (select r, count(distinct pos) as n_hit from hit_places group by r),
 which as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from found group by r)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit,
   cast(coalesce(i.n_items, 0) as bigint) as n_items, sha256(coalesce(i.ids, '')) as items_sha256,

@@ -74,7 +74,7 @@ def test_classes_over_a_table_with_odd_rows(spark):
     texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 60))) for _ in range(60)]
     texts += [t + " extra" for t in texts[:20]] + texts[:5] + [None, "", "  ", "x " * 30_000]
     rows = [(i, t, "clash", None) for i, t in enumerate(texts)] + [(3, texts[3], "clash", None), (None, "solo words here", "c", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string, component_id string")
     got = [(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     fp_of = {t: simhash.fingerprint(None if t is None else t.encode(), 4) for _, t, *_ in rows}
     classes = brute_classes(set(fp_of.values()), 4)
@@ -85,6 +85,10 @@ def test_classes_over_a_table_with_odd_rows(spark):
             least[r] = min(least.get(r, i), i)
     want = [(i, fp_of[t] - (1 << 64) if fp_of[t] >> 63 else fp_of[t], least.get(classes[fp_of[t]])) for i, t, *_ in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns
+    kept = [(r.doc_id, classes[fp_of[r.text]]) for r in one.collect()]
+    assert sorted(kept, key=str) == sorted(((least.get(r), r) for r in set(classes.values())), key=str)
     empty = simhash.class_table(docs.filter("false"))
     assert empty.columns == ["doc_id", "fingerprint", "component_id"] and empty.count() == 0
 
