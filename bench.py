@@ -1,4 +1,4 @@
-"""Benchmark: the batch run's stages over $BENCH_SF_DIR on local[$BENCH_CPUS].
+"""Benchmark: the batch run's stages (models included) over $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries"
 (seconds per stage), "sf"}.
@@ -15,6 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from plotline.config import ADAPTER_AS_OF  # noqa: E402
 from plotline.plans.pipeline import Run  # noqa: E402
 from plotline.session import local_session  # noqa: E402
 
@@ -25,8 +26,8 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="plotline-bench-")
     os.environ.setdefault("PLOTLINE_DRIVER_MEMORY", "16g")
     spark = local_session(cores=cpus, shuffle_partitions=2 * int(cpus) if cpus.isdigit() else 16,
-                          checkpoint_dir=f"{scratch}/checkpoints")
-    run = Run(spark, sf_dir, f"{scratch}/tables")
+                          checkpoint_dir=f"file://{scratch}/checkpoints")
+    run = Run(spark, f"{scratch}/tables", ADAPTER_AS_OF, sf_dir=sf_dir)
     t0 = time.perf_counter()
     timings = run.run_all()
     total = round(time.perf_counter() - t0, 3)

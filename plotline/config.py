@@ -8,7 +8,7 @@ They are kept here, in natural order, as plain literals.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Sanity ranges for raw listings
@@ -182,9 +182,8 @@ CENSUS_RATE_COLUMNS = {
 }
 CENSUS_COLUMNS = list(CENSUS_COUNT_COLUMNS) + list(CENSUS_RATE_COLUMNS)
 
-# Request routing (fixed model type names and error text).
+# Request routing (fixed model type names).
 REQUEST_MODEL_TYPES = ("avm", "lead_scoring", "price_forecast")
-UNKNOWN_TYPE_ERROR = "Unknown model_type '{}'. Use: avm, lead_scoring, price_forecast"
 
 
 # ---------------------------------------------------------------------------
@@ -214,12 +213,5 @@ class Hold:
     discount_rate: float = 0.08
 
 
-@dataclass(frozen=True)
-class RunDate:
-    """The run day every time-dependent operator uses instead of today()."""
-
-    as_of: _dt.date = field(default_factory=lambda: _dt.date(2002, 1, 1))
-
-
 # The listings adapter's fixed "today" (FIXTURES.md §2).
 ADAPTER_AS_OF = _dt.date(2002, 1, 1)

@@ -113,13 +113,6 @@ def address_key_keep_null(*cols: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in cols])
 
 
-def literal_map(d: dict) -> Column:
-    items = []
-    for k, v in d.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.create_map(*items)
-
-
 # -------------------------------------------------------------- finance maths
 def monthly_payment(loan: Column, annual_rate: Column, term_years: Column) -> Column:
     r = annual_rate / 12
@@ -143,8 +136,8 @@ def npv(cfs: Column, rate: Column) -> Column:
                        lambda a, t: a + F.element_at(cfs, t + 1) / F.pow(1 + rate, t))
 
 
-IRR_LOW = -0.99
-IRR_HIGH = 10.0
+IRR_LOW = -1 + 1e-9
+IRR_HIGH = 1e6
 IRR_STEPS = 60
 
 
@@ -157,6 +150,17 @@ def npv_fixed(cfs: Column, rate: Column, n: int) -> Column:
     return total
 
 
+def npv_horner(cfs: Column, rate: Column, n: int | None) -> Column:
+    """``npv`` nested in 1 / (1 + rate), last flow first: no powers."""
+    q = F.lit(1.0) / (1 + rate)
+    if n is None:
+        return F.aggregate(F.reverse(cfs), F.lit(0.0), lambda a, c: a * q + c)
+    total = F.lit(0.0)
+    for t in range(n, 0, -1):
+        total = total * q + F.element_at(cfs, t)
+    return total
+
+
 def irr(cfs: Column, low: float = IRR_LOW, high: float = IRR_HIGH, steps: int = IRR_STEPS,
         n: int | None = None) -> Column:
     """Internal rate of return by bisection on [low, high].
@@ -166,23 +170,21 @@ def irr(cfs: Column, low: float = IRR_LOW, high: float = IRR_HIGH, steps: int =
     With ``n`` (the known number of flows) the NPV inside each step is unrolled.
     """
     width = high - low
-    npv = (lambda c, r: npv_fixed(c, r, n)) if n is not None else globals()["npv"]
-    f_low = npv(cfs, F.lit(low))
-    f_high = npv(cfs, F.lit(high))
-    s_low = F.signum(f_low)
+    s_low = F.signum(npv_horner(cfs, F.lit(low), n))
+    s_high = F.signum(npv_horner(cfs, F.lit(high), n))
 
     def step(lo, k):
         mid = lo + F.lit(width) / F.pow(F.lit(2.0), k.cast("double"))
-        return F.when(F.signum(npv(cfs, mid)) == s_low, mid).otherwise(lo)
+        return F.when(F.signum(npv_horner(cfs, mid, n)) == s_low, mid).otherwise(lo)
 
     root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(float(low)), step)
-    return F.when(s_low * F.signum(f_high) < 0,
-                  root + F.lit(width / 2 ** (steps + 1))).cast("double")
+    return F.when(s_low * s_high < 0, root + F.lit(width / 2 ** (steps + 1))).cast("double")
 
 
 def exact_avg(c: str | Column, scale: int = 4) -> Column:
     """Average summed as an exact decimal: the result does not depend on the
     order rows arrive in (partitioning), unlike a floating-point sum. For
-    inputs carrying at most ``scale`` decimals it is exact up to one division."""
+    inputs carrying at most ``scale`` decimals (and ten digits before them, so
+    a value fits a long) it is exact up to one division."""
     v = col(c)
-    return F.try_divide(F.sum(v.cast(f"decimal(38,{scale})")).cast("double"), F.count(v))
+    return F.try_divide(F.sum(v.cast(f"decimal(14,{scale})")).cast("double"), F.count(v))

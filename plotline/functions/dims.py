@@ -1,4 +1,4 @@
-"""Small literal dimension tables and a size-checked broadcast."""
+"""Small literal dimension tables."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from plotline import config as C
 
-# Largest table that is broadcast after a row count check (rows). A dimension
-# keyed by 5-digit zip code is bounded by 100,000 keys per state.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from driver-side values, built JVM-side (``inline`` of
     literal structs, folded to a local relation): no Python worker is needed
@@ -51,13 +46,3 @@ def forecast_rate_dim(spark: SparkSession, mapping: dict | None = None) -> DataF
 def join_literal_dim(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
     """Join to a dimension built from literals: its size is known, so broadcast."""
     return df.join(F.broadcast(dim), on, how)
-
-
-def broadcast_if_bounded(dim: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a table-derived dimension only after checking its row count.
-
-    Above the limit the table is returned unhinted and the planner uses a
-    shuffled join (AQE may still convert it at run time by measured size).
-    """
-    n = dim.limit(limit + 1).count()
-    return F.broadcast(dim) if n <= limit else dim

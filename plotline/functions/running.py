@@ -1,236 +1,58 @@
-"""Distributed order statistics: exact medians and running sums.
+"""Distributed order statistics: exact medians, running sums, ranks of distinct values.
 
-Both avoid a window over the whole table (which would put every row into one
-task). Only bounded values reach the driver: bracket ends, per-bucket totals
-(at most ``max_buckets`` rows) and at most ``collect_limit`` values.
+Medians are taken over (value, count) rows, so equal values travel as one row and nothing is collected. Running
+sums cut the rows into ranges of the sort order; only the ranges' totals (one row a range) meet in one place.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.functions.dims import literal_table
+from plotline.session import written
 
-ACCURACY = 10_000
 
+def _numbers(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """(keys..., _v): the values that are numbers (null and NaN have no rank)."""
+    return (df.select(*keys, F.col(col).cast("double").alias("_v"))
+            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
 
-def _bracket(c: str, lo, hi):
-    v = F.col(c).cast("double")
-    cond = v.isNotNull() & ~F.isnan(v)  # isnan(null) is false, hence the null test
-    if lo is not None:
-        cond = cond & (v >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (v <= F.lit(hi))
-    return cond
 
+def group_medians(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Exact interpolated median of ``col`` per group: (keys..., median, n). A null key is a group of its own."""
+    counts = _numbers(df, keys, col).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*keys).agg(F.percentile("_v", 0.5, F.col("_n")).alias("median"), F.sum("_n").alias("n"))
 
-def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY,
-                  collect_limit: int = 100_000, max_rounds: int = 8) -> dict[str, float | None]:
-    """Interpolated (pandas-style) median of each column, exactly.
 
-    Each round, per column, one job counts the values inside the current
-    bracket, below it, and (approximately) the distinct values inside. When
-    few distinct values remain, their (value, count) pairs are collected and
-    the two middle ranks read off the cumulative counts (so heavy ties cost
-    nothing); otherwise the bracket is narrowed with ``percentile_approx``
-    (rank error <= n/accuracy; a margin of 2/accuracy keeps the target ranks
-    inside). All columns share each job; the projected columns are persisted
-    for the few passes and released at the end.
-    """
-    cols = list(cols)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.select(*[F.count_if(_bracket(c, None, None)).alias(c) for c in cols]).first()
-        state = {c: {"lo": None, "hi": None, "n": n[c]} for c in cols}
-        out: dict[str, float | None] = {c: None for c in cols}
-        pending = [c for c in cols if state[c]["n"] > 0]
-        for _ in range(max_rounds):
-            if not pending:
-                break
-            aggs = []
-            for i, c in enumerate(pending):
-                st = state[c]
-                inb = _bracket(c, st["lo"], st["hi"])
-                below = (F.col(c) < F.lit(st["lo"])) if st["lo"] is not None else F.lit(False)
-                aggs += [F.count_if(inb).alias(f"in{i}"), F.count_if(below).alias(f"lt{i}"),
-                         F.approx_count_distinct(F.when(inb, F.col(c))).alias(f"nd{i}")]
-            counts = data.select(*aggs).first()
-            narrow = []
-            for i, c in enumerate(pending):
-                st = state[c]
-                st["in"], below = counts[f"in{i}"], counts[f"lt{i}"]
-                k1, k2 = (st["n"] - 1) // 2 - below, st["n"] // 2 - below
-                if k1 < 0 or k2 >= st["in"]:  # bracket missed (approximation failed): start over
-                    st["lo"] = st["hi"] = None
-                    st["in"], k1, k2 = st["n"], (st["n"] - 1) // 2, st["n"] // 2
-                elif counts[f"nd{i}"] <= collect_limit:
-                    pairs = sorted((r[0], r[1]) for r in data.where(_bracket(c, st["lo"], st["hi"]))
-                                   .groupBy(c).count().collect())
-                    out[c] = (_rank_value(pairs, k1) + _rank_value(pairs, k2)) / 2.0
-                    continue
-                st["r"] = (k1, k2)
-                narrow.append(c)
-            if narrow:
-                margin = 2.0 / accuracy
-                aggs = []
-                for i, c in enumerate(narrow):
-                    st = state[c]
-                    k1, k2 = st["r"]
-                    q1 = max(0.0, k1 / st["in"] - margin)
-                    q2 = min(1.0, (k2 + 1) / st["in"] + margin)
-                    aggs.append(F.percentile_approx(F.when(_bracket(c, st["lo"], st["hi"]), F.col(c)),
-                                                    [q1, q2], accuracy).alias(f"b{i}"))
-                b = data.select(*aggs).first()
-                for i, c in enumerate(narrow):
-                    state[c]["lo"], state[c]["hi"] = b[f"b{i}"]
-            pending = narrow
-        return out
-    finally:
-        data.unpersist()
-
-
-def _rank_value(pairs: list[tuple[float, int]], k: int) -> float:
-    """Value at 0-based rank k of a sorted (value, count) list."""
-    acc = 0
-    for v, cnt in pairs:
-        acc += cnt
-        if k < acc:
-            return v
-    raise IndexError(k)
-
-
-def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                   rows_per_bucket: int = 1_000_000, max_buckets: int = 100_000) -> DataFrame:
-    """Add ``cum_<v>`` = sum of v over rows ordered at or before this row
-    (ties broken by nothing: ``order_col`` should be unique, e.g. after a
-    groupBy on it).
-
-    Rows are cut into buckets by approximate quantiles of ``order_col``; the
-    per-bucket totals (bounded by ``max_buckets``) give each bucket's offset,
-    and the running sum inside a bucket is a window over that bucket only.
-    """
-    key = F.col(order_col).cast("double")
-    src = df.withColumn("_key", -key if descending else key)
-    n = src.count()
-    buckets = int(min(max_buckets, max(1, math.ceil(n / rows_per_bucket))))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(src.approxQuantile("_key", probs, 1.0 / (4 * buckets))))
-        splits = [-float("inf"), *bounds, float("inf")]
-        if len(splits) < 3:
-            splits = [-float("inf"), float("inf")]
-        src = Bucketizer(splits=splits, inputCol="_key", outputCol="_b").transform(src)
-    else:
-        src = src.withColumn("_b", F.lit(0.0))
-    totals = src.groupBy("_b").agg(*[F.sum(v).alias(v) for v in value_cols]).collect()
-    totals.sort(key=lambda r: r["_b"])
-    acc = {v: 0 for v in value_cols}
-    offs = []
-    for r in totals:
-        offs.append((float(r["_b"]), *[acc[v] for v in value_cols]))
-        for v in value_cols:
-            acc[v] += r[v] or 0
-    off_schema = "_b double, " + ", ".join(f"_off_{v} {src.schema[v].dataType.simpleString()}" for v in value_cols)
-    off_df = literal_table(df.sparkSession, offs, off_schema)
-    w = Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = src.join(F.broadcast(off_df), "_b", "left")
-    out = out.withColumns({f"cum_{v}": F.sum(v).over(w) + F.col(f"_off_{v}") for v in value_cols})
-    return out.drop("_key", "_b", *[f"_off_{v}" for v in value_cols])
-
-
-def exact_group_medians(df: DataFrame, keys: Sequence[str], col: str, accuracy: int = ACCURACY,
-                        grid: int = 1000, collect_limit: int = 500_000, max_groups: int = 100_000,
-                        max_rounds: int = 8, direct_limit: int = 2_000_000) -> DataFrame:
-    """Interpolated median of ``col`` per group, exactly, without holding a
-    group's values in one task.
-
-    Per round one aggregation over all pending groups (their brackets are a
-    broadcast table bounded by ``max_groups``) counts values inside and below
-    each bracket and their approximate distinct count. Groups with few
-    distinct values left send their (value, count) pairs; the others get a
-    new bracket from a fixed grid of ``grid + 1`` approximate quantiles taken
-    inside the bracket. When no group holds more than ``direct_limit`` values
-    a plain ``median`` aggregate is used instead (its per-group buffer is then
-    bounded by that limit). Returns (keys..., median, n).
+def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact interpolated median of each column, in one job; a column without numbers has None."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.c", "x.v")
+    found = {r.c: r.median for r in group_medians(stacked, ["c"], "v").collect()}
+    return {c: found.get(c) for c in cols}
+
+
+def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False) -> DataFrame:
+    """Add ``cum_<v>``: the sum of v over the rows ordered at or before this one (``order_col`` is unique).
+
+    The rows are written once, dealt into ranges of ``order_col``. A range's running sum is a window over that
+    range; the totals of the ranges before it are added.
     """
-    keys = list(keys)
-    spark = df.sparkSession
-    data = df.select(*keys, F.col(col).cast("double").alias("_v")).where(_bracket("_v", None, None)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = data.groupBy(*keys).count().limit(max_groups + 1).collect()
-        if len(sizes) > max_groups:
-            raise ValueError(f"more than {max_groups} groups")
-        if max((r["count"] for r in sizes), default=0) <= direct_limit:
-            from plotline.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(spark)
-            return (data.groupBy(*keys).agg(F.median("_v").alias("median"), F.count(F.lit(1)).alias("n"))
-                    .checkpoint(eager=True))
-        key_of = lambda r: tuple(r[k] for k in keys)
-        st = {key_of(r): {"n": r["count"], "lo": None, "hi": None} for r in sizes}
-        out = {}
-        pending = set(st)
-        key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields if f.name in keys)
-        grid_q = [i / grid for i in range(grid + 1)]
-        for _ in range(max_rounds):
-            if not pending:
-                break
-            br = literal_table(spark, [(*g, st[g]["lo"], st[g]["hi"]) for g in pending],
-                                       f"{key_schema}, _lo double, _hi double")
-            j = data.join(F.broadcast(br), keys)
-            inb = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & \
-                  (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-            below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
-            agg = j.groupBy(*keys).agg(F.count_if(inb).alias("_in"), F.count_if(below).alias("_lt"),
-                                       F.approx_count_distinct(F.when(inb, F.col("_v"))).alias("_nd")).collect()
-            small, narrow = [], []
-            for r in agg:
-                g = key_of(r)
-                s = st[g]
-                k1, k2 = (s["n"] - 1) // 2 - r["_lt"], s["n"] // 2 - r["_lt"]
-                s.update(inn=r["_in"], r=(k1, k2))
-                if k1 < 0 or k2 >= r["_in"]:
-                    s["lo"] = s["hi"] = None
-                    narrow.append(g)
-                elif r["_nd"] <= collect_limit // max(1, len(pending)):
-                    small.append(g)
-                else:
-                    narrow.append(g)
-            if small:
-                sb = br.join(literal_table(spark, [g for g in small], key_schema), keys)
-                jj = data.join(F.broadcast(sb), keys).where(
-                    (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
-                    & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-                pairs: dict = {}
-                for r in jj.groupBy(*keys, "_v").count().collect():
-                    pairs.setdefault(key_of(r), []).append((r["_v"], r["count"]))
-                for g in small:
-                    lst = sorted(pairs.get(g, []))
-                    k1, k2 = st[g]["r"]
-                    out[g] = (_rank_value(lst, k1) + _rank_value(lst, k2)) / 2.0
-            if narrow:
-                nb = br.join(literal_table(spark, [g for g in narrow], key_schema), keys)
-                jj = data.join(F.broadcast(nb), keys).where(
-                    (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
-                    & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-                qs = jj.groupBy(*keys).agg(F.percentile_approx("_v", grid_q, accuracy).alias("_q")).collect()
-                margin = 2.0 / accuracy
-                for r in qs:
-                    g = key_of(r)
-                    s = st[g]
-                    k1, k2 = s["r"]
-                    q1 = max(0.0, k1 / s["inn"] - margin)
-                    q2 = min(1.0, (k2 + 1) / s["inn"] + margin)
-                    s["lo"] = r["_q"][int(math.floor(q1 * grid))]
-                    s["hi"] = r["_q"][int(math.ceil(q2 * grid))]
-            pending = set(narrow)
-        rows = [(*g, out.get(g), st[g]["n"]) for g in st]
-        return literal_table(spark, rows, f"{key_schema}, median double, n long")
-    finally:
-        data.unpersist()
+    order = F.desc(order_col) if descending else F.asc(order_col)
+    ranged = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(v) for v in value_cols])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(offsets), "_range")  # one row for each range
+    return (out.withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"_off_{v}") for v in value_cols})
+            .drop("_range", *[f"_off_{v}" for v in value_cols]))
+
+
+def distinct_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(_v, _code): the distinct values of ``col`` as strings with their place 0..n-1 in sorted order."""
+    values = df.select(F.col(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    ranked = running_totals(values.withColumn("one", F.lit(1)), "_v", ["one"])
+    return ranked.select("_v", (F.col("cum_one") - 1).cast("int").alias("_code"))

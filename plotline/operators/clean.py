@@ -7,7 +7,6 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.config import ADAPTER_AS_OF
 from plotline.functions import columns as X
 from plotline.sources.listings import RAW_COLUMNS, LISTING_SCHEMA
 
@@ -26,7 +25,7 @@ def listing_id(cols=RAW_COLUMNS, schema=LISTING_SCHEMA) -> Column:
     return F.md5(F.concat_ws("\u0001", *parts))
 
 
-def clean_columns(as_of: _dt.date = ADAPTER_AS_OF) -> dict[str, Column]:
+def clean_columns(as_of: _dt.date) -> dict[str, Column]:
     """P-17..P-19: text, zip and date cleaning."""
     return {
         "status": X.clean_lower("status"),
@@ -37,12 +36,14 @@ def clean_columns(as_of: _dt.date = ADAPTER_AS_OF) -> dict[str, Column]:
     }
 
 
-def bronze(raw: DataFrame, as_of: _dt.date = ADAPTER_AS_OF, source_file: str | None = None,
+def bronze(raw: DataFrame, as_of: _dt.date, source_file: str | None = None,
            data_source: str = DATA_SOURCE, lineage: bool = True, with_id: bool = True) -> DataFrame:
     """C-1: cleaned raw listings.
 
     ``lineage`` adds ingested_at, source_file (the scan's file path when not
-    given) and data_source; ``with_id`` adds listing_id.
+    given) and data_source; ``with_id`` adds listing_id, a content hash that
+    equal raw rows share (so never join on it; carry columns along instead).
+    A sale after ``as_of`` (the run's date) is null.
     """
     df = raw
     if with_id:

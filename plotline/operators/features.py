@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plotline import config as C
 from plotline.functions.columns import address_key_keep_null, address_key_skip_null, flag, guarded_ratio
-from plotline.functions.dims import broadcast_if_bounded
 
 ZIP_CONTEXT = {
     "zip_median_price": "median_sold_price",
@@ -43,9 +42,9 @@ def join_context(df: DataFrame, ctx: DataFrame, keys: Sequence[str] = CONTEXT_KE
     The default keys are (state, zip_code), the grain of the snapshot, so a
     listing matches at most one context row. Pass keys=("zip_code",) for the
     zip-only join (a zip present in two states then matches twice). The
-    context has one row per (state, zip), so it is broadcast after a size check.
+    planner broadcasts the context if its measured size allows.
     """
-    return df.join(broadcast_if_bounded(ctx), list(keys), "left")
+    return df.join(ctx, list(keys), "left")
 
 
 def indicator_columns() -> dict[str, Column]:
@@ -171,12 +170,9 @@ def flag_relisted(df: DataFrame, relisted: DataFrame, cols: Sequence[str] = ("st
     """J-9: 1 when the keep-null address of the row is in the relisted set.
 
     The relisted set is distinct, so the left join never multiplies rows;
-    it is broadcast only below the size limit, otherwise shuffled (AQE
-    splits a skewed address partition)."""
-    from plotline.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    # computed once: the size check and the join both read the checkpoint
-    r = broadcast_if_bounded(relisted.select(F.col("a").alias("_addr"), F.lit(1).alias(out)).checkpoint(eager=True))
+    AQE broadcasts it if it is small and splits a skewed address partition
+    otherwise."""
+    r = relisted.select(F.col("a").alias("_addr"), F.lit(1).alias(out))
     keyed = df.withColumn("_addr", address_key_keep_null(*cols))
     return keyed.join(r, "_addr", "left").withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_addr")
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline import config as C
-from plotline.config import ADAPTER_AS_OF
 from plotline.functions.dims import forecast_rate_dim, join_literal_dim
 
 BASELINE_KEYS = ["state", "property_type", "state_tier"]
@@ -18,11 +17,10 @@ def baseline_medians(active: DataFrame, min_count: int = C.FORECAST_MIN_GROUP) -
     """G-4 + P-11 + P-14: exact (interpolated) median price per segment with at
     least ``min_count`` priced listings.
 
-    Segments are few and large, so the median is computed by distributed
-    bracketing (``exact_group_medians``) instead of an aggregate that would
-    hold all of a segment's prices in one task."""
-    from plotline.functions.running import exact_group_medians
-    med = exact_group_medians(active.na.drop(subset=["price", "property_type", "state"]), BASELINE_KEYS, "price")
+    The median is taken over (price, count) rows per segment, so equal
+    prices are one row."""
+    from plotline.functions.running import group_medians
+    med = group_medians(active.na.drop(subset=["price", "property_type", "state"]), BASELINE_KEYS, "price")
     return (med.select(*BASELINE_KEYS, F.col("median").alias("median_price"), F.col("n").alias("count"))
             .filter(F.col("count") >= min_count))
 
@@ -36,15 +34,16 @@ def forecast_baseline(baseline: DataFrame, rates: dict | None = None,
     return df.withColumn("annual_rate", F.coalesce(F.col("annual_rate"), F.lit(default_rate)))
 
 
-def forecast_path(seg: DataFrame, horizon: int | str = C.FORECAST_HORIZON, as_of: _dt.date = ADAPTER_AS_OF,
+def forecast_path(seg: DataFrame, horizon: int | str, as_of: _dt.date,
                   pct: float = C.INTERVAL_PCT, keep: tuple[str, ...] = ()) -> DataFrame:
     """F-2: one row per segment and month k = 1..horizon.
 
     ``horizon`` is a constant or the name of a per-row column. Month k is the
     first day of the as_of month plus k months; the price grows at the
-    monthly rate (1 + r)^(1/12) - 1 compounded k times, with a +-pct band."""
-    h = F.lit(horizon) if isinstance(horizon, int) else F.col(horizon).cast("int")
-    df = seg.withColumn("k", F.explode(F.sequence(F.lit(1), h)))
+    monthly rate (1 + r)^(1/12) - 1 compounded k times, with a +-pct band.
+    A horizon below 1 (or null) gives no month."""
+    h = F.lit(horizon) if isinstance(horizon, int) else F.col(horizon).try_cast("int")
+    df = seg.filter(h >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), h)))
     monthly = F.pow(1 + F.col("annual_rate"), F.lit(1.0 / 12)) - 1
     price = F.col("median_price") * F.pow(1 + monthly, F.col("k"))
     return df.select(
@@ -58,20 +57,15 @@ def forecast_path(seg: DataFrame, horizon: int | str = C.FORECAST_HORIZON, as_of
     )
 
 
-def price_forecasts(active: DataFrame, horizon: int = C.FORECAST_HORIZON, as_of: _dt.date = ADAPTER_AS_OF,
-                    rates: dict | None = None) -> DataFrame:
+def price_forecasts(active: DataFrame, as_of: _dt.date, horizon: int = C.FORECAST_HORIZON, rates: dict | None = None) -> DataFrame:
     """F-3: every segment with >= 3 listings projected ``horizon`` months."""
     return forecast_path(forecast_baseline(baseline_medians(active), rates), horizon, as_of)
 
 
-def forecast_requests(requests: DataFrame, baseline: DataFrame, as_of: _dt.date = ADAPTER_AS_OF) -> DataFrame:
+def forecast_requests(requests: DataFrame, baseline: DataFrame, as_of: _dt.date) -> DataFrame:
     """Forecast for (state, property_type, horizon) request rows; unknown
-    segments give no rows (inner join), horizon defaults to 12. The baseline
-    has one row per (state, property type), so it is broadcast after a row
-    count check."""
+    segments give no rows (inner join), horizon defaults to 12."""
     seg = forecast_baseline(baseline).drop("state_tier", "count")
-    req = requests.withColumn("horizon", F.coalesce(F.col("horizon").cast("int"), F.lit(C.FORECAST_HORIZON)))
+    req = requests.withColumn("horizon", F.coalesce(F.col("horizon").try_cast("int"), F.lit(C.FORECAST_HORIZON)))
     keep = tuple(c for c in requests.columns if c not in ("state", "property_type", "horizon"))
-    from plotline.functions.dims import broadcast_if_bounded
-    return forecast_path(req.join(broadcast_if_bounded(seg), ["state", "property_type"], "inner"), "horizon",
-                         as_of, keep=keep)
+    return forecast_path(req.join(seg, ["state", "property_type"], "inner"), "horizon", as_of, keep=keep)

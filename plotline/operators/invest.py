@@ -94,17 +94,25 @@ def investment_summary(df: DataFrame, price: str = "price", rent: str = "rent",
     return df
 
 
-def dscr_by_year(year: int, hold: Hold = Hold()) -> Column:
-    """F-11 dscr(y) for any year (needs the summary's intermediate columns)."""
-    return F.when(F.col("monthly_payment") > 0, noi(F.lit(year), hold) / (F.col("monthly_payment") * 12))
-
-
 def rent_fallback(est_rent: str = "est_monthly_rent", price: str = "price", gross_yield: str = "gross_yield") -> Column:
     """F-17: the estimated rent when positive, else price x yield / 12."""
     e = F.col(est_rent)
     return F.when(e.isNotNull() & (e > 0), e).otherwise(F.col(price) * F.col(gross_yield) / 12)
 
 
+def with_rent_table(est: DataFrame, path: str, est_rent: str = "est_monthly_rent",
+                    keys: tuple[str, ...] = tuple(C.ADDRESS_KEYS)) -> DataFrame:
+    """S-10 + J-7: the median rent of the address (or of other ``keys``; with
+    listing_id a listing's own rent) from the table at ``path``; a null rent
+    when there is no such table."""
+    from plotline.functions.joins import left_join_null_safe, one_per_key
+    from plotline.operators.quality import _exists
+    if not _exists(est.sparkSession, path):
+        return est.withColumn(est_rent, F.lit(None).cast("double"))
+    rent = one_per_key(est.sparkSession.read.parquet(path), keys, {est_rent: F.percentile_approx(est_rent, 0.5)})
+    return left_join_null_safe(est, rent, keys)
+
+
 def with_state_yield(df: DataFrame, mapping: dict | None = None) -> DataFrame:
     """J-10: state -> gross yield through the literal dim, default applied."""
     from plotline.functions.dims import yield_dim

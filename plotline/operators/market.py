@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline import config as C
-from plotline.config import ADAPTER_AS_OF
-from plotline.functions.columns import exact_avg
+from plotline.functions.columns import exact_avg, guarded_ratio
 from plotline.functions.dims import join_literal_dim, yield_dim
 from plotline.operators.silver import is_active, is_sold
 
@@ -67,17 +66,15 @@ def market_segments(listings: DataFrame) -> DataFrame:
                           F.when(F.col("_active") > 0, F.col("_active"))).drop("_active")
 
 
-def market_ratios(seg: DataFrame, as_of: _dt.date = ADAPTER_AS_OF, yields: dict | None = None) -> DataFrame:
+def market_ratios(seg: DataFrame, as_of: _dt.date, yields: dict | None = None) -> DataFrame:
     """J-4 + P-35..P-37: yield default, rent, price-to-rent, months of supply."""
     df = join_literal_dim(seg, yield_dim(seg.sparkSession, yields), "state", "left")
     rent = (F.col("median_sold_price") * F.col("gross_yield") / 12).cast("double")
     df = df.withColumn("gross_yield", F.coalesce(F.col("gross_yield"), F.lit(C.DEFAULT_GROSS_YIELD)))
     df = df.withColumn("estimated_monthly_rent", rent)
     return df.withColumns({
-        "price_to_rent_ratio": F.when(F.col("estimated_monthly_rent") > 0,
-                                      F.col("median_sold_price") / (F.col("estimated_monthly_rent") * 12)).cast("double"),
-        "months_of_supply": F.when(F.col("sold_count") > 0,
-                                   F.col("active_listing_count") / (F.col("sold_count") / 12.0)).cast("double"),
+        "price_to_rent_ratio": guarded_ratio("median_sold_price", F.col("estimated_monthly_rent") * 12),
+        "months_of_supply": guarded_ratio("active_listing_count", F.col("sold_count") / 12.0),
         "snapshot_date": F.lit(as_of),
     })
 
@@ -90,6 +87,6 @@ MARKET_COLUMNS = [
 ]
 
 
-def market_snapshot(listings: DataFrame, as_of: _dt.date = ADAPTER_AS_OF, yields: dict | None = None) -> DataFrame:
+def market_snapshot(listings: DataFrame, as_of: _dt.date, yields: dict | None = None) -> DataFrame:
     """G-3: the market snapshot table from the silver listings."""
     return market_ratios(market_segments(listings), as_of, yields).select(*MARKET_COLUMNS)

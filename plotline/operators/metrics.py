@@ -30,8 +30,9 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score (a partial aggregate)."""
-    return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    """Positives and negatives per distinct score (a partial aggregate);
+    a null or NaN score cannot be ranked and takes no part."""
+    return (df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
             .groupBy(F.col(score).cast("double").alias("score"))
             .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
                  F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg")))

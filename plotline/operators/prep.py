@@ -4,22 +4,22 @@ fold maps) are computed eagerly; the transforms stay lazy column expressions."""
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.functions.dims import literal_table
-
-from plotline.functions.running import exact_medians
+from plotline.functions.running import column_medians, distinct_ranks
 
 
 # ---------------------------------------------------------------- imputation
 def fit_median_fill(df: DataFrame, numeric: Sequence[str]) -> dict[str, float | None]:
     """G-6: exact (interpolated) median of each numeric column; a column that
     is entirely null has median None."""
-    return exact_medians(df, list(numeric))
+    return column_medians(df, list(numeric))
 
 
 def impute(df: DataFrame, numeric: Sequence[str] = (), binary: Sequence[str] = (),
@@ -73,21 +73,15 @@ def standard_scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> Dat
 
 
 # ------------------------------------------------------------------ encoding
-def fit_vocabulary(df: DataFrame, col: str, max_size: int = 200_000) -> DataFrame:
-    """M-4: sorted distinct values -> code 0..n-1 (bounded vocabulary; the
-    window runs over the distinct values only)."""
-    vocab = df.select(F.col(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    n = vocab.limit(max_size + 1).count()
-    if n > max_size:
-        raise ValueError(f"vocabulary of {col} exceeds {max_size} values")
-    w = Window.orderBy("_v")
-    return vocab.select("_v", (F.row_number().over(w) - 1).alias("_code"))
+def fit_vocabulary(df: DataFrame, col: str) -> DataFrame:
+    """M-4: sorted distinct values -> code 0..n-1."""
+    return distinct_ranks(df, col)
 
 
 def ordinal_encode(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:
-    """Map through the (broadcast, bounded) vocabulary; unseen values -> -1."""
+    """Map through the vocabulary (the planner broadcasts it if it is small); unseen values -> -1."""
     out = out or f"{col}_code"
-    j = df.join(F.broadcast(vocab), F.col(col).cast("string") == F.col("_v"), "left")
+    j = df.join(vocab, F.col(col).cast("string") == F.col("_v"), "left")
     return j.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1))).drop("_v", "_code")
 
 
@@ -99,100 +93,62 @@ def split_hash(key: Column, seed: int) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label: str | None = None,
-                out: str = "is_test", bucket_hex: int = 4, max_rank_rows: int = 1_000_000,
-                max_labels: int = 10_000) -> DataFrame:
+                out: str = "is_test", bucket_hex: int = 4) -> DataFrame:
     """M-6 / M-7: mark exactly ceil(test_size * n) rows (per label value when
     ``label`` is given) as test, taking the first rows in md5(key, seed) order.
 
-    Rows are bucketed by a hex prefix of the hash. Per label, the bucket
-    counts (bounded by 16^bucket_hex) locate the bucket where the cut falls;
-    while that bucket holds more than ``max_rank_rows`` rows it is refined by
-    ``bucket_hex`` more digits (counting only its own rows). Rows before the
-    final bucket are test, rows after it train, and only the final bucket is
-    ranked by a window. (Rows with the same key share a hash and cannot be
-    told apart; they land in one bucket.)
+    Rows are counted per label and hash prefix (16^bucket_hex prefixes); the
+    running sum over a label's prefixes finds the prefix where the cut falls.
+    Rows before it are test, rows after it train, and only that prefix's rows
+    are ranked by a window. Counts, cuts and ranks stay in tables. (Rows with
+    the same key share a hash and land in one prefix.)
     """
     lab = F.col(label) if label else F.lit(0)
-    d = df.withColumns({"_h": split_hash(F.col(key), seed), "_lab": lab})
-    lab_type = d.schema["_lab"].dataType.simpleString()
-    # per label: [prefix, rows still needed inside the prefix, rows in the prefix]
-    state: dict = {}
-    level = bucket_hex
-    counts = d.groupBy("_lab", F.substring("_h", 1, level).alias("_p")).count().collect()
-    pending = {}
-    for r in counts:
-        pending.setdefault(r["_lab"], []).append((r["_p"], r["count"]))
-    if len(pending) > max_labels:
-        raise ValueError(f"{len(pending)} label values exceed {max_labels}")
-    for lab_v, lst in pending.items():
-        n = sum(c for _, c in lst)
-        state[lab_v] = _crossing(sorted(lst), math.ceil(test_size * n))
-    while level < 32 and any(v[0] is not None and v[2] > max_rank_rows for v in state.values()):
-        refine = {k: v for k, v in state.items() if v[0] is not None and v[2] > max_rank_rows}
-        cond = None
-        for lab_v, (pref, _, _) in refine.items():
-            c = (F.col("_lab") == F.lit(lab_v)) & (F.substring("_h", 1, len(pref)) == F.lit(pref))
-            cond = c if cond is None else cond | c
-        level = min(32, level + bucket_hex)
-        sub = d.filter(cond).groupBy("_lab", F.substring("_h", 1, level).alias("_p")).count().collect()
-        grouped: dict = {}
-        for r in sub:
-            grouped.setdefault(r["_lab"], []).append((r["_p"], r["count"]))
-        for lab_v, lst in grouped.items():
-            state[lab_v] = _crossing(sorted(lst), refine[lab_v][1])
-    rows = [(k, v[0], v[1]) for k, v in state.items()]
-    cuts = literal_table(df.sparkSession, rows, f"_lab {lab_type}, _cut string, _rem long")
-    d = d.join(F.broadcast(cuts), "_lab", "left")
-    pre = F.expr("substring(_h, 1, length(_cut))")
-    in_cut = F.coalesce(pre == F.col("_cut"), F.lit(False))
+    d = df.withColumns({"_h": split_hash(F.col(key), seed), "_lab": lab}).withColumn("_p", F.substring("_h", 1, bucket_hex))
+    counts = d.groupBy("_lab", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    in_label = Window.partitionBy("_lab")
+    upto = F.sum("_n").over(in_label.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = (counts.select("_lab", "_p", "_n", upto.alias("_upto"), F.ceil(F.lit(test_size) * F.sum("_n").over(in_label)).alias("_need"))
+            .filter((F.col("_need") > 0) & (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+            .select(F.col("_lab").alias("_l"), F.col("_p").alias("_cut"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_rem")))
+    d = d.join(cuts, F.col("_lab").eqNullSafe(F.col("_l")), "left")
+    in_cut = F.coalesce(F.col("_p") == F.col("_cut"), F.lit(False))
     w = Window.partitionBy("_lab").orderBy("_h", key)
-    # rank only the final bucket; union (not join) it back, so repeated keys never multiply
+    # rank only the cut's rows; union (not join) them back, so repeated keys never multiply
     ranked = d.filter(in_cut).withColumn("_in", F.row_number().over(w) <= F.col("_rem"))
-    rest = d.filter(~in_cut).withColumn("_in", F.lit(None).cast("boolean"))
-    d = ranked.unionByName(rest)
-    test = (F.when(F.col("_cut").isNull(), F.lit(False))
-            .when(in_cut, F.col("_in"))
-            .otherwise(pre < F.col("_cut")))
-    return d.withColumn(out, test.cast("int")).drop("_h", "_lab", "_cut", "_rem", "_in")
-
-
-def _crossing(buckets: list[tuple[str, int]], need: int) -> tuple[str | None, int, int]:
-    """(prefix of the bucket holding rank ``need``, ranks still needed in it,
-    its row count); prefix None when nothing is needed (need <= 0)."""
-    if need <= 0:
-        return None, 0, 0
-    acc = 0
-    for p, c in buckets:
-        if acc + c >= need:
-            return p, need - acc, c
-        acc += c
-    return None, 0, 0
+    rest = d.filter(~in_cut).withColumn("_in", F.coalesce(F.col("_p") < F.col("_cut"), F.lit(False)))
+    return ranked.unionByName(rest).withColumn(out, F.col("_in").cast("int")) \
+        .drop("_h", "_lab", "_l", "_p", "_cut", "_rem", "_in")
 
 
 # --------------------------------------------------------------- group folds
-def group_kfold_map(df: DataFrame, group: str, n_folds: int = 3, max_groups: int = 100_000) -> DataFrame:
+def group_kfold_map(df: DataFrame, group: str, n_folds: int = 3) -> DataFrame:
     """M-8: assign whole groups to folds, largest group first to the fold
     with the fewest rows (ties: lower fold); no group is split.
 
-    Only the per-group counts (bounded by ``max_groups``) reach the driver;
-    the result is a (group, fold) table to broadcast-join."""
-    counts = df.groupBy(group).count().collect()
-    if len(counts) > max_groups:
-        raise ValueError(f"{len(counts)} groups exceed {max_groups}")
-    if len(counts) < n_folds:
-        raise ValueError(f"{len(counts)} groups cannot make {n_folds} folds")
-    counts.sort(key=lambda r: (-r["count"], str(r[group])))
-    load = [0] * n_folds
-    rows = []
-    for r in counts:
-        f = min(range(n_folds), key=lambda i: (load[i], i))
-        load[f] += r["count"]
-        rows.append((r[group], f))
+    The rule is sequential, so one task streams over one row per group and
+    holds the fold loads only; the (group, fold) map stays a table."""
     gtype = df.schema[group].dataType.simpleString()
-    return literal_table(df.sparkSession, rows, f"{group} {gtype}, fold int")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load, seen = [(0, i) for i in range(n_folds)], 0
+        for pdf in batches:
+            folds = []
+            for n in pdf["_n"]:
+                rows, i = heapq.heappop(load)
+                heapq.heappush(load, (rows + int(n), i))
+                folds.append(i)
+            seen += len(folds)
+            yield pd.DataFrame({group: pdf[group], "fold": pd.Series(folds, dtype="int32")})
+        if seen < n_folds:
+            raise ValueError(f"{seen} groups cannot make {n_folds} folds")
+
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = counts.repartition(1).sortWithinPartitions(F.desc("_n"), F.col(group).cast("string"))
+    return ordered.mapInPandas(assign, f"{group} {gtype}, fold int")
 
 
 def with_folds(df: DataFrame, group: str, n_folds: int = 3, default_group: str = "unknown") -> DataFrame:
     """M-8 + M-9: fold column by group (a missing group is ``default_group``)."""
     g = df.withColumn(group, F.coalesce(F.col(group), F.lit(default_group)))
-    return g.join(F.broadcast(group_kfold_map(g, group, n_folds)), group, "left")
+    return g.join(group_kfold_map(g, group, n_folds), group, "left")

@@ -34,6 +34,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def write_by(df: DataFrame, path: str, key: str) -> None:
+    """S-8: overwrite a table partitioned by ``key``. Rows are placed by the
+    key first, so files follow the data's size and not the number of tasks;
+    adaptive execution splits a large key and merges small ones."""
+    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
 def write_if_not_empty(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> bool:
     """S-12: write only when the output has rows (``isEmpty`` reads one row)."""
     if df.isEmpty():

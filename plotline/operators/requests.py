@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotline import config as C
-from plotline.config import ADAPTER_AS_OF
+from plotline.session import written
 
 REQUEST_SCHEMA = T.StructType([T.StructField("model_type", T.StringType(), True),
                                T.StructField("payload", T.StringType(), True)])
@@ -32,15 +32,14 @@ def check_schema(requests: DataFrame, contract: T.StructType = REQUEST_SCHEMA) -
     return requests
 
 
-def json_string(c: Column) -> Column:
-    """A JSON string literal of ``c`` (quotes and backslashes escaped)."""
-    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+def error_object(msg: Column) -> Column:
+    """K-3: {"error": "..."}, escaped as JSON, spaced as the notebook writes it."""
+    return F.regexp_replace(F.to_json(F.struct(msg.alias("error"))), r'^\{"error":', '{"error": ')
 
 
-def error_object(msg: Column) -> Column:
-    """K-3: {"error": "..."} as the notebook's json.dumps writes it."""
-    return F.concat(F.lit('{"error": '), json_string(msg), F.lit("}"))
+def trimmed_type(mtype: str = "model_type") -> Column:
+    """The model type without white space around it; a null type reads "None"."""
+    return F.regexp_replace(F.coalesce(F.col(mtype), F.lit("None")), r"(?U)^\s+|\s+$", "")
 
 
 def unknown_type_error(mtype: Column) -> Column:
@@ -53,67 +52,87 @@ def parse_payload(requests: DataFrame) -> DataFrame:
     JSON array of objects; a single object is read as a one-record array)."""
     p = F.trim(F.col("payload"))
     as_array = F.when(p.startswith("{"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(p)
-    return requests.withColumns({"mtype": F.trim(F.col("model_type")),
-                                 "records": F.from_json(as_array, RECORDS)})
+    return requests.withColumns({"mtype": trimmed_type(), "records": F.from_json(as_array, RECORDS)})
 
 
-def explode_records(parsed: DataFrame, numeric=(), binary=(), categorical=(), unknown: str = "unknown") -> DataFrame:
-    """One row per record with typed, defaulted fields (non-numeric -> 0)."""
-    rec = parsed.select("request_id", F.posexplode("records").alias("pos", "r"))
+def explode_records(parsed: DataFrame, numeric=(), binary=(), categorical=(), unknown: str = "unknown",
+                    keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """One row per record with typed, defaulted fields (a value that is no number, or no int for a flag, -> 0)."""
+    rec = parsed.select(*keys, F.posexplode("records").alias("pos", "r"))
     cols = {c: F.coalesce(F.col("r")[c].try_cast("double"), F.lit(0.0)) for c in numeric}
-    cols.update({c: F.coalesce(F.col("r")[c].try_cast("double").cast("int"), F.lit(0)) for c in binary})
+    cols.update({c: F.coalesce(F.col("r")[c].try_cast("double").try_cast("int"), F.lit(0)) for c in binary})
     cols.update({c: F.coalesce(F.col("r")[c], F.lit(unknown)) for c in categorical})
     return rec.withColumns(cols)
 
 
-def gather(rows: DataFrame, fields: list[str], order: list[str] = ("pos",)) -> DataFrame:
-    """K-4: per request, the records as a JSON array in record order (nulls kept)."""
-    s = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f) for f in fields])
-    arr = F.array_sort(F.collect_list(s))
+_ROW = ("_row", "request_id", "model_type")
+
+
+def _answers(rows: DataFrame, fields: list[str], order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """One struct per answered record: its place and its fields."""
+    return rows.select(*_ROW, F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                                       *[F.col(f) for f in fields]).alias("answer"))
+
+
+def gather(answers: DataFrame, asked: DataFrame, fields: list[str]) -> DataFrame:
+    """K-4: per request, the records as a JSON array in record order (nulls
+    kept); an asked request without a record answers []. A request is told
+    by its row, so requests with equal ids keep their own records."""
+    none = asked.select(*_ROW, F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"))
+    arr = F.array_sort(F.collect_list("answer"))  # skips the null of ``none``
     keep = F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return rows.groupBy("request_id").agg(F.to_json(keep, {"ignoreNullFields": "false"}).alias("result"))
+    return answers.unionByName(none).groupBy(*_ROW).agg(F.to_json(keep, {"ignoreNullFields": "false"}).alias("result"))
 
 
-def route(requests: DataFrame, valuation=None, lead=None, baseline: DataFrame | None = None,
-          as_of: _dt.date = ADAPTER_AS_OF) -> DataFrame:
+def route(requests: DataFrame, as_of: _dt.date, valuation=None, lead=None, baseline: DataFrame | None = None) -> DataFrame:
     """K-2: route every request to its model; returns request_id, model_type,
-    result. ``requests`` needs request_id, model_type, payload."""
+    result. ``requests`` needs request_id, model_type, payload; ids may repeat.
+
+    The parsed batch is written once. Each answered branch gathers its records
+    by request row and the errors are appended, so no payload is joined back.
+    """
     from plotline.operators.forecast import forecast_requests
     check_schema(requests.select("model_type", "payload"))
-    parsed = parse_payload(requests)
-    ok = parsed.filter(F.col("records").isNotNull())
-    outs = []
+    parsed = written(parse_payload(requests.select("request_id", "model_type", "payload"))
+                     .withColumn("_row", F.monotonically_increasing_id()).drop("payload"), "requests")
+    known = [t for t, m in zip(C.REQUEST_MODEL_TYPES, (valuation, lead, baseline)) if m is not None]
+    wrong = (F.when(~F.col("mtype").isin(*C.REQUEST_MODEL_TYPES), unknown_type_error(F.col("mtype")))
+             .when(F.col("records").isNull(), error_object(F.lit("payload is not a JSON array of records")))
+             .when(~F.col("mtype").isin(*known), error_object(F.concat(F.lit("model unavailable: "), F.col("mtype")))))
+    judged = parsed.withColumn("wrong", wrong)
+    out = judged.filter(F.col("wrong").isNotNull()).select(*_ROW, F.col("wrong").alias("result"))
+    ok = judged.filter(F.col("wrong").isNull())
     if valuation is not None:
-        avm = explode_records(ok.filter(F.col("mtype") == "avm"), C.AVM_NUMERIC, C.AVM_BINARY, C.AVM_CATEGORICAL)
+        asked = ok.filter(F.col("mtype") == "avm")
+        avm = explode_records(asked, C.AVM_NUMERIC, C.AVM_BINARY, C.AVM_CATEGORICAL, keys=_ROW)
         scored = valuation.predict(avm, fill="zero").select(
-            "request_id", "pos", F.col("avm_estimate").alias("estimate"), F.col("avm_low").alias("low"),
+            *_ROW, "pos", F.col("avm_estimate").alias("estimate"), F.col("avm_low").alias("low"),
             F.col("avm_high").alias("high"))
-        outs.append(gather(scored, ["estimate", "low", "high"]))
+        fields = ["estimate", "low", "high"]
+        out = out.unionByName(gather(_answers(scored, fields), asked, fields))
     if lead is not None:
-        ld = explode_records(ok.filter(F.col("mtype") == "lead_scoring"), C.LEAD_NUMERIC, C.LEAD_BINARY, C.LEAD_CAT)
-        outs.append(gather(lead.predict(ld, fill="zero").select("request_id", "pos", "lead_score"), ["lead_score"]))
+        asked = ok.filter(F.col("mtype") == "lead_scoring")
+        ld = explode_records(asked, C.LEAD_NUMERIC, C.LEAD_BINARY, C.LEAD_CAT, keys=_ROW)
+        out = out.unionByName(gather(_answers(lead.predict(ld, fill="zero"), ["lead_score"]), asked, ["lead_score"]))
     if baseline is not None:
-        fc = ok.filter(F.col("mtype") == "price_forecast").select(
-            "request_id", F.posexplode("records").alias("pos", "r"))
-        fc = fc.select("request_id", "pos", F.col("r")["state"].alias("state"),
+        asked = ok.filter(F.col("mtype") == "price_forecast")
+        fc = asked.select(*_ROW, F.posexplode("records").alias("pos", "r"))
+        fc = fc.select(*_ROW, "pos", F.col("r")["state"].alias("state"),
                        F.col("r")["property_type"].alias("property_type"),
-                       F.col("r")["horizon"].try_cast("double").cast("int").alias("horizon"))
+                       F.col("r")["horizon"].try_cast("double").try_cast("int").alias("horizon"))
         path = forecast_requests(fc, baseline, as_of).withColumn(
             "forecast_month", F.date_format(F.col("forecast_month").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"))
         fields = ["forecast_month", "forecast_price", "forecast_price_low", "forecast_price_high", "state",
                   "property_type", "last_actual"]
-        outs.append(gather(path, fields, ["pos", "forecast_month"]))
-    known = [t for t, m in zip(C.REQUEST_MODEL_TYPES, (valuation, lead, baseline)) if m is not None]
-    res = None
-    for o in outs:
-        res = o if res is None else res.unionByName(o)
-    base = parsed.select("request_id", "model_type", "mtype", "records")
-    out = base.join(res, "request_id", "left") if res is not None else base.withColumn("result", F.lit(None))
-    result = (F.when(~F.col("mtype").isin(*C.REQUEST_MODEL_TYPES), unknown_type_error(F.col("mtype")))
-              .when(F.col("records").isNull(), error_object(F.lit("payload is not a JSON array of records")))
-              .when(~F.col("mtype").isin(*known), error_object(F.concat(F.lit("model unavailable: "), F.col("mtype"))))
-              .otherwise(F.coalesce(F.col("result"), F.lit("[]"))))
-    return out.select("request_id", "model_type", result.alias("result"))
+        out = out.unionByName(gather(_answers(path, fields, ("pos", "forecast_month")), asked, fields))
+    return check_answers(out.select("request_id", "model_type", "result"))
+
+
+def check_answers(answers: DataFrame) -> DataFrame:
+    """K-9, output side: one text column ``result``."""
+    if answers.schema["result"].dataType != T.StringType():
+        raise ValueError("result must be a string")
+    return answers
 
 
 def canonical_payload(payload: Column) -> Column:
@@ -125,33 +144,31 @@ def canonical_payload(payload: Column) -> Column:
 def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K-5: identical requests (same trimmed type and canonical payload) are
     answered once. Returns (unique requests to route, request_id -> key map).
-    Unparsable payloads keep their raw text as key."""
-    keyed = requests.withColumn(
-        "_key", F.concat_ws("\u0001", F.trim(F.col("model_type")),
-                            F.coalesce(canonical_payload(F.col("payload")), F.col("payload"))))
+    Unparsable payloads keep their raw text as key; a null payload is one too."""
+    keyed = requests.withColumn("_key", F.md5(F.concat_ws(
+        "\u0001", trimmed_type(), F.coalesce(canonical_payload(F.col("payload")), F.col("payload"), F.lit("\u0000")))))
     unique = (keyed.groupBy("_key").agg(F.min("request_id").alias("request_id"),
-                                        F.first("model_type").alias("model_type"),
-                                        F.first("payload").alias("payload")))
-    return unique, keyed.select("request_id", "_key")
+                                        F.min("model_type").alias("model_type"),
+                                        F.min("payload").alias("payload")))
+    return unique, keyed.select("request_id", "model_type", "_key")
 
 
-def route_deduplicated(requests: DataFrame, **models) -> DataFrame:
-    """K-5 + K-2: route the unique requests, then answer every request."""
+def route_deduplicated(requests: DataFrame, as_of: _dt.date, **models) -> DataFrame:
+    """K-5 + K-2: route the unique requests (told by their key), then answer every request."""
     unique, keys = dedupe_requests(requests)
-    routed = route(unique, **models).select(F.col("request_id").alias("_rid"), "result")
-    first = unique.select("_key", F.col("request_id").alias("_rid"))
-    return (keys.join(first, "_key").join(routed, "_rid")
-            .join(requests.select("request_id", "model_type"), "request_id")
-            .select("request_id", "model_type", "result"))
+    routed = route(unique.select(F.col("_key").alias("request_id"), "model_type", "payload"), as_of, **models)
+    return keys.join(routed.select(F.col("request_id").alias("_key"), "result"), "_key").select("request_id", "model_type", "result")
 
 
 def unpack_responses(responses: DataFrame) -> DataFrame:
-    """K-6: result text -> one row per returned record, or the error text."""
+    """K-6: result text -> one row per returned record, or the error text. An
+    error is an object with ``error``, alone or as the first of a list."""
     r = F.trim(F.col("result"))
     is_obj = r.startswith("{")
-    err = F.when(is_obj, F.from_json(r, "map<string,string>")["error"])
-    recs = F.when(~is_obj, F.from_json(r, RECORDS))
-    return (responses.select("request_id", err.alias("error"), recs.alias("records"))
+    recs = F.from_json(F.when(is_obj, F.concat(F.lit("["), r, F.lit("]"))).otherwise(r), RECORDS)
+    out = responses.select("request_id", recs.alias("records"))
+    err = F.try_element_at(F.col("records"), F.lit(1))["error"]
+    return (out.select("request_id", err.alias("error"), F.when(err.isNull(), F.col("records")).alias("records"))
             .select("request_id", "error", F.posexplode_outer("records").alias("pos", "record")))
 
 

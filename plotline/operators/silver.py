@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import config as C
-from plotline.config import ADAPTER_AS_OF
 from plotline.functions import columns as X
 from plotline.functions.dims import join_literal_dim, tier_dim
 from plotline.sources.census import join_census
@@ -42,7 +41,7 @@ def filter_valid(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------- derived columns
-def derived_columns(as_of: _dt.date = ADAPTER_AS_OF) -> dict[str, Column]:
+def derived_columns(as_of: _dt.date) -> dict[str, Column]:
     """P-20..P-24 and P-27 (lot_to_living_ratio is written on lot_sqft's expression
     so the whole dict can go into one projection)."""
     lot_sqft = (F.col("acre_lot") * C.ACRE_TO_SQFT).cast("double")
@@ -67,7 +66,7 @@ def add_state_tier(df: DataFrame, spark: SparkSession | None = None, mapping: di
     return out.withColumn("state_tier", F.coalesce(F.col("state_tier"), F.lit(C.DEFAULT_TIER)))
 
 
-def silver(bronze_df: DataFrame, census: DataFrame | None = None, as_of: _dt.date = ADAPTER_AS_OF) -> DataFrame:
+def silver(bronze_df: DataFrame, census: DataFrame | None, as_of: _dt.date) -> DataFrame:
     """C-2 listing table (before the quality splits)."""
     df = filter_valid(bronze_df).withColumns(derived_columns(as_of))
     df = add_state_tier(df)

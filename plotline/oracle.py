@@ -292,13 +292,17 @@ def _npv(cfs: str, rate: str) -> str:
             f"lambda a, x: a + x, CAST(0.0 AS DOUBLE))")
 
 
-def _irr(cfs: str, low: float = -0.99, high: float = 10.0, steps: int = 60) -> str:
+def _npv_nested(cfs: str, rate: str) -> str:
+    return (f"list_reduce(list_reverse({cfs}), lambda a, c: a * (1.0 / (1 + ({rate}))) + c, CAST(0.0 AS DOUBLE))")
+
+
+def _irr(cfs: str, low: float = -1 + 1e-9, high: float = 1e6, steps: int = 60) -> str:
     width = high - low
-    s_low = f"sign({_npv(cfs, d(low))})"
+    s_low = f"sign({_npv_nested(cfs, d(low))})"
     mid = f"(lo + {d(width)} / pow(CAST(2.0 AS DOUBLE), CAST(k AS DOUBLE)))"
-    step = f"CASE WHEN sign({_npv(cfs, mid)}) = {s_low} THEN {mid} ELSE lo END"
+    step = f"CASE WHEN sign({_npv_nested(cfs, mid)}) = {s_low} THEN {mid} ELSE lo END"
     root = f"list_reduce(range(1, {steps} + 1), lambda lo, k: {step}, {d(low)})"
-    return (f"CASE WHEN {s_low} * sign({_npv(cfs, d(high))}) < 0 "
+    return (f"CASE WHEN {s_low} * sign({_npv_nested(cfs, d(high))}) < 0 "
             f"THEN {root} + {d(width / 2 ** (steps + 1))} END")
 
 
@@ -386,6 +390,9 @@ RENT_AND_INVEST = [
   SELECT street, city, state, zip_code, max(state_tier) AS state_tier FROM active
   GROUP BY street, city, state, zip_code)""",
     """inv_src AS (
+  SELECT listing_id, street, city, state, zip_code, price AS avm_estimate, est_monthly_rent, state_tier
+  FROM rent_est)""",
+    """inv_join AS (
   SELECT a.listing_id, a.street, a.city, a.state, a.zip_code, a.price AS avm_estimate,
     r.est_monthly_rent, t.state_tier
   FROM active a

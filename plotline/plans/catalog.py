@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plotline import oracle as O
+from plotline.operators.market import MARKET_COLUMNS
 from plotline.plans import common as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +21,6 @@ def register(key: str, sql: str | None):
     return deco
 
 
-MARKET_COLS = ["state", "zip_code", "property_type", "state_tier", "sold_count", "median_sold_price",
-               "median_price_per_sqft", "avg_hold_years", "zip_median_income", "zip_unemployment",
-               "zip_vacancy_rate", "zip_owner_occ_rate", "active_listing_count", "median_list_price",
-               "gross_yield", "estimated_monthly_rent", "price_to_rent_ratio", "months_of_supply", "snapshot_date"]
 _DOUBLE_MARKET = {"median_sold_price", "median_price_per_sqft", "avg_hold_years", "zip_median_income",
                   "zip_unemployment", "zip_vacancy_rate", "zip_owner_occ_rate", "median_list_price", "gross_yield",
                   "estimated_monthly_rent", "price_to_rent_ratio", "months_of_supply"}
@@ -53,7 +50,7 @@ def sel(cols, doubles=None, src: str = "") -> str:
     return ", ".join(f"{O.r(pre + c)} AS {c}" if c in doubles else f"{pre}{c}" for c in cols)
 
 
-@register("market_snapshot", O.with_base(f"SELECT {sel(MARKET_COLS, _DOUBLE_MARKET)} FROM market"))
+@register("market_snapshot", O.with_base(f"SELECT {sel(MARKET_COLUMNS, _DOUBLE_MARKET)} FROM market"))
 def q_market_snapshot(spark, sf):
     """G-3 (flagship): one aggregation over the silver listings, broadcast yield dim."""
     from plotline.config import ADAPTER_AS_OF

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +11,10 @@ from pyspark.sql import types as T
 from plotline.config import ADAPTER_AS_OF
 from plotline.operators.clean import bronze
 from plotline.operators.market import market_snapshot
+from plotline.operators.quality import _exists
 from plotline.operators.silver import active_listings, all_listings, silver, sold_listings  # noqa: F401
 from plotline.sources.census import census_fixture_documents, parse_census
+from plotline.session import scratch_path
 from plotline.sources.listings import adapter_listings
 
 SCALE = 4
@@ -29,20 +33,25 @@ def rounded(df: DataFrame, scale: int = SCALE) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-_LAYERS: dict = {}
+def sf_key(spark: SparkSession, sf: str) -> str:
+    """A name for the input folder and the state of its files."""
+    stamp = ""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/lineitem.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stamp = str(fs.getFileStatus(path).getModificationTime())
+    return hashlib.md5(f"{sf}|{stamp}".encode()).hexdigest()[:12]
 
 
 def layer(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """A shared layer (bronze, silver, market) built once per session and
-    scale directory and checkpointed into spark.checkpoint.dir, so the many
-    queries over it do not recompute the adapter joins (the written copy also
-    survives executor loss, unlike a cache)."""
-    key = (id(spark), sf, name)
-    if key not in _LAYERS:
-        from plotline.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        _LAYERS[key] = build().checkpoint(eager=True)
-    return _LAYERS[key]
+    """A shared layer (bronze, silver, market): written once as Parquet under
+    the shared folder and read back, so queries over it read only the columns
+    and row groups they need and do not recompute what came before. It is
+    keyed by application, folder and the state of the folder's files."""
+    path = scratch_path(spark, f"layers/{sf_key(spark, sf)}/{name}")
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,13 +120,20 @@ def rent_estimates_df(spark, sf):
 
 
 def invest_source_df(spark, sf):
-    """J-7 + J-8: active listings (estimate = list price) with the rent
-    estimate and the tier of their address, both collapsed to one row per
-    address first, then left-joined null-safe (no fan-out)."""
+    """Active listings (estimate = list price) with the rent estimate and tier
+    of the same row: both come from one table, so no join is needed."""
+    from plotline.config import ADDRESS_KEYS
+    return rent_estimates_df(spark, sf).select("listing_id", *ADDRESS_KEYS, F.col("price").alias("avm_estimate"),
+                                               "est_monthly_rent", "state_tier")
+
+
+def invest_join_df(spark, sf):
+    """J-7 + J-8 for estimates, rents and listings that are separate tables:
+    the rent and the tier of an address, both collapsed to one row per address
+    first, then left-joined null-safe (no fan-out)."""
     from plotline.config import ADDRESS_KEYS
     from plotline.functions.joins import left_join_null_safe, one_per_key
-    s = silver_df(spark, sf)
-    active = active_listings(s)
+    active = active_df(spark, sf)
     rent = one_per_key(rent_estimates_df(spark, sf), ADDRESS_KEYS,
                        {"est_monthly_rent": F.percentile_approx("est_monthly_rent", 0.5)})
     tier = one_per_key(active, ADDRESS_KEYS, {"state_tier": F.max("state_tier")})

@@ -9,26 +9,33 @@ scoring is ``transform`` (no collect). Only fitted parameters reach the driver.
 from __future__ import annotations
 
 import datetime as _dt
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import config as C
 from plotline.functions.columns import score_tier
 from plotline.operators import metrics as M
 from plotline.operators import prep as PR
+from plotline.session import written
+
+_FITS_AT_ONCE = 4  # fits whose jobs share the cluster
 
 
 @dataclass
 class TreeParams:
-    """E-11: boosted-tree settings (the notebook's: 500 trees, rate .05,
-    depth 6, row subsample .8, feature subsample .7, early stopping)."""
+    """E-11: boosted-tree settings (the notebook's: at most 500 trees, rate
+    .05, depth 6, row subsample .8, feature subsample .7). Early stopping
+    decides how many trees are kept: a fit ends when a tree improves the
+    validation error by less than ``validation_tol`` of it."""
 
     max_iter: int = 500
     step_size: float = 0.05
@@ -74,9 +81,21 @@ class Prep:
         self.medians = PR.fit_median_fill(df, self.numeric)
         filled = PR.impute(df, self.numeric, self.binary, self.categorical, self.medians)
         self.scaler = PR.fit_standard_scaler(filled, self.numeric)
-        self.vocab = {c: PR.fit_vocabulary(filled, c).cache() for c in self.categorical}
+        self.vocab = {c: written(PR.fit_vocabulary(filled, c), f"vocab-{c}") for c in self.categorical}
         return self
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        state = {k: getattr(self, k) for k in ("numeric", "binary", "categorical", "medians", "scaler")}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        for c, v in self.vocab.items():
+            v.write.mode("overwrite").parquet(f"{path}/vocab/{c}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Prep":
+        state = json.loads(spark.read.text(f"{path}/state").first().value)
+        state["scaler"] = {c: tuple(v) for c, v in state["scaler"].items()}
+        return Prep(**state, vocab={c: spark.read.parquet(f"{path}/vocab/{c}") for c in state["categorical"]})
+
     def transform(self, df: DataFrame, fill: str = "median") -> DataFrame:
         """M-1/M-2 + M-3 + M-4 + M-5. ``fill='zero'`` is the notebook's scoring fill."""
         df = PR.add_missing_columns(df, self.numeric, self.binary, self.categorical)
@@ -92,13 +111,24 @@ def _persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage before a multi-pass fit: a reliable checkpoint into the
-    shared folder named by spark.checkpoint.dir (survives executor loss,
-    unlike a cache or a local checkpoint)."""
-    from plotline.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _at_once(fits: list) -> list:
+    """Run independent fits side by side in this session."""
+    with ThreadPoolExecutor(_FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda f: f(), fits))
+
+
+def _write_metrics(spark: SparkSession, path: str, metrics: dict) -> None:
+    spark.createDataFrame([(json.dumps(metrics),)], "m string").coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
+
+
+def _read_metrics(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/metrics").first().value)
+
+
+def gated(name: str, value: float | None, limit: float, at_most: bool) -> dict:
+    """E-6 on one fitted metric; passed is None when there is no metric."""
+    passed = None if value is None else (value <= limit if at_most else value >= limit)
+    return {"metric": name, "value": value, "threshold": limit, "passed": passed}
 
 
 # ------------------------------------------------------------------ valuation
@@ -109,6 +139,18 @@ class Valuation:
     meta: object
     metrics: dict = field(default_factory=dict)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.prep.save(spark, f"{path}/prep")
+        for i, m in enumerate(self.base):
+            m.write().overwrite().save(f"{path}/base{i}")
+        self.meta.write().overwrite().save(f"{path}/meta")
+        _write_metrics(spark, path, self.metrics)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Valuation":
+        return Valuation(Prep.load(spark, f"{path}/prep"), [GBTRegressionModel.load(f"{path}/base{i}") for i in range(2)],
+                         LinearRegressionModel.load(f"{path}/meta"), _read_metrics(spark, path))
+
     def predict(self, df: DataFrame, pct: float = C.INTERVAL_PCT, fill: str = "median") -> DataFrame:
         """E-2: stacked estimate, expm1 back to price, +-pct interval."""
         x = self.prep.transform(df, fill)
@@ -121,62 +163,68 @@ class Valuation:
                 .drop("features", "prediction", *[f"_b{i}" for i in range(len(self.base))]))
 
 
-def _base_models(params: TreeParams, validation: bool = True) -> list:
-    """Two differently set boosted regressors (the notebook stacks two libraries)."""
-    kw = {"validationIndicatorCol": "_val"} if validation else {}
+def _base_models(params: TreeParams, trees: list[int] | None = None) -> list:
+    """Two differently set boosted regressors (the notebook stacks two
+    libraries). With ``trees`` each fits that many without stopping early."""
     other = TreeParams(**{**params.__dict__, "max_depth": max(2, params.max_depth - 1), "feature_subset": "sqrt",
                           "seed": params.seed + 1})
-    return [params.regressor("log_price", **kw), other.regressor("log_price", **kw)]
+    kw = {} if trees else {"validationIndicatorCol": "_val"}
+    out = [p.regressor("log_price", **kw) for p in (params, other)]
+    return [m.setMaxIter(n) for m, n in zip(out, trees)] if trees else out
 
 
 def fit_valuation(train: DataFrame, params: TreeParams = TreeParams(), n_folds: int = 3,
-                  group: str = "state", include_leaky: bool = False, refit: bool = True) -> Valuation:
+                  group: str = "state", include_leaky: bool = False) -> Valuation:
     """E-1: out-of-fold predictions of two GBTs over group folds (no state in
-    two folds), a ridge on top, then the base models refit on all rows."""
+    two folds), a ridge on top, then the base models refit on all rows with
+    the mean number of trees that their folds kept."""
     numeric = [c for c in C.AVM_NUMERIC if include_leaky or c not in C.AVM_LEAKY]
     prep = Prep(numeric, list(C.AVM_BINARY), list(C.AVM_CATEGORICAL))
     df = train.withColumn("log_price", F.log1p("price"))
     prep.fit(df)
     x = _persist(PR.with_folds(prep.transform(df), group, n_folds).select("features", "log_price", "fold", group))
-    oof = None
-    for k in range(n_folds):
-        part = x.withColumn("_val", F.col("fold") == k)
-        preds = part.filter(F.col("fold") == k).select("features", "log_price")
-        for i, est in enumerate(_base_models(params)):
-            m = est.fit(part)
-            preds = m.transform(preds).withColumnRenamed("prediction", f"_b{i}")
-        oof = preds if oof is None else oof.unionByName(preds)
-    meta_in = VectorAssembler(inputCols=["_b0", "_b1"], outputCol="_m").transform(oof)
-    n = x.count()
-    meta = LinearRegression(featuresCol="_m", labelCol="log_price", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                            standardization=False).fit(meta_in)
-    meta.setFeaturesCol("features")
-    if refit:
-        base = [est.fit(x) for est in _base_models(params, validation=False)]
-    else:
-        base = []
-        for est in _base_models(params):
-            base.append(est.fit(x.withColumn("_val", F.col("fold") == n_folds - 1)))
-    x.unpersist()
-    return Valuation(prep, base, meta)
-
-
-def valuation_run(prop: DataFrame, active: DataFrame, params: TreeParams = TreeParams(),
-                  test_states=C.AVM_TEST_STATES, scored_at: bool = True) -> tuple[Valuation, DataFrame, DataFrame]:
-    """C-5: P-8 filter, hold out test states (P-16), fit (E-1), evaluate
-    (E-3) and gate (E-6), then score the active listings (E-2)."""
-    df = _materialise(prop.filter(F.col("price").between(C.PRICE_MIN, C.PRICE_MAX) & (F.col("quality_score") >= 0.6)
-                                  & (F.col("property_type") != "LAND")))
-    train = df.filter(~F.col("state").isin(*test_states))
-    test = df.filter(F.col("state").isin(*test_states))
-    model = fit_valuation(train, params)
-    scored_test = model.predict(test)
-    metrics = M.regression_metrics(scored_test, "price", "avm_estimate")
-    est = model.predict(active).select(*C.ADDRESS_KEYS, "listing_id", "property_type", "price",
-                                       "avm_estimate", "avm_low", "avm_high")
-    if scored_at:
-        est = est.withColumn("scored_at", F.current_timestamp())
-    return model, est, metrics
+    try:
+        n = x.count()
+        parts = [x.withColumn("_val", F.col("fold") == k) for k in range(n_folds)]
+        fitted = _at_once([lambda e=e, p=p: e.fit(p) for p in parts for e in _base_models(params)])
+        oof = None
+        for k, part in enumerate(parts):
+            preds = part.filter(F.col("fold") == k).select("features", "log_price")
+            for i, m in enumerate(fitted[2 * k:2 * k + 2]):
+                preds = m.transform(preds).withColumnRenamed("prediction", f"_b{i}")
+            oof = preds if oof is None else oof.unionByName(preds)
+        meta_in = VectorAssembler(inputCols=["_b0", "_b1"], outputCol="_m").transform(oof)
+        meta = LinearRegression(featuresCol="_m", labelCol="log_price", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                                standardization=False).fit(meta_in)
+        meta.setFeaturesCol("features")
+        kept = [[m.getNumTrees for m in fitted[i::2]] for i in range(2)]
+        trees = [max(1, round(sum(ks) / len(ks))) for ks in kept]
+        base = _at_once([lambda e=e: e.fit(x) for e in _base_models(params, trees)])
+    finally:
+        x.unpersist()
+    limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
+    return Valuation(prep, base, meta, {"limits": limits, "fold_trees": kept, "trees": trees})
+
+
+def valuation_training(prop: DataFrame) -> DataFrame:
+    """P-8."""
+    return prop.filter(F.col("price").between(C.PRICE_MIN, C.PRICE_MAX) & (F.col("quality_score") >= 0.6)
+                       & (F.col("property_type") != "LAND"))
+
+
+def valuation_run(prop: DataFrame, params: TreeParams = TreeParams(), test_states=C.AVM_TEST_STATES) -> Valuation:
+    """C-5: P-8 filter, hold out test states (P-16), fit (E-1), evaluate (E-3) and gate (E-6)."""
+    df = written(valuation_training(prop), "valuation-training")
+    model = fit_valuation(df.filter(~F.col("state").isin(*test_states)), params)
+    scored = model.predict(df.filter(F.col("state").isin(*test_states)))
+    found = M.regression_metrics(scored, "price", "avm_estimate").first().asDict()
+    model.metrics |= found | {"gate": gated("avm_mape", found["mape"], C.AVM_MAX_MAPE, at_most=True)}
+    return model
+
+
+def valuation_scores(model: Valuation, active: DataFrame) -> DataFrame:
+    """E-2: estimate and interval for every active listing."""
+    return model.predict(active).select(*C.ADDRESS_KEYS, "listing_id", "property_type", "price", "avm_estimate", "avm_low", "avm_high")
 
 
 # ----------------------------------------------------------------------- rent
@@ -186,6 +234,15 @@ class Rent:
     model: object
     metrics: dict = field(default_factory=dict)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.prep.save(spark, f"{path}/prep")
+        self.model.write().overwrite().save(f"{path}/model")
+        _write_metrics(spark, path, self.metrics)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Rent":
+        return Rent(Prep.load(spark, f"{path}/prep"), GBTRegressionModel.load(f"{path}/model"), _read_metrics(spark, path))
+
     def predict(self, active: DataFrame, yields_col: str = "gross_yield") -> DataFrame:
         """E-7 scoring + P-41 blend."""
         from plotline.operators.invest import rent_blend, with_state_yield
@@ -198,8 +255,8 @@ def fit_rent(prop: DataFrame, params: TreeParams = TreeParams(max_depth=5), incl
              min_rows: int = C.MIN_TRAIN_ROWS) -> Rent | None:
     """E-7: GBT on census rent (P-9 filter, 0 fill, 85/15 split with early
     stopping). None under ``min_rows`` rows (P-15)."""
-    df = _materialise(prop.filter(F.col("census_median_gross_rent").between(C.RENT_TRAIN_MIN, C.RENT_TRAIN_MAX)
-                                  & (F.col("quality_score") >= 0.6)))
+    df = written(prop.filter(F.col("census_median_gross_rent").between(C.RENT_TRAIN_MIN, C.RENT_TRAIN_MAX)
+                             & (F.col("quality_score") >= 0.6)), "rent-training")
     if df.limit(min_rows).count() < min_rows:
         return None
     cols = [c for c in C.RENT_COLS if include_leaky or c not in C.RENT_LEAKY]
@@ -209,11 +266,13 @@ def fit_rent(prop: DataFrame, params: TreeParams = TreeParams(max_depth=5), incl
     df = PR.exact_split(df.withColumn("rent_label", F.col("census_median_gross_rent").cast("double")),
                         "listing_id", 0.15, 42, out="_is_val")
     x = _persist(prep.transform(df, fill="zero").withColumn("_val", F.col("_is_val") == 1))
-    model = params.regressor("rent_label", validationIndicatorCol="_val").fit(x)
-    val = model.transform(x.filter("_val"))
-    metrics = M.regression_metrics(val, "rent_label", "prediction").first().asDict()
-    x.unpersist()
-    return Rent(prep, model, metrics)
+    try:
+        model = params.regressor("rent_label", validationIndicatorCol="_val").fit(x)
+        metrics = M.regression_metrics(model.transform(x.filter("_val")), "rent_label", "prediction").first().asDict()
+    finally:
+        x.unpersist()
+    limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
+    return Rent(prep, model, metrics | {"limits": limits, "trees": [model.getNumTrees]})
 
 
 # ----------------------------------------------------------------------- lead
@@ -224,8 +283,19 @@ class Lead:
     calibrator: object
     metrics: dict = field(default_factory=dict)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.prep.save(spark, f"{path}/prep")
+        self.model.write().overwrite().save(f"{path}/model")
+        self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        _write_metrics(spark, path, self.metrics)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Lead":
+        return Lead(Prep.load(spark, f"{path}/prep"), GBTClassificationModel.load(f"{path}/model"),
+                    LogisticRegressionModel.load(f"{path}/calibrator").setFeaturesCol("features"), _read_metrics(spark, path))
+
     def predict(self, df: DataFrame, fill: str = "median") -> DataFrame:
-        """E-10: calibrated probability and tier."""
+        """E-9 + E-10: the raw margin, its calibrated probability and tier."""
         x = self.model.transform(self.prep.transform(df, fill))
         x = x.withColumn("_margin", vector_to_array("rawPrediction")[1])
         x = VectorAssembler(inputCols=["_margin"], outputCol="_cal").transform(
@@ -233,7 +303,7 @@ class Lead:
         x = self.calibrator.transform(x.withColumnRenamed("_cal", "features"))
         x = x.withColumn("lead_score", vector_to_array("probability")[1])
         return (x.withColumn("lead_tier", score_tier("lead_score"))
-                .drop("features", "prediction", "probability", "rawPrediction", "_margin"))
+                .drop("features", "prediction", "probability", "rawPrediction").withColumnRenamed("_margin", "margin"))
 
 
 def platt_rows(df: DataFrame, label: str) -> DataFrame:
@@ -253,14 +323,14 @@ def fit_lead(labeled: DataFrame, params: TreeParams = TreeParams(max_iter=400),
     """C-8: stratified 20% test, 15% validation (M-7); weighted GBT classifier
     (G-7) with early stopping (E-8); Platt calibration on validation (E-9);
     AUC and AP on test (E-4, E-5). None under ``min_rows`` rows."""
-    df = _materialise(labeled.na.drop(subset=["years_since_last_sale"]))
+    df = written(labeled.na.drop(subset=["years_since_last_sale"]), "lead-training")
     if df.limit(min_rows).count() < min_rows:
         return None
-    df = _materialise(PR.exact_split(df, "listing_id", 0.2, 42, label="motivated_seller", out="_is_test"))
+    df = written(PR.exact_split(df, "listing_id", 0.2, 42, label="motivated_seller", out="_is_test"), "lead-split")
     train_all = df.filter("_is_test = 0")
     test = df.filter("_is_test = 1")
-    train_all = _materialise(PR.exact_split(train_all, "listing_id", 0.15, 42, label="motivated_seller",
-                                            out="_is_val"))
+    train_all = written(PR.exact_split(train_all, "listing_id", 0.15, 42, label="motivated_seller", out="_is_val"),
+                        "lead-train")
     fit_part = train_all.filter("_is_val = 0")
     prep = Prep(list(C.LEAD_NUMERIC), list(C.LEAD_BINARY), list(C.LEAD_CAT)).fit(fit_part)
     w = M.class_weight(fit_part, "motivated_seller").first()["pos_weight"]
@@ -268,20 +338,20 @@ def fit_lead(labeled: DataFrame, params: TreeParams = TreeParams(max_iter=400),
         "_val": F.col("_is_val") == 1,
         "_wt": F.when(F.col("motivated_seller") == 1, F.lit(float(w))).otherwise(F.lit(1.0)),
         "_label": F.col("motivated_seller").cast("double")}))
-    model = params.classifier("_label", weightCol="_wt", validationIndicatorCol="_val").fit(x)
-    val = model.transform(x.filter("_val")).withColumn("_margin", vector_to_array("rawPrediction")[1])
-    cal_in = VectorAssembler(inputCols=["_margin"], outputCol="_cal").transform(
-        platt_rows(val.select("_margin", "motivated_seller"), "motivated_seller"))
-    cal = LogisticRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", regParam=0.0).fit(cal_in)
-    cal.setFeaturesCol("features")
-    lead = Lead(prep, model, cal)
-    scored = lead.predict(test)
-    auc = M.roc_auc(scored, "motivated_seller", "lead_score").first()["auc"]
-    ap = M.average_precision(scored, "motivated_seller", "lead_score").first()["average_precision"]
-    lead.metrics = {"auc": auc, "average_precision": ap, "pos_weight": w}
-    x.unpersist()
+    try:
+        model = params.classifier("_label", weightCol="_wt", validationIndicatorCol="_val").fit(x)
+        val = model.transform(x.filter("_val")).withColumn("_margin", vector_to_array("rawPrediction")[1])
+        cal_in = VectorAssembler(inputCols=["_margin"], outputCol="_cal").transform(
+            platt_rows(val.select("_margin", "motivated_seller"), "motivated_seller"))
+        cal = LogisticRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", regParam=0.0).fit(cal_in)
+        cal.setFeaturesCol("features")
+        lead = Lead(prep, model, cal)
+        scored = lead.predict(test)
+        auc = M.roc_auc(scored, "motivated_seller", "lead_score").first()["auc"]
+        ap = M.average_precision(scored, "motivated_seller", "lead_score").first()["average_precision"]
+    finally:
+        x.unpersist()
+    limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
+    lead.metrics = {"auc": auc, "average_precision": ap, "pos_weight": float(w), "limits": limits, "trees": [model.getNumTrees],
+                    "gate": gated("lead_auc", auc, C.LEAD_MIN_AUC, at_most=False)}
     return lead
-
-
-def as_of_timestamp(d: _dt.date) -> _dt.datetime:
-    return _dt.datetime(d.year, d.month, d.day)

@@ -1,5 +1,6 @@
-"""The batch run: bronze -> silver -> market -> features -> forecasts ->
-investment measures, each stage a Spark job writing a parquet table.
+"""The batch run: bronze -> silver -> market -> features -> valuation, rent,
+lead scores and forecasts -> investment measures, each stage a Spark job that
+writes a parquet table.
 
 Silver is written once (partitioned by state); the sold / active / all
 splits are filters over that one table instead of three extra copies.
@@ -9,30 +10,51 @@ at a table in the shared output folder.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as _dt
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import config as C
-from plotline.config import ADAPTER_AS_OF
 from plotline.operators import features as FE
 from plotline.operators import forecast as FC
 from plotline.operators import invest as IV
 from plotline.operators import market as MK
 from plotline.operators import silver as SV
 from plotline.operators.clean import bronze
-from plotline.operators.quality import write_if_not_empty
-from plotline.sources.census import census_fixture_documents, parse_census
-from plotline.sources.listings import adapter_listings
+from plotline.operators.quality import row_counts, write_by, write_if_not_empty
+from plotline.plans import models as MD
+from plotline.sources.census import census_fixture_documents, land_census_documents, parse_census, read_census_documents
+from plotline.sources.listings import adapter_listings, read_listings_csv
 
 
+@dataclasses.dataclass
 class Run:
-    def __init__(self, spark: SparkSession, sf_dir: str, out_dir: str, as_of: _dt.date = ADAPTER_AS_OF):
-        self.spark, self.sf_dir, self.out, self.as_of = spark, sf_dir, out_dir.rstrip("/"), as_of
-        self.timings: dict[str, float] = {}
+    """A run over a landed listings CSV (``csv_path``, with landed census
+    responses in ``census_path`` if there are any) or over the adapter of the
+    driver tables (``sf_dir``). ``as_of`` is the run's day."""
+
+    spark: SparkSession
+    out: str
+    as_of: _dt.date
+    sf_dir: str | None = None
+    csv_path: str | None = None
+    census_path: str | None = None
+    test_states: Sequence[str] = tuple(C.AVM_TEST_STATES)
+    down_payment_pct: float = C.Financing().down_payment_pct
+    interest_rate: float = C.Financing().interest_rate
+    hold_years: int = C.Hold().hold_years
+    trees: MD.TreeParams = dataclasses.field(default_factory=MD.TreeParams)
+    timings: dict[str, float] = dataclasses.field(default_factory=dict)
+    gates: list[dict] = dataclasses.field(default_factory=list)
+
+    def __post_init__(self):
+        if (self.sf_dir is None) == (self.csv_path is None):
+            raise ValueError("give either sf_dir or csv_path")
+        self.out = self.out.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.out}/{name}"
@@ -46,18 +68,27 @@ class Run:
         self.timings[name] = round(time.perf_counter() - t0, 3)
         return out
 
+    def write(self, df: DataFrame, name: str) -> bool:
+        return write_if_not_empty(df, self.path(name))
+
     # ------------------------------------------------------------ stages
     def bronze(self):
-        df = bronze(adapter_listings(self.spark, self.sf_dir), self.as_of, source_file=self.sf_dir)
-        df.write.mode("overwrite").partitionBy("state").parquet(self.path("bronze_listings"))
+        if self.csv_path:
+            df = bronze(read_listings_csv(self.spark, self.csv_path), self.as_of)
+        else:
+            df = bronze(adapter_listings(self.spark, self.sf_dir), self.as_of, source_file=self.sf_dir)
+        write_by(df, self.path("bronze_listings"), "state")
 
     def census(self):
-        parse_census(census_fixture_documents(self.spark, self.sf_dir)).write.mode("overwrite") \
-            .parquet(self.path("census"))
+        if self.sf_dir and not self.census_path:
+            self.census_path = self.path("landed_census")
+            land_census_documents(census_fixture_documents(self.spark, self.sf_dir), self.census_path)
+        if self.census_path:
+            parse_census(read_census_documents(self.spark, self.census_path)).write.mode("overwrite").parquet(self.path("census"))
 
     def silver(self):
-        df = SV.silver(self.read("bronze_listings"), self.read("census"), self.as_of)
-        df.write.mode("overwrite").partitionBy("state").parquet(self.path("silver_listings"))
+        census = self.read("census") if self.census_path else None
+        write_by(SV.silver(self.read("bronze_listings"), census, self.as_of), self.path("silver_listings"), "state")
 
     def sold(self) -> DataFrame:
         return SV.sold_listings(self.read("silver_listings"))
@@ -65,6 +96,9 @@ class Run:
     def active(self) -> DataFrame:
         return SV.active_listings(self.read("silver_listings"))
 
+    def active_features(self) -> DataFrame:
+        return FE.property_features(self.active(), self.read("market_snapshots"), feature_ts=False)
+
     def market(self):
         MK.market_snapshot(self.read("silver_listings"), self.as_of).write.mode("overwrite") \
             .parquet(self.path("market_snapshots"))
@@ -76,31 +110,54 @@ class Run:
         FE.with_motivated_label(lead, self.sold(), self.active()).write.mode("overwrite") \
             .parquet(self.path("lead_features"))
 
+    def valuation(self):
+        """C-5: fit on the other states, gate on the test states, score the active listings."""
+        model = MD.valuation_run(self.read("property_features"), self.trees, self.test_states)
+        model.save(self.spark, self.path("models/valuation"))
+        self.gates.append(model.metrics["gate"])
+        est = model.predict(self.active_features()).select(
+            "listing_id", *C.ADDRESS_KEYS, "state_tier", "property_type", "price", "avm_estimate", "avm_low", "avm_high")
+        self.write(est.withColumn("scored_at", F.current_timestamp()), "avm_estimates")
+
     def forecasts(self, horizon: int = C.FORECAST_HORIZON):
-        fc = FC.price_forecasts(self.active(), horizon, self.as_of).withColumn("generated_at", F.current_timestamp())
-        write_if_not_empty(fc, self.path("price_forecasts"))
+        fc = FC.price_forecasts(self.active(), self.as_of, horizon).withColumn("generated_at", F.current_timestamp())
+        self.write(fc, "price_forecasts")
+
+    def rent(self):
+        """C-7: skipped (no table) when there are too few training rows."""
+        model = MD.fit_rent(self.read("property_features"), dataclasses.replace(self.trees, max_depth=self.trees.max_depth - 1))
+        if model is not None:
+            model.save(self.spark, self.path("models/rent"))
+            est = model.predict(self.active_features()).select(
+                "listing_id", *C.ADDRESS_KEYS, "property_type", "price", "est_monthly_rent", "est_annual_rent")
+            self.write(est.withColumn("scored_at", F.current_timestamp()), "rent_estimates")
+
+    def lead(self):
+        """C-8: skipped (no table) when there are too few training rows."""
+        model = MD.fit_lead(self.read("lead_features"), dataclasses.replace(self.trees, max_iter=min(400, self.trees.max_iter)))
+        if model is not None:
+            model.save(self.spark, self.path("models/lead"))
+            self.gates.append(model.metrics["gate"])
+            scored = model.predict(self.read("lead_features"), fill="zero").select("listing_id", *C.ADDRESS_KEYS, "lead_score", "lead_tier")
+            self.write(scored.withColumn("scored_at", F.current_timestamp()), "lead_scores")
 
     def investment(self):
-        """Comparable-sales valuation (zip median price per sqft x size, else the
-        list price) and the zip rent blend, then the investment measures."""
-        market = self.read("market_snapshots")
-        ctx = FE.zip_context(market, {"zip_median_ppsqft": "median_price_per_sqft",
-                                      "zip_est_rent": "estimated_monthly_rent"})
-        act = FE.join_context(self.active(), ctx)
-        act = IV.with_state_yield(act).withColumns(IV.rent_blend("zip_est_rent"))
-        est = act.withColumn("avm_estimate", F.coalesce(F.col("zip_median_ppsqft") * F.col("house_size"),
-                                                        F.col("price"))).drop("gross_yield")
-        out = IV.investment_scores(est, keep=("listing_id", *C.ADDRESS_KEYS))
-        out.write.mode("overwrite").parquet(self.path("investment_scores"))
-
-    def lead_metrics(self):
-        from plotline.operators import metrics as M
-        lead = self.read("lead_features")
-        auc = M.roc_auc(lead, "motivated_seller", "unrealized_gain_pct").first()
-        ap = M.average_precision(lead, "motivated_seller", "unrealized_gain_pct").first()
-        return {"auc": auc["auc"], "average_precision": ap["average_precision"]}
+        """C-9 over the written estimates, with the written rents if there are any."""
+        est = self.read("avm_estimates").select("listing_id", *C.ADDRESS_KEYS, "state_tier", "avm_estimate")
+        est = IV.with_rent_table(est, self.path("rent_estimates"), keys=("listing_id",))
+        fin = C.Financing(down_payment_pct=self.down_payment_pct, interest_rate=self.interest_rate)
+        out = IV.investment_scores(est, fin=fin, hold=C.Hold(hold_years=self.hold_years), keep=("listing_id", *C.ADDRESS_KEYS))
+        self.write(out, "investment_scores")
+
+    def counts(self) -> DataFrame:
+        """S-11 over the run's tables."""
+        names = ("bronze_listings", "silver_listings", "market_snapshots", "property_features", "lead_features", "avm_estimates",
+                 "price_forecasts", "rent_estimates", "lead_scores", "investment_scores")
+        return row_counts(self.spark, {n: self.path(n) for n in names})
+
+    STAGES = ("bronze", "census", "silver", "market", "features", "valuation", "forecasts", "rent", "lead", "investment")
 
     def run_all(self) -> dict[str, float]:
-        for name in ("bronze", "census", "silver", "market", "features", "forecasts", "investment", "lead_metrics"):
+        for name in self.STAGES:
             self.timed(name, getattr(self, name))
         return self.timings

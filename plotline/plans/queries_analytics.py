@@ -96,13 +96,13 @@ FC_COLS = ["forecast_month", "forecast_price", "forecast_price_low", "forecast_p
 def q_forecast_path(spark, sf):
     """F-2."""
     seg = FC.forecast_baseline(FC.baseline_medians(P.active_df(spark, sf)))
-    return P.rounded(FC.forecast_path(seg, C.FORECAST_HORIZON))
+    return P.rounded(FC.forecast_path(seg, C.FORECAST_HORIZON, C.ADAPTER_AS_OF))
 
 
 @register("forecast_all", O.with_base(f"SELECT {sel(FC_COLS)} FROM forecast"))
 def q_forecast_all(spark, sf):
     """F-3 / C-6: all segments, 12 months."""
-    return P.rounded(FC.price_forecasts(P.active_df(spark, sf)))
+    return P.rounded(FC.price_forecasts(P.active_df(spark, sf), C.ADAPTER_AS_OF))
 
 
 # ---------------------------------------------------------------- investment
@@ -114,16 +114,16 @@ def q_rent_blend(spark, sf):
     return P.rounded(P.rent_estimates_df(spark, sf).select("listing_id", "est_monthly_rent", "est_annual_rent"))
 
 
-@register("join_rent_left", O.with_base(f"SELECT {sel(['listing_id', 'est_monthly_rent'])} FROM inv_src"))
+@register("join_rent_left", O.with_base(f"SELECT {sel(['listing_id', 'est_monthly_rent'])} FROM inv_join"))
 def q_join_rent_left(spark, sf):
     """J-7."""
-    return P.rounded(P.invest_source_df(spark, sf).select("listing_id", "est_monthly_rent"))
+    return P.rounded(P.invest_join_df(spark, sf).select("listing_id", "est_monthly_rent"))
 
 
-@register("join_active_left", O.with_base("SELECT listing_id, state_tier FROM inv_src"))
+@register("join_active_left", O.with_base("SELECT listing_id, state_tier FROM inv_join"))
 def q_join_active_left(spark, sf):
     """J-8."""
-    return P.invest_source_df(spark, sf).select("listing_id", "state_tier")
+    return P.invest_join_df(spark, sf).select("listing_id", "state_tier")
 
 
 def invest_projection(key, cols, doc):
@@ -182,23 +182,30 @@ schedule_projection("loan_balance", "balance", "F-9")
 
 _FALLBACK_SRC = ("fb_src AS (SELECT listing_id, state, state_tier, price AS avm_estimate, "
                  "CAST(NULL AS DOUBLE) AS est_monthly_rent FROM active)")
+_WRITTEN_SRC = ("wr_src AS (SELECT i.listing_id, i.state, a.state_tier, i.avm_estimate, i.est_monthly_rent FROM inv_join i "
+                "JOIN (SELECT DISTINCT listing_id, state_tier FROM active) a USING (listing_id))")
+
+
+def _branch(name: str, frame: str) -> str:
+    return f"SELECT listing_id, '{name}' AS rent_table, {O.r('rent_')} AS rent_, {O.r('irr')} AS irr FROM {frame}"
 
 
 @register("table_exists_fallback", O.with_base(
-    f"SELECT listing_id, {O.r('rent_')} AS rent_, {O.r('irr')} AS irr FROM fb",
-    _FALLBACK_SRC, *O.invest_ctes("fb_src", prefix="fb")))
+    f"{_branch('absent', 'fb')} UNION ALL {_branch('written', 'wr')}",
+    _FALLBACK_SRC, *O.invest_ctes("fb_src", prefix="fb"), _WRITTEN_SRC, *O.invest_ctes("wr_src", prefix="wr")))
 def q_table_exists_fallback(spark, sf):
-    """S-10: use the written rent table when it exists, else a null rent column
-    (then F-17 falls back to the yield rent)."""
-    from plotline.operators.quality import _exists
+    """S-10: the rent table's rent (by address) when the table exists, else a
+    null rent (then F-17 falls back to the yield rent). Both branches run."""
     from plotline.session import scratch_path
-    path = scratch_path(spark, f"gold/rent_estimates_absent/{abs(hash(sf))}")
-    est = P.active_df(spark, sf).select("listing_id", "state", "state_tier", F.col("price").alias("avm_estimate"))
-    if _exists(spark, path):
-        est = est.join(spark.read.parquet(path).select("listing_id", "est_monthly_rent"), "listing_id", "left")
-    else:
-        est = est.withColumn("est_monthly_rent", F.lit(None).cast("double"))
-    return P.rounded(IV.investment_frame(est).select("listing_id", "rent_", "irr"))
+    base = scratch_path(spark, f"gold/{P.sf_key(spark, sf)}")
+    P.rent_estimates_df(spark, sf).write.mode("overwrite").parquet(f"{base}/rent_estimates")
+    est = P.active_df(spark, sf).select("listing_id", *C.ADDRESS_KEYS, "state_tier", F.col("price").alias("avm_estimate"))
+    out = None
+    for name, table in (("absent", "rent_estimates_never_written"), ("written", "rent_estimates")):
+        df = IV.investment_frame(IV.with_rent_table(est, f"{base}/{table}"))
+        df = df.select("listing_id", F.lit(name).alias("rent_table"), "rent_", "irr")
+        out = df if out is None else out.unionByName(df)
+    return P.rounded(out)
 
 
 MC_DRAWS = 100
@@ -214,7 +221,7 @@ def q_investment_monte_carlo(spark, sf):
 @register("forecast", O.with_base(f"SELECT {sel(FC_COLS)} FROM forecast"))
 def q_forecast(spark, sf):
     """C-6: the forecast run (baselines >= 3 listings, tier rates, 12 months)."""
-    return P.rounded(FC.price_forecasts(P.active_df(spark, sf), C.FORECAST_HORIZON))
+    return P.rounded(FC.price_forecasts(P.active_df(spark, sf), C.ADAPTER_AS_OF, C.FORECAST_HORIZON))
 
 
 @register("investment", O.with_base(

@@ -37,7 +37,7 @@ def q_scan_csv(spark, sf):
     """S-1: the adapter listings landed as a header CSV, read with the declared schema."""
     from plotline.sources.listings import read_listings_csv, write_listings_csv
     from plotline.session import scratch_path
-    path = scratch_path(spark, f"landing/listings_csv/{abs(hash(sf))}")
+    path = scratch_path(spark, f"landing/{P.sf_key(spark, sf)}/listings_csv")
     write_listings_csv(P.raw(spark, sf), path)
     return P.rounded(read_listings_csv(spark, path))
 
@@ -64,8 +64,12 @@ def q_scan_schema(spark, sf):
 @register("census_parse", O.with_base(
     f"SELECT {sel(['zip_code', *C.CENSUS_COLUMNS])} FROM census"))
 def q_census_parse(spark, sf):
-    """S-5 + P-33: landed census documents parsed into counts and rates."""
-    return P.rounded(P.census_df(spark, sf))
+    """S-5 + P-33: census documents landed as files, read whole and parsed into counts and rates."""
+    from plotline.session import scratch_path
+    from plotline.sources.census import land_census_documents, read_census_documents
+    path = scratch_path(spark, f"landing/{P.sf_key(spark, sf)}/census")
+    land_census_documents(census_fixture_documents(spark, sf), path)
+    return P.rounded(parse_census(read_census_documents(spark, path)))
 
 
 @register("census_rates", O.with_base(
@@ -95,15 +99,21 @@ def q_inline_dim(spark, sf):
     return out.select("state", F.coalesce("state_tier", F.lit("other")).alias("state_tier"), "listings")
 
 
-@register("lineage_cols", None)
+@register("lineage_cols", O.with_base(
+    "SELECT 'realtor_national_csv' AS data_source, state, count(*) AS listings, count(*) AS with_time, "
+    "count(*) AS from_landing FROM adapter GROUP BY state"))
 def q_lineage_cols(spark, sf):
-    """S-4: ingestion time, source path (from the scan metadata) and source tag."""
+    """S-4: ingestion time, source path (from the scan metadata) and source tag
+    of every row; how many rows of a state carry them."""
     from plotline.operators.clean import lineage_columns
     from plotline.sources.listings import read_listings_csv, write_listings_csv
     from plotline.session import scratch_path
-    path = scratch_path(spark, f"landing/listings_csv_lineage/{abs(hash(sf))}")
+    path = scratch_path(spark, f"landing/{P.sf_key(spark, sf)}/listings_csv_lineage")
     write_listings_csv(P.raw(spark, sf), path)
-    return lineage_columns(read_listings_csv(spark, path))
+    df = lineage_columns(read_listings_csv(spark, path))
+    return df.groupBy("data_source", "state").agg(
+        F.count(F.lit(1)).alias("listings"), F.count("ingested_at").alias("with_time"),
+        F.count_if(F.col("source_file").contains("/listings_csv_lineage/")).alias("from_landing"))
 
 
 # ------------------------------------------------------------------ cleaning
@@ -153,9 +163,17 @@ def q_drop_null_subset(spark, sf):
                      .select("listing_id", "years_since_last_sale"))
 
 
-projection("holdout_by_group", P.prop_df, ["listing_id", "state", "price"], "prop",
-           "state NOT IN (" + ", ".join(O.q(s) for s in C.AVM_TEST_STATES) + ")",
-           lambda: ~F.col("state").isin(*C.AVM_TEST_STATES))
+
+@register("holdout_by_group", O.with_base(
+    f"SELECT listing_id, state, {O.r('price')} AS price, CASE WHEN state IN ("
+    + ", ".join(O.q(s) for s in C.AVM_TEST_STATES) + ") THEN 'test' ELSE 'train' END AS side FROM prop"))
+def q_holdout_by_group(spark, sf):
+    """P-16: both sides of the split by held-out states."""
+    test = F.col("state").isin(*C.AVM_TEST_STATES)
+    prop = P.prop_df(spark, sf).select("listing_id", "state", "price")
+    train, held = prop.filter(~test).withColumn("side", F.lit("train")), prop.filter(test).withColumn("side", F.lit("test"))
+    return P.rounded(train.unionByName(held))
+
 
 # ------------------------------------------------------------ derived columns
 projection("price_per_sqft", P.silver_df, ["listing_id", "price_per_sqft"], "silver")

@@ -1,5 +1,5 @@
-"""Registered queries for the fitted models (rows-only checks: a fitted model
-has no SQL twin; tests cover invariants)."""
+"""Registered queries for the fitted models. A fitted value has no SQL twin; what holds exactly for any fit
+(row sets, intervals, tiers, limits) is registered with one."""
 
 from __future__ import annotations
 
@@ -7,19 +7,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from plotline import config as C
+from plotline import oracle as O
+from plotline.operators.quality import _exists
 from plotline.plans import common as P
 from plotline.plans import models as MD
 from plotline.plans.catalog import register
-
-# Tree settings for the registered (checked) runs: fewer, shallower trees
-# than the notebook's 500 so the check finishes in minutes; the pipeline and
-# library default to the notebook's values.
-CHECK_PARAMS = MD.TreeParams(max_iter=20, step_size=0.1, max_depth=5)
-_CACHE: dict = {}
-
-
-def _key(spark, sf, what):
-    return (id(spark), sf, what)
+from plotline.plans.queries_prep import TRAIN_CTE, train_df
+from plotline.session import scratch_path
 
 
 def active_features(spark, sf):
@@ -29,73 +23,138 @@ def active_features(spark, sf):
     return property_features(P.active_listings(s), P.market_df(spark, sf), feature_ts=False)
 
 
+def _stored(spark, sf, name, kind, fit):
+    """A model fitted once per application and input folder, saved whole under
+    the shared folder and loaded from there; None when there was nothing to fit."""
+    path = scratch_path(spark, f"models/{P.sf_key(spark, sf)}/{name}")
+    if not _exists(spark, f"{path}/metrics/_SUCCESS"):
+        if _exists(spark, f"{path}/none"):
+            return None
+        model = fit()
+        if model is None:
+            spark.range(0).write.mode("overwrite").parquet(f"{path}/none")
+            return None
+        model.save(spark, path)
+    return kind.load(spark, path)
+
+
 def valuation(spark, sf):
-    k = _key(spark, sf, "valuation")
-    if k not in _CACHE:
-        _CACHE[k] = MD.valuation_run(P.prop_df(spark, sf), active_features(spark, sf), CHECK_PARAMS, scored_at=False)
-    return _CACHE[k]
+    return _stored(spark, sf, "valuation", MD.Valuation, lambda: MD.valuation_run(P.prop_df(spark, sf)))
 
 
 def rent(spark, sf):
-    k = _key(spark, sf, "rent")
-    if k not in _CACHE:
-        _CACHE[k] = MD.fit_rent(P.prop_df(spark, sf), MD.TreeParams(**{**CHECK_PARAMS.__dict__, "max_depth": 5}))
-    return _CACHE[k]
+    return _stored(spark, sf, "rent", MD.Rent, lambda: MD.fit_rent(P.prop_df(spark, sf)))
 
 
 def lead(spark, sf):
-    k = _key(spark, sf, "lead")
-    if k not in _CACHE:
-        _CACHE[k] = MD.fit_lead(P.lead_labeled_df(spark, sf), CHECK_PARAMS)
-    return _CACHE[k]
+    return _stored(spark, sf, "lead", MD.Lead, lambda: MD.fit_lead(P.lead_labeled_df(spark, sf)))
+
+
+def _nothing(spark, schema: str):
+    """Fewer than the least training rows (P-15): no rows of the same schema."""
+    return spark.createDataFrame([], schema)
+
+
+_ADDRESS = ", ".join(f"{c} string" for c in C.ADDRESS_KEYS)
+_VALUATION_SCHEMA = f"{_ADDRESS}, listing_id string, property_type string, price double, avm_estimate double, avm_low double, avm_high double"
+_RENT_SCHEMA = f"{_ADDRESS}, listing_id string, property_type string, price double, est_monthly_rent double, est_annual_rent double"
+_LEAD_SCHEMA = f"{_ADDRESS}, listing_id string, lead_score double, lead_tier string"
+
+_PREP_NUMERIC = [c for c in C.AVM_NUMERIC if c not in C.AVM_LEAKY]
+
+
+def _assembled_sql() -> str:
+    def x(c):
+        return f"coalesce(TRY_CAST(t.{c} AS DOUBLE), m.{c}, CAST(0.0 AS DOUBLE))"
+    filled = ", ".join(f"{x(c)} AS {c}" for c in _PREP_NUMERIC)
+    medians = ", ".join(f"median({c}) AS {c}" for c in _PREP_NUMERIC)
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in _PREP_NUMERIC)
+    codes = ", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in C.AVM_CATEGORICAL)
+    flags = ", ".join(f"coalesce({c}, 0) AS {c}" for c in C.AVM_BINARY)
+    ranks = " ".join(f"JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {c} AS v FROM filled)) v_{c} "
+                     f"ON f.{c} = v_{c}.v" for c in C.AVM_CATEGORICAL)
+    values = [f"(f.{c} - s.m_{c}) / s.s_{c}" for c in _PREP_NUMERIC] + [f"CAST(v_{c}.code AS DOUBLE)" for c in C.AVM_CATEGORICAL] \
+        + [f"CAST(f.{c} AS DOUBLE)" for c in C.AVM_BINARY]
+    return O.with_base(
+        f"SELECT listing_id, CAST(i AS INTEGER) AS position, {O.r('vals[i + 1]')} AS value FROM (SELECT listing_id, vals, "
+        f"unnest(range(0, {len(values)})) AS i FROM vectors)", TRAIN_CTE, f"med AS (SELECT {medians} FROM train)",
+        f"filled AS (SELECT t.listing_id, {filled}, {codes}, {flags} FROM (SELECT * FROM train) t, med m)",
+        f"stats AS (SELECT {stats} FROM filled)",
+        f"vectors AS (SELECT f.listing_id, [{', '.join(values)}] AS vals FROM filled f {ranks}, stats s)")
 
 
-@register("assemble_features", None)
+@register("assemble_features", _assembled_sql())
 def q_assemble_features(spark, sf):
-    """M-5: numeric (median-filled, scaled), ordinal codes and binaries in one vector."""
-    from plotline.plans.queries_prep import train_df
-    prep = MD.Prep([c for c in C.AVM_NUMERIC if c not in C.AVM_LEAKY], list(C.AVM_BINARY), list(C.AVM_CATEGORICAL))
+    """M-5: numeric (median-filled, scaled), ordinal codes and binaries in one
+    vector; its entries by position."""
+    prep = MD.Prep(list(_PREP_NUMERIC), list(C.AVM_BINARY), list(C.AVM_CATEGORICAL))
     df = train_df(spark, sf)
     x = prep.fit(df).transform(df)
-    return x.select("listing_id", vector_to_array("features").alias("features"))
+    return P.rounded(x.select("listing_id", F.posexplode(vector_to_array("features")).alias("position", "value")))
 
 
 @register("valuation_fit", None)
 def q_valuation_fit(spark, sf):
-    """E-1 + E-3: held-out-state metrics of the stacked valuation model."""
-    return valuation(spark, sf)[2]
+    """E-1 + E-3 + E-6: held-out-state metrics of the stacked valuation model and its gate."""
+    m = valuation(spark, sf).metrics
+    return spark.createDataFrame([(m["mape"], m["mae"], m["r2"], m["n"], m["gate"]["passed"])],
+                                 "mape double, mae double, r2 double, n long, passed boolean")
 
 
 @register("valuation_score", None)
 def q_valuation_score(spark, sf):
-    """E-2: estimate and +-10% interval for every active listing."""
-    return valuation(spark, sf)[1]
+    """E-2 / C-5: estimate and +-10% interval for every active listing."""
+    return MD.valuation_scores(valuation(spark, sf), active_features(spark, sf))
 
 
 @register("valuation", None)
 def q_valuation(spark, sf):
     """C-5: the valuation run's output table (avm estimates)."""
-    return valuation(spark, sf)[1]
+    return q_valuation_score(spark, sf)
 
 
-@register("hyper_params", None)
+_HELD = "price BETWEEN 10000 AND 50000000 AND quality_score >= 0.6 AND property_type <> 'LAND' AND state IN (" \
+    + ", ".join(O.q(s) for s in C.AVM_TEST_STATES) + ")"
+
+
+@register("valuation_bounds", O.with_base(
+    f"SELECT listing_id, {O.r('price')} AS price, true AS positive, CAST(0.9 AS DOUBLE) AS low_ratio, CAST(1.1 AS DOUBLE) AS high_ratio, "
+    f"(SELECT count(*) FROM prop WHERE {_HELD}) AS test_rows FROM active"))
+def q_valuation_bounds(spark, sf):
+    """E-2: what holds exactly for any fit: every active listing is scored once
+    and positive, the interval is +-10%, the held-out states were the test."""
+    df, n = q_valuation_score(spark, sf), valuation(spark, sf).metrics["n"]
+    return P.rounded(df.select("listing_id", "price", (F.col("avm_estimate") > 0).alias("positive"),
+                               (F.col("avm_low") / F.col("avm_estimate")).alias("low_ratio"),
+                               (F.col("avm_high") / F.col("avm_estimate")).alias("high_ratio"), F.lit(n).cast("long").alias("test_rows")))
+
+
+_LIMITS = {"valuation": (500, 0.05, 6), "rent": (500, 0.05, 5), "lead": (400, 0.05, 6)}
+
+
+@register("hyper_params", O.with_base(" UNION ALL ".join(
+    f"SELECT '{m}' AS model, {n} AS max_trees, {O.d(r)} AS rate, {d} AS depth, {1 if m != 'valuation' else 2} AS fits, true AS kept_within "
+    f"FROM (SELECT count(*) AS n FROM prop) WHERE n > 0" for m, (n, r, d) in _LIMITS.items())))
 def q_hyper_params(spark, sf):
-    """E-11: the settings of the fitted base models."""
-    model = valuation(spark, sf)[0]
+    """E-11: the limits of the three fits; early stopping kept some number of
+    trees within them (the numbers are in the models' metrics)."""
     rows = []
-    for i, m in enumerate(model.base):
-        for p in ("maxIter", "stepSize", "maxDepth", "subsamplingRate", "featureSubsetStrategy", "maxBins"):
-            rows.append((f"valuation_base_{i}", p, str(m.getOrDefault(p))))
-        rows.append((f"valuation_base_{i}", "trees", str(m.getNumTrees)))
-    return spark.createDataFrame(rows, "model string, param string, value string")
+    for name, model in (("valuation", valuation(spark, sf)), ("rent", rent(spark, sf)), ("lead", lead(spark, sf))):
+        if model is not None:
+            m = model.metrics
+            rows.append((name, m["limits"]["max_trees"], float(m["limits"]["rate"]), m["limits"]["depth"], len(m["trees"]),
+                         all(1 <= t <= m["limits"]["max_trees"] for t in m["trees"])))
+    return spark.createDataFrame(rows, "model string, max_trees int, rate double, depth int, fits int, kept_within boolean")
 
 
 @register("rent_fit_score", None)
 def q_rent_fit_score(spark, sf):
-    """E-7: rent model blended with the yield rent for every active listing."""
+    """E-7 / C-7: rent model blended with the yield rent for every active listing."""
     r = rent(spark, sf)
+    if r is None:
+        return _nothing(spark, _RENT_SCHEMA)
     return r.predict(active_features(spark, sf)).select(*C.ADDRESS_KEYS, "listing_id", "property_type", "price",
-                                                         "est_monthly_rent", "est_annual_rent")
+                                                        "est_monthly_rent", "est_annual_rent")
 
 
 @register("rent", None)
@@ -104,29 +163,46 @@ def q_rent(spark, sf):
     return q_rent_fit_score(spark, sf)
 
 
+@register("rent_bounds", O.with_base(
+    f"SELECT a.listing_id, {O.r('a.price')} AS price, CAST(12 AS DOUBLE) AS months, true AS at_least_yield_share FROM active a"))
+def q_rent_bounds(spark, sf):
+    """E-7: what holds exactly for any fit: every active listing has one rent,
+    a year is twelve months, and the blend is at least the yield's share."""
+    df = q_rent_fit_score(spark, sf)
+    from plotline.operators.invest import with_state_yield
+    share = F.lit(C.RENT_YIELD_WEIGHT) * F.col("price") * F.col("gross_yield") / 12
+    return P.rounded(with_state_yield(df).select(
+        "listing_id", "price", (F.col("est_annual_rent") / F.col("est_monthly_rent")).alias("months"),
+        (F.col("est_monthly_rent") >= share * (1 - 1e-12)).alias("at_least_yield_share")))
+
+
 @register("lead_fit", None)
 def q_lead_fit(spark, sf):
     """E-8 (+ E-4, E-5 on the test split, E-6 gate)."""
-    m = lead(spark, sf).metrics
-    return spark.createDataFrame([(m["auc"], m["average_precision"], float(m["pos_weight"]),
-                                   m["auc"] is not None and m["auc"] >= C.LEAD_MIN_AUC)],
-                                 "auc double, average_precision double, pos_weight double, passed boolean")
+    schema = "auc double, average_precision double, pos_weight double, passed boolean"
+    ld = lead(spark, sf)
+    if ld is None:
+        return _nothing(spark, schema)
+    m = ld.metrics
+    return spark.createDataFrame([(m["auc"], m["average_precision"], m["pos_weight"], m["gate"]["passed"])], schema)
 
 
 @register("platt_calibrate", None)
 def q_platt_calibrate(spark, sf):
-    """E-9: calibrated probabilities next to the raw margin."""
+    """E-9: calibrated probabilities next to the raw margin, of the same row."""
     ld = lead(spark, sf)
-    x = ld.model.transform(ld.prep.transform(P.lead_labeled_df(spark, sf).na.drop(subset=["years_since_last_sale"])))
-    margin = x.select("listing_id", vector_to_array("rawPrediction")[1].alias("margin"))
-    scored = ld.predict(P.lead_labeled_df(spark, sf).na.drop(subset=["years_since_last_sale"]))
-    return margin.join(scored.select("listing_id", "lead_score"), "listing_id")
+    if ld is None:
+        return _nothing(spark, "listing_id string, margin double, lead_score double")
+    rows = P.lead_labeled_df(spark, sf).na.drop(subset=["years_since_last_sale"])
+    return ld.predict(rows).select("listing_id", "margin", "lead_score")
 
 
 @register("lead_score", None)
 def q_lead_score(spark, sf):
-    """E-10: every lead scored (scoring fill: zero, as in the notebook)."""
+    """E-10 / C-8: every lead scored (scoring fill: zero, as in the notebook)."""
     ld = lead(spark, sf)
+    if ld is None:
+        return _nothing(spark, _LEAD_SCHEMA)
     return ld.predict(P.lead_df(spark, sf), fill="zero").select(*C.ADDRESS_KEYS, "listing_id", "lead_score",
                                                                 "lead_tier")
 
@@ -137,12 +213,24 @@ def q_lead(spark, sf):
     return q_lead_score(spark, sf)
 
 
+@register("lead_bounds", O.with_base(
+    "SELECT listing_id, street, true AS in_range, true AS tier_fits FROM lead"))
+def q_lead_bounds(spark, sf):
+    """E-10: what holds exactly for any fit: every lead has one score in [0, 1]
+    and the tier that its score asks for."""
+    df = q_lead_score(spark, sf)
+    s = F.col("lead_score")
+    want = F.when(s <= C.LEAD_COOL_MAX, "cool").when(s <= C.LEAD_WARM_MAX, "warm").otherwise("hot")
+    return df.select("listing_id", "street", s.between(0, 1).alias("in_range"), (want == F.col("lead_tier")).alias("tier_fits"))
+
+
 @register("valuation_investment", None)
 def q_valuation_investment(spark, sf):
-    """C-9 on model output: investment measures from the valuation estimates
-    and the rent model, joined on the listing surrogate key."""
+    """C-9 on model output: investment measures from the valuation estimate
+    and the rent of the same row (no join)."""
     from plotline.operators.invest import investment_scores
-    est = valuation(spark, sf)[1]
-    r = rent(spark, sf).predict(active_features(spark, sf)).select("listing_id", "est_monthly_rent", "state_tier")
-    j = est.join(r, "listing_id", "left")
-    return investment_scores(j, keep=("listing_id", *C.ADDRESS_KEYS))
+    df = valuation(spark, sf).predict(active_features(spark, sf))
+    r = rent(spark, sf)
+    df = r.predict(df) if r is not None else df.withColumn("est_monthly_rent", F.lit(None).cast("double"))
+    df = df.select("listing_id", *C.ADDRESS_KEYS, "state_tier", "avm_estimate", "est_monthly_rent")
+    return investment_scores(df, keep=("listing_id", *C.ADDRESS_KEYS))

@@ -89,7 +89,7 @@ def q_impute_zero(spark, sf):
     return P.rounded(PR.impute(df, C.AVM_NUMERIC, C.AVM_BINARY, C.AVM_CATEGORICAL, 0.0).select("listing_id", *AVM_ALL))
 
 
-SCALE_COLS = ["bed", "bath", "house_size", "acre_lot", "census_median_income"]
+SCALE_COLS = C.AVM_NUMERIC
 
 
 @register("standard_scale", O.with_base(
@@ -108,22 +108,24 @@ def q_standard_scale(spark, sf):
 _HOLD_OUT = "(" + ", ".join(O.q(s) for s in C.AVM_TEST_STATES) + ")"
 
 
-@register("ordinal_encode", O.with_base(
-    "SELECT p.listing_id, coalesce(vs.code, -1) AS state_code, coalesce(vt.code, -1) AS property_type_code "
-    "FROM prop p "
-    "LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM "
-    f"(SELECT DISTINCT state AS v FROM prop WHERE state NOT IN {_HOLD_OUT} AND state IS NOT NULL)) vs ON p.state = vs.v "
-    "LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM "
-    f"(SELECT DISTINCT property_type AS v FROM prop WHERE state NOT IN {_HOLD_OUT} AND property_type IS NOT NULL)) vt "
-    "ON p.property_type = vt.v"))
+def _codes_sql(src: str, fit_where: str) -> str:
+    """The ordinal codes of every category of ``src``, vocabularies from the rows that ``fit_where`` keeps."""
+    joins = " ".join(
+        f"LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {c} AS v "
+        f"FROM {src} WHERE {fit_where} AND {c} IS NOT NULL)) v_{c} ON p.{c} = v_{c}.v" for c in C.AVM_CATEGORICAL)
+    return ", ".join(f"coalesce(v_{c}.code, -1) AS {c}_code" for c in C.AVM_CATEGORICAL) + f" FROM {src} p {joins}"
+
+
+@register("ordinal_encode", O.with_base(f"SELECT p.listing_id, {_codes_sql('prop', f'state NOT IN {_HOLD_OUT}')}"))
 def q_ordinal_encode(spark, sf):
-    """M-4: vocabularies fitted on the non-held-out states, applied to all
-    rows; the held-out states are unseen and get -1."""
+    """M-4: vocabularies of all five categories fitted on the non-held-out
+    states, applied to all rows; the held-out states are unseen and get -1."""
     prop = P.prop_df(spark, sf)
     fit = prop.filter(~F.col("state").isin(*C.AVM_TEST_STATES))
-    out = PR.ordinal_encode(prop, "state", PR.fit_vocabulary(fit, "state"), "state_code")
-    out = PR.ordinal_encode(out, "property_type", PR.fit_vocabulary(fit, "property_type"), "property_type_code")
-    return out.select("listing_id", F.col("state_code").cast("int"), F.col("property_type_code").cast("int"))
+    out = prop
+    for c in C.AVM_CATEGORICAL:
+        out = PR.ordinal_encode(out, c, PR.fit_vocabulary(fit, c), f"{c}_code")
+    return out.select("listing_id", *[f"{c}_code" for c in C.AVM_CATEGORICAL])
 
 
 @register("random_split", O.with_base(
@@ -156,7 +158,20 @@ def q_stratified_split(spark, sf):
     return train.unionByName(test)
 
 
-@register("group_kfold", None)
+_FOLDS = (f"""SELECT state, fold, n AS count FROM folds WHERE i > 0""", TRAIN_CTE, f"""g AS (
+  SELECT state, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, state) AS i FROM train
+  WHERE state NOT IN {_HOLD_OUT} GROUP BY state)""", """folds AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS state, CAST(0 AS BIGINT) AS n, 0 AS fold,
+    CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1, CAST(0 AS BIGINT) AS l2
+  UNION ALL
+  SELECT x.i, x.state, x.n, x.fold, l0 + CASE WHEN x.fold = 0 THEN x.n ELSE 0 END,
+    l1 + CASE WHEN x.fold = 1 THEN x.n ELSE 0 END, l2 + CASE WHEN x.fold = 2 THEN x.n ELSE 0 END
+  FROM (SELECT g.i, g.state, g.n, f.l0, f.l1, f.l2,
+          CASE WHEN l0 <= l1 AND l0 <= l2 THEN 0 WHEN l1 <= l2 THEN 1 ELSE 2 END AS fold
+        FROM folds f JOIN g ON g.i = f.i + 1) x)""")
+
+
+@register("group_kfold", O.with_base(*_FOLDS).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_group_kfold(spark, sf):
     """M-8: 3 folds over the training states; no state spans two folds."""
     df = train_df(spark, sf).filter(~F.col("state").isin(*C.AVM_TEST_STATES))

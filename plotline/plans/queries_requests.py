@@ -56,22 +56,43 @@ def request_batch(spark, sf):
 def _models(spark, sf):
     from plotline.operators.forecast import baseline_medians
     from plotline.plans.queries_models import lead, valuation
-    return {"valuation": valuation(spark, sf)[0], "lead": lead(spark, sf),
+    return {"valuation": valuation(spark, sf), "lead": lead(spark, sf),
             "baseline": baseline_medians(P.active_df(spark, sf))}
 
 
+_FORECAST_KEYS = ("forecast_month", "forecast_price", "forecast_price_high", "forecast_price_low", "last_actual",
+                  "property_type", "state")
+#: Every request as (request_id, model_type, kind), as ``request_batch`` makes them.
+_BATCH = """batch AS (
+  SELECT 'avm-' || listing_id AS request_id, 'avm' AS model_type, 'avm' AS kind FROM active
+  UNION ALL SELECT 'lead-' || listing_id, ' lead_scoring ', 'lead' FROM lead
+  UNION ALL SELECT DISTINCT 'fc-' || state || '|' || property_type, 'price_forecast', 'fc' FROM active
+  UNION ALL SELECT DISTINCT 'ex-' || property_type, 'avm', 'avm' FROM active
+  UNION ALL SELECT 'unk-' || listing_id, 'valuation', 'unknown' FROM bronze WHERE status = 'pending'
+  UNION ALL SELECT 'bad-' || listing_id, 'avm', 'bad' FROM bronze WHERE status = 'ready_to_build')"""
+_EXPLODED = ["bed", "bath", "house_size", "acre_lot", "years_since_last_sale", "price"]
+
+
+def _exploded_sql(kind: str, src: str, fields: list[str]) -> str:
+    nums = [f"{O.r(f'coalesce({c}, CAST(0.0 AS DOUBLE))') if c in fields else 'CAST(0.0 AS DOUBLE)'} AS {c}" for c in _EXPLODED]
+    cats = [f"coalesce({c}, 'unknown') AS {c}" if c in fields else f"'unknown' AS {c}" for c in ("state", "zip_code", "property_type")]
+    return f"SELECT '{kind}-' || listing_id AS request_id, 0 AS pos, {', '.join(nums + cats)} FROM {src}"
+
+
 @register("payload_explode", O.with_base(
-    "SELECT 'avm-' || listing_id AS request_id, 0 AS pos, " + ", ".join(
-        f"{O.r(f'coalesce({c}, CAST(0.0 AS DOUBLE))')} AS {c}" for c in ["bed", "bath", "house_size", "acre_lot"])
-    + ", " + ", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in ["state", "zip_code", "property_type"])
-    + " FROM active"))
+    f"{_exploded_sql('avm', 'active', AVM_FIELDS)} UNION ALL {_exploded_sql('lead', 'lead', LEAD_FIELDS)} UNION ALL "
+    "SELECT DISTINCT 'fc-' || state || '|' || property_type, 0, " + ", ".join(["CAST(0.0 AS DOUBLE)"] * len(_EXPLODED))
+    + ", state, 'unknown', property_type FROM active UNION ALL SELECT DISTINCT 'ex-' || property_type, 0, "
+    + ", ".join(["CAST(0.0 AS DOUBLE)"] * len(_EXPLODED)) + ", 'unknown', 'unknown', property_type FROM active "
+    f"UNION ALL SELECT 'unk-' || listing_id, 0, {O.r('coalesce(bed, CAST(0.0 AS DOUBLE))')}, "
+    f"{O.r('coalesce(bath, CAST(0.0 AS DOUBLE))')}, " + ", ".join(["CAST(0.0 AS DOUBLE)"] * (len(_EXPLODED) - 2))
+    + ", 'unknown', 'unknown', 'unknown' FROM bronze WHERE status = 'pending'"))
 def q_payload_explode(spark, sf):
-    """K-1: payload arrays parsed into typed records with defaults."""
-    parsed = RQ.parse_payload(avm_requests(spark, sf))
-    rec = RQ.explode_records(parsed, ["bed", "bath", "house_size", "acre_lot"], [],
-                             ["state", "zip_code", "property_type"])
-    return P.rounded(rec.select("request_id", "pos", "bed", "bath", "house_size", "acre_lot", "state", "zip_code",
-                                "property_type"))
+    """K-1: payload arrays of every request kind parsed into typed records with
+    defaults (a payload that does not parse has no record)."""
+    parsed = RQ.parse_payload(request_batch(spark, sf))
+    rec = RQ.explode_records(parsed, _EXPLODED, [], ["state", "zip_code", "property_type"])
+    return P.rounded(rec.select("request_id", "pos", *_EXPLODED, "state", "zip_code", "property_type"))
 
 
 @register("route_unknown", O.with_base(
@@ -80,42 +101,73 @@ def q_payload_explode(spark, sf):
 def q_route_unknown(spark, sf):
     """K-3: an unknown model type answers with an error object."""
     req = request_batch(spark, sf).filter(F.col("request_id").startswith("unk-"))
-    return RQ.route(req).select("request_id", "result")
+    return RQ.route(req, C.ADAPTER_AS_OF).select("request_id", "result")
 
 
 @register("route_requests", None)
 def q_route_requests(spark, sf):
-    """K-2: the whole request batch routed to the valuation, lead and forecast plans."""
-    return RQ.route(request_batch(spark, sf), **_models(spark, sf))
+    """K-2 + K-5: the whole request batch routed to the valuation, lead and
+    forecast plans, identical requests answered once."""
+    return RQ.route_deduplicated(request_batch(spark, sf), C.ADAPTER_AS_OF, **_models(spark, sf))
+
 
+_FC_NUMBERS = ["forecast_price", "forecast_price_low", "forecast_price_high", "last_actual"]
 
-@register("records_to_json", None)
+
+@register("records_to_json", O.with_base(
+    "SELECT r.request_id, CAST(f.k - 1 AS INTEGER) AS pos, strftime(f.forecast_month, '%Y-%m-%dT00:00:00.000') AS forecast_month, "
+    + ", ".join(f"{O.r('f.' + c)} AS {c}" for c in _FC_NUMBERS) + ", f.state, f.property_type "
+    "FROM (SELECT DISTINCT state, property_type, 'fc-' || state || '|' || property_type AS request_id FROM active) r "
+    "LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY state, property_type ORDER BY forecast_month) AS k FROM forecast) f "
+    "ON r.state = f.state AND r.property_type = f.property_type"))
 def q_records_to_json(spark, sf):
     """K-4: forecast requests answered as JSON record arrays (ISO months, [] for
-    a segment without a baseline)."""
+    a segment without a baseline), parsed back."""
     from plotline.operators.forecast import baseline_medians
     req = request_batch(spark, sf).filter(F.col("request_id").startswith("fc-"))
-    return RQ.route(req, baseline=baseline_medians(P.active_df(spark, sf)))
+    answers = RQ.unpack_responses(RQ.route(req, C.ADAPTER_AS_OF, baseline=baseline_medians(P.active_df(spark, sf))))
+    r = F.col("record")
+    return P.rounded(answers.select("request_id", "pos", r["forecast_month"].alias("forecast_month"),
+                                    *[r[c].cast("double").alias(c) for c in _FC_NUMBERS],
+                                    r["state"].alias("state"), r["property_type"].alias("property_type")))
 
 
 _DEDUP_KEY = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in AVM_FIELDS)
+_LEAD_FLAGS = ["hold_0_2", "hold_2_5", "hold_5_10", "hold_10_plus", "long_hold", "very_long_hold"]
+_LEAD_KEY = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in LEAD_FIELDS)
 
 
 @register("request_dedupe", O.with_base(
     f"SELECT 'avm-' || listing_id AS request_id, min('avm-' || listing_id) OVER (PARTITION BY {_DEDUP_KEY}) "
-    "AS answered_by FROM active"))
+    f"AS answered_by FROM active UNION ALL SELECT 'lead-' || listing_id, min('lead-' || listing_id) OVER (PARTITION BY {_LEAD_KEY}) "
+    "FROM lead UNION ALL SELECT request_id, request_id FROM (SELECT DISTINCT 'fc-' || state || '|' || property_type AS request_id "
+    "FROM active) UNION ALL SELECT request_id, request_id FROM (SELECT DISTINCT 'ex-' || property_type AS request_id FROM active) "
+    "UNION ALL SELECT 'unk-' || listing_id, min('unk-' || listing_id) OVER (PARTITION BY bed, bath) FROM bronze "
+    "WHERE status = 'pending' UNION ALL SELECT 'bad-' || listing_id, min('bad-' || listing_id) OVER (PARTITION BY bed) "
+    "FROM bronze WHERE status = 'ready_to_build'"))
 def q_request_dedupe(spark, sf):
-    """K-5: identical valuation requests map to one answered request."""
-    req = avm_requests(spark, sf)
-    unique, keys = RQ.dedupe_requests(req)
+    """K-5: identical requests of every kind map to one answered request."""
+    unique, keys = RQ.dedupe_requests(request_batch(spark, sf))
     return keys.join(unique.select("_key", F.col("request_id").alias("answered_by")), "_key") \
         .select("request_id", "answered_by")
 
 
-@register("response_unpack", None)
+_UNKNOWN = "'Unknown model_type ''valuation''. Use: avm, lead_scoring, price_forecast'"
+
+
+@register("response_unpack", O.with_base(
+    "SELECT b.request_id, CASE b.kind WHEN 'unknown' THEN " + _UNKNOWN + " WHEN 'bad' THEN 'payload is not a JSON array of "
+    "records' END AS error, CASE WHEN b.kind IN ('avm', 'lead') THEN 0 WHEN b.kind = 'fc' THEN CAST(f.k - 1 AS INTEGER) END AS pos, "
+    "CASE WHEN b.kind = 'avm' THEN 'estimate,high,low' WHEN b.kind = 'lead' THEN 'lead_score' WHEN f.k IS NOT NULL THEN '"
+    + ",".join(_FORECAST_KEYS) + "' END AS keys FROM batch b LEFT JOIN (SELECT 'fc-' || state || '|' || property_type AS "
+    "request_id, row_number() OVER (PARTITION BY state, property_type ORDER BY forecast_month) AS k FROM forecast) f "
+    "ON b.request_id = f.request_id", _BATCH))
 def q_response_unpack(spark, sf):
-    """K-6: answers unpacked into records, errors surfaced as a column."""
-    return RQ.unpack_responses(RQ.route(request_batch(spark, sf), **_models(spark, sf)))
+    """K-6: answers of the whole batch unpacked into records (their fields
+    here, as fitted values have no SQL form), errors surfaced as a column."""
+    answers = RQ.unpack_responses(RQ.route_deduplicated(request_batch(spark, sf), C.ADAPTER_AS_OF, **_models(spark, sf)))
+    return answers.select("request_id", "error", "pos",
+                          F.array_join(F.array_sort(F.map_keys("record")), ",").alias("keys"))
 
 
 def _example_sql() -> str:
@@ -134,54 +186,67 @@ def q_example_payload(spark, sf):
     return request_batch(spark, sf).filter(F.col("request_id").startswith("ex-"))
 
 
-@register("schema_contract", None)
+@register("schema_contract", O.with_base(
+    "SELECT request_id, model_type, CASE WHEN kind = 'bad' THEN NULL ELSE 1 END AS records, "
+    "CASE kind WHEN 'unknown' THEN true WHEN 'bad' THEN true ELSE false END AS answered FROM batch", _BATCH))
 def q_schema_contract(spark, sf):
-    """K-9: the batch checked against the (model_type, payload) string contract."""
-    return RQ.check_schema(request_batch(spark, sf))
+    """K-9: the batch checked against the (model_type, payload) text contract;
+    the records of a payload, and whether its answer (without any model: an
+    error for unknown types and broken payloads) is the one text column."""
+    batch = RQ.check_schema(request_batch(spark, sf))
+    parsed = RQ.parse_payload(batch)
+    answers = RQ.check_answers(RQ.route(batch, C.ADAPTER_AS_OF)).filter(~F.col("result").contains("model unavailable"))
+    answered = answers.select("request_id", F.lit(True).alias("answered")).distinct()
+    return (parsed.select("request_id", "model_type", F.when(F.col("records").isNotNull(), F.size("records")).alias("records"))
+            .join(answered, "request_id", "left").withColumn("answered", F.coalesce("answered", F.lit(False))))
 
 
 # ------------------------------------------------------------- writes, tables
 def _scratch(spark, name, sf):
     from plotline.session import scratch_path
-    return scratch_path(spark, f"tables/{name}/{abs(hash(sf))}")
+    return scratch_path(spark, f"tables/{P.sf_key(spark, sf)}/{name}")
 
 
 @register("write_overwrite", O.with_base(f"SELECT {sel(['state', 'zip_code', 'property_type', 'sold_count', 'median_sold_price'])} FROM market"))
 def q_write_overwrite(spark, sf):
-    """S-7: overwrite a table (schema replaced) and read it back."""
+    """S-7: a table of another schema is overwritten, the new schema is read back."""
     path = _scratch(spark, "market_snapshots", sf)
-    P.market_df(spark, sf).write.mode("overwrite").option("overwriteSchema", "true").parquet(path)
-    return P.rounded(spark.read.parquet(path).select("state", "zip_code", "property_type", "sold_count",
-                                                     "median_sold_price"))
+    market = P.market_df(spark, sf)
+    market.groupBy("state").agg(F.count(F.lit(1)).alias("old_rows")).write.mode("overwrite").parquet(path)
+    market.select("state", "zip_code", "property_type", "sold_count", "median_sold_price").write.mode("overwrite").parquet(path)
+    return P.rounded(spark.read.parquet(path))
 
 
-@register("write_partitioned", O.with_base("SELECT listing_id, state, status FROM bronze WHERE state = 'Texas'"))
+@register("write_partitioned", O.with_base("SELECT listing_id, state, status FROM bronze"))
 def q_write_partitioned(spark, sf):
-    """S-8: hive-style partitions by state; a state filter prunes to one folder."""
+    """S-8: hive-style partitions by state, rows placed by state first (a task
+    writes few states; large states are split over tasks)."""
+    from plotline.operators.quality import write_by
     path = _scratch(spark, "bronze_listings", sf)
-    P.bronze_df(spark, sf).write.mode("overwrite").partitionBy("state").parquet(path)
-    return spark.read.parquet(path).filter(F.col("state") == "Texas").select("listing_id", "state", "status")
+    write_by(P.bronze_df(spark, sf), path, "state")
+    return spark.read.parquet(path).select("listing_id", "state", "status")
 
 
-def _ensure_namespaces(spark, sf):
-    for db in ("plotline_bronze", "plotline_silver", "plotline_gold", "plotline_features"):
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{_scratch(spark, db, sf)}'")
-    if not spark.catalog.tableExists("plotline_bronze.listings"):
-        P.bronze_df(spark, sf).write.mode("overwrite").partitionBy("state").saveAsTable("plotline_bronze.listings")
+def _ensure_namespaces(spark, sf) -> str:
+    """The four namespaces of this input folder; returns the name of the bronze table, saved anew."""
+    key = P.sf_key(spark, sf)
+    for db in ("bronze", "silver", "gold", "features"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS plotline_{db}_{key} LOCATION '{_scratch(spark, 'db_' + db, sf)}'")
+    table = f"plotline_bronze_{key}.listings"
+    P.bronze_df(spark, sf).hint("rebalance", "state").write.mode("overwrite").partitionBy("state").saveAsTable(table)
+    return table
 
 
 @register("create_namespace", O.with_base("SELECT state, count(*) AS n FROM bronze GROUP BY state"))
 def q_create_namespace(spark, sf):
     """S-9: the four namespaces, the bronze table saved into one, counted back."""
-    _ensure_namespaces(spark, sf)
-    return spark.table("plotline_bronze.listings").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return spark.table(_ensure_namespaces(spark, sf)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("scan_table", O.with_base("SELECT listing_id, status, zip_code FROM bronze"))
 def q_scan_table(spark, sf):
     """S-3: read a named table."""
-    _ensure_namespaces(spark, sf)
-    return spark.table("plotline_bronze.listings").select("listing_id", "status", "zip_code")
+    return spark.table(_ensure_namespaces(spark, sf)).select("listing_id", "status", "zip_code")
 
 
 @register("row_counts", O.with_base(
@@ -195,7 +260,7 @@ def q_row_counts(spark, sf):
     s = P.silver_df(spark, sf)
     paths = {}
     for name, df in (("sold_listings", P.sold_listings(s)), ("active_listings", P.active_listings(s)),
-                     ("market_snapshots", P.market_snapshot(s))):
+                     ("market_snapshots", P.market_df(spark, sf))):
         paths[name] = _scratch(spark, f"rc_{name}", sf)
         df.write.mode("overwrite").parquet(paths[name])
     paths["investment_scores"] = _scratch(spark, "rc_never_written", sf)
@@ -208,7 +273,7 @@ def q_skip_empty_write(spark, sf):
     """S-12: write only non-empty output (an empty frame leaves no table)."""
     from plotline.operators.forecast import price_forecasts
     from plotline.operators.quality import write_if_not_empty
-    fc = price_forecasts(P.active_df(spark, sf))
+    fc = price_forecasts(P.active_df(spark, sf), C.ADAPTER_AS_OF)
     path = _scratch(spark, "price_forecasts", sf)
     write_if_not_empty(fc.filter(F.lit(False)), _scratch(spark, "empty_forecasts", sf))
     write_if_not_empty(fc, path)
@@ -217,16 +282,14 @@ def q_skip_empty_write(spark, sf):
 
 @register("route_stream", None)
 def q_route_stream(spark, sf):
-    """K-2 as a stream: the forecast requests land as JSON files, a
-    Structured Streaming job routes each micro-batch, answers are read back."""
-    from plotline.operators.forecast import baseline_medians
+    """K-2 as a stream: every request lands as JSON, a Structured Streaming job
+    routes each micro-batch to all three models, answers are read back."""
     from plotline.streaming.requests_stream import serve
     base = _scratch(spark, "request_stream", sf)
-    req = request_batch(spark, sf).filter(F.col("request_id").startswith("fc-") | F.col("request_id").startswith("unk-"))
-    req.write.mode("overwrite").json(f"{base}/landing")
+    request_batch(spark, sf).write.mode("overwrite").json(f"{base}/landing")
     import uuid
     run = uuid.uuid4().hex
-    q = serve(spark, f"{base}/landing", f"{base}/answers/{run}", f"{base}/checkpoints/{run}",
-              baseline=baseline_medians(P.active_df(spark, sf)))
+    q = serve(spark, f"{base}/landing", f"{base}/answers/{run}", f"{base}/checkpoints/{run}", C.ADAPTER_AS_OF,
+              **_models(spark, sf))
     q.awaitTermination()
     return spark.read.parquet(f"{base}/answers/{run}").select("request_id", "model_type", "result")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job relies on; everything else is left to the cluster defaults.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # approximate medians over many thousands of segments a task; the default falls back to sorting after 128 keys
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -37,21 +40,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only
-    when it is unset (local tests) a scratch folder is created.
+    Only a local session may leave it unset (tests); a scratch folder is made for it then. On a cluster a missing
+    setting is an error, since a folder of one machine would lose the tables.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="plotline-ckpt-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="plotline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A path under the shared folder, of this application only."""
+    return f"{ensure_checkpoint_dir(spark)}/plotline-{spark.sparkContext.applicationId}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: columns are pruned and filters pushed
+    down in what reads it, and a lost executor costs no recomputation of what came before."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

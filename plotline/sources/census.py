@@ -14,7 +14,8 @@ CENSUS_HEADER = ["NAME", *C.CENSUS_VARIABLES, C.CENSUS_ZIP_FIELD]
 
 
 def read_census_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed response file (column ``doc``)."""
+    """One row per landed response file (column ``doc``). A response covers one
+    request (a state's zips), so a file is read whole."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
 
 
@@ -52,12 +53,10 @@ def null_census_columns(df: DataFrame) -> DataFrame:
 
 
 def join_census(df: DataFrame, census: DataFrame | None) -> DataFrame:
-    """Left join on zip_code; census is bounded by the zip universe, so it is
-    broadcast after a row-count check."""
+    """Left join on zip_code (the planner broadcasts census if it is small)."""
     if census is None:
         return null_census_columns(df)
-    from plotline.functions.dims import broadcast_if_bounded
-    return df.join(broadcast_if_bounded(census), "zip_code", "left")
+    return df.join(census, "zip_code", "left")
 
 
 # ------------------------------------------------------- fixture documents
@@ -95,6 +94,11 @@ def census_fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                zip5).alias("row"))
 
 
+def land_census_documents(docs: DataFrame, path: str) -> None:
+    """Land response documents as text files under one folder per state."""
+    docs.select("state", "doc").repartition("state").write.mode("overwrite").partitionBy("state").text(path)
+
+
 def census_fixture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Render the fixture as one response document per state (header first).
 

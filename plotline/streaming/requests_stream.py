@@ -2,18 +2,21 @@
 
 The notebook answers requests one HTTP call at a time; here request files
 landing in a folder are a stream source, and every micro-batch is routed with
-the same batch plan (``operators.requests.route``). Each micro-batch's answers
-are written to their own ``batch_id=<n>`` folder with overwrite, so a batch
+the same batch plan: identical requests of a micro-batch are answered once
+(``operators.requests.route_deduplicated``). Each micro-batch's answers are
+written to their own ``batch_id=<n>`` folder with overwrite, so a batch
 replayed after a failure replaces its own output (idempotent), and the
 stream's progress lives in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.operators.requests import route
+from plotline.operators.requests import route_deduplicated
 
 REQUEST_FILE_SCHEMA = "request_id string, model_type string, payload string"
 
@@ -23,12 +26,13 @@ def request_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
             .option("maxFilesPerTrigger", max_files_per_trigger).load(landing))
 
 
-def serve(spark: SparkSession, landing: str, out: str, checkpoint: str, available_now: bool = True, **models):
+def serve(spark: SparkSession, landing: str, out: str, checkpoint: str, as_of: _dt.date, available_now: bool = True,
+          **models):
     """Start the routing stream; with ``available_now`` it processes what has
     landed and stops (a scheduled batch); otherwise it keeps running."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        (route(batch, **models).withColumn("answered_at", F.current_timestamp())
+        (route_deduplicated(batch, as_of, **models).withColumn("answered_at", F.current_timestamp())
          .write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}"))
 
     writer = (request_stream(spark, landing).writeStream.foreachBatch(answer)

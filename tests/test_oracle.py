@@ -8,9 +8,10 @@ from tools.check_oracle import TABLES, rows_of
 
 from .conftest import SF_SMALL
 
-KEYS = ["market_snapshot", "census_parse", "silver", "gold_property", "gold_lead", "forecast_all",
+KEYS = ["market_snapshot", "census_parse", "silver", "gold_property", "gold_lead", "forecast_all", "group_kfold", "irr",
         "investment_scores", "loan_balance", "motivated_label", "roc_auc", "stratified_split",
-        "global_median_fill", "route_unknown", "request_dedupe", "write_partitioned"]
+        "global_median_fill", "route_unknown", "request_dedupe", "write_partitioned", "table_exists_fallback", "records_to_json",
+        "payload_explode", "lineage_cols", "holdout_by_group", "create_namespace", "scan_table", "write_overwrite", "join_rent_left"]
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from plotline.functions.running import exact_medians, running_totals
+from plotline.functions.running import column_medians, distinct_ranks, group_medians, running_totals
 from plotline.operators import metrics as M
 from plotline.operators import prep as PR
 
@@ -15,7 +15,7 @@ def test_exact_medians_with_ties_and_nulls(spark):
     rows = [(float(rng.choice([1, 2, 2, 3, 5, 8])), rng.random() if rng.random() > 0.2 else None,
              float(rng.randint(0, 10 ** 6))) for _ in range(5001)]
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
-    got = exact_medians(df, ["a", "b", "c"], collect_limit=20)  # forces several narrowing rounds
+    got = column_medians(df, ["a", "b", "c"])
     for i, c in enumerate("abc"):
         vals = [r[i] for r in rows if r[i] is not None]
         assert got[c] == float(np.median(vals)), c
@@ -24,8 +24,16 @@ def test_exact_medians_with_ties_and_nulls(spark):
 def test_running_totals_matches_cumsum(spark):
     rows = [(float(i), i % 3) for i in range(2000)]
     df = spark.createDataFrame(rows, "k double, v long").repartition(5)
-    out = running_totals(df, "k", ["v"], rows_per_bucket=100).orderBy("k").collect()
+    out = running_totals(df, "k", ["v"]).orderBy("k").collect()
     assert [r["cum_v"] for r in out] == list(np.cumsum([r[1] for r in rows]))
+    down = running_totals(df, "k", ["v"], descending=True).orderBy("k", ascending=False).collect()
+    assert [r["cum_v"] for r in down] == list(np.cumsum([r[1] for r in rows[::-1]]))
+    assert running_totals(df.filter("false"), "k", ["v"]).count() == 0
+
+
+def test_distinct_ranks(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "x string").repartition(4)
+    assert sorted(map(tuple, distinct_ranks(df, "x").collect())) == [("a", 0), ("b", 1), ("c", 2)]
 
 
 def test_auc_and_ap_brute_force(spark):
@@ -65,26 +73,29 @@ def test_group_kfold_never_splits_groups(spark):
     assert out.select("fold").distinct().count() == 3
 
 
-def test_exact_split_refines_large_buckets_and_keeps_duplicates(spark):
+def test_exact_split_with_few_prefixes_keeps_duplicates(spark):
     rows = [(f"id{i % 900}", i % 3 == 0) for i in range(1000)]  # 100 keys appear twice
     df = spark.createDataFrame(rows, "listing_id string, lab boolean").withColumn("lab", F.col("lab").cast("int"))
-    out = PR.exact_split(df, "listing_id", 0.3, 7, label="lab", bucket_hex=1, max_rank_rows=5)
+    out = PR.exact_split(df, "listing_id", 0.3, 7, label="lab", bucket_hex=1)
     assert out.count() == 1000
     counts = out.groupBy("lab").agg(F.sum("is_test").alias("t"), F.count("*").alias("n")).collect()
     for r in counts:
         assert r["t"] == -(-3 * r["n"] // 10)
 
 
-def test_exact_group_medians(spark):
-    from plotline.functions.running import exact_group_medians
+def test_group_medians_with_a_null_key_and_nan(spark):
     rng = random.Random(11)
-    rows = [(f"g{rng.randint(0, 4)}", float(rng.choice([1, 2, 3, 3, 9])) if rng.random() < 0.5
+    rows = [(rng.choice(["g0", "g1", "g2", None]), float(rng.choice([1, 2, 3, 3, 9])) if rng.random() < 0.5
              else rng.random() * 1000) for _ in range(4000)]
-    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
-    got = {r["g"]: (r["median"], r["n"]) for r in exact_group_medians(df, ["g"], "v", collect_limit=10, direct_limit=10).collect()}
+    df = spark.createDataFrame(rows + [("g0", float("nan")), ("g1", None)], "g string, v double").repartition(6)
+    got = {r["g"]: (r["median"], r["n"]) for r in group_medians(df, ["g"], "v").collect()}
     for g in set(x for x, _ in rows):
         vals = [v for x, v in rows if x == g]
         assert got[g] == (float(np.median(vals)), len(vals))
 
-    direct = {r["g"]: (r["median"], r["n"]) for r in exact_group_medians(df, ["g"], "v").collect()}
-    assert direct == got
+
+def test_nan_scores_take_no_part(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    assert M.roc_auc(df, "y", "s").first()["auc"] == 1.0
+    assert M.average_precision(df.repartition(4), "y", "s").first()["average_precision"] == 1.0

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plotline.operators.market import market_snapshot
 from plotline.plans import common as P
+from plotline.config import ADAPTER_AS_OF as AS_OF
 from plotline.sources.listings import read_table
 
 from .conftest import SF_SMALL
@@ -14,7 +15,7 @@ def plan(df):
 
 
 def test_market_snapshot_single_aggregation_no_udf(spark):
-    p = plan(market_snapshot(P.silver_df(spark, SF_SMALL)))
+    p = plan(market_snapshot(P.silver_df(spark, SF_SMALL), AS_OF))
     assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     # one aggregation shuffle (hash partitioning on the segment keys), no sort-merge join
     assert p.count("ObjectHashAggregate") + p.count("HashAggregate") >= 2
@@ -31,7 +32,7 @@ def test_filters_and_columns_pushed_to_scan(spark):
 def test_literal_dims_broadcast(spark):
     p = plan(P.silver_df(spark, SF_SMALL).groupBy("state_tier").count())
     silver_plan = plan(__import__("plotline.operators.silver", fromlist=["silver"]).silver(
-        P.bronze_df(spark, SF_SMALL), None))
+        P.bronze_df(spark, SF_SMALL), None, AS_OF))
     assert "BroadcastHashJoin" in silver_plan
     assert p
 
@@ -40,7 +41,61 @@ def test_market_snapshot_independent_of_partitioning(spark):
     """Exact-decimal averages and order-free aggregates: identical results for
     1 and 8 input partitions (not just equal after rounding)."""
     s = P.silver_df(spark, SF_SMALL)
-    a = market_snapshot(s.coalesce(1)).collect()
-    b = market_snapshot(s.repartition(8, "listing_id")).collect()
+    a = market_snapshot(s.coalesce(1), AS_OF).collect()
+    b = market_snapshot(s.repartition(8, "listing_id"), AS_OF).collect()
     key = lambda r: (r["state"], r["zip_code"], r["property_type"])
     assert sorted(a, key=key) == sorted(b, key=key)
+
+
+def test_layers_are_read_with_pushdown(spark):
+    import __spark_entry__ as E
+    p = plan(E.queries()["filter_price_range"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(price), GreaterThanOrEqual(price," in p
+    assert "ReadSchema: struct<price:double,listing_id:string>" in p
+
+
+def test_investment_scores_without_a_shuffle(spark):
+    import __spark_entry__ as E
+    p = plan(E.queries()["investment_scores"](spark, SF_SMALL))
+    assert "SortMergeJoin" not in p and "hashpartitioning" not in p
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from plotline.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    import pytest
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_files_follow_states_and_not_tasks(spark, tmp_path):
+    import glob
+    from plotline.operators.quality import write_by
+    df = spark.range(5000).selectExpr("id", "concat('s', id % 5) AS state").repartition(40)
+    write_by(df, str(tmp_path / "t"), "state")
+    assert len(glob.glob(str(tmp_path / "t" / "state=*" / "*.parquet"))) <= 10
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 5000
+
+
+def test_two_folders_in_one_session_keep_their_own_tables(spark):
+    import __spark_entry__ as E
+    counts = [E.queries()["create_namespace"](spark, f"/root/testdata/{sf}").groupBy().sum("n").first()[0] for sf in ("sf0.001", "sf0.01")]
+    want = [spark.read.parquet(f"/root/testdata/{sf}/lineitem.parquet").count() for sf in ("sf0.001", "sf0.01")]
+    assert counts == want
+    assert E.queries()["scan_table"](spark, "/root/testdata/sf0.01").count() == want[1]

@@ -6,6 +6,8 @@ from plotline.operators import requests as RQ
 from plotline.operators.forecast import baseline_medians
 from plotline.plans import common as P
 
+from plotline.config import ADAPTER_AS_OF as AS_OF
+
 from .conftest import SF_SMALL
 
 
@@ -20,7 +22,7 @@ def test_unknown_malformed_empty(spark):
         ("r4", "price_forecast", json.dumps([{"state": "Nowhere", "property_type": "SFR"}])),
         ("r5", " price_forecast ", good),
     ], "request_id string, model_type string, payload string")
-    out = {r["request_id"]: r["result"] for r in RQ.route(req, baseline=base).collect()}
+    out = {r["request_id"]: r["result"] for r in RQ.route(req, AS_OF, baseline=base).collect()}
     assert json.loads(out["r1"]) == {"error": "Unknown model_type 'AVM_X'. Use: avm, lead_scoring, price_forecast"}
     assert "error" in json.loads(out["r2"])
     assert out["r3"] == "[]" and out["r4"] == "[]"
@@ -37,3 +39,55 @@ def test_dedupe_answers_identical_requests_once(spark):
     ], "request_id string, model_type string, payload string")
     unique, keys = RQ.dedupe_requests(req)
     assert unique.count() == 2 and keys.count() == 3
+
+
+FIELDS = "request_id string, model_type string, payload string"
+
+
+def segment(spark):
+    base = baseline_medians(P.active_df(spark, SF_SMALL))
+    seg = base.orderBy("state", "property_type").first()
+    return base, {"state": seg["state"], "property_type": seg["property_type"]}, seg["median_price"]
+
+
+def test_one_bad_value_does_not_fail_the_batch(spark):
+    base, seg, _ = segment(spark)
+    req = spark.createDataFrame([
+        ("far", "price_forecast", json.dumps([seg | {"horizon": 1e12}])),
+        ("good", "price_forecast", json.dumps([seg | {"horizon": 3}])),
+        ("zero", "price_forecast", json.dumps([seg | {"horizon": 0}])),
+        ("back", "price_forecast", json.dumps([seg | {"horizon": -2}])),
+    ], FIELDS)
+    out = {r["request_id"]: json.loads(r["result"]) for r in RQ.route(req, AS_OF, baseline=base).collect()}
+    assert len(out["good"]) == 3 and out["zero"] == [] and out["back"] == []
+    assert len(out["far"]) == 12  # no int: the default horizon
+    parsed = RQ.parse_payload(spark.createDataFrame([("f", "avm", '[{"hold_0_2": 1e20, "bed": "x"}, {"hold_0_2": "1"}]')], FIELDS))
+    rows = RQ.explode_records(parsed, ["bed"], ["hold_0_2"]).orderBy("pos").collect()
+    assert [(r["bed"], r["hold_0_2"]) for r in rows] == [(0.0, 0), (0.0, 1)]
+
+
+def test_equal_request_ids_keep_their_own_records(spark):
+    base, seg, _ = segment(spark)
+    req = spark.createDataFrame([("same", "price_forecast", json.dumps([seg | {"horizon": 1}])),
+                                 ("same", "price_forecast", json.dumps([seg | {"horizon": 2}]))], FIELDS)
+    sizes = sorted(len(json.loads(r["result"])) for r in RQ.route(req, AS_OF, baseline=base).collect())
+    assert sizes == [1, 2]
+    again = sorted(len(json.loads(r["result"])) for r in RQ.route_deduplicated(req.union(req), AS_OF, baseline=base).collect())
+    assert again == [1, 1, 2, 2]
+
+
+def test_odd_types_answer_valid_json(spark):
+    base, seg, _ = segment(spark)
+    req = spark.createDataFrame([("null", None, "[]"), ("tab", "a\tb\"c\\d\n", "[]"), ("line", "price_forecast\n", json.dumps([seg]))], FIELDS)
+    out = {r["request_id"]: json.loads(r["result"]) for r in RQ.route(req, AS_OF, baseline=base).collect()}
+    assert out["null"] == {"error": "Unknown model_type 'None'. Use: avm, lead_scoring, price_forecast"}
+    assert out["tab"] == {"error": "Unknown model_type 'a\tb\"c\\d'. Use: avm, lead_scoring, price_forecast"}
+    assert len(out["line"]) == 12
+
+
+def test_unpacking_surfaces_errors_alone_and_in_a_list(spark):
+    df = spark.createDataFrame([("a", '{"error": "x"}'), ("b", '[{"error": "y"}]'), ("c", "[]"), ("d", '[{"v": 1}, {"v": 2}]')],
+                               "request_id string, result string")
+    rows = sorted((r["request_id"], r["error"], r["pos"]) for r in RQ.unpack_responses(df).collect() if r["pos"] is None)
+    assert rows == [("a", "x", None), ("b", "y", None), ("c", None, None)]
+    assert RQ.unpack_responses(df).filter("request_id = 'd'").count() == 2

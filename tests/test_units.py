@@ -116,11 +116,37 @@ def test_irr_matches_polynomial_roots(spark):
     for i, c in enumerate(flows):
         roots = np.roots(c[::-1])
         rates = sorted(1 / z.real - 1 for z in roots if abs(z.imag) < 1e-12 and z.real > 0)
-        inside = [r for r in rates if -0.99 < r < 10]
-        sign_change = npv(c, -0.99) * npv(c, 10.0) < 0
+        inside = [r for r in rates if -1 + 1e-9 < r < 1e6]
+        sign_change = npv(c, -1 + 1e-9) * npv(c, 1e6) < 0
         if not sign_change:
             assert got[i] is None
         elif len(inside) == 1:
             assert abs(got[i] - inside[0]) < 1e-9
             checked += 1
     assert checked > 100
+
+
+def test_irr_far_below_zero(spark):
+    """A deal that loses nearly everything still has its rate (no floor at -99 %)."""
+    df = spark.createDataFrame([([-100.0, 0.0, 0.0, 1e-9],)], "c array<double>")
+    got = df.select(X.irr(F.col("c"), n=4).alias("a"), X.irr(F.col("c")).alias("b")).first()
+    want = (1e-9 / 100) ** (1 / 3) - 1
+    assert abs(got["a"] - want) < 1e-8 and abs(got["b"] - want) < 1e-8
+
+
+def test_forecast_without_months_below_one(spark):
+    base = spark.createDataFrame([("B", "SFR", "sun_belt", 100.0, 5)],
+                                 "state string, property_type string, state_tier string, median_price double, count long")
+    seg = FC.forecast_baseline(base)
+    for h, n in ((0, 0), (-2, 0), (1, 1)):
+        assert FC.forecast_path(seg, h, dt.date(2024, 1, 1)).count() == n
+
+
+def test_a_sale_after_the_old_fixture_date_is_kept(spark):
+    from plotline.operators.clean import bronze
+    from plotline.sources.listings import LISTING_SCHEMA
+    row = ("b", "sold", 1.0, 2.0, 1.0, 0.1, "s", "c", "Texas", "1", 900.0, "2024-03-01")
+    raw = spark.createDataFrame([row, row], LISTING_SCHEMA)
+    got = bronze(raw, dt.date(2024, 6, 1), source_file="x").collect()
+    assert [r["prev_sold_date"] for r in got] == [dt.date(2024, 3, 1)] * 2
+    assert got[0]["listing_id"] == got[1]["listing_id"]  # equal raw rows share an id

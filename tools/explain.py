@@ -27,13 +27,13 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     stages = sys.argv[2:] or ["market", "features", "forecast", "investment"]
     scratch = tempfile.mkdtemp(prefix="plotline-explain-")
-    spark = local_session(checkpoint_dir=f"{scratch}/ck")
-    run = Run(spark, sf, f"{scratch}/tables")
+    spark = local_session(checkpoint_dir=f"file://{scratch}/ck")
+    run = Run(spark, f"{scratch}/tables", C.ADAPTER_AS_OF, sf_dir=sf)
     run.bronze(), run.census(), run.silver(), run.market()
     plans = {
-        "market": lambda: market_snapshot(run.read("silver_listings")),
+        "market": lambda: market_snapshot(run.read("silver_listings"), C.ADAPTER_AS_OF),
         "features": lambda: FE.property_features(run.sold(), run.read("market_snapshots")),
-        "forecast": lambda: FC.price_forecasts(run.active()),
+        "forecast": lambda: FC.price_forecasts(run.active(), C.ADAPTER_AS_OF),
         "investment": lambda: IV.investment_scores(
             run.active().withColumn("avm_estimate", IV.F.col("price")), keep=tuple(C.ADDRESS_KEYS)),
     }
