@@ -38,7 +38,7 @@ def test_held_out_accuracy_and_kept_rows(spark, model):
     assert all(0 <= r.score <= 1 for r in got)
     crc = {r.doc_id: r.h for r in docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("h")).collect()}
     assert all(crc[r.doc_id] == r.held_out for r in got)
-    assert langid.keep_known(model, docs).count() >= 0.99 * docs.count()
+    assert langid.keep_known(model, docs).count() >= 0.999 * docs.count()
 
 
 def test_only_the_text_decides_and_held_out_labels_are_not_read(spark, model):

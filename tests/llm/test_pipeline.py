@@ -42,7 +42,7 @@ def test_run_against_brute_force(spark, corpus):
     docs = sorted(((r.doc_id, r.text) for r in table.collect()), key=lambda r: r[0])
     model = langid.fit(table)
     names, scores = model.predict([t for _, t in docs])
-    docs = [d for d, n, s in zip(docs, names, scores) if n != "und" and s >= 0.5]
+    docs = [d for d, n, s in zip(docs, names, scores) if n != "und" and s >= langid.KEEP_SCORE]
     assert {301, 302, 303}.isdisjoint(i for i, _ in docs) and len(docs) > 50
 
     spots = [(i, k, x) for i, t in docs for k, x in enumerate(t.split("\n")) if x.strip()]
