@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Frees the shuffle files of a finished job at once instead of at the driver's next garbage collection.
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SHUFFLE_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,25 +41,34 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside drop their shuffle files when they end."""
-    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs started inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with freed_shuffles(spark):
+    with settings(spark, _SHUFFLE_CLEANUP):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable, rows: int = 512) -> Iterator:
+    """Record batches of few rows: texts turned into Python objects a slice at a time keep a worker small."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later step reads."""
     spark = df.sparkSession

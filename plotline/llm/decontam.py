@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialise
+from plotline.llm.common import materialise, slices
 
 WINDOW = 10
 SLICE_BYTES = 2 << 20
@@ -140,13 +140,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                         F.expr("cast(array() as array<string>)").alias("item_ids"))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = _STATE.replace("doc_id long", f"doc_id {id_type}")
-    slices = _slice_count(benchmark, item_col, item_text_col)
-    for k in range(slices):
-        items, last = _slice(benchmark, item_col, item_text_col, k, slices), k == slices - 1
+    parts = _slice_count(benchmark, item_col, item_text_col)
+    for k in range(parts):
+        items, last = _slice(benchmark, item_col, item_text_col, k, parts), k == parts - 1
 
         def scan(batches: Iterator[pa.RecordBatch], items=items, last=last) -> Iterator[pa.RecordBatch]:
             patterns = _patterns(items, window)
-            for batch in batches:
+            for batch in slices(batches):
                 counts, spans, ids = [], [], []
                 texts, old_spans, old_ids = (batch.column(c).to_pylist() for c in (1, 3, 4))
                 for text, s, i in zip(texts, old_spans, old_ids):
@@ -171,13 +171,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     """Rows of ``docs``, all columns as they are, in whose text no benchmark window occurs (null texts stay)."""
     kept = docs
     at = docs.columns.index(text_col)
-    slices = _slice_count(benchmark, item_col, item_text_col)
-    for k in range(slices):
-        items = _slice(benchmark, item_col, item_text_col, k, slices)
+    parts = _slice_count(benchmark, item_col, item_text_col)
+    for k in range(parts):
+        items = _slice(benchmark, item_col, item_text_col, k, parts)
 
         def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             patterns = _patterns(items, window)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 clean = [not any(True for m in patterns.machines for _ in m.search(w)) for w in map(words_of, texts)]
                 yield pc.filter(batch, pa.array(clean, pa.bool_()))

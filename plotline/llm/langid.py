@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import slices
+
 MAX_N = 3
 DIM_BITS = 15
 SAMPLE = 2048  # labelled rows learned from, at most about this many over all languages
@@ -102,7 +104,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pd.Da
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * each / n))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits, keep = [], []
             for t in batch.column(1).to_pylist():
                 row = np.zeros(1 << DIM_BITS, bool)
@@ -144,7 +146,7 @@ def predict(model: LanguageModel, docs: DataFrame, id_col: str = "doc_id", text_
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
@@ -158,7 +160,7 @@ def keep_known(model: LanguageModel, docs: DataFrame, least: float = KEEP_SCORE,
     at = docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = model.predict(batch.column(at).to_pylist())
             yield pc.filter(batch, pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 

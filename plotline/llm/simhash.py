@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialise
+from plotline.llm.common import materialise, slices
 from plotline.llm.components import connected_components
 
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, fp): fp is the fingerprint as a signed long; texts without words (null too) have 0."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "tag", "fp"])

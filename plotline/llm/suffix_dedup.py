@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import drop_written, materialise
+from plotline.llm.common import drop_written, materialise, slices
 
 SPAN = 50
 GRAM = 20
@@ -166,7 +166,7 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["name", "content", "doc_id", "place"])
 
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
         for data, ends, row, low in _blocks(batch):
             name, content, start, count = runs(data, ends)
@@ -192,7 +192,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _ASKED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text, tag, runs_ in zip(*(batch.column(c).to_pylist() for c in range(4))):
             for run in runs_:
@@ -266,7 +266,7 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the covered bytes: (doc_id, n_bytes, n_removed, n_spans, kept)."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
             text = text or b""

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import slices
 from plotline.llm.packing import _byte_of_char, default_tokenizer_path
 
 _CACHE = 200_000  # words whose counts a Python worker remembers
@@ -109,7 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = _automaton(spec)
-        for batch in batches:
+        for batch in slices(batches):
             words, tokens = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 parts = (text or b"").split()
