@@ -1,14 +1,17 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 1. Lines are grouped by two 64-bit hashes; equal lines are one row from here on.
-2. A line's set is its shingles of ``SHINGLE`` characters (UTF-16 units; a shorter line is one shingle), hashed. Lines
+2. A line's set is its shingles of ``SHINGLE`` characters (a shorter line is one shingle). The signature hashes them
+   as UTF-16 units, exploded, so that hashing stays in generated code. Lines
    of many shingles get one minimum for each of ``BANDS * ROWS`` bins (one-permutation MinHash) and a key for each
    band of ``ROWS`` bins. Lines of few shingles deal them to so many bands that two sets of Jaccard ``LEAST`` or
    more differ in fewer shingles than there are bands; ``DEALS`` deals make an equal band that is not empty all
    but certain.
-3. Lines that share a band key with a smaller line are compared by exact Jaccard: first each with the smallest line
-   of its bucket, then, in buckets that still hold several components, every line outside the bucket's first
-   component with all lines of other components. A group of near copies thus costs one comparison a line.
+3. Lines that share a band key are compared by exact Jaccard, but only while they are in different components:
+   first each line with the smallest of its bucket; then the lines outside the bucket's first component with all
+   lines of the bucket, or with about ``PIVOTS`` of a larger one. Larger buckets go on with other pivots, round by
+   round, while at least one comparison in ``YIELD`` finds a link. Work is linear in the rows of the buckets,
+   however large one is, and a component that many links tie to another is not missed.
 4. Distributed union-find; the first occurrence (by doc_id, text hash, line number) of each component is kept.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import drop_written, materialise
+from plotline.llm.common import drop_written, materialise, settings
 from plotline.llm.components import connected_components
 
 SHINGLE = 8
@@ -27,6 +30,9 @@ BANDS, ROWS = 12, 5
 SHORT_TIERS = ((1, 1), (4, 2), (8, 4), (16, 8))
 LONG = 32
 DEALS = 3
+PIVOTS, YIELD = 32, 100
+#: A task holds millions of (line, bin) minima; generated code's own map stops at 65,536 unless told otherwise.
+_MINIMA = {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": "22", "spark.sql.codegen.aggregate.map.vectorized.enable": "true"}
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,24 +46,18 @@ def _keys() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2")]
 
 
-def _units() -> Column:
-    return F.encode("line", "UTF-16BE")
-
-
-def _shingles(u: str = "u") -> Column:
-    """Hashed shingles of a line's UTF-16 bytes, as an array without repeats."""
-    return F.array_distinct(F.expr(f"transform(sequence(0, greatest(octet_length({u}) div 2 - {SHINGLE}, 0)), "
-                                   f"i -> xxhash64(substring({u}, 2 * i + 1, {2 * SHINGLE})))"))
+def _hashed(sized: DataFrame) -> DataFrame:
+    """One row (lid, h) for each shingle."""
+    return (sized.select("lid", "u", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+            .select("lid", "n", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """(key, lid): the buckets of every line."""
-    sized = (lines.select("lid", _units().alias("u"))
-             .withColumn("n", F.expr(f"int(greatest(octet_length(u) div 2 - {SHINGLE} + 1, 1))")).repartition("lid"))
-    hashed = lambda some: (some.select("lid", "u", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-                           .select("lid", "n", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")))
+    sized = (lines.select("lid", "line").repartition("lid").select("lid", F.encode("line", "UTF-16BE").alias("u"))
+             .withColumn("n", F.expr(f"int(greatest(octet_length(u) div 2 - {SHINGLE} + 1, 1))")))
     bins = BANDS * ROWS
-    long = (hashed(sized.filter(F.col("n") * 5 >= LONG * 4))  # also lines that a longer partner meets here
+    long = (_hashed(sized.filter(F.col("n") * 5 >= LONG * 4))  # also lines that a longer partner meets here
             .groupBy("lid", F.pmod("h", F.lit(bins)).cast("int").alias("bin")).agg(F.min("h").alias("h"))
             .groupBy("lid", F.floor(F.col("bin") / ROWS).cast("int").alias("band"))
             .agg(F.xxhash64(F.lit("long"), "band", F.sort_array(F.collect_list(F.struct("bin", "h")))).alias("key")))
@@ -66,7 +66,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
         high = SHORT_TIERS[k + 1][0] if k + 1 < len(SHORT_TIERS) else LONG
         mine = (F.col("n") * 5 >= low * 4) & (F.col("n") < high)  # from the sizes that a partner in this tier can have
         tiers.append(F.when(mine, F.struct(F.lit(k).alias("tier"), F.lit(bands).alias("bands"))))
-    short = (hashed(sized.filter(F.col("n") < LONG))
+    short = (_hashed(sized.filter(F.col("n") < LONG))
              .withColumn("t", F.explode(F.array_compact(F.array(*tiers))))
              .withColumn("deal", F.explode(F.array(*[F.lit(k) for k in range(DEALS)])))
              .groupBy("lid", "t.tier", "deal", F.pmod(F.xxhash64("h", "deal"), "t.bands").alias("band"))
@@ -75,40 +75,69 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return long.select("key", "lid").unionByName(short.select("key", "lid"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingle sets have Jaccard ``least`` or more."""
-    texts = lines.select("lid", _units().alias("u"))
-    both = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("u").alias("ua")), "a")
-            .join(texts.select(F.col("lid").alias("b"), F.col("u").alias("ub")), "b")
-            .withColumn("sa", _shingles("ua")).withColumn("sb", _shingles("ub")))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    places = lambda u: F.greatest(F.octet_length(u) / 2 - (SHINGLE - 1), F.lit(1))
-    near_length = F.least(places("ua"), places("ub")) >= least * F.greatest(places("ua"), places("ub"))
-    return both.filter(near_length & (shared >= least * (F.size("sa") + F.size("sb") - shared))).select("a", "b")
+def _shingles(line: str) -> Column:
+    """The shingles of a line, repeats included; none starts inside a surrogate pair."""
+    all_ = F.regexp_extract_all(F.col(line), F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{SHINGLE}}}))"), 1)
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(all_)
+
+
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later steps may use repeatedly without computing them again (a projection would be merged)."""
+    return (df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+            .withColumns({k: F.col(f"_once.{k}") for k in cols}).drop("_once"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> tuple[DataFrame, bool]:
+    """The pairs (a, b) of line ids whose shingles have Jaccard ``least`` or more, and lengths in proportion; and
+    whether they are at least one in ``YIELD`` of the pairs compared."""
+    pairs = materialise(pairs, "line-pairs")
+    compared = pairs.count()
+    ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
+    some = materialise(lines.select("lid", "line").join(ids, "lid", "left_semi"), "line-texts")
+    one = pairs.join(some.withColumnsRenamed({"lid": "a", "line": "la"}), "a")
+    both = one.join(some.withColumnsRenamed({"lid": "b", "line": "lb"}), "b")
+    places = lambda c: F.greatest(F.length(c) - (SHINGLE - 1), F.lit(1))
+    near = both.filter(F.least(places("la"), places("lb")) >= least * F.greatest(places("la"), places("lb")))
+    dealt = near.repartition("a", "b")  # a leader's many pairs are spread
+    sets = _once(dealt, sa=F.array_distinct(_shingles("la")), sb=F.array_distinct(_shingles("lb")))
+    counted = _once(sets, shared=F.size(F.array_intersect("sa", "sb")), whole=F.size("sa") + F.size("sb"))
+    found = materialise(counted.filter(F.col("shared") >= least * (F.col("whole") - F.col("shared"))).select("a", "b"), "line-links")
+    drop_written(pairs)
+    drop_written(some)
+    return found, found.count() * YIELD >= max(compared, 1)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, root): components of similar lines among distinct lines (lid, line)."""
     in_bucket = Window.partitionBy("key")
-    members = materialise(
-        band_keys(lines).withColumn("leader", F.min("lid").over(in_bucket)).withColumn("last", F.max("lid").over(in_bucket))
-        .filter("leader < last").select("key", "lid", "leader"), "line-buckets")
-    stars = members.filter("lid > leader").select(F.col("leader").alias("a"), F.col("lid").alias("b")).distinct()
-    links = materialise(_verified(stars, lines, least), "line-links")
+    buckets = (band_keys(lines).withColumn("leader", F.min("lid").over(in_bucket))
+               .withColumn("size", F.count(F.lit(1)).over(in_bucket)).filter("size > 1"))
+    with settings(lines.sparkSession, _MINIMA):
+        members = materialise(buckets, "line-buckets")
+    stars = members.filter("lid > leader").select(F.col("leader").alias("x"), F.col("lid").alias("y"))
+    links, _ = _verified(_ordered(stars), lines, least)
     roots = connected_components(links, "a", "b")
-
-    named = members.join(roots, members.lid == roots.node, "left").select("key", "lid", "leader", F.coalesce("root", "lid").alias("root"))
-    heads = named.filter("lid = leader").select("key", F.col("root").alias("head"))
-    placed = materialise(named.join(heads, "key").select("key", "lid", "root", "head"), "line-placed")
-    strays = placed.filter("root <> head").select("key", F.col("lid").alias("stray"), F.col("root").alias("stray_root"))
-    crossed = (strays.join(placed.select("key", "lid", "root"), "key").filter("root <> stray_root")
-               .select(F.least("lid", "stray").alias("a"), F.greatest("lid", "stray").alias("b")).distinct())
-    more = materialise(_verified(crossed.join(stars, ["a", "b"], "left_anti"), lines, least), "line-links")
+    pays, turn, open_ = True, 0, members
+    while pays:
+        named = (open_.join(roots, F.col("lid") == F.col("node"), "left")
+                 .select("key", "lid", "size", "leader", F.coalesce("root", "lid").alias("root")))
+        heads = named.filter("lid = leader").select("key", F.col("root").alias("head"))
+        placed = materialise(named.join(heads, "key"), "line-placed")
+        strays = placed.filter("root <> head").select("key", F.col("lid").alias("x"), F.col("root").alias("rx"))
+        pivot = F.pmod(F.xxhash64("lid", F.lit(turn)), F.ceil(F.col("size") / PIVOTS)) == 0
+        others = placed.filter(pivot).select("key", F.col("lid").alias("y"), F.col("root").alias("ry"))
+        more, pays = _verified(_ordered(strays.join(others, "key").filter("rx <> ry")), lines, least)
+        drop_written(placed)
+        turn, open_ = turn + 1, members.filter(F.col("size") > PIVOTS)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = connected_components(links, "a", "b")
     drop_written(members)
-    drop_written(placed)
-    if more.isEmpty():
-        return roots
-    return connected_components(links.unionByName(more), "a", "b")
+    return roots
 
 
 def repeated_lines(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,9 +7,8 @@ from plotline.llm import line_dedup
 
 
 def shingles(line):
-    u = line.encode("utf-16-be")
-    n = max(len(u) // 2 - line_dedup.SHINGLE + 1, 1)
-    return {u[2 * i:2 * i + 2 * line_dedup.SHINGLE] for i in range(n)}, n
+    n = max(len(line) - line_dedup.SHINGLE + 1, 1)
+    return {line[i:i + line_dedup.SHINGLE] for i in range(n)}, n
 
 
 def similar(a, b):
