@@ -149,9 +149,9 @@ def repeated_lines(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id"
         .agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
         .withColumn("lid", F.monotonically_increasing_id()), "lines")
     roots = similar_lines(lines.select("lid", "line"), least)
-    keeper = F.min("place").over(Window.partitionBy("root"))
-    linked = (lines.select("k1", "k2", "lid", "place").join(roots, F.col("lid") == F.col("node"))
-              .withColumn("keeper", keeper).select("k1", "k2", "keeper"))
+    linked = lines.select("k1", "k2", "lid", "place").join(roots, F.col("lid") == F.col("node"))
+    keepers = linked.groupBy("root").agg(F.min("place").alias("keeper"))
+    linked = linked.join(keepers, "root").select("k1", "k2", "keeper")
     alone = (lines.filter("copies > 1").join(roots, F.col("lid") == F.col("node"), "left_anti")
              .select("k1", "k2", F.col("place").alias("keeper")))
     kept = linked.unionByName(alone)
