@@ -69,6 +69,15 @@ def slices(batches: Iterable, rows: int = 512) -> Iterator:
             yield batch.slice(low, rows)
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs`` with the session's Arrow batches cut to ``rows`` texts, so that an idle Python worker of one stage
+    leaves its memory to the next. A smaller setting stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later step reads."""
     spark = df.sparkSession

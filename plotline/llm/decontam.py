@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialise, slices
+from plotline.llm.common import materialise, slices, small_batches
 
 WINDOW = 10
 SLICE_BYTES = 2 << 20
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                      pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "item_ids"])
 
-        state = state.mapInArrow(scan, schema)
+        state = small_batches(state).mapInArrow(scan, schema)
         if k % 8 == 7:
             state = materialise(state, "decontam")
     return state.drop("text")
@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 clean = [not any(True for m in patterns.machines for _ in m.search(w)) for w in map(words_of, texts)]
                 yield pc.filter(batch, pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(scan, docs.schema)
+        kept = small_batches(kept).mapInArrow(scan, docs.schema)
         if k % 8 == 7:
             kept = materialise(kept, "decontam")
     return kept

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import slices
+from plotline.llm.common import slices, small_batches
 
 MAX_N = 3
 DIM_BITS = 15
@@ -113,7 +113,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pd.Da
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], names=["lang", "u", "bits"])
             yield pc.filter(out, pa.array(keep, pa.bool_()))
 
-    some = rows.filter(F.col("u") < share[F.col("lang")]).mapInArrow(scan, "lang string, u double, bits binary").toPandas()
+    some = small_batches(rows).filter(F.col("u") < share[F.col("lang")]).mapInArrow(scan, "lang string, u double, bits binary").toPandas()
     return some.sort_values(["lang", "u", "bits"]).groupby("lang").head(each)
 
 
@@ -152,7 +152,7 @@ def predict(model: LanguageModel, docs: DataFrame, id_col: str = "doc_id", text_
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(scan, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return small_batches(picked).mapInArrow(scan, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(model: LanguageModel, docs: DataFrame, least: float = KEEP_SCORE, text_col: str = "text") -> DataFrame:
@@ -164,4 +164,4 @@ def keep_known(model: LanguageModel, docs: DataFrame, least: float = KEEP_SCORE,
             names, scores = model.predict(batch.column(at).to_pylist())
             yield pc.filter(batch, pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return small_batches(docs).mapInArrow(scan, docs.schema)

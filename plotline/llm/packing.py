@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialise
+from plotline.llm.common import materialise, small_batches
 
 SIZE = 1024
 END_ID = 0
@@ -107,7 +107,7 @@ def tokenise(docs: DataFrame, spec: bytes, end_id: int = END_ID, id_col: str = "
                     [pa.array(np.full(len(some), part, np.int32)), pa.array(starts), some.column(0), pa.array(sizes),
                      pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return (small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(scan, f"part int, at long, doc_id {id_type}, n long, ids binary"))
 
 

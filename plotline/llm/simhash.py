@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialise, slices
+from plotline.llm.common import materialise, slices, small_batches
 from plotline.llm.components import connected_components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    return picked.mapInArrow(scan, "doc_id long, tag long, fp long")
+    return small_batches(picked).mapInArrow(scan, "doc_id long, tag long, fp long")
 
 
 def block_masks(radius: int) -> list[int]:

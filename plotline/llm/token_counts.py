@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import slices
+from plotline.llm.common import slices, small_batches
 from plotline.llm.packing import _byte_of_char, default_tokenizer_path
 
 _CACHE = 200_000  # words whose counts a Python worker remembers
@@ -129,5 +129,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(words, np.int64)), pa.array(np.array(tokens, np.int64))],
                                              names=["doc_id", "n_words", "n_tokens"])
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return (small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(scan, f"doc_id {id_type}, n_words long, n_tokens long"))

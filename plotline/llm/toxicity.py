@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import slices
+from plotline.llm.common import slices, small_batches
 from plotline.llm.langid import held_out
 
 DIM_BITS = 22
@@ -131,4 +131,4 @@ def score(model: ToxicityModel, docs: DataFrame, id_col: str = "doc_id", text_co
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 3, 1).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(scan, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return small_batches(picked).mapInArrow(scan, f"doc_id {id_type}, held_out boolean, score double, predicted int")
