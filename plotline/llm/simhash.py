@@ -177,15 +177,14 @@ def links_in_runs(fps: np.ndarray, lengths: np.ndarray, radius: int) -> np.ndarr
     within_run = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     rows = fps[np.repeat(starts, lengths) + within_run]
     left_over = np.repeat(lengths, lengths) - within_run  # rows from here to the run's end
+    longest = int(lengths[0]) if total else 0
     planes = bit_planes(rows)
-    planes = np.concatenate([planes, np.zeros((BITS, 2), np.uint64)], axis=1)
+    planes = np.concatenate([planes, np.zeros((BITS, longest // 64 + 2), np.uint64)], axis=1)  # room for every shift
     forest = _Forest(total)
-    for d in range(1, int(lengths[0]) if total else 0):
+    for d in range(1, longest):
         n = int(lengths[lengths > d].sum())  # longer runs stand first
         words = n // 64 + 1
-        moved = _shift(planes, d, words)
-        words = min(words, moved.shape[1])
-        i = within(planes[:, :words], moved[:, :words], _pack(left_over[:n] > d, n // 64 + 1)[:words], radius)
+        i = within(planes[:, :words], _shift(planes, d, words), _pack(left_over[:n] > d, words), radius)
         forest.add(i, i + d)
     if not forest.links:
         return np.empty((0, 2), np.int64)

@@ -59,6 +59,57 @@ def test_links_span_the_brute_force_classes(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def distinct_in_one_group(n):
+    """Fingerprints of equal high halves: one pigeonhole group holds them all."""
+    rng = np.random.default_rng(n)
+    low = np.unique(rng.integers(0, 1 << 32, 2 * n, dtype=np.uint64))
+    return rng.permutation(low)[:n] | np.uint64(0xABCD0123 << 32)
+
+
+def brute_partition(fps, links=None):
+    """Classes as a set of frozen sets, from all pairs within 4 bits or from the links given."""
+    if links is None:
+        links = [(int(fps[i]), int(fps[j])) for i in range(len(fps))
+                 for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1:] ^ fps[i]) <= 4)]
+    parent = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    classes = {}
+    for f in parent:
+        classes.setdefault(root(f), set()).add(f)
+    return set(map(frozenset, classes.values()))
+
+
+@pytest.mark.parametrize("n", [191, 193, 300, 4096])
+def test_one_long_run_against_brute_force(n):
+    fps = distinct_in_one_group(n)
+    fps[-n // 4:] = fps[:-(-n // 4)] ^ np.uint64(0b1001)  # partners far apart
+    found = simhash.links_in_runs(fps, np.array([n - 3, 3]), 4).view(np.uint64)
+    assert (np.bitwise_count(found[:, 0] ^ found[:, 1]) <= 4).all()
+    links = [tuple(map(int, r)) for r in found]
+    assert brute_partition(fps[:n - 3], [x for x in links if x[0] in set(fps[:n - 3].tolist())]) == brute_partition(fps[:n - 3])
+
+
+@pytest.mark.parametrize("n", [300, 5_000, 10_000])
+def test_large_group_in_blocks_of_the_default_size(spark, n):
+    fps = distinct_in_one_group(n)
+    fps[-n // 4:] = fps[:-(-n // 4)] ^ np.uint64(0b1001)
+    fps = np.unique(fps)
+    table = spark.createDataFrame([(f,) for f in fps.view("<i8").tolist()], "fp long")
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.similar_fingerprints(table, 4).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    want = brute_partition(fps)
+    assert len(want) < len(fps)
+    assert brute_partition(fps, links) == want
+
+
 def test_links_between_blocks_against_brute_force():
     rng = np.random.default_rng(1)
     one = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
