@@ -28,9 +28,12 @@ SAMPLE = 2048  # labelled rows learned from, at most about this many over all la
 LANDMARKS = 256
 RIDGE = 1e-3
 UNDETERMINED = "und"
-#: Least score in a stage that drops documents of no known language. Texts of one or two words still score about 0.3
-#: for their own language; far below that no class is nearer than the others.
-KEEP_SCORE = 0.2
+#: Least score in a stage that drops documents of no known language: the score of a text with as many n-grams that
+#: training has not seen as the odd texts of the language have, see ``LanguageModel.predict``.
+KEEP_SCORE = 0.5
+ODD = 0.99  # this share of a language's learnable rows have a lower rate of unseen n-grams than its limit
+LEAST_LIMIT = 0.02  # no limit is lower: that few rows of a language say little of its rarest n-grams
+FOLDS = 4
 _BATCH = 64
 
 
@@ -63,13 +66,20 @@ def mark_grams(text: str | None, row: np.ndarray) -> bool:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """classes (sorted) and, for each hash bucket, the folded dual weights of every class."""
+    """classes (sorted) and, for each hash bucket, the folded dual weights of every class; the buckets seen in
+    training, and for every class the limit of the share of buckets not seen."""
 
     classes: tuple[str, ...]
     weights: np.ndarray
     offset: np.ndarray
+    seen: np.ndarray
+    unseen_limit: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Names and scores. The votes of a text always sum to the same, so the winning one cannot tell an unlearned
+        language; the score is 1 less half the unseen n-grams over the number that the limit expects, after two
+        standard deviations of that number are taken off (short texts vary more). It does not depend on the number
+        of classes."""
         names, scores = [], np.zeros(len(texts))
         for low in range(0, len(texts), _BATCH):
             some = texts[low:low + _BATCH]
@@ -82,8 +92,9 @@ class LanguageModel:
             votes = (marks.astype(np.float32) @ self.weights).astype(np.float64) / np.sqrt(sizes)[:, None] + self.offset
             best = votes.argmax(axis=1)
             names += [self.classes[b] if k else UNDETERMINED for b, k in zip(best, known)]
-            top = (np.clip(votes[np.arange(len(some)), best], -1, 1) + 1) / 2
-            scores[low:low + len(some)] = np.where(known, top, 0.0)
+            expected = sizes * self.unseen_limit[best]
+            over = np.maximum((marks & ~self.seen).sum(axis=1) - 2 * np.sqrt(expected), 0)
+            scores[low:low + len(some)] = np.where(known, np.clip(1 - over / (2 * expected), 0, 1), 0.0)
         return names, scores
 
 
@@ -117,12 +128,26 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pd.Da
     return some.sort_values(["lang", "u", "bits"]).groupby("lang").head(each)
 
 
+def _unseen_limits(rows: pd.DataFrame, classes: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that any row has, and for each class the share of buckets that ``ODD`` of its rows stay below when
+    the other folds' rows are what is seen."""
+    packed = np.array([np.frombuffer(b, np.uint8) for b in rows["bits"]])
+    fold = rows.groupby("lang").cumcount().to_numpy() % FOLDS
+    folds = np.array([np.bitwise_or.reduce(packed[fold == k], axis=0, initial=0) for k in range(FOLDS)], np.uint8)
+    others = np.array([np.bitwise_or.reduce(np.delete(folds, k, axis=0), axis=0) for k in range(FOLDS)])
+    rate = np.concatenate([np.bitwise_count(part & ~others[f]).sum(axis=1) / np.bitwise_count(part).sum(axis=1)
+                           for low in range(0, len(rows), 256) for part, f in [(packed[low:low + 256], fold[low:low + 256])]])
+    lang = rows["lang"].to_numpy()
+    limits = [max(np.quantile(rate[lang == c], ODD, method="higher"), LEAST_LIMIT) for c in classes]
+    return np.unpackbits(np.bitwise_or.reduce(folds, axis=0)).astype(bool), np.array(limits)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the labelled rows outside the held-out fold (a sample of at most ``SAMPLE`` rows)."""
     rows = _sample(docs, id_col, text_col, lang_col)
     classes = tuple(sorted(set(rows["lang"])))
     if not classes:
-        return LanguageModel((), np.zeros((1 << DIM_BITS, 0), np.float32), np.zeros(0))
+        return LanguageModel((), np.zeros((1 << DIM_BITS, 0), np.float32), np.zeros(0), np.zeros(1 << DIM_BITS, bool), np.zeros(0))
     unpack = lambda some: np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in some]), axis=1).astype(np.float32)
     per_class = max(1, LANDMARKS // len(classes))
     marks = unpack(rows.groupby("lang").head(per_class)["bits"])
@@ -134,14 +159,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     offset = target.mean(axis=0)
     ridge = kernel.T @ kernel + RIDGE * len(rows) * own + 1e-8 * len(rows) * np.eye(len(own))
     dual = np.linalg.solve(ridge, kernel.T @ (target - offset))
-    return LanguageModel(classes, (marks.T @ dual.astype(np.float32)), offset)
+    return LanguageModel(classes, (marks.T @ dual.astype(np.float32)), offset, *_unseen_limits(rows, classes))
 
 
 def predict(model: LanguageModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; the text alone decides.
 
-    Texts that are null or have no letter are ``und`` with score 0. score is the winning class's regression value
-    moved from [-1, 1] to [0, 1]; equal votes go to the first class name. Without any learnable row all are ``und``.
+    Texts that are null or have no letter are ``und`` with score 0. score says how well training knows the text's
+    n-grams: 1 all, 0.5 as well as the odd texts of the winning class, less for other languages; equal votes go to the
+    first class name. Without any learnable row all are ``und``.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

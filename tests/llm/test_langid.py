@@ -65,3 +65,28 @@ def test_odd_rows(spark, model):
     assert {r.lang_pred for r in langid.predict(unlabelled, docs).collect()} == {"und"}
     single = langid.fit(docs.filter("doc_id = 1 or doc_id = 4").withColumn("lang", F.lit("fr")))
     assert {r.lang_pred for r in langid.predict(single, docs.filter("doc_id = 4")).collect()} <= {"fr", "und"}
+
+
+@pytest.mark.parametrize("left_out", [("de",), ("es",), ("fr",), ("en",), ("de", "es", "fr")])
+def test_texts_of_a_language_not_learned_go(spark, left_out):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    part = langid.fit(docs.filter(~F.col("lang").isin(*left_out)))
+    kept = {r.doc_id for r in langid.keep_known(part, docs).select("doc_id").collect()}
+    rows = docs.withColumn("held", langid.held_out()).select("doc_id", "lang", "held").collect()
+    out = [r.doc_id in kept for r in rows if r.lang in left_out]
+    own = [r.doc_id in kept for r in rows if r.held and r.lang not in left_out]
+    assert len(out) > 50 and len(own) > 20
+    assert sum(out) <= 0.1 * len(out)
+    assert sum(own) >= 0.98 * len(own)
+
+
+def test_other_scripts_go_and_short_texts_stay(spark, model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(langid.held_out())
+    short = [(r.doc_id, " ".join(r.text.split()[:3])) for r in docs.collect()]
+    short = [(i, t) for i, t in short if any(c.isalpha() for c in t)]
+    other = [(-1, "Все счастливые семьи похожи друг на друга"), (-2, "人人生而自由在尊严和权利上一律平等"), (-3, "όλοι"),
+             (-4, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności")]
+    table = spark.createDataFrame(short + other, "doc_id long, text string")
+    kept = {r.doc_id for r in langid.keep_known(model, table).collect()}
+    assert kept.isdisjoint({-1, -2, -3, -4})
+    assert len(kept) >= 0.98 * len(short)
