@@ -8,10 +8,11 @@
    more differ in fewer shingles than there are bands; ``DEALS`` deals make an equal band that is not empty all
    but certain.
 3. Lines that share a band key are compared by exact Jaccard, but only while they are in different components:
-   first each line with the smallest of its bucket; then the lines outside the bucket's first component with all
-   lines of the bucket, or with about ``PIVOTS`` of a larger one. Larger buckets go on with other pivots, round by
-   round, while at least one comparison in ``YIELD`` finds a link. Work is linear in the rows of the buckets,
-   however large one is, and a component that many links tie to another is not missed.
+   first each line with the smallest of its bucket; then the lines outside the bucket's first component (strays) with
+   all lines of the bucket, or with about ``PIVOTS`` of a larger one. Strays that larger buckets still have then meet
+   every line that can be similar: shingles are ordered from rare to common, two sets of Jaccard ``least`` share one
+   among the first n - ceil(least n) + 1 of each, and lines are joined on these (prefix filter). No pair of a bucket
+   is missed, and lines that share only what is common in their buckets are not paired.
 4. Distributed union-find; the first occurrence (by doc_id, text hash, line number) of each component is kept.
 """
 
@@ -30,7 +31,8 @@ BANDS, ROWS = 12, 5
 SHORT_TIERS = ((1, 1), (4, 2), (8, 4), (16, 8))
 LONG = 32
 DEALS = 3
-PIVOTS, YIELD = 32, 100
+PIVOTS = 32
+SLOTS = 1 << 18  # counters that order shingles; any order is exact, a rare-first one makes few pairs
 #: A task holds millions of (line, bin) minima; generated code's own map stops at 65,536 unless told otherwise.
 _MINIMA = {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": "22", "spark.sql.codegen.aggregate.map.vectorized.enable": "true"}
 
@@ -87,11 +89,9 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
             .withColumns({k: F.col(f"_once.{k}") for k in cols}).drop("_once"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> tuple[DataFrame, bool]:
-    """The pairs (a, b) of line ids whose shingles have Jaccard ``least`` or more, and lengths in proportion; and
-    whether they are at least one in ``YIELD`` of the pairs compared."""
+def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of line ids whose shingles have Jaccard ``least`` or more, and lengths in proportion."""
     pairs = materialise(pairs, "line-pairs")
-    compared = pairs.count()
     ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
     some = materialise(lines.select("lid", "line").join(ids, "lid", "left_semi"), "line-texts")
     one = pairs.join(some.withColumnsRenamed({"lid": "a", "line": "la"}), "a")
@@ -104,13 +104,51 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> tuple[DataFra
     found = materialise(counted.filter(F.col("shared") >= least * (F.col("whole") - F.col("shared"))).select("a", "b"), "line-links")
     drop_written(pairs)
     drop_written(some)
-    return found, found.count() * YIELD >= max(compared, 1)
+    return found
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, lid, size, root, head): the component of every line and of its bucket's leader."""
+    named = (members.join(roots, F.col("lid") == F.col("node"), "left")
+             .select("key", "lid", "size", "leader", F.coalesce("root", "lid").alias("root")))
+    heads = named.filter("lid = leader").select("key", F.col("root").alias("head"))
+    return materialise(named.join(heads, "key").drop("leader"), "line-placed")
+
+
+def _with_links(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if more.isEmpty():
+        return links, roots
+    links = links.unionByName(more)
+    return links, connected_components(links, "a", "b")
+
+
+def _prefix_pairs(open_: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(x, y): all pairs of a stray and another line of ``open_`` (lid, root, stray), of different components, that
+    can have Jaccard ``least``, and some more."""
+    some = lines.select("lid", "line").join(open_, "lid").repartition("lid")
+    sets = _once(some, s=F.array_distinct(_shingles("line"))).select("lid", "root", "stray", F.size("s").alias("n"), "s")
+    shingles = (sets.select("lid", "root", "stray", "n", F.explode("s").alias("s"))
+                .select("lid", "root", "stray", "n", F.xxhash64("s").alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS))))
+    counts = materialise(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("c")), "line-counts")
+    rare_first = (shingles.join(F.broadcast(counts), "slot").groupBy("lid", "root", "stray", "n")  # at most SLOTS rows
+                  .agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s")))
+    share = F.lit(least - 1e-9)  # products of whole numbers may come out a little too large
+    length = (F.col("n") - F.ceil(share * F.col("n")) + 1).cast("int")
+    first = materialise(rare_first.select("lid", "root", "stray", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "p"))
+                        .select("lid", "root", "stray", "n", "at", "p.h"), "line-prefixes")
+    drop_written(counts)
+    one = first.filter("stray").select("h", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    two = first.select("h", F.col("lid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    can = ((F.col("rx") != F.col("ry")) & (F.least("nx", "ny") >= share * F.greatest("nx", "ny"))
+           # the first shared shingle and what follows it on both sides must be shared enough
+           & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= share / (1 + share) * (F.col("nx") + F.col("ny"))))
+    return one.join(two, "h").filter(can).select("x", "y")
+
+
 def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, root): components of similar lines among distinct lines (lid, line)."""
     in_bucket = Window.partitionBy("key")
@@ -119,23 +157,22 @@ def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
     with settings(lines.sparkSession, _MINIMA):
         members = materialise(buckets, "line-buckets")
     stars = members.filter("lid > leader").select(F.col("leader").alias("x"), F.col("lid").alias("y"))
-    links, _ = _verified(_ordered(stars), lines, least)
+    links = _verified(_ordered(stars), lines, least)
     roots = connected_components(links, "a", "b")
-    pays, turn, open_ = True, 0, members
-    while pays:
-        named = (open_.join(roots, F.col("lid") == F.col("node"), "left")
-                 .select("key", "lid", "size", "leader", F.coalesce("root", "lid").alias("root")))
-        heads = named.filter("lid = leader").select("key", F.col("root").alias("head"))
-        placed = materialise(named.join(heads, "key"), "line-placed")
-        strays = placed.filter("root <> head").select("key", F.col("lid").alias("x"), F.col("root").alias("rx"))
-        pivot = F.pmod(F.xxhash64("lid", F.lit(turn)), F.ceil(F.col("size") / PIVOTS)) == 0
-        others = placed.filter(pivot).select("key", F.col("lid").alias("y"), F.col("root").alias("ry"))
-        more, pays = _verified(_ordered(strays.join(others, "key").filter("rx <> ry")), lines, least)
-        drop_written(placed)
-        turn, open_ = turn + 1, members.filter(F.col("size") > PIVOTS)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links, "a", "b")
+    placed = _placed(members, roots)
+    strays = placed.filter("root <> head").select("key", F.col("lid").alias("x"), F.col("root").alias("rx"))
+    pivot = F.pmod(F.xxhash64("lid"), F.ceil(F.col("size") / PIVOTS)) == 0
+    others = placed.filter(pivot).select("key", F.col("lid").alias("y"), F.col("root").alias("ry"))
+    links, roots = _with_links(links, roots, _verified(_ordered(strays.join(others, "key").filter("rx <> ry")), lines, least))
+    drop_written(placed)
+    placed = _placed(members.filter(F.col("size") > PIVOTS), roots)
+    mixed = placed.filter("root <> head").select("key").distinct()
+    open_ = materialise(placed.join(mixed, "key", "left_semi").groupBy("lid", "root")
+                        .agg(F.max(F.col("root") != F.col("head")).alias("stray")), "line-open")
+    drop_written(placed)
+    if not open_.isEmpty():
+        links, roots = _with_links(links, roots, _verified(_ordered(_prefix_pairs(open_, lines, least)), lines, least))
+    drop_written(open_)
     drop_written(members)
     return roots
 

@@ -65,6 +65,30 @@ def test_similar_lines_against_brute_force(spark):
     assert not set(short) & set(split)  # exact for short lines
 
 
+def test_large_bucket_of_unlike_lines_misses_no_pair(spark, monkeypatch):
+    """All lines share their band keys and are below 0.8 to the leader and to each other, but for planted pairs."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    template = "".join(rng.choices(letters, k=150))
+    lines = [template + "".join(rng.choices(letters, k=40)) for _ in range(3000)]
+    assert not any(similar(lines[0], x) for x in lines[1:])
+    planted = {}
+    for k in rng.sample(range(1, 3000), 200):  # an end is cut off or changed: 0.8 or a little more
+        planted[len(lines)] = k
+        lines.append(lines[k][:-rng.randint(1, 30)] if k % 2 else changed(rng, lines[k], 2))
+    planted = {a: b for a, b in planted.items() if similar(lines[a], lines[b])}
+    assert len(planted) > 150
+    monkeypatch.setattr(line_dedup, "band_keys", lambda t: t.select(F.lit(7).cast("long").alias("key"), "lid"))
+    order = list(range(len(lines)))
+    rng.shuffle(order)
+    table = spark.createDataFrame([(k, lines[i]) for k, i in enumerate(order)], "lid long, line string")
+    place = {i: k for k, i in enumerate(order)}
+    roots = {r.node: r.root for r in line_dedup.similar_lines(table).collect()}
+    missed = [a for a, b in planted.items() if roots.get(place[a], -1) != roots.get(place[b], -2)]
+    assert not missed
+    assert len(roots) <= 2 * 200  # no false links
+
+
 def table(spark):
     rng = random.Random(2)
     line = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12))
