@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.llm import ann, decontam, langid, line_dedup, packing, sharding, simhash, suffix_dedup, token_counts, toxicity
+from plotline.llm import (ann, decontam, langid, line_dedup, packing, periodic_runs, sharding, simhash, spelling, suffix_dedup,
+                          token_counts, token_planes, toxicity)
 from plotline.llm.common import read_table
 
 
@@ -52,6 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(toxicity.fit(docs, read_table(spark, sf_dir, "labels")), docs)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), drop_one_in=31)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -63,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_planes": op13_token_planes,
 }
