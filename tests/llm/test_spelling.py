@@ -64,10 +64,10 @@ def corpus(seed, docs=300):
                    (11, "b7b ĀlettersĀ letters nothing"), (12, "same text twice"), (12, "same text twice")]
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_against_brute_force(spark, limit, monkeypatch):
-    if limit:
-        monkeypatch.setattr(spelling, "LIST", limit)
+@pytest.mark.parametrize("limits", [{}, {"LIST": 3, "LARGE": 5}, {"_PAIRS": 7}])
+def test_against_brute_force(spark, limits, monkeypatch):
+    for name, value in limits.items():  # other decompositions, long lists, small steps: the same rows
+        monkeypatch.setattr(spelling, name, value)
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, word string, n int").repartition(5)
     got = sorted(tuple(r) for r in spelling.variants(docs, drop_one_in=31).collect())
@@ -91,6 +91,13 @@ def test_an_edit_leaves_the_bounded_number_of_grams():
         assert len(theirs) - spelling.affected(theirs, len(other)) >= 1
 
 
+def test_one_edit_against_its_definition():
+    rng = random.Random(6)
+    for _ in range(5000):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(0, 6))) for _ in range(2))
+        assert spelling.one_edit(a, b) == near(a, b)
+
+
 def test_followed_forms_empty_table_and_limits(spark):
     chain = [("wordsab", 10_000), ("wordsabc", 1000), ("wordsabcd", 100), ("wordsabcde", 10)]
     docs = spark.createDataFrame([(1, " ".join(f"{w} " * n for w, n in chain))], "doc_id int, text string")
