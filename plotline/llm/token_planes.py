@@ -18,11 +18,13 @@ what is read. The manifest has one short entry a file.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ MANIFEST = "_manifest.json"
 BLOCK = 1 << 16
 END_ID = 1
 _LEVEL = 3
-_CACHE = 250_000  # chunks of text whose ids a worker remembers
-_LONG_CHUNK = 64  # bytes; longer ones are not remembered
+_CACHE = 600_000  # pieces of text whose ids a worker remembers
+_LONG = 64  # characters; longer pieces are not remembered
 _OUT_IDS = 1 << 20  # ids after which the reader hands on its documents
 
 
@@ -275,39 +277,104 @@ class TokenPlanes(DataSource):
 
 
 # ------------------------------------------------------------------------------------------------------------ tokens
+class Remembered:
+    """Ids of strings in two generations: what is asked for stays when the older half goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, new: set[str], asked: Iterable[str]) -> list[str]:
+        """Which of ``new``, strings that ``young`` has not, are to be found out; all else of ``asked`` is in ``young`` then."""
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {}
+            again = self.old.keys() & asked
+            new = new - again
+        else:
+            again = self.old.keys() & new
+        self.young.update((k, self.old[k]) for k in again)
+        return list(new - again)
+
+
+#: Bytes of white space, printable ASCII and U+00C0 to U+00FF in UTF-8 (where every other character starts with another byte).
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3])
+
+
+def _plain(text: bytes) -> bool:
+    """Whether a text has such characters only, and no start of a special token's mark."""
+    return not text.translate(None, _PLAIN) and b"<|" not in text
+
+
+#: Fixed value: the file's splitting pattern, for lower-case texts of these characters.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+
+
+def _pieces(text: bytes) -> list[str]:
+    """The pieces of a text; a chunk between white space with other characters is one piece, with a space before it."""
+    if _plain(text):
+        return _PIECE.findall(text.decode().lower())
+    parts = text.split()
+    if len(parts) == 1:
+        return [" " + text.decode()] if parts[0] == text else _pieces(parts[0])
+    return [p for c in parts for p in (_PIECE.findall(c.decode().lower()) if _plain(c) else (" " + c.decode(),))]
+
+
 def encoder(spec: str, end_id: int) -> Callable[[Sequence[bytes | None]], list[bytes]]:
     """Texts to ids (little-endian unsigned 32-bit, the end id last) as ``tokenizers`` gives them.
 
-    If the file's rules never look across ASCII white space, the library encodes each distinct chunk between white space
-    once and the ids of texts are put together from its chunks; else it encodes whole texts.
+    If the file's rules never look across ASCII white space, a text's ids are those of its chunks between white space, and
+    a plain chunk's are those of the pieces that the file's pattern cuts. The library then encodes each distinct piece (or
+    chunk that is not plain) while it is remembered, many to a call; else it encodes whole texts.
     """
     from tokenizers import Tokenizer
 
-    plain, end = Tokenizer.from_str(spec), struct.pack("<I", end_id)
+    plain, end, tree = Tokenizer.from_str(spec), struct.pack("<I", end_id), json.loads(spec)
 
     def encoded(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
-    if not _parted_by_space(json.loads(spec)):
+    if not _parted_by_space(tree):
         return lambda texts: [x + end for x in encoded([(t or b"").decode() for t in texts])]
 
-    known: dict[bytes, bytes] = {}
-
-    def by_chunks(texts: Sequence[bytes | None]) -> list[bytes]:
-        chunks = [(t or b"").split() for t in texts]
-        new = list(set().union(*chunks).difference(known)) if chunks else []
-        fresh = dict(zip(new, encoded([c.decode() for c in new])))
-        if len(known) + len(fresh) > _CACHE:
-            fresh |= {c: known[c] for some in chunks for c in some if c in known}
-            known.clear()
-        known.update(fresh)
-        out = [b"".join([known[c] for c in some]) + end for some in chunks]
-        for c in new:
-            if len(c) > _LONG_CHUNK:
-                del known[c]
+    mark = tree["model"]["end_of_word_suffix"]
+    ends = np.zeros(max(tree["model"]["vocab"].values()) + 1, bool)
+    ends[[i for t, i in tree["model"]["vocab"].items() if t.endswith(mark)]] = True
+    seen = Remembered(_CACHE)
+
+    def encode_pieces(new: list[str]) -> list[bytes]:
+        """Pieces side by side in one text: each ends with the one id that ends a word."""
+        out: list[bytes] = []
+        for low in range(0, len(new), 2000):
+            some = new[low:low + 2000]
+            ids = np.array(plain.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ends[ids]) + 1
+            if len(stops) != len(some):  # no file known does this
+                out += encoded(some)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    return by_chunks
+    def by_pieces(texts: Sequence[bytes | None]) -> list[bytes]:
+        parts = [_pieces(t or b"") for t in texts]
+        flat = list(chain.from_iterable(parts))
+        ids = list(map(seen.young.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            new = seen.missing({flat[i] for i in gaps}, flat)
+            odd = [p for p in new if p[0] == " "]
+            new = [p for p in new if p[0] != " "]
+            known = seen.young
+            known.update(zip(odd, encoded(odd)))
+            known.update(zip(new, encode_pieces(new)))
+            for i in gaps:
+                ids[i] = known[flat[i]]
+            for p in chain(odd, new):
+                if len(p) > _LONG:
+                    del known[p]
+        stops = list(accumulate(map(len, parts), initial=0))
+        return [b"".join(ids[i:j]) + end for i, j in zip(stops, stops[1:])]
+
+    return by_pieces
 
 
 def _parted_by_space(tree: dict) -> bool:
@@ -326,14 +393,14 @@ def _parted_by_space(tree: dict) -> bool:
     rest = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in pre[1:])
     marks = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]]
                 for t in tree.get("added_tokens", []))
-    return by_char and split and rest and marks and tree.get("post_processor") is None and not tree.get("truncation") and not tree.get("padding")
+    return bool(tree["model"].get("end_of_word_suffix")) and by_char and split and rest and marks and tree.get("post_processor") is None and not tree.get("truncation") and not tree.get("padding")
 
 
 _BUILT: dict[tuple[int, int], Callable[[Sequence[bytes | None]], list[bytes]]] = {}
 
 
 def _encoder(spec: bytes, end_id: int) -> Callable[[Sequence[bytes | None]], list[bytes]]:
-    """Built once per Python worker, with the chunks it has seen."""
+    """Built once per Python worker, with the pieces it has seen."""
     key = (zlib.crc32(spec), end_id)
     if key not in _BUILT:
         _BUILT[key] = encoder(spec.decode(), end_id)

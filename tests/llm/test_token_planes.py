@@ -11,7 +11,7 @@ from plotline.llm import token_planes
 from plotline.llm.common import scratch, settings
 
 TEXTS = ["Hello world, it's 12 o'clock\n\n  now", None, "", "é́ ́x É ΣΣ İ ẞ Å 漢字 \U0001f600", "a <|endoftext|> b<|startoftext|>c", " " * 30_000 + "x",
-         "x" * 20_000, "word " * 4000, "tab\t\x0b\x1c  end 's 't'll  ", "1234567890" * 300, "\x00 \x85 ​"]
+         "x" * 20_000, "word " * 4000, "tab\t\x0b\x1c  end 's 't'll  ", "1234567890" * 300, "\x00 \x85 ​", "''s 'S don't DON'T'll it's' '' ÀÉÎ×÷ß ÿ_1a2 <b> a<|b <|endoftext|>'s «ª²³¼» é3'd " + "long" * 50 + "'re"]
 
 
 @pytest.mark.parametrize("bits", [8, 1])
@@ -32,10 +32,10 @@ def test_ids_equal_the_tokenizer(spark, monkeypatch):
     path = token_planes.default_tokenizer_path()
     spec = open(path).read()
     want = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_planes, "_CACHE", 3000)  # the generations change often
     got = token_planes.encoder(spec, 1)
-    assert got.__name__ == "by_chunks"
+    assert got.__name__ == "by_pieces"
     rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    monkeypatch.setattr(token_planes, "_CACHE", 2000)
     for low in range(0, len(rows), 20):
         texts = TEXTS + rows[low:low + 20]
         for t, ids in zip(texts, got([t and t.encode() for t in texts])):
@@ -43,7 +43,7 @@ def test_ids_equal_the_tokenizer(spark, monkeypatch):
     other = json.loads(spec)
     other["pre_tokenizer"] = None
     whole = token_planes.encoder(json.dumps(other), 1)
-    assert whole.__name__ != "by_chunks"
+    assert whole.__name__ != "by_pieces"
     assert np.frombuffer(whole([b"a b"])[0], "<u4").tolist() == Tokenizer.from_str(json.dumps(other)).encode("a b", add_special_tokens=False).ids + [1]
 
 
