@@ -1,18 +1,19 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 1. Lines are grouped by two 64-bit hashes; equal lines are one row from here on.
-2. A line's set is its shingles of ``SHINGLE`` characters (a shorter line is one shingle). The signature hashes them
-   as UTF-16 units, exploded, so that hashing stays in generated code. Lines
+2. A line's set is its distinct shingles of ``SHINGLE`` characters (a shorter line is one shingle). The signature hashes
+   them as UTF-32 units, exploded, so that hashing stays in generated code. Lines
    of many shingles get one minimum for each of ``BANDS * ROWS`` bins (one-permutation MinHash) and a key for each
-   band of ``ROWS`` bins. Lines of few shingles deal them to so many bands that two sets of Jaccard ``LEAST`` or
+   band of ``ROWS`` bins. Lines of few distinct shingles deal them to so many bands that two sets of Jaccard ``LEAST`` or
    more differ in fewer shingles than there are bands; ``DEALS`` deals make an equal band that is not empty all
    but certain.
 3. Lines that share a band key are compared by exact Jaccard, but only while they are in different components:
    first each line with the smallest of its bucket; then the lines outside the bucket's first component (strays) with
-   all lines of the bucket, or with about ``PIVOTS`` of a larger one. Strays that larger buckets still have then meet
+   all lines of a bucket of up to ``PIVOTS``, or with about ``PIVOTS`` of a larger one. Strays that larger buckets still have then meet
    every line that can be similar: shingles are ordered from rare to common, two sets of Jaccard ``least`` share one
-   among the first n - ceil(least n) + 1 of each, and lines are joined on these (prefix filter). No pair of a bucket
-   is missed, and lines that share only what is common in their buckets are not paired.
+   among the first n - ceil(least n) + 1 of each, and lines are joined on these (prefix filter). The join also holds
+   the sizes, the place of the shared shingle and an odd sketch against each other: sketches differ in no more bits than the
+   sets differ in shingles, so no similar pair is lost and few others leave the join.
 4. Distributed union-find; the first occurrence (by doc_id, text hash, line number) of each component is kept.
 """
 
@@ -31,7 +32,8 @@ BANDS, ROWS = 12, 5
 SHORT_TIERS = ((1, 1), (4, 2), (8, 4), (16, 8))
 LONG = 32
 DEALS = 3
-PIVOTS = 32
+PIVOTS = 8  # lines of a large bucket that its strays meet before the prefix filter; up to so many are all of it
+SKETCH = 4  # 64-bit words of an odd sketch
 SLOTS = 1 << 18  # counters that order shingles; any order is exact, a rare-first one makes few pairs
 #: A task holds millions of (line, bin) minima; generated code's own map stops at 65,536 unless told otherwise.
 _MINIMA = {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": "22", "spark.sql.codegen.aggregate.map.vectorized.enable": "true"}
@@ -48,16 +50,22 @@ def _keys() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2")]
 
 
+#: A shingle that comes again: lines without one among their first ``LONG`` shingles have ``LONG`` distinct ones.
+_AGAIN = rf"(?s)(?=(.{{{SHINGLE}}})).+\1"
+
+
 def _hashed(sized: DataFrame) -> DataFrame:
     """One row (lid, h) for each shingle."""
-    return (sized.select("lid", "u", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-            .select("lid", "n", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")))
+    return (sized.select("lid", "u", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+            .select("lid", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE}))").alias("h")))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """(key, lid): the buckets of every line."""
-    sized = (lines.select("lid", "line").repartition("lid").select("lid", F.encode("line", "UTF-16BE").alias("u"))
-             .withColumn("n", F.expr(f"int(greatest(octet_length(u) div 2 - {SHINGLE} + 1, 1))")))
+    start = F.substring("line", 1, LONG + SHINGLE - 1)
+    sized = (lines.select("lid", "line").repartition("lid")
+             .select("lid", F.encode("line", "UTF-32").alias("u"), start.rlike(_AGAIN).alias("again"))
+             .withColumn("n", F.expr(f"int(greatest(octet_length(u) div 4 - {SHINGLE} + 1, 1))")))
     bins = BANDS * ROWS
     long = (_hashed(sized.filter(F.col("n") * 5 >= LONG * 4))  # also lines that a longer partner meets here
             .groupBy("lid", F.pmod("h", F.lit(bins)).cast("int").alias("bin")).agg(F.min("h").alias("h"))
@@ -68,8 +76,9 @@ def band_keys(lines: DataFrame) -> DataFrame:
         high = SHORT_TIERS[k + 1][0] if k + 1 < len(SHORT_TIERS) else LONG
         mine = (F.col("n") * 5 >= low * 4) & (F.col("n") < high)  # from the sizes that a partner in this tier can have
         tiers.append(F.when(mine, F.struct(F.lit(k).alias("tier"), F.lit(bands).alias("bands"))))
-    short = (_hashed(sized.filter(F.col("n") < LONG))
-             .withColumn("t", F.explode(F.array_compact(F.array(*tiers))))
+    short = (_hashed(sized.filter((F.col("n") < LONG) | F.col("again")))
+             .groupBy("lid").agg(F.collect_set("h").alias("s")).withColumn("n", F.size("s")).filter(F.col("n") < LONG)
+             .withColumn("t", F.explode(F.array_compact(F.array(*tiers)))).select("lid", "t", F.explode("s").alias("h"))
              .withColumn("deal", F.explode(F.array(*[F.lit(k) for k in range(DEALS)])))
              .groupBy("lid", "t.tier", "deal", F.pmod(F.xxhash64("h", "deal"), "t.bands").alias("band"))
              .agg(F.sort_array(F.collect_set("h")).alias("set"))
@@ -90,15 +99,13 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingles have Jaccard ``least`` or more, and lengths in proportion."""
+    """The pairs (a, b) of line ids whose shingles have Jaccard ``least`` or more."""
     pairs = materialise(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
     some = materialise(lines.select("lid", "line").join(ids, "lid", "left_semi"), "line-texts")
     one = pairs.join(some.withColumnsRenamed({"lid": "a", "line": "la"}), "a")
     both = one.join(some.withColumnsRenamed({"lid": "b", "line": "lb"}), "b")
-    places = lambda c: F.greatest(F.length(c) - (SHINGLE - 1), F.lit(1))
-    near = both.filter(F.least(places("la"), places("lb")) >= least * F.greatest(places("la"), places("lb")))
-    dealt = near.repartition("a", "b")  # a leader's many pairs are spread
+    dealt = both.repartition("a", "b")  # a leader's many pairs are spread
     sets = _once(dealt, sa=F.array_distinct(_shingles("la")), sb=F.array_distinct(_shingles("lb")))
     counted = _once(sets, shared=F.size(F.array_intersect("sa", "sb")), whole=F.size("sa") + F.size("sb"))
     found = materialise(counted.filter(F.col("shared") >= least * (F.col("whole") - F.col("shared"))).select("a", "b"), "line-links")
@@ -112,11 +119,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, lid, size, root, head): the component of every line and of its bucket's leader."""
+    """(key, lid, size, leader, root, head): the component of every line and of its bucket's leader."""
     named = (members.join(roots, F.col("lid") == F.col("node"), "left")
              .select("key", "lid", "size", "leader", F.coalesce("root", "lid").alias("root")))
     heads = named.filter("lid = leader").select("key", F.col("root").alias("head"))
-    return materialise(named.join(heads, "key").drop("leader"), "line-placed")
+    return materialise(named.join(heads, "key"), "line-placed")
 
 
 def _with_links(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,19 +141,26 @@ def _prefix_pairs(open_: DataFrame, lines: DataFrame, least: float) -> DataFrame
     shingles = (sets.select("lid", "root", "stray", "n", F.explode("s").alias("s"))
                 .select("lid", "root", "stray", "n", F.xxhash64("s").alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS))))
     counts = materialise(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("c")), "line-counts")
+    odd = [F.expr(f"bit_xor(if(pmod(shiftright(h, 40), {SKETCH}) = {k}, shiftleft(1L, int(pmod(shiftright(h, 32), 64))), 0L))").alias(f"odd{k}")
+           for k in range(SKETCH)]
+    marks = ["n", *(f"odd{k}" for k in range(SKETCH))]
     rare_first = (shingles.join(F.broadcast(counts), "slot").groupBy("lid", "root", "stray", "n")  # at most SLOTS rows
-                  .agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s")))
+                  .agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"), *odd))
     share = F.lit(least - 1e-9)  # products of whole numbers may come out a little too large
     length = (F.col("n") - F.ceil(share * F.col("n")) + 1).cast("int")
-    first = materialise(rare_first.select("lid", "root", "stray", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "p"))
-                        .select("lid", "root", "stray", "n", "at", "p.h"), "line-prefixes")
+    first = materialise(rare_first.select("lid", "root", "stray", *marks, F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "p"))
+                        .select("lid", "root", "stray", *marks, "at", "p.h"), "line-prefixes")
     drop_written(counts)
-    one = first.filter("stray").select("h", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    two = first.select("h", F.col("lid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    can = ((F.col("rx") != F.col("ry")) & (F.least("nx", "ny") >= share * F.greatest("nx", "ny"))
+    side = lambda c: [F.col("lid").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "at", *marks))]
+    one, two = first.filter("stray").select("h", *side("x")), first.select("h", *side("y"))
+    both = F.col("n_x") + F.col("n_y")
+    apart = sum((F.bit_count(F.col(f"odd{k}_x").bitwiseXOR(F.col(f"odd{k}_y"))) for k in range(SKETCH)), F.lit(0))
+    can = ((F.col("root_x") != F.col("root_y")) & (F.least("n_x", "n_y") >= share * F.greatest("n_x", "n_y"))
+           # sets of this Jaccard differ in so many shingles at most, and sketches in no more bits
+           & (apart <= both * (1 - share) / (1 + share))
            # the first shared shingle and what follows it on both sides must be shared enough
-           & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= share / (1 + share) * (F.col("nx") + F.col("ny"))))
-    return one.join(two, "h").filter(can).select("x", "y")
+           & (F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= share / (1 + share) * both))
+    return one.join(two, (one.h == two.h) & can).select("x", "y")
 
 
 def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
@@ -211,8 +225,7 @@ def _joined(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[
 def dedup_lines(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for every row of ``docs``: the text without lines that repeat earlier ones.
 
-    Two lines are similar if the Jaccard of their shingle sets is ``least`` or more, and the number of shingles with
-    repeats of one is at least ``least`` times the other's; of each component of similar lines the first occurrence stays (smallest doc_id, text hash, line number; a null id sorts first, and its own
+    Two lines are similar if the Jaccard of their shingle sets is ``least`` or more; of each component of similar lines the first occurrence stays (smallest doc_id, text hash, line number; a null id sorts first, and its own
     lines never go). Blank lines are not compared and stay. A null text stays null with no lines; a text whose lines
     all go is empty. Rows that repeat id and text count as one and get equal results.
     """

@@ -1,13 +1,12 @@
-"""Suffix dedup: sampled suffixes sorted externally, all other positions induced from them.
+"""Suffix dedup by minimum-hash window grouping; no suffix is sorted (see the README for why).
 
-A byte goes if a ``SPAN``-byte string over it also starts in a document with a smaller id. A full suffix array holds
-at least sixteen bytes of tuples for every text byte; induced sorting shows that sorting a *sample* of the suffixes
-is enough, as the rest follow from the sampled suffix next to them. The sample here is chosen by content, so equal
-strings have equal samples wherever they stand:
+A byte goes if a ``SPAN``-byte string over it also starts in a document with a smaller id. External induced sorting would
+hold at least sixteen bytes of tuples for every text byte. What is wanted needs less than the order of all suffixes: windows
+of one fixed length that are equal. They are brought together by a name that equal windows share wherever they stand:
 
 1. Each window of ``SPAN`` bytes is named by the smallest hash among its ``GRAM``-byte strings. Consecutive windows
    of one name form a run (about sixteen windows): one tuple (name, content name, document, place and common
-   length). Tuples are sorted by Spark's external, disk-backed sort, which stands in for the priority queues.
+   length). Tuples are grouped by Spark's external, disk-backed sort.
 2. A run whose whole content also stands in a smaller document is settled: all its windows are repeats.
 3. Runs that share a name with different content (the ends of repeated passages) go down one level: their bytes
    are brought together by name and their windows are compared one by one. Names with more than ``HOT`` tuples

@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,43 @@ def test_other_scripts_go_and_short_texts_stay(spark, model):
     kept = {r.doc_id for r in langid.keep_known(model, table).collect()}
     assert kept.isdisjoint({-1, -2, -3, -4})
     assert len(kept) >= 0.98 * len(short)
+
+
+def test_votes_against_a_plain_kernel(spark, monkeypatch):
+    """Presence kernel, landmarks and ridge over Python sets, on 40 texts."""
+    monkeypatch.setattr(langid, "LANDMARKS", 12)
+    rng = random.Random(5)
+    words = {"aa": ["dos", "que", "año", "los", "mente"], "bb": ["the", "and", "of", "thing", "ver"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 25))) + " 12!", lang) for i in range(60) for lang in words][:54]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, model = langid._sample(docs, "doc_id", "text", "lang"), langid.fit(docs)
+    assert 30 <= len(sample) <= 54
+
+    def grams(text):
+        chars = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+        found = set()
+        for n in range(1, langid.MAX_N + 1):
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 + chars[i + k] + k + 1) % 2**32
+                found.add(h * 0x9E3779B1 % 2**32 >> (32 - langid.DIM_BITS))
+        return found
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    sets = [set(np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).tolist()) for b in sample["bits"]]
+    assert {frozenset(x) for x in sets} <= {frozenset(grams(t)) for _, t, _ in rows}
+    marks = [s for lang in model.classes for s in [x for x, own in zip(sets, sample["lang"]) if own == lang][:6]]
+    big = np.array([[kernel(a, b) for b in marks] for a in sets])
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    target = np.array([[1.0 if lang == c else -1.0 for c in model.classes] for lang in sample["lang"]])
+    offset = target.mean(axis=0)
+    dual = np.linalg.solve(big.T @ big + langid.RIDGE * len(sets) * own + 1e-8 * len(sets) * np.eye(len(own)), big.T @ (target - offset))
+    for text in ("the thing and año", "quemente", "zzz", "x " + "of the " * 50):
+        want = np.array([kernel(grams(text), m) for m in marks]) @ dual + offset
+        row = np.zeros(1 << langid.DIM_BITS, bool)
+        langid.mark_grams(text, row)
+        assert set(np.flatnonzero(row).tolist()) == grams(text)
+        got = row.astype(np.float32) @ model.weights / np.sqrt(row.sum()) + model.offset
+        assert np.abs(got - want).max() < 1e-4
+        assert model.predict([text])[0] == [model.classes[int(want.argmax())]]

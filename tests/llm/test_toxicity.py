@@ -48,6 +48,39 @@ def test_ftrl_separates_and_prunes():
     assert len(model.bucket) < 60
 
 
+def test_ftrl_against_a_dictionary(monkeypatch):
+    """The same updates, a coordinate at a time in plain Python; the penalties are low, so that many weights stay."""
+    monkeypatch.setattr(toxicity, "L1", 0.05)
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for i in range(50):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        rows.append((toxicity.features(text), int("w3" in text.split())))
+    z, n = {}, {}
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        if abs(a) <= toxicity.L1:
+            return 0.0
+        return -(a - (1 if a > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for found, label in rows:
+            keys = [*found.tolist(), "bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for k in keys:
+                old = n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - old ** 0.5) / toxicity.ALPHA * w[k]
+    model = toxicity.ftrl(rows)
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    assert len(want) > 30 and want.keys() == set(model.bucket.tolist())
+    assert all(abs(want[k] - w) < 1e-9 for k, w in zip(model.bucket.tolist(), model.weight))
+    assert abs(weight("bias") - model.bias) < 1e-9
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None), (2, ""), (None, "idiot moron trash"), (3, "x " * 300_000 + "idiot moron trash scum loser"), (3, "the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
