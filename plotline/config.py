@@ -95,6 +95,7 @@ TIER_ASSUMPTIONS = {
 FORECAST_TIER_RATES = {"coastal": 0.055, "sun_belt": 0.060, "midwest": 0.032, "other": 0.038}
 FORECAST_DEFAULT_RATE = 0.038
 FORECAST_HORIZON = 12
+FORECAST_MAX_HORIZON = 1200  # months that one record of a request can ask for: it becomes as many rows
 FORECAST_MIN_GROUP = 3
 INTERVAL_PCT = 0.10
 

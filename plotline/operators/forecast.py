@@ -41,9 +41,16 @@ def forecast_path(seg: DataFrame, horizon: int | str, as_of: _dt.date,
     ``horizon`` is a constant or the name of a per-row column. Month k is the
     first day of the as_of month plus k months; the price grows at the
     monthly rate (1 + r)^(1/12) - 1 compounded k times, with a +-pct band.
-    A horizon below 1 (or null) gives no month."""
-    h = F.lit(horizon) if isinstance(horizon, int) else F.col(horizon).try_cast("int")
-    df = seg.filter(h >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), h)))
+    A horizon below 1 (or null) gives no month, and neither does a row's horizon
+    above ``FORECAST_MAX_HORIZON``, which would become that many rows in one
+    task (``requests.route`` answers such a request with an error)."""
+    if isinstance(horizon, int):
+        if horizon > C.FORECAST_MAX_HORIZON:
+            raise ValueError(f"horizon must be at most {C.FORECAST_MAX_HORIZON} months")
+        h = F.lit(horizon)
+    else:
+        h = F.col(horizon).try_cast("int")
+    df = seg.filter(h.between(1, C.FORECAST_MAX_HORIZON)).withColumn("k", F.explode(F.sequence(F.lit(1), h)))
     monthly = F.pow(1 + F.col("annual_rate"), F.lit(1.0 / 12)) - 1
     price = F.col("median_price") * F.pow(1 + monthly, F.col("k"))
     return df.select(

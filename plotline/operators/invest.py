@@ -100,17 +100,23 @@ def rent_fallback(est_rent: str = "est_monthly_rent", price: str = "price", gros
     return F.when(e.isNotNull() & (e > 0), e).otherwise(F.col(price) * F.col(gross_yield) / 12)
 
 
+def with_rents(est: DataFrame, rents: DataFrame | None, est_rent: str = "est_monthly_rent",
+               keys: tuple[str, ...] = tuple(C.ADDRESS_KEYS)) -> DataFrame:
+    """J-7: the median rent of the address (or of other ``keys``; with listing_id a listing's own rent) in ``rents``; a
+    null rent without such a table. The median is ``percentile_approx``: an actual rent of the address, and the lower
+    middle one of an even number of rents, as long as an address has fewer than 10,000 of them."""
+    from plotline.functions.joins import left_join_null_safe, one_per_key
+    if rents is None:
+        return est.withColumn(est_rent, F.lit(None).cast("double"))
+    return left_join_null_safe(est, one_per_key(rents, keys, {est_rent: F.percentile_approx(est_rent, 0.5)}), keys)
+
+
 def with_rent_table(est: DataFrame, path: str, est_rent: str = "est_monthly_rent",
                     keys: tuple[str, ...] = tuple(C.ADDRESS_KEYS)) -> DataFrame:
-    """S-10 + J-7: the median rent of the address (or of other ``keys``; with
-    listing_id a listing's own rent) from the table at ``path``; a null rent
-    when there is no such table."""
-    from plotline.functions.joins import left_join_null_safe, one_per_key
+    """S-10 + J-7: ``with_rents`` over the Parquet table at ``path``, if there is one."""
     from plotline.operators.quality import _exists
-    if not _exists(est.sparkSession, path):
-        return est.withColumn(est_rent, F.lit(None).cast("double"))
-    rent = one_per_key(est.sparkSession.read.parquet(path), keys, {est_rent: F.percentile_approx(est_rent, 0.5)})
-    return left_join_null_safe(est, rent, keys)
+    spark = est.sparkSession
+    return with_rents(est, spark.read.parquet(path) if _exists(spark, path) else None, est_rent, keys)
 
 
 def with_state_yield(df: DataFrame, mapping: dict | None = None) -> DataFrame:

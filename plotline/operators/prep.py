@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.functions.running import column_medians, distinct_ranks
+from plotline.functions.running import column_medians, distinct_ranks, number
 
 
 # ---------------------------------------------------------------- imputation
@@ -26,15 +26,18 @@ def impute(df: DataFrame, numeric: Sequence[str] = (), binary: Sequence[str] = (
            categorical: Sequence[str] = (), numeric_fill: dict | float = 0.0,
            unknown: str = "unknown") -> DataFrame:
     """M-1 / M-2: numeric -> fill value (per column dict or one constant; a
-    non-numeric value is coerced to null first), binary -> 0, category ->
-    'unknown'. A column whose fill is None (all null) is filled with 0."""
+    non-numeric value is coerced to null first, and NaN is missing; infinities
+    are numbers and stay), binary -> 0, category -> 'unknown'. A column whose
+    fill is None (all null) is filled with 0."""
     cols = {}
     for c in numeric:
         fill = numeric_fill.get(c) if isinstance(numeric_fill, dict) else numeric_fill
-        v = F.col(c).try_cast("double")
-        cols[c] = F.coalesce(v, F.lit(float(fill) if fill is not None else 0.0))
+        cols[c] = F.coalesce(number(F.col(c)), F.lit(float(fill) if fill is not None else 0.0))
     for c in binary:
-        cols[c] = F.coalesce(F.col(c).try_cast("int"), F.lit(0))
+        whole = F.col(c).try_cast("int")
+        if dict(df.dtypes)[c] in ("double", "float"):
+            whole = F.when(~F.isnan(c), whole)  # NaN would become 0 silently on one engine and an error on another
+        cols[c] = F.coalesce(whole, F.lit(0))
     for c in categorical:
         cols[c] = F.coalesce(F.col(c).cast("string"), F.lit(unknown))
     return df.withColumns(cols)
@@ -58,9 +61,11 @@ def add_missing_columns(df: DataFrame, numeric=(), binary=(), categorical=(), un
 # ------------------------------------------------------------------- scaling
 def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """M-3: mean and population standard deviation per column (one job; a
-    zero or undefined deviation becomes 1)."""
-    r = df.select(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                  *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    zero or undefined deviation becomes 1). Only finite values count: one NaN or
+    infinity in a column would leave no mean for its other rows."""
+    finite = {c: F.when(F.abs(number(F.col(c))) < F.lit(float("inf")), number(F.col(c))) for c in cols}
+    r = df.select(*[F.avg(v).alias(f"m_{c}") for c, v in finite.items()],
+                  *[F.stddev_pop(v).alias(f"s_{c}") for c, v in finite.items()]).first()
     out = {}
     for c in cols:
         m, s = r[f"m_{c}"], r[f"s_{c}"]

@@ -1,4 +1,4 @@
-"""Data-quality helpers: duplicate keys, row counts, empty-output guards."""
+"""Data-quality helpers: duplicate keys, presence of a folder. (Guarded, counted writes: ``sources.snapshots``.)"""
 
 from __future__ import annotations
 
@@ -14,39 +14,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
 
 
-def row_counts(spark: SparkSession, tables: dict[str, str | None]) -> DataFrame:
-    """S-11: one row per table name: its row count, or status 'skipped' when
-    the table does not exist. Counts are computed by Spark jobs (the
-    metadata-only count of parquet footers where possible); only one number
-    per table reaches the driver."""
-    rows = []
-    for name, path in tables.items():
-        exists = path is not None and _exists(spark, path)
-        n = spark.read.parquet(path).count() if exists else None
-        rows.append((name, n, "ok" if exists else "skipped"))
-    return spark.createDataFrame(rows, "table_name string, row_count long, status string")
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).exists(p)
-
-
-def write_by(df: DataFrame, path: str, key: str) -> None:
-    """S-8: overwrite a table partitioned by ``key``. Rows are placed by the
-    key first, so files follow the data's size and not the number of tasks;
-    adaptive execution splits a large key and merges small ones."""
-    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
-
-
-def write_if_not_empty(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> bool:
-    """S-12: write only when the output has rows (``isEmpty`` reads one row)."""
-    if df.isEmpty():
-        return False
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return True

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotline import config as C
+from plotline.functions.running import number
 from plotline.session import written
 
 REQUEST_SCHEMA = T.StructType([T.StructField("model_type", T.StringType(), True),
@@ -47,20 +48,36 @@ def unknown_type_error(mtype: Column) -> Column:
                                  F.lit("'. Use: avm, lead_scoring, price_forecast")))
 
 
+def _last_wins(record: Column) -> Column:
+    """A record whose keys occur once: of a repeated key the last value stays."""
+    placed = F.array_sort(F.transform(F.map_entries(record), lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    last = F.filter(placed, lambda e, i: ~F.coalesce(F.get(placed, i + 1)["key"] == e["key"], F.lit(False)))
+    keys = F.map_keys(record)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), record).otherwise(
+        F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))))
+
+
+def _records(payload: Column) -> Column:
+    """The records of a payload, each key once; null if it is no JSON array of objects."""
+    return F.transform(F.from_json(payload, RECORDS), _last_wins)
+
+
 def parse_payload(requests: DataFrame) -> DataFrame:
     """K-1: trimmed type and parsed records (null when the payload is not a
-    JSON array of objects; a single object is read as a one-record array)."""
+    JSON array of objects; a single object is read as a one-record array; of a
+    repeated key the last value counts)."""
     p = F.trim(F.col("payload"))
     as_array = F.when(p.startswith("{"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(p)
-    return requests.withColumns({"mtype": trimmed_type(), "records": F.from_json(as_array, RECORDS)})
+    return requests.withColumns({"mtype": trimmed_type(), "records": _records(as_array)})
 
 
 def explode_records(parsed: DataFrame, numeric=(), binary=(), categorical=(), unknown: str = "unknown",
                     keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
-    """One row per record with typed, defaulted fields (a value that is no number, or no int for a flag, -> 0)."""
+    """One row per record with typed, defaulted fields (a value that is no number, NaN among them, or no int for a
+    flag, -> 0; infinities are numbers)."""
     rec = parsed.select(*keys, F.posexplode("records").alias("pos", "r"))
-    cols = {c: F.coalesce(F.col("r")[c].try_cast("double"), F.lit(0.0)) for c in numeric}
-    cols.update({c: F.coalesce(F.col("r")[c].try_cast("double").try_cast("int"), F.lit(0)) for c in binary})
+    cols = {c: F.coalesce(number(F.col("r")[c]), F.lit(0.0)) for c in numeric}
+    cols.update({c: F.coalesce(number(F.col("r")[c]).try_cast("int"), F.lit(0)) for c in binary})
     cols.update({c: F.coalesce(F.col("r")[c], F.lit(unknown)) for c in categorical})
     return rec.withColumns(cols)
 
@@ -84,6 +101,25 @@ def gather(answers: DataFrame, asked: DataFrame, fields: list[str]) -> DataFrame
     return answers.unionByName(none).groupBy(*_ROW).agg(F.to_json(keep, {"ignoreNullFields": "false"}).alias("result"))
 
 
+def _horizon(record: Column) -> Column:
+    return number(record["horizon"])
+
+
+def fault(known: list[str]) -> Column:
+    """The error that answers a parsed request (mtype, records), or null if one of the ``known`` models does."""
+    far = F.exists("records", lambda r: F.coalesce(_horizon(r).between(C.FORECAST_MAX_HORIZON + 0.5, 2**31 - 1), F.lit(False)))
+    return (F.when(~F.col("mtype").isin(*C.REQUEST_MODEL_TYPES), unknown_type_error(F.col("mtype")))
+            .when(F.col("records").isNull(), error_object(F.lit("payload is not a JSON array of records")))
+            .when(~F.col("mtype").isin(*known), error_object(F.concat(F.lit("model unavailable: "), F.col("mtype"))))
+            .when((F.col("mtype") == "price_forecast") & far,
+                  error_object(F.lit(f"horizon must be at most {C.FORECAST_MAX_HORIZON} months"))))
+
+
+def known_types(valuation=None, lead=None, baseline=None) -> list[str]:
+    """The model types that the given models answer."""
+    return [t for t, m in zip(C.REQUEST_MODEL_TYPES, (valuation, lead, baseline)) if m is not None]
+
+
 def route(requests: DataFrame, as_of: _dt.date, valuation=None, lead=None, baseline: DataFrame | None = None) -> DataFrame:
     """K-2: route every request to its model; returns request_id, model_type,
     result. ``requests`` needs request_id, model_type, payload; ids may repeat.
@@ -95,11 +131,7 @@ def route(requests: DataFrame, as_of: _dt.date, valuation=None, lead=None, basel
     check_schema(requests.select("model_type", "payload"))
     parsed = written(parse_payload(requests.select("request_id", "model_type", "payload"))
                      .withColumn("_row", F.monotonically_increasing_id()).drop("payload"), "requests")
-    known = [t for t, m in zip(C.REQUEST_MODEL_TYPES, (valuation, lead, baseline)) if m is not None]
-    wrong = (F.when(~F.col("mtype").isin(*C.REQUEST_MODEL_TYPES), unknown_type_error(F.col("mtype")))
-             .when(F.col("records").isNull(), error_object(F.lit("payload is not a JSON array of records")))
-             .when(~F.col("mtype").isin(*known), error_object(F.concat(F.lit("model unavailable: "), F.col("mtype")))))
-    judged = parsed.withColumn("wrong", wrong)
+    judged = parsed.withColumn("wrong", fault(known_types(valuation, lead, baseline)))
     out = judged.filter(F.col("wrong").isNotNull()).select(*_ROW, F.col("wrong").alias("result"))
     ok = judged.filter(F.col("wrong").isNull())
     if valuation is not None:
@@ -119,7 +151,7 @@ def route(requests: DataFrame, as_of: _dt.date, valuation=None, lead=None, basel
         fc = asked.select(*_ROW, F.posexplode("records").alias("pos", "r"))
         fc = fc.select(*_ROW, "pos", F.col("r")["state"].alias("state"),
                        F.col("r")["property_type"].alias("property_type"),
-                       F.col("r")["horizon"].try_cast("double").try_cast("int").alias("horizon"))
+                       _horizon(F.col("r")).try_cast("int").alias("horizon"))
         path = forecast_requests(fc, baseline, as_of).withColumn(
             "forecast_month", F.date_format(F.col("forecast_month").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"))
         fields = ["forecast_month", "forecast_price", "forecast_price_low", "forecast_price_high", "state",
@@ -136,17 +168,21 @@ def check_answers(answers: DataFrame) -> DataFrame:
 
 
 def canonical_payload(payload: Column) -> Column:
-    """Records re-serialised with their keys sorted (equal requests -> equal text)."""
-    recs = F.from_json(payload, RECORDS)
+    """Records re-serialised with their keys sorted (equal requests -> equal text; a repeated key has its last value)."""
+    recs = _records(payload)
     return F.to_json(F.transform(recs, lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))))
 
 
+def request_key() -> Column:
+    """Equal for identical requests: the trimmed type and the canonical payload (raw text if it does not parse)."""
+    return F.md5(F.concat_ws("\u0001", trimmed_type(), F.coalesce(canonical_payload(F.col("payload")), F.col("payload"), F.lit("\u0000"))))
+
+
 def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K-5: identical requests (same trimmed type and canonical payload) are
     answered once. Returns (unique requests to route, request_id -> key map).
     Unparsable payloads keep their raw text as key; a null payload is one too."""
-    keyed = requests.withColumn("_key", F.md5(F.concat_ws(
-        "\u0001", trimmed_type(), F.coalesce(canonical_payload(F.col("payload")), F.col("payload"), F.lit("\u0000")))))
+    keyed = requests.withColumn("_key", request_key())
     unique = (keyed.groupBy("_key").agg(F.min("request_id").alias("request_id"),
                                         F.min("model_type").alias("model_type"),
                                         F.min("payload").alias("payload")))

@@ -8,8 +8,8 @@ scoring is ``transform`` (no collect). Only fitted parameters reach the driver.
 
 from __future__ import annotations
 
-import datetime as _dt
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -25,17 +25,18 @@ from plotline import config as C
 from plotline.functions.columns import score_tier
 from plotline.operators import metrics as M
 from plotline.operators import prep as PR
-from plotline.session import written
+from plotline.session import scratch_path, written
 
 _FITS_AT_ONCE = 4  # fits whose jobs share the cluster
+RIDGE_ALPHA = 1.0
 
 
 @dataclass
 class TreeParams:
     """E-11: boosted-tree settings (the notebook's: at most 500 trees, rate
-    .05, depth 6, row subsample .8, feature subsample .7). Early stopping
-    decides how many trees are kept: a fit ends when a tree improves the
-    validation error by less than ``validation_tol`` of it."""
+    .05, depth 6, row subsample .8, feature subsample .7). ``patience`` rounds
+    without a better validation error end a fit; the ensemble is then cut at
+    its best tree (``fit_patient``)."""
 
     max_iter: int = 500
     step_size: float = 0.05
@@ -45,21 +46,70 @@ class TreeParams:
     max_bins: int = 64
     min_instances: int = 10
     seed: int = 42
-    validation_tol: float = 1e-4
+    patience: int = 50
+
+    def _set(self, kind, label: str, **kw):
+        return kind(labelCol=label, featuresCol="features", maxIter=self.max_iter, stepSize=self.step_size, maxDepth=self.max_depth,
+                    subsamplingRate=self.subsampling_rate, featureSubsetStrategy=self.feature_subset, maxBins=self.max_bins,
+                    minInstancesPerNode=self.min_instances, seed=self.seed, checkpointInterval=10, **kw)
 
     def regressor(self, label: str, **kw) -> GBTRegressor:
-        return GBTRegressor(labelCol=label, featuresCol="features", maxIter=self.max_iter, stepSize=self.step_size,
-                            maxDepth=self.max_depth, subsamplingRate=self.subsampling_rate,
-                            featureSubsetStrategy=self.feature_subset, maxBins=self.max_bins,
-                            minInstancesPerNode=self.min_instances, seed=self.seed,
-                            validationTol=self.validation_tol, checkpointInterval=10, **kw)
+        return self._set(GBTRegressor, label, **kw)
 
     def classifier(self, label: str, **kw) -> GBTClassifier:
-        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=self.max_iter, stepSize=self.step_size,
-                             maxDepth=self.max_depth, subsamplingRate=self.subsampling_rate,
-                             featureSubsetStrategy=self.feature_subset, maxBins=self.max_bins,
-                             minInstancesPerNode=self.min_instances, seed=self.seed,
-                             validationTol=self.validation_tol, checkpointInterval=10, **kw)
+        return self._set(GBTClassifier, label, **kw)
+
+
+def bare(spark: SparkSession, model):
+    """A linear model without its training summary. The summary holds the session, which cannot travel to tasks once
+    the session has observed a metric (``sources.snapshots``)."""
+    path = scratch_path(spark, f"bare-{uuid.uuid4().hex}")
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def best_tree(curve: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 0) of the least error, up to where ``patience`` rounds brought no better one; and whether they did."""
+    best = 0
+    for i, error in enumerate(curve):
+        if error < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def cut(spark: SparkSession, model, trees: int):
+    """The ensemble of the first ``trees`` trees of a boosted model."""
+    gateway, old = spark.sparkContext._gateway, model._java_obj
+    classes = isinstance(model, GBTClassificationModel)
+    ml = gateway.jvm.org.apache.spark.ml
+    kept = gateway.new_array(ml.regression.DecisionTreeRegressionModel, trees)
+    weights = gateway.new_array(gateway.jvm.double, trees)
+    for i, (tree, weight) in enumerate(zip(list(old.trees())[:trees], list(old.treeWeights())[:trees])):
+        kept[i], weights[i] = tree, weight
+    if classes:
+        return GBTClassificationModel(ml.classification.GBTClassificationModel(old.uid(), kept, weights, old.numFeatures(), old.numClasses()))
+    return GBTRegressionModel(ml.regression.GBTRegressionModel(old.uid(), kept, weights, old.numFeatures()))
+
+
+def fit_patient(estimator, rows: DataFrame, held: DataFrame, patience: int, loss: str | None = None) -> tuple[object, list[float]]:
+    """Fit on ``rows`` with early stopping on ``held``: the model cut at its best tree, and the validation curve.
+
+    A fit knows no patience of its own, so it is run for a growing number of rounds (each twice the one before, up
+    to the estimator's limit) until ``patience`` rounds of its staged validation curve bring no better error. As the seed
+    is fixed, the first trees of a longer fit are those of the shorter one. ``loss`` is the measure of a regression
+    ("squared" or "absolute"); a classifier is measured by its log loss.
+    """
+    limit = estimator.getMaxIter()
+    rounds = min(limit, 2 * patience)
+    while True:
+        model = estimator.copy().setMaxIter(rounds).fit(rows)
+        curve = list(model.evaluateEachIteration(held, loss) if loss else model.evaluateEachIteration(held))
+        best, stopped = best_tree(curve, patience)
+        if stopped or rounds == limit:
+            return cut(rows.sparkSession, model, best + 1), curve
+        rounds = min(limit, 2 * rounds)
 
 
 @dataclass
@@ -138,9 +188,12 @@ class Valuation:
     base: list
     meta: object
     metrics: dict = field(default_factory=dict)
+    oof: DataFrame | None = None  # (b0, b1, log_price): what the ridge was fitted on
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.prep.save(spark, f"{path}/prep")
+        if self.oof is not None:
+            self.oof.write.mode("overwrite").parquet(f"{path}/oof")
         for i, m in enumerate(self.base):
             m.write().overwrite().save(f"{path}/base{i}")
         self.meta.write().overwrite().save(f"{path}/meta")
@@ -149,7 +202,7 @@ class Valuation:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Valuation":
         return Valuation(Prep.load(spark, f"{path}/prep"), [GBTRegressionModel.load(f"{path}/base{i}") for i in range(2)],
-                         LinearRegressionModel.load(f"{path}/meta"), _read_metrics(spark, path))
+                         LinearRegressionModel.load(f"{path}/meta"), _read_metrics(spark, path), spark.read.parquet(f"{path}/oof"))
 
     def predict(self, df: DataFrame, pct: float = C.INTERVAL_PCT, fill: str = "median") -> DataFrame:
         """E-2: stacked estimate, expm1 back to price, +-pct interval."""
@@ -163,47 +216,49 @@ class Valuation:
                 .drop("features", "prediction", *[f"_b{i}" for i in range(len(self.base))]))
 
 
-def _base_models(params: TreeParams, trees: list[int] | None = None) -> list:
-    """Two differently set boosted regressors (the notebook stacks two
-    libraries). With ``trees`` each fits that many without stopping early."""
+def _base_models(params: TreeParams) -> list[tuple[GBTRegressor, int, str]]:
+    """Two differently set boosted regressors (the notebook stacks two libraries), with the patience (30 and 50 rounds
+    at the notebook's settings) and the validation measure of each."""
     other = TreeParams(**{**params.__dict__, "max_depth": max(2, params.max_depth - 1), "feature_subset": "sqrt",
                           "seed": params.seed + 1})
-    kw = {} if trees else {"validationIndicatorCol": "_val"}
-    out = [p.regressor("log_price", **kw) for p in (params, other)]
-    return [m.setMaxIter(n) for m, n in zip(out, trees)] if trees else out
+    return [(params.regressor("log_price"), max(1, round(0.6 * params.patience)), "absolute"),
+            (other.regressor("log_price"), params.patience, "squared")]
 
 
 def fit_valuation(train: DataFrame, params: TreeParams = TreeParams(), n_folds: int = 3,
                   group: str = "state", include_leaky: bool = False) -> Valuation:
     """E-1: out-of-fold predictions of two GBTs over group folds (no state in
-    two folds), a ridge on top, then the base models refit on all rows with
+    two folds), a ridge (alpha 1) on top, then the base models refit on all rows with
     the mean number of trees that their folds kept."""
     numeric = [c for c in C.AVM_NUMERIC if include_leaky or c not in C.AVM_LEAKY]
     prep = Prep(numeric, list(C.AVM_BINARY), list(C.AVM_CATEGORICAL))
     df = train.withColumn("log_price", F.log1p("price"))
     prep.fit(df)
-    x = _persist(PR.with_folds(prep.transform(df), group, n_folds).select("features", "log_price", "fold", group))
+    x = _persist(PR.with_folds(prep.transform(df), group, n_folds).select("features", "log_price", "fold"))
     try:
         n = x.count()
-        parts = [x.withColumn("_val", F.col("fold") == k) for k in range(n_folds)]
-        fitted = _at_once([lambda e=e, p=p: e.fit(p) for p in parts for e in _base_models(params)])
+        models = _base_models(params)
+        fitted = _at_once([lambda k=k, e=e, p=p, m=m: fit_patient(e, x.filter(F.col("fold") != k), x.filter(F.col("fold") == k), p, m)
+                           for k in range(n_folds) for e, p, m in models])
         oof = None
-        for k, part in enumerate(parts):
-            preds = part.filter(F.col("fold") == k).select("features", "log_price")
-            for i, m in enumerate(fitted[2 * k:2 * k + 2]):
-                preds = m.transform(preds).withColumnRenamed("prediction", f"_b{i}")
+        for k in range(n_folds):
+            preds = x.filter(F.col("fold") == k).select("features", "log_price")
+            for i, (m, _) in enumerate(fitted[2 * k:2 * k + 2]):
+                preds = m.transform(preds).withColumnRenamed("prediction", f"b{i}")
             oof = preds if oof is None else oof.unionByName(preds)
-        meta_in = VectorAssembler(inputCols=["_b0", "_b1"], outputCol="_m").transform(oof)
-        meta = LinearRegression(featuresCol="_m", labelCol="log_price", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                                standardization=False).fit(meta_in)
-        meta.setFeaturesCol("features")
-        kept = [[m.getNumTrees for m in fitted[i::2]] for i in range(2)]
+        oof = written(oof.select("b0", "b1", "log_price"), "valuation-oof")
+        meta_in = VectorAssembler(inputCols=["b0", "b1"], outputCol="_m").transform(oof)
+        meta = LinearRegression(featuresCol="_m", labelCol="log_price", regParam=RIDGE_ALPHA / max(n, 1), elasticNetParam=0.0,
+                                standardization=False, solver="normal").fit(meta_in)
+        meta = bare(x.sparkSession, meta).setFeaturesCol("features")
+        kept = [[m.getNumTrees for m, _ in fitted[i::2]] for i in range(2)]
         trees = [max(1, round(sum(ks) / len(ks))) for ks in kept]
-        base = _at_once([lambda e=e: e.fit(x) for e in _base_models(params, trees)])
+        base = _at_once([lambda e=e, t=t: e.copy().setMaxIter(t).fit(x) for (e, _, _), t in zip(models, trees)])
     finally:
         x.unpersist()
     limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
-    return Valuation(prep, base, meta, {"limits": limits, "fold_trees": kept, "trees": trees})
+    return Valuation(prep, base, meta, {"limits": limits, "fold_trees": kept, "trees": trees,
+                                        "fold_curves": [[c for _, c in fitted[i::2]] for i in range(2)]}, oof)
 
 
 def valuation_training(prop: DataFrame) -> DataFrame:
@@ -251,7 +306,7 @@ class Rent:
         return x.withColumns(rent_blend("_model", "price", yields_col)).drop("_model")
 
 
-def fit_rent(prop: DataFrame, params: TreeParams = TreeParams(max_depth=5), include_leaky: bool = False,
+def fit_rent(prop: DataFrame, params: TreeParams = TreeParams(max_depth=5, patience=30), include_leaky: bool = False,
              min_rows: int = C.MIN_TRAIN_ROWS) -> Rent | None:
     """E-7: GBT on census rent (P-9 filter, 0 fill, 85/15 split with early
     stopping). None under ``min_rows`` rows (P-15)."""
@@ -265,14 +320,14 @@ def fit_rent(prop: DataFrame, params: TreeParams = TreeParams(max_depth=5), incl
     prep.scaler = {}
     df = PR.exact_split(df.withColumn("rent_label", F.col("census_median_gross_rent").cast("double")),
                         "listing_id", 0.15, 42, out="_is_val")
-    x = _persist(prep.transform(df, fill="zero").withColumn("_val", F.col("_is_val") == 1))
+    x = _persist(prep.transform(df, fill="zero").select("features", "rent_label", (F.col("_is_val") == 1).alias("_val")))
     try:
-        model = params.regressor("rent_label", validationIndicatorCol="_val").fit(x)
+        model, curve = fit_patient(params.regressor("rent_label"), x.filter("not _val"), x.filter("_val"), params.patience, "squared")
         metrics = M.regression_metrics(model.transform(x.filter("_val")), "rent_label", "prediction").first().asDict()
     finally:
         x.unpersist()
     limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
-    return Rent(prep, model, metrics | {"limits": limits, "trees": [model.getNumTrees]})
+    return Rent(prep, model, metrics | {"limits": limits, "trees": [model.getNumTrees], "curve": curve})
 
 
 # ----------------------------------------------------------------------- lead
@@ -282,9 +337,12 @@ class Lead:
     model: object
     calibrator: object
     metrics: dict = field(default_factory=dict)
+    calibration: DataFrame | None = None  # (raw, motivated_seller): what the calibrator was fitted on
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.prep.save(spark, f"{path}/prep")
+        if self.calibration is not None:
+            self.calibration.write.mode("overwrite").parquet(f"{path}/calibration")
         self.model.write().overwrite().save(f"{path}/model")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
         _write_metrics(spark, path, self.metrics)
@@ -292,18 +350,20 @@ class Lead:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Lead":
         return Lead(Prep.load(spark, f"{path}/prep"), GBTClassificationModel.load(f"{path}/model"),
-                    LogisticRegressionModel.load(f"{path}/calibrator").setFeaturesCol("features"), _read_metrics(spark, path))
+                    LogisticRegressionModel.load(f"{path}/calibrator").setFeaturesCol("features"), _read_metrics(spark, path),
+                    spark.read.parquet(f"{path}/calibration"))
 
     def predict(self, df: DataFrame, fill: str = "median") -> DataFrame:
-        """E-9 + E-10: the raw margin, its calibrated probability and tier."""
+        """E-9 + E-10: the raw margin, the calibrated probability and its tier. The calibrator's input is the raw
+        probability: the notebook's classifier has no decision function, so its calibrator sees probabilities."""
         x = self.model.transform(self.prep.transform(df, fill))
-        x = x.withColumn("_margin", vector_to_array("rawPrediction")[1])
-        x = VectorAssembler(inputCols=["_margin"], outputCol="_cal").transform(
+        x = x.withColumns({"_margin": vector_to_array("rawPrediction")[1], "_raw": vector_to_array("probability")[1]})
+        x = VectorAssembler(inputCols=["_raw"], outputCol="_cal").transform(
             x.drop("features", "prediction", "probability", "rawPrediction"))
         x = self.calibrator.transform(x.withColumnRenamed("_cal", "features"))
         x = x.withColumn("lead_score", vector_to_array("probability")[1])
         return (x.withColumn("lead_tier", score_tier("lead_score"))
-                .drop("features", "prediction", "probability", "rawPrediction").withColumnRenamed("_margin", "margin"))
+                .drop("features", "prediction", "probability", "rawPrediction", "_raw").withColumnRenamed("_margin", "margin"))
 
 
 def platt_rows(df: DataFrame, label: str) -> DataFrame:
@@ -334,18 +394,16 @@ def fit_lead(labeled: DataFrame, params: TreeParams = TreeParams(max_iter=400),
     fit_part = train_all.filter("_is_val = 0")
     prep = Prep(list(C.LEAD_NUMERIC), list(C.LEAD_BINARY), list(C.LEAD_CAT)).fit(fit_part)
     w = M.class_weight(fit_part, "motivated_seller").first()["pos_weight"]
-    x = _persist(prep.transform(train_all).withColumns({
-        "_val": F.col("_is_val") == 1,
-        "_wt": F.when(F.col("motivated_seller") == 1, F.lit(float(w))).otherwise(F.lit(1.0)),
-        "_label": F.col("motivated_seller").cast("double")}))
+    x = _persist(prep.transform(train_all).select(
+        "features", "motivated_seller", (F.col("_is_val") == 1).alias("_val"), F.col("motivated_seller").cast("double").alias("_label"),
+        F.when(F.col("motivated_seller") == 1, F.lit(float(w))).otherwise(F.lit(1.0)).alias("_wt")))
     try:
-        model = params.classifier("_label", weightCol="_wt", validationIndicatorCol="_val").fit(x)
-        val = model.transform(x.filter("_val")).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        cal_in = VectorAssembler(inputCols=["_margin"], outputCol="_cal").transform(
-            platt_rows(val.select("_margin", "motivated_seller"), "motivated_seller"))
-        cal = LogisticRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", regParam=0.0).fit(cal_in)
-        cal.setFeaturesCol("features")
-        lead = Lead(prep, model, cal)
+        model, curve = fit_patient(params.classifier("_label", weightCol="_wt"), x.filter("not _val"), x.filter("_val"), params.patience)
+        raw = written(model.transform(x.filter("_val")).select(vector_to_array("probability")[1].alias("raw"), "motivated_seller"), "calibration")
+        cal_in = VectorAssembler(inputCols=["raw"], outputCol="_cal").transform(platt_rows(raw, "motivated_seller"))
+        cal = LogisticRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", regParam=0.0, tol=1e-12, maxIter=1000).fit(cal_in)
+        cal = bare(raw.sparkSession, cal).setFeaturesCol("features")
+        lead = Lead(prep, model, cal, {}, raw)
         scored = lead.predict(test)
         auc = M.roc_auc(scored, "motivated_seller", "lead_score").first()["auc"]
         ap = M.average_precision(scored, "motivated_seller", "lead_score").first()["average_precision"]
@@ -353,5 +411,5 @@ def fit_lead(labeled: DataFrame, params: TreeParams = TreeParams(max_iter=400),
         x.unpersist()
     limits = {"max_trees": params.max_iter, "rate": params.step_size, "depth": params.max_depth}
     lead.metrics = {"auc": auc, "average_precision": ap, "pos_weight": float(w), "limits": limits, "trees": [model.getNumTrees],
-                    "gate": gated("lead_auc", auc, C.LEAD_MIN_AUC, at_most=False)}
+                    "curve": curve, "gate": gated("lead_auc", auc, C.LEAD_MIN_AUC, at_most=False)}
     return lead

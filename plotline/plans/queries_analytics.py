@@ -220,8 +220,9 @@ def q_investment_monte_carlo(spark, sf):
 
 @register("forecast", O.with_base(f"SELECT {sel(FC_COLS)} FROM forecast"))
 def q_forecast(spark, sf):
-    """C-6: the forecast run (baselines >= 3 listings, tier rates, 12 months)."""
-    return P.rounded(FC.price_forecasts(P.active_df(spark, sf), C.ADAPTER_AS_OF, C.FORECAST_HORIZON))
+    """C-6: the table that the batch run's forecast stage writes (baselines >= 3 listings, tier rates, 12 months)."""
+    from plotline.plans.queries_models import batch
+    return P.rounded(batch(spark, sf, "forecasts").read("price_forecasts").drop("generated_at"))
 
 
 @register("investment", O.with_base(

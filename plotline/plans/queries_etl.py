@@ -82,10 +82,11 @@ def q_census_rates(spark, sf):
 @register("numeric_coerce", O.with_base(
     "SELECT zip_code, coalesce(TRY_CAST(B19013_001E AS DOUBLE), 0) AS value FROM census_vals"))
 def q_numeric_coerce(spark, sf):
-    """P-43: unparsable text -> null -> filled with 0."""
+    """P-43: unparsable text and NaN -> null -> filled with 0."""
+    from plotline.functions.running import number
     rows = census_fixture_rows(spark, sf)
     return P.rounded(rows.select(F.element_at("row", -1).alias("zip_code"),
-                                 F.coalesce(F.element_at("row", 2).try_cast("double"), F.lit(0.0)).alias("value")))
+                                 F.coalesce(number(F.element_at("row", 2)), F.lit(0.0)).alias("value")))
 
 
 @register("inline_dim", O.with_base(
@@ -316,13 +317,42 @@ def q_head_n(spark, sf):
     return P.rounded(df.orderBy("listing_id").limit(2).select("listing_id", "state", "price"))
 
 
-@register("latest_version", O.with_base(
+_LOG = ("log AS (SELECT state AS model, CAST(year(prev_sold_date) AS INTEGER) AS version, "
+        "count_if(price >= 300000) / count(*) >= 0.5 AS passed FROM silver WHERE prev_sold_date IS NOT NULL AND state IS NOT NULL GROUP BY ALL)")
+
+
+def _version_log(spark, sf):
+    """A version log derived from the listings: a model for each state, a version for each year of sales, gated by the
+    share of listings at 300,000 or more."""
+    sold = P.silver_df(spark, sf).filter("prev_sold_date is not null and state is not null")
+    share = F.count_if(F.col("price") >= 300_000) / F.count(F.lit(1))
+    return (sold.groupBy(F.col("state").alias("model"), F.year("prev_sold_date").alias("version")).agg(share.alias("value"))
+            .withColumn("passed", F.col("value") >= 0.5))
+
+
+@register("latest_version", O.with_base("SELECT model, max(version) AS version FROM log GROUP BY model", _LOG))
+def q_latest_version(spark, sf):
+    """T-4: the latest version of every model of a version log."""
+    from plotline.plans.versions import latest
+    return latest(_version_log(spark, sf))
+
+
+@register("model_promotion", O.with_base(
+    "SELECT model, version, CASE WHEN NOT passed THEN 'rejected' WHEN version = max(CASE WHEN passed THEN version END) OVER "
+    "(PARTITION BY model) THEN 'production' ELSE 'archived' END AS state FROM log", _LOG))
+def q_model_promotion(spark, sf):
+    """T-4 + E-6: the latest version that passed its gate is in production, earlier ones are archived."""
+    from plotline.plans.versions import states
+    return states(_version_log(spark, sf))
+
+
+@register("latest_sale", O.with_base(
     "SELECT a, latest_sale, max(listing_id) AS listing_id FROM ("
     "SELECT concat_ws('|', street, city, state) AS a, prev_sold_date, listing_id, "
     "max(prev_sold_date) OVER (PARTITION BY concat_ws('|', street, city, state)) AS latest_sale "
     "FROM silver WHERE prev_sold_date IS NOT NULL) t WHERE prev_sold_date = latest_sale GROUP BY a, latest_sale"))
-def q_latest_version(spark, sf):
-    """T-4: the latest row per key (here the latest sale per address). A
+def q_latest_sale(spark, sf):
+    """The latest sale per address. A
     max over (version, id) structs is a partial aggregate, so a hot key is
     combined map-side instead of sorted in one task."""
     df = P.silver_df(spark, sf).filter(F.col("prev_sold_date").isNotNull())

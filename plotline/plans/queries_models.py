@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from plotline import config as C
 from plotline import oracle as O
-from plotline.operators.quality import _exists
 from plotline.plans import common as P
 from plotline.plans import models as MD
 from plotline.plans.catalog import register
@@ -23,31 +22,29 @@ def active_features(spark, sf):
     return property_features(P.active_listings(s), P.market_df(spark, sf), feature_ts=False)
 
 
-def _stored(spark, sf, name, kind, fit):
-    """A model fitted once per application and input folder, saved whole under
-    the shared folder and loaded from there; None when there was nothing to fit."""
-    path = scratch_path(spark, f"models/{P.sf_key(spark, sf)}/{name}")
-    if not _exists(spark, f"{path}/metrics/_SUCCESS"):
-        if _exists(spark, f"{path}/none"):
-            return None
-        model = fit()
-        if model is None:
-            spark.range(0).write.mode("overwrite").parquet(f"{path}/none")
-            return None
-        model.save(spark, path)
-    return kind.load(spark, path)
+def batch(spark, sf, *stages):
+    """The batch run over an input folder, carried on to the given stages: each stage runs once per application."""
+    from plotline.plans.pipeline import Run
+    run = Run(spark, scratch_path(spark, f"run/{P.sf_key(spark, sf)}"), C.ADAPTER_AS_OF, sf_dir=sf, run_id="run")
+    run.run_all(only=stages)
+    return run
+
+
+def _model(spark, sf, name, kind):
+    """A model of the batch run, loaded from where the run saved it; None when there was nothing to fit."""
+    return batch(spark, sf, name).model(name, kind)
 
 
 def valuation(spark, sf):
-    return _stored(spark, sf, "valuation", MD.Valuation, lambda: MD.valuation_run(P.prop_df(spark, sf)))
+    return _model(spark, sf, "valuation", MD.Valuation)
 
 
 def rent(spark, sf):
-    return _stored(spark, sf, "rent", MD.Rent, lambda: MD.fit_rent(P.prop_df(spark, sf)))
+    return _model(spark, sf, "rent", MD.Rent)
 
 
 def lead(spark, sf):
-    return _stored(spark, sf, "lead", MD.Lead, lambda: MD.fit_lead(P.lead_labeled_df(spark, sf)))
+    return _model(spark, sf, "lead", MD.Lead)
 
 
 def _nothing(spark, schema: str):
@@ -109,8 +106,8 @@ def q_valuation_score(spark, sf):
 
 @register("valuation", None)
 def q_valuation(spark, sf):
-    """C-5: the valuation run's output table (avm estimates)."""
-    return q_valuation_score(spark, sf)
+    """C-5: the table that the batch run's valuation stage writes."""
+    return batch(spark, sf, "valuation").read("avm_estimates").drop("scored_at")
 
 
 _HELD = "price BETWEEN 10000 AND 50000000 AND quality_score >= 0.6 AND property_type <> 'LAND' AND state IN (" \
@@ -159,8 +156,9 @@ def q_rent_fit_score(spark, sf):
 
 @register("rent", None)
 def q_rent(spark, sf):
-    """C-7."""
-    return q_rent_fit_score(spark, sf)
+    """C-7: the table that the batch run's rent stage writes."""
+    run = batch(spark, sf, "rent")
+    return run.read("rent_estimates").drop("scored_at") if rent(spark, sf) is not None else _nothing(spark, _RENT_SCHEMA)
 
 
 @register("rent_bounds", O.with_base(
@@ -209,8 +207,9 @@ def q_lead_score(spark, sf):
 
 @register("lead", None)
 def q_lead(spark, sf):
-    """C-8."""
-    return q_lead_score(spark, sf)
+    """C-8: the table that the batch run's lead stage writes."""
+    run = batch(spark, sf, "lead")
+    return run.read("lead_scores").drop("scored_at") if lead(spark, sf) is not None else _nothing(spark, _LEAD_SCHEMA)
 
 
 @register("lead_bounds", O.with_base(
@@ -226,11 +225,77 @@ def q_lead_bounds(spark, sf):
 
 @register("valuation_investment", None)
 def q_valuation_investment(spark, sf):
-    """C-9 on model output: investment measures from the valuation estimate
-    and the rent of the same row (no join)."""
-    from plotline.operators.invest import investment_scores
-    df = valuation(spark, sf).predict(active_features(spark, sf))
-    r = rent(spark, sf)
-    df = r.predict(df) if r is not None else df.withColumn("est_monthly_rent", F.lit(None).cast("double"))
-    df = df.select("listing_id", *C.ADDRESS_KEYS, "state_tier", "avm_estimate", "est_monthly_rent")
-    return investment_scores(df, keep=("listing_id", *C.ADDRESS_KEYS))
+    """C-9 on model output: the table that the batch run's investment stage writes."""
+    return batch(spark, sf, "investment").read("investment_scores")
+
+
+# ------------------------------------------------------------ exact checks
+_TOLERANCE = 1e-9  # relative; the two ways add up the trees in another order
+
+
+def _agree(a: str, b: str):
+    return F.abs(F.col(a) - F.col(b)) <= F.lit(_TOLERANCE) * F.greatest(F.abs(F.col(a)), F.abs(F.col(b)), F.lit(1e-300))
+
+
+def _numbered(df):
+    """Rows with a number that stays: listing ids may repeat."""
+    from plotline.session import written
+    return written(df.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+
+
+@register("valuation_walk", O.with_base(f"SELECT listing_id, {O.r('price')} AS price, true AS agrees FROM active"))
+def q_valuation_walk(spark, sf):
+    """E-2 / C-5 checked exactly: for every active listing the ensembles walked as node tables give the model's estimate."""
+    from plotline.plans.walk import walked_valuation
+    rows, model = _numbered(active_features(spark, sf)), valuation(spark, sf)
+    walked = walked_valuation(model, rows, ["row_no", "listing_id", "price"])
+    return P.rounded(walked.join(model.predict(rows).select("row_no", "avm_estimate"), "row_no")
+                     .select("listing_id", "price", _agree("estimate", "avm_estimate").alias("agrees")))
+
+
+@register("rent_walk", O.with_base(
+    f"SELECT listing_id, {O.r('price')} AS price, true AS agrees FROM active, (SELECT count(*) AS n FROM prop) WHERE n > 0"))
+def q_rent_walk(spark, sf):
+    """E-7 / C-7 checked exactly: the walked ensemble, blended with the yield, gives every active listing's rent."""
+    from plotline.operators.invest import with_state_yield
+    from plotline.plans.walk import walked_rent
+    model = rent(spark, sf)
+    if model is None:
+        return _nothing(spark, "listing_id string, price double, agrees boolean")
+    rows = _numbered(with_state_yield(active_features(spark, sf)))
+    walked = walked_rent(model, rows, ["row_no", "listing_id"])
+    found = model.predict(rows).select("row_no", "price", "est_monthly_rent")
+    return P.rounded(walked.join(found, "row_no").select("listing_id", "price", _agree("monthly", "est_monthly_rent").alias("agrees")))
+
+
+@register("lead_walk", O.with_base("SELECT listing_id, street, true AS agrees FROM lead"))
+def q_lead_walk(spark, sf):
+    """E-8 to E-10 / C-8 checked exactly: the walked ensemble and the calibrator's formula give every lead's score."""
+    from plotline.plans.walk import walked_lead
+    model = lead(spark, sf)
+    if model is None:
+        return _nothing(spark, "listing_id string, street string, agrees boolean")
+    rows = _numbered(P.lead_df(spark, sf))
+    walked = walked_lead(model, rows, ["row_no", "listing_id", "street"])
+    return walked.join(model.predict(rows, fill="zero").select("row_no", "lead_score"), "row_no") \
+        .select("listing_id", "street", _agree("score", "lead_score").alias("agrees"))
+
+
+_RESIDUAL = 1e-6  # a gradient, relative to the sum of its absolute terms
+
+
+@register("ridge_certificate", "SELECT * FROM (VALUES ('b0', true), ('b1', true), ('intercept', true)) t(equation, holds)")
+def q_ridge_certificate(spark, sf):
+    """E-1: the stacking ridge satisfies its normal equations on the out-of-fold predictions."""
+    from plotline.plans.walk import ridge_gradient
+    return ridge_gradient(valuation(spark, sf)).select("equation", (F.col("residual") <= _RESIDUAL).alias("holds"))
+
+
+@register("platt_certificate", "SELECT * FROM (VALUES ('slope', true), ('intercept', true)) t(equation, holds)")
+def q_platt_certificate(spark, sf):
+    """E-9: the calibrator's log loss has no gradient at its coefficients."""
+    from plotline.plans.walk import platt_gradient
+    model = lead(spark, sf)
+    if model is None:
+        return _nothing(spark, "equation string, holds boolean")
+    return platt_gradient(model).select("equation", (F.col("residual") <= _RESIDUAL).alias("holds"))

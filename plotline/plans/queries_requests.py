@@ -11,6 +11,7 @@ from plotline.operators import requests as RQ
 from plotline.operators.features import hold_buckets_request
 from plotline.plans import common as P
 from plotline.plans.catalog import register, sel
+from plotline.sources import snapshots as SN
 
 AVM_FIELDS = ["bed", "bath", "house_size", "acre_lot", "state", "zip_code", "property_type"]
 LEAD_FIELDS = ["years_since_last_sale", "price", "bed", "house_size", "state", "property_type"]
@@ -54,10 +55,10 @@ def request_batch(spark, sf):
 
 
 def _models(spark, sf):
-    from plotline.operators.forecast import baseline_medians
-    from plotline.plans.queries_models import lead, valuation
-    return {"valuation": valuation(spark, sf), "lead": lead(spark, sf),
-            "baseline": baseline_medians(P.active_df(spark, sf))}
+    """The models of the bundle that the batch run saved and promoted."""
+    from plotline.plans.queries_models import batch
+    from plotline.plans.versions import serving
+    return serving(spark, batch(spark, sf, "bundle").path("models")).models()
 
 
 _FORECAST_KEYS = ("forecast_month", "forecast_price", "forecast_price_high", "forecast_price_low", "last_actual",
@@ -111,6 +112,24 @@ def q_route_requests(spark, sf):
     return RQ.route_deduplicated(request_batch(spark, sf), C.ADAPTER_AS_OF, **_models(spark, sf))
 
 
+@register("route_walk", O.with_base("SELECT request_id, true AS agrees FROM batch WHERE kind IN ('avm', 'lead')", _BATCH))
+def q_route_walk(spark, sf):
+    """K-2 checked exactly: the answer of every valuation and lead request is what the walked ensembles give for its payload."""
+    from plotline.plans.queries_models import _agree
+    from plotline.plans.walk import walked_lead, walked_valuation
+    models = _models(spark, sf)
+    batch = request_batch(spark, sf).filter(F.trim("model_type").isin("avm", "lead_scoring"))
+    answers = RQ.unpack_responses(RQ.route_deduplicated(batch, C.ADAPTER_AS_OF, **models)).filter("pos = 0 and error is null")
+    answers = answers.select("request_id", F.coalesce(F.col("record")["estimate"], F.col("record")["lead_score"]).cast("double").alias("answer"))
+    parsed = RQ.parse_payload(batch.dropDuplicates(["request_id"])).filter("records is not null")  # an id's requests are equal
+    avm = RQ.explode_records(parsed.filter(F.col("mtype") == "avm"), C.AVM_NUMERIC, C.AVM_BINARY, C.AVM_CATEGORICAL)
+    walked = walked_valuation(models["valuation"], avm, ["request_id"], fill="zero").withColumnRenamed("estimate", "walked")
+    if models["lead"] is not None:
+        ld = RQ.explode_records(parsed.filter(F.col("mtype") == "lead_scoring"), C.LEAD_NUMERIC, C.LEAD_BINARY, C.LEAD_CAT)
+        walked = walked.unionByName(walked_lead(models["lead"], ld, ["request_id"]).withColumnRenamed("score", "walked"))
+    return answers.join(walked, "request_id").select("request_id", _agree("answer", "walked").alias("agrees"))
+
+
 _FC_NUMBERS = ["forecast_price", "forecast_price_low", "forecast_price_high", "last_actual"]
 
 
@@ -209,22 +228,21 @@ def _scratch(spark, name, sf):
 
 @register("write_overwrite", O.with_base(f"SELECT {sel(['state', 'zip_code', 'property_type', 'sold_count', 'median_sold_price'])} FROM market"))
 def q_write_overwrite(spark, sf):
-    """S-7: a table of another schema is overwritten, the new schema is read back."""
+    """S-7: a table of another schema is replaced in one step, the new schema is read back."""
     path = _scratch(spark, "market_snapshots", sf)
     market = P.market_df(spark, sf)
-    market.groupBy("state").agg(F.count(F.lit(1)).alias("old_rows")).write.mode("overwrite").parquet(path)
-    market.select("state", "zip_code", "property_type", "sold_count", "median_sold_price").write.mode("overwrite").parquet(path)
-    return P.rounded(spark.read.parquet(path))
+    SN.replace(market.groupBy("state").agg(F.count(F.lit(1)).alias("old_rows")), path)
+    SN.replace(market.select("state", "zip_code", "property_type", "sold_count", "median_sold_price"), path)
+    return P.rounded(SN.read(spark, path))
 
 
 @register("write_partitioned", O.with_base("SELECT listing_id, state, status FROM bronze"))
 def q_write_partitioned(spark, sf):
     """S-8: hive-style partitions by state, rows placed by state first (a task
     writes few states; large states are split over tasks)."""
-    from plotline.operators.quality import write_by
     path = _scratch(spark, "bronze_listings", sf)
-    write_by(P.bronze_df(spark, sf), path, "state")
-    return spark.read.parquet(path).select("listing_id", "state", "status")
+    SN.replace_by(P.bronze_df(spark, sf), path, "state")
+    return SN.read(spark, path).select("listing_id", "state", "status")
 
 
 def _ensure_namespaces(spark, sf) -> str:
@@ -255,29 +273,27 @@ def q_scan_table(spark, sf):
     "UNION ALL SELECT 'market_snapshots', count(*), 'ok' FROM market "
     "UNION ALL SELECT 'investment_scores', CAST(NULL AS BIGINT), 'skipped'"))
 def q_row_counts(spark, sf):
-    """S-11: row counts of written tables; an absent table is 'skipped'."""
-    from plotline.operators.quality import row_counts
+    """S-11: row counts of written tables, as the writes counted them; an absent table is 'skipped'."""
     s = P.silver_df(spark, sf)
     paths = {}
     for name, df in (("sold_listings", P.sold_listings(s)), ("active_listings", P.active_listings(s)),
                      ("market_snapshots", P.market_df(spark, sf))):
         paths[name] = _scratch(spark, f"rc_{name}", sf)
-        df.write.mode("overwrite").parquet(paths[name])
+        SN.replace(df, paths[name])
     paths["investment_scores"] = _scratch(spark, "rc_never_written", sf)
-    return row_counts(spark, paths)
+    return SN.row_counts(spark, paths)
 
 
 @register("skip_empty_write", O.with_base(
     f"SELECT {sel(['state', 'property_type', 'forecast_month', 'forecast_price'])} FROM forecast"))
 def q_skip_empty_write(spark, sf):
-    """S-12: write only non-empty output (an empty frame leaves no table)."""
+    """S-12: write only non-empty output (an empty frame leaves the table as it was)."""
     from plotline.operators.forecast import price_forecasts
-    from plotline.operators.quality import write_if_not_empty
     fc = price_forecasts(P.active_df(spark, sf), C.ADAPTER_AS_OF)
     path = _scratch(spark, "price_forecasts", sf)
-    write_if_not_empty(fc.filter(F.lit(False)), _scratch(spark, "empty_forecasts", sf))
-    write_if_not_empty(fc, path)
-    return P.rounded(spark.read.parquet(path).select("state", "property_type", "forecast_month", "forecast_price"))
+    SN.replace(fc, path, skip_empty=True)
+    SN.replace(fc.filter(F.lit(False)), path, skip_empty=True)
+    return P.rounded(SN.read(spark, path).select("state", "property_type", "forecast_month", "forecast_price"))
 
 
 @register("route_stream", None)
@@ -293,3 +309,32 @@ def q_route_stream(spark, sf):
               **_models(spark, sf))
     q.awaitTermination()
     return spark.read.parquet(f"{base}/answers/{run}").select("request_id", "model_type", "result")
+
+
+_WAVE = "CASE WHEN substr(listing_id, 1, 1) < '5' THEN 0 WHEN substr(listing_id, 1, 1) < 'a' THEN 1 ELSE 2 END"
+
+
+@register("request_cache", O.with_base(
+    "SELECT request_id, min(CASE WHEN batch = first_batch THEN request_id END) OVER (PARTITION BY state, property_type) AS answered_by, "
+    "CAST(batch AS BIGINT) AS batch FROM first_asked",
+    f"waves AS (SELECT 'fw-' || listing_id AS request_id, state, property_type, {_WAVE} AS batch FROM active), "
+    "first_asked AS (SELECT *, min(batch) OVER (PARTITION BY state, property_type) AS first_batch FROM waves)"))
+def q_request_cache(spark, sf):
+    """K-5 across micro-batches: one forecast request per active listing lands in three waves, the stream is started
+    anew for each; a request of a segment that an earlier wave asked for is answered by that request."""
+    import uuid
+
+    from plotline.operators.forecast import baseline_medians
+    from plotline.streaming.requests_stream import serve
+    base = f"{_scratch(spark, 'request_cache', sf)}/{uuid.uuid4().hex}"
+    active = P.active_df(spark, sf)
+    first = F.substring("listing_id", 1, 1)
+    requests = active.select(F.concat(F.lit("fw-"), "listing_id").alias("request_id"), F.lit("price_forecast").alias("model_type"),
+                             F.to_json(F.array(F.struct("state", "property_type", F.lit(12).alias("horizon")))).alias("payload"),
+                             F.when(first < "5", 0).when(first < "a", 1).otherwise(2).alias("wave"))
+    medians = baseline_medians(active)
+    for wave in range(3):
+        requests.filter(F.col("wave") == wave).drop("wave").write.mode("append").json(f"{base}/landing")
+        serve(spark, f"{base}/landing", f"{base}/answers", f"{base}/checkpoint", C.ADAPTER_AS_OF, max_files_per_trigger=1_000_000,
+              baseline=medians).awaitTermination()
+    return spark.read.parquet(f"{base}/answers").select("request_id", "answered_by", F.col("batch_id").cast("long").alias("batch"))

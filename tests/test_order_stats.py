@@ -1,6 +1,8 @@
 """Distributed order statistics against brute force."""
 
+import os
 import random
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +12,16 @@ from plotline.operators import metrics as M
 from plotline.operators import prep as PR
 
 
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_exact_medians_with_ties_and_nulls(spark):
     rng = random.Random(7)
     rows = [(float(rng.choice([1, 2, 2, 3, 5, 8])), rng.random() if rng.random() > 0.2 else None,
@@ -99,3 +111,41 @@ def test_nan_scores_take_no_part(spark):
     df = spark.createDataFrame(rows, "y int, s double")
     assert M.roc_auc(df, "y", "s").first()["auc"] == 1.0
     assert M.average_precision(df.repartition(4), "y", "s").first()["average_precision"] == 1.0
+
+
+def test_medians_of_many_values_over_many_ranges(spark):
+    """One column of distinct values, small groups and infinities; several ranges hold one group."""
+    rng = random.Random(21)
+    rows = [("hot", rng.random()) for _ in range(20_000)] + [(f"g{i % 40}", float(rng.randint(0, 50))) for i in range(500)]
+    rows += [("inf", float("inf")), ("inf", float("-inf")), ("inf", 3.0), ("high", float("inf")), ("high", float("inf")), ("one", 4.0), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}):
+        got = {r["g"]: (r["median"], r["n"]) for r in group_medians(df, ["g"], "v").collect()}
+    values = {}
+    for g, v in rows:
+        if v == v:
+            values.setdefault(g, []).append(v)
+    assert got["high"] == (float("inf"), 2)
+    assert got == {g: (float(np.median(v)) if g != "high" else float("inf"), len(v)) for g, v in values.items()}
+    assert group_medians(df.filter("false"), ["g"], "v").count() == 0
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan, 0.0), (nan, 1.0, float("inf")), (3.0, 3.0, 2.0), (None, nan, 4.0)], "a double, b double, c double")
+    filled, med = PR.impute_train(df, ["a"], ["b"])
+    assert med == {"a": 2.0} and sorted((r.a, r.b) for r in filled.collect()) == [(1.0, 0), (2.0, 0), (2.0, 1), (3.0, 3)]
+    assert sorted(r.a for r in PR.impute(df, ["a"]).collect()) == [0.0, 0.0, 1.0, 3.0]
+    params = PR.fit_standard_scaler(df, ["a", "b", "c"])
+    assert params == {"a": (2.0, 1.0), "b": (2.0, 1.0), "c": (2.0, float(np.std([0.0, 2.0, 4.0])))}
+
+
+def test_scratch_of_a_scope_is_deleted(spark):
+    from plotline.session import scratch_path, scratch_scope, written
+    folder = scratch_path(spark, "").removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch_scope(spark):
+        assert written(spark.range(3).toDF("x"), "in-scope").count() == 3
+        assert PR.fit_median_fill(spark.range(5).toDF("x"), ["x"]) == {"x": 2.0}
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before

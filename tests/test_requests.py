@@ -6,6 +6,7 @@ from plotline.operators import requests as RQ
 from plotline.operators.forecast import baseline_medians
 from plotline.plans import common as P
 
+from plotline import config as C
 from plotline.config import ADAPTER_AS_OF as AS_OF
 
 from .conftest import SF_SMALL
@@ -61,11 +62,30 @@ def test_one_bad_value_does_not_fail_the_batch(spark):
     out = {r["request_id"]: json.loads(r["result"]) for r in RQ.route(req, AS_OF, baseline=base).collect()}
     assert len(out["good"]) == 3 and out["zero"] == [] and out["back"] == []
     assert len(out["far"]) == 12  # no int: the default horizon
+    far = spark.createDataFrame([("2e9", "price_forecast", json.dumps([seg, seg | {"horizon": 2_000_000_000}])),
+                                 ("over", "price_forecast", json.dumps([seg | {"horizon": C.FORECAST_MAX_HORIZON + 1}])),
+                                 ("most", "price_forecast", json.dumps([seg | {"horizon": C.FORECAST_MAX_HORIZON}])),
+                                 ("nan", "price_forecast", '[{"state": "%s", "property_type": "%s", "horizon": "NaN"}]' % (seg["state"], seg["property_type"])),
+                                 ("good", "price_forecast", json.dumps([seg | {"horizon": 3}]))], FIELDS)
+    out = {r["request_id"]: json.loads(r["result"]) for r in RQ.route(far, AS_OF, baseline=base).collect()}
+    assert out["2e9"] == out["over"] == {"error": f"horizon must be at most {C.FORECAST_MAX_HORIZON} months"}
+    assert len(out["most"]) == C.FORECAST_MAX_HORIZON and len(out["good"]) == 3 and len(out["nan"]) == 12
     parsed = RQ.parse_payload(spark.createDataFrame([("f", "avm", '[{"hold_0_2": 1e20, "bed": "x"}, {"hold_0_2": "1"}]')], FIELDS))
     rows = RQ.explode_records(parsed, ["bed"], ["hold_0_2"]).orderBy("pos").collect()
     assert [(r["bed"], r["hold_0_2"]) for r in rows] == [(0.0, 0), (0.0, 1)]
 
 
+def test_nan_infinity_and_repeated_keys(spark):
+    req = spark.createDataFrame([("n", "avm", '[{"bed": "NaN", "bath": "Infinity", "hold_0_2": "NaN"}]'),
+                                 ("twice", "avm", '[{"bed": 1, "state": "A", "bed": 2, "bath": 5, "bed": 3}]'),
+                                 ("once", "avm", '[{"state": "A", "bath": 5, "bed": 3}]')], FIELDS)
+    rows = {r["request_id"]: r for r in RQ.explode_records(RQ.parse_payload(req), ["bed", "bath"], ["hold_0_2"], ["state"]).collect()}
+    assert (rows["n"]["bed"], rows["n"]["bath"], rows["n"]["hold_0_2"]) == (0.0, float("inf"), 0)
+    assert (rows["twice"]["bed"], rows["twice"]["bath"], rows["twice"]["state"]) == (3.0, 5.0, "A")  # the last value counts
+    unique, _ = RQ.dedupe_requests(req)
+    assert sorted(r["request_id"] for r in unique.collect()) == ["n", "once"]
+
+
 def test_equal_request_ids_keep_their_own_records(spark):
     base, seg, _ = segment(spark)
     req = spark.createDataFrame([("same", "price_forecast", json.dumps([seg | {"horizon": 1}])),
