@@ -225,6 +225,18 @@ def _base_models(params: TreeParams) -> list[tuple[GBTRegressor, int, str]]:
             (other.regressor("log_price"), params.patience, "squared")]
 
 
+def fit_ridge(oof: DataFrame) -> LinearRegressionModel:
+    """The ridge (alpha ``RIDGE_ALPHA``) of log_price on b0 and b1: min sum (w x + b - y)^2 + alpha |w|^2.
+
+    The library averages the squares and divides its penalty by the label's (population) deviation, so regParam is
+    alpha * deviation / rows; equal labels have no deviation and give weights of zero.
+    """
+    n, deviation = oof.agg(F.count(F.lit(1)), F.stddev_pop("log_price")).first()
+    meta_in = VectorAssembler(inputCols=["b0", "b1"], outputCol="_m").transform(oof)
+    return LinearRegression(featuresCol="_m", labelCol="log_price", regParam=RIDGE_ALPHA * (deviation or 0.0) / max(n, 1),
+                            elasticNetParam=0.0, standardization=False, solver="normal").fit(meta_in)
+
+
 def fit_valuation(train: DataFrame, params: TreeParams = TreeParams(), n_folds: int = 3,
                   group: str = "state", include_leaky: bool = False) -> Valuation:
     """E-1: out-of-fold predictions of two GBTs over group folds (no state in
@@ -236,7 +248,7 @@ def fit_valuation(train: DataFrame, params: TreeParams = TreeParams(), n_folds:
     prep.fit(df)
     x = _persist(PR.with_folds(prep.transform(df), group, n_folds).select("features", "log_price", "fold"))
     try:
-        n = x.count()
+        x.count()  # fills the cache before the fits run side by side
         models = _base_models(params)
         fitted = _at_once([lambda k=k, e=e, p=p, m=m: fit_patient(e, x.filter(F.col("fold") != k), x.filter(F.col("fold") == k), p, m)
                            for k in range(n_folds) for e, p, m in models])
@@ -247,9 +259,7 @@ def fit_valuation(train: DataFrame, params: TreeParams = TreeParams(), n_folds:
                 preds = m.transform(preds).withColumnRenamed("prediction", f"b{i}")
             oof = preds if oof is None else oof.unionByName(preds)
         oof = written(oof.select("b0", "b1", "log_price"), "valuation-oof")
-        meta_in = VectorAssembler(inputCols=["b0", "b1"], outputCol="_m").transform(oof)
-        meta = LinearRegression(featuresCol="_m", labelCol="log_price", regParam=RIDGE_ALPHA / max(n, 1), elasticNetParam=0.0,
-                                standardization=False, solver="normal").fit(meta_in)
+        meta = fit_ridge(oof)
         meta = bare(x.sparkSession, meta).setFeaturesCol("features")
         kept = [[m.getNumTrees for m, _ in fitted[i::2]] for i in range(2)]
         trees = [max(1, round(sum(ks) / len(ks))) for ks in kept]

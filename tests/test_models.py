@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plotline import config as C
@@ -76,6 +77,27 @@ def test_a_fit_is_cut_at_the_best_tree_of_its_curve(spark):
     rows.unpersist()
 
 
+def test_ridge_has_the_stated_penalty(spark):
+    from types import SimpleNamespace
+
+    from plotline.plans import walk as W
+    for deviation in (0.4, 3.0):
+        y = spark.range(500).select((F.randn(1) * deviation + 12).alias("log_price"))
+        oof = y.select("log_price", (F.col("log_price") + F.randn(2) * 0.3).alias("b0"), (F.col("log_price") * 0.9 + F.randn(3) * 0.5).alias("b1")).persist()
+        meta = MD.fit_ridge(oof)
+        assert all(r.residual < 1e-10 for r in W.ridge_gradient(SimpleNamespace(meta=meta, oof=oof)).collect())
+        rows = [(r.b0, r.b1, r.log_price) for r in oof.collect()]
+        a = np.array(rows) - np.mean(rows, axis=0)
+        plain = np.linalg.solve(a[:, :2].T @ a[:, :2] + MD.RIDGE_ALPHA * np.eye(2), a[:, :2].T @ a[:, 2])
+        assert np.allclose(meta.coefficients.toArray(), plain, rtol=1e-9)
+
+
+def test_ridge_of_equal_labels_is_their_value(spark):
+    oof = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 1.0, 5.0), (3.0, 3.0, 5.0)], "b0 double, b1 double, log_price double")
+    meta = MD.fit_ridge(oof)
+    assert meta.coefficients.toArray().tolist() == [0.0, 0.0] and meta.intercept == 5.0
+
+
 def test_walks_agree_and_certificates_hold(spark):
     from plotline.plans import walk as W
     from plotline.plans.queries_models import active_features
