@@ -116,7 +116,8 @@ def exact_split(df: DataFrame, key: str, test_size: float, seed: int = 42, label
     cuts = (counts.select("_lab", "_p", "_n", upto.alias("_upto"), F.ceil(F.lit(test_size) * F.sum("_n").over(in_label)).alias("_need"))
             .filter((F.col("_need") > 0) & (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
             .select(F.col("_lab").alias("_l"), F.col("_p").alias("_cut"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_rem")))
-    d = d.join(cuts, F.col("_lab").eqNullSafe(F.col("_l")), "left")
+    # one row a class: without the hint the planner may deal all rows by class, a class's rows to one task
+    d = d.join(F.broadcast(cuts), F.col("_lab").eqNullSafe(F.col("_l")), "left")
     in_cut = F.coalesce(F.col("_p") == F.col("_cut"), F.lit(False))
     w = Window.partitionBy("_lab").orderBy("_h", key)
     # rank only the cut's rows; union (not join) them back, so repeated keys never multiply

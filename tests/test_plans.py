@@ -99,3 +99,24 @@ def test_two_folders_in_one_session_keep_their_own_tables(spark):
     want = [spark.read.parquet(f"/root/testdata/{sf}/lineitem.parquet").count() for sf in ("sf0.001", "sf0.01")]
     assert counts == want
     assert E.queries()["scan_table"](spark, "/root/testdata/sf0.01").count() == want[1]
+
+
+def test_latest_version_has_a_row_for_every_address(spark):
+    import __spark_entry__ as E
+    df = E.queries()["latest_version"](spark, SF_SMALL)
+    sold = P.silver_df(spark, SF_SMALL).filter("prev_sold_date IS NOT NULL")
+    assert df.columns == ["a", "latest_sale", "listing_id"]
+    assert df.count() == sold.selectExpr("concat_ws('|', street, city, state) AS a").distinct().count()
+
+
+def test_a_split_by_class_deals_no_rows_by_class(spark):
+    from plotline.operators.prep import exact_split
+    df = spark.range(5000).selectExpr("cast(id AS string) AS k", "cast(id % 10 = 0 AS int) AS y")
+    # with statistics that ask for no broadcast, as on large tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = exact_split(df, "k", 0.2, label="y")
+        assert "SortMergeJoin" not in plan(out) and "ShuffledHashJoin" not in plan(out)
+        assert {tuple(r) for r in out.groupBy("y").agg(F.sum("is_test")).collect()} == {(0, 900), (1, 100)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
