@@ -1,7 +1,14 @@
-"""Per-property investment measures as column expressions (no row loops)."""
+"""Per-property investment measures as column expressions; scenario draws on whole Arrow batches."""
 
 from __future__ import annotations
 
+import sys
+from dataclasses import asdict
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +17,8 @@ from plotline.config import Financing, Hold, Operating
 from plotline.functions import columns as X
 from plotline.functions.dims import join_literal_dim, tier_assumption_dim
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package
+
 SUMMARY_COLUMNS = ["purchase_price", "total_cash_in", "monthly_payment", "monthly_rent", "gross_yield",
                    "cap_rate", "cash_on_cash_yr1", "dscr_yr1", "noi_yr1", "cash_flow_yr1", "exit_value",
                    "irr", "npv", "hold_years"]
@@ -186,13 +195,45 @@ def rent_blend(model_rent: str, price: str = "price", gross_yield: str = "gross_
 
 
 # ------------------------------------------------------------- Monte Carlo
-def _uniform(key: Column, draw: Column, tag: str) -> Column:
-    """A repeatable uniform in [0, 1) from md5(key | draw | tag)."""
-    h = F.md5(F.concat_ws("|", key.cast("string"), draw.cast("string"), F.lit(tag)))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
+_TAGS = ("rg", "pg", "vac")
 MC_SPREAD = {"annual_rg": 0.02, "annual_pg": 0.03, "vacancy_scale": 0.5}
+_MC_INPUTS = ["purchase_price", "monthly_rent", "monthly_payment", "total_cash_in", "balance_exit", "annual_pg", "exit_cap_rate",
+              "vacancy_rate", "tax_rate", "insurance_rate", "mgmt_fee_pct", "maintenance_pct"]
+_MC_ROWS = 1000  # rows whose draws are worked on at once
+
+
+def _uniforms(keys: list[str | None], n_draws: int) -> np.ndarray:
+    """Repeatable uniforms in [0, 1) from the first 32 bits of md5(key | draw | tag), draws from 1: (rows, draws, tags)."""
+    tails = [f"{i}|{tag}".encode() for i in range(1, n_draws + 1) for tag in _TAGS]
+    after = [b"|" + t for t in tails]
+    parts = []
+    for key in keys:
+        if key is None:  # a null part is left out
+            parts += [md5(t).digest()[:4] for t in tails]
+        else:
+            head = key.encode()
+            parts += [md5(head + t).digest()[:4] for t in after]
+    return np.frombuffer(b"".join(parts), ">u4").reshape(len(keys), n_draws, len(_TAGS)) / 4294967296.0
+
+
+def draw_npvs(u: np.ndarray, v: dict[str, np.ndarray], ops: dict, hold: dict, spread: dict) -> np.ndarray:
+    """The NPV of every row and draw; ``v`` has ``_MC_INPUTS`` as (rows, 1) columns, the others the settings by name."""
+    H, rent = hold["hold_years"], v["monthly_rent"]
+    scale = float(spread["vacancy_scale"])
+    rg = hold["annual_rg"] + (2 * u[:, :, 0] - 1) * spread["annual_rg"]
+    pg = v["annual_pg"] + (2 * u[:, :, 1] - 1) * spread["annual_pg"]
+    vac = v["vacancy_rate"] * (1 - scale + 2 * scale * u[:, :, 2])
+    opex = (rent * (1 - vac) * 12 * (v["mgmt_fee_pct"] + ops["capex_pct"])
+            + v["purchase_price"] * (v["tax_rate"] + v["insurance_rate"] + v["maintenance_pct"]) + ops["hoa_monthly"] * 12)
+    noi_y = lambda y: rent * np.power(1 + rg, y - 1) * 12 * (1 - vac) - opex
+    with np.errstate(divide="raise"):  # as the column expressions would
+        exit_v = (v["purchase_price"] * np.power(1 + pg, H) + noi_y(H) / v["exit_cap_rate"]) / 2
+    last = exit_v * (1 - hold["selling_cost_pct"]) - v["balance_exit"]
+    total = np.zeros_like(rg) - v["total_cash_in"]
+    for t in range(1, H + 1):
+        flow = noi_y(t) - v["monthly_payment"] * 12 + (last if t == H else 0.0)
+        total = total + flow / (1 + hold["discount_rate"]) ** float(t)
+    return total
 
 
 def monte_carlo(frame: DataFrame, n_draws: int = 100, key: str = "listing_id", fin: Financing = Financing(),
@@ -202,47 +243,33 @@ def monte_carlo(frame: DataFrame, n_draws: int = 100, key: str = "listing_id", f
 
     Draw i shifts rent growth by +-spread, appreciation by +-spread and
     scales vacancy by [1 - s, 1 + s], each from a repeatable hash of
-    (key, i). Everything is computed inside the row with array functions (no
-    explode, no shuffle): the draws' NPVs are sorted and the nearest-rank
-    quantiles read off; ``prob_npv_positive`` is the share of draws above 0.
-    ``frame`` is the output of ``investment_frame``.
+    (key, i). A batch's draws are one array (no explode, no shuffle): each
+    row's NPVs are sorted and the nearest-rank quantiles read off;
+    ``prob_npv_positive`` is the share of draws above 0. A row with a null
+    input has no quantile and a share of 0. ``frame`` is the output of
+    ``investment_frame``.
     """
-    H = hold.hold_years
-    k = F.col(key)
-    P, rent, pay = F.col("purchase_price"), F.col("monthly_rent"), F.col("monthly_payment")
-
-    def shocks(i):
-        return F.struct(
-            (_lit(hold.annual_rg) + (2 * _uniform(k, i, "rg") - 1) * _lit(spread["annual_rg"])).alias("rg"),
-            (F.col("annual_pg") + (2 * _uniform(k, i, "pg") - 1) * _lit(spread["annual_pg"])).alias("pg"),
-            (F.col("vacancy_rate") * (1 - _lit(spread["vacancy_scale"]) + 2 * _lit(spread["vacancy_scale"])
-                                      * _uniform(k, i, "vac"))).alias("vac"))
-
-    def npv_of_draw(d):
-        rg, pg, vac = d["rg"], d["pg"], d["vac"]
-        opex = (rent * (1 - vac) * 12 * (F.col("mgmt_fee_pct") + _lit(ops.capex_pct))
-                + P * (F.col("tax_rate") + F.col("insurance_rate") + F.col("maintenance_pct"))
-                + _lit(ops.hoa_monthly) * 12)
-
-        def noi_y(y):
-            return rent * F.pow(1 + rg, y - 1) * 12 * (1 - vac) - opex
-
-        exit_v = (P * F.pow(1 + pg, F.lit(H)) + noi_y(F.lit(H)) / F.col("exit_cap_rate")) / 2
-        last = exit_v * (1 - _lit(hold.selling_cost_pct)) - F.col("balance_exit")
-
-        def term(t):
-            flow = F.when(t == 0, -F.col("total_cash_in")).otherwise(
-                noi_y(t) - pay * 12 + F.when(t == H, last).otherwise(F.lit(0.0)))
-            return flow / F.pow(1 + _lit(hold.discount_rate), t)
-
-        total = F.lit(0.0)
-        for t in range(H + 1):
-            total = total + term(F.lit(t))
-        return total
-
-    draws = F.transform(F.sequence(F.lit(1), F.lit(n_draws)), shocks)
-    out = frame.withColumn("_draws", draws).withColumn("_npvs", F.array_sort(F.transform("_draws", npv_of_draw)))
-    cols = {f"npv_p{int(round(q * 100))}": F.element_at("_npvs", max(1, -(-int(round(q * n_draws * 1e6)) // 10 ** 6)))
-            for q in quantiles}
-    cols["prob_npv_positive"] = F.size(F.filter("_npvs", lambda x: x > 0)) / F.lit(float(n_draws))
-    return out.withColumns(cols).drop("_npvs", "_draws")
+    names = [f"npv_p{int(round(q * 100))}" for q in quantiles]
+    places = [max(1, -(-int(round(q * n_draws * 1e6)) // 10 ** 6)) - 1 for q in quantiles]
+    ops_, hold_ = asdict(ops), asdict(hold)  # plain numbers for the tasks
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in [*names, "prob_npv_positive"]))
+    def simulate(keys: pa.Array, *inputs: pa.Array) -> pa.Array:
+        null = np.zeros(len(keys), dtype=bool)
+        for x in inputs:
+            null |= x.is_null().to_numpy(zero_copy_only=False)
+        cols = [x.cast(pa.float64()).fill_null(1.0).to_numpy(zero_copy_only=False) for x in inputs]
+        found = np.empty((len(names) + 1, len(keys)))
+        for a in range(0, len(keys), _MC_ROWS):
+            some = slice(a, a + _MC_ROWS)
+            with np.errstate(over="ignore", invalid="ignore"):
+                npvs = draw_npvs(_uniforms(keys[some].to_pylist(), n_draws), {n: c[some, None] for n, c in zip(_MC_INPUTS, cols)},
+                                 ops_, hold_, spread)
+            npvs.sort(axis=1)
+            found[:-1, some] = npvs[:, places].T
+            found[-1, some] = ((npvs > 0) | np.isnan(npvs)).sum(axis=1) / float(n_draws)  # NaN is above every number
+        found[-1, null] = 0.0
+        return pa.StructArray.from_arrays([*[pa.array(f, mask=null) for f in found[:-1]], pa.array(found[-1])], [*names, "prob_npv_positive"])
+
+    out = frame.withColumn("_mc", simulate(F.col(key).cast("string"), *[F.col(c).cast("double") for c in _MC_INPUTS]))
+    return out.withColumns({n: F.col("_mc")[n] for n in [*names, "prob_npv_positive"]}).drop("_mc")
