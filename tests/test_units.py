@@ -150,3 +150,19 @@ def test_a_sale_after_the_old_fixture_date_is_kept(spark):
     got = bronze(raw, dt.date(2024, 6, 1), source_file="x").collect()
     assert [r["prev_sold_date"] for r in got] == [dt.date(2024, 3, 1)] * 2
     assert got[0]["listing_id"] == got[1]["listing_id"]  # equal raw rows share an id
+
+
+def test_irr_of_null_and_short_flows(spark):
+    from plotline.functions import columns as X
+    df = spark.createDataFrame([(0, [-100.0, 110.0]), (1, None), (2, [-100.0, None]), (3, []), (4, [-100.0, 0.0, 121.0])],
+                               "i int, c array<double>")
+    got = {r.i: r.irr for r in df.select("i", X.irr(F.col("c")).alias("irr")).collect()}
+    assert abs(got[0] - 0.1) < 1e-9 and abs(got[4] - 0.1) < 1e-9
+    assert got[1] is None and got[2] is None and got[3] is None
+
+
+def test_irr_and_draws_are_solved_by_batches(spark):
+    import __spark_entry__ as E
+    for key in ("irr", "investment_monte_carlo"):
+        p = E.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert p.count("ArrowEvalPython") == 1 and "lambdafunction" not in p.split("ArrowEvalPython")[0]
