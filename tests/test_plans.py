@@ -120,3 +120,19 @@ def test_a_split_by_class_deals_no_rows_by_class(spark):
         assert {tuple(r) for r in out.groupBy("y").agg(F.sum("is_test")).collect()} == {(0, 900), (1, 100)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_listings_are_dealt_to_many_tasks(spark, tmp_path):
+    from plotline.sources.listings import adapter_listings
+    adapter_listings(spark, "/root/testdata/sf0.01").write.parquet(str(tmp_path / "raw"))
+    import glob
+    assert len(glob.glob(str(tmp_path / "raw" / "*.parquet"))) > 1
+
+
+def test_silver_alone_writes_no_bronze(spark):
+    from plotline.operators.quality import _exists
+    sf = "/root/testdata/sf0.01"
+    if not _exists(spark, P._layer_path(spark, sf, "bronze")):
+        n = P.silver_df(spark, sf).count()
+        assert not _exists(spark, P._layer_path(spark, sf, "bronze"))
+        assert n == P.silver(P.bronze_df(spark, sf), P.census_df(spark, sf), AS_OF).count()
