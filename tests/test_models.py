@@ -198,3 +198,43 @@ def test_dates_after_the_fixture_reach_the_forecast(spark):
     from plotline.operators import forecast as FC
     fc = FC.price_forecasts(P.active_df(spark, SF_SMALL), dt.date(2024, 5, 9))
     assert fc.agg(F.min("forecast_month")).first()[0] == dt.date(2024, 6, 1)
+
+
+def test_a_falling_curve_costs_at_most_800_trees(spark, monkeypatch):
+    fitted = []
+
+    class Model:
+        def __init__(self, n):
+            self.n = n
+
+        def evaluateEachIteration(self, rows, loss=None):
+            return [1.0 / (i + 1) for i in range(self.n)]
+
+    class Estimator:
+        def __init__(self, n=500):
+            self.n = n
+
+        def getMaxIter(self):
+            return self.n
+
+        def copy(self):
+            return self
+
+        def setMaxIter(self, n):
+            return Estimator(n)
+
+        def fit(self, rows):
+            fitted.append(self.n)
+            return Model(self.n)
+
+    monkeypatch.setattr(MD, "cut", lambda spark, model, trees: trees)
+    rows = spark.range(1)
+    assert MD.fit_patient(Estimator(), rows, rows, 30, "squared")[0] == 500
+    assert sum(fitted) <= 800
+
+
+def test_model_rows_lie_in_every_part(spark):
+    x = MD._persist(spark.range(10_000).coalesce(1))
+    sizes = x.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    x.unpersist()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and min(sizes) > 0
