@@ -127,10 +127,19 @@ def route(requests: DataFrame, as_of: _dt.date, valuation=None, lead=None, basel
     The parsed batch is written once. Each answered branch gathers its records
     by request row and the errors are appended, so no payload is joined back.
     """
-    from plotline.operators.forecast import forecast_requests
+    return route_parsed(parsed_requests(requests), as_of, valuation, lead, baseline)
+
+
+def parsed_requests(requests: DataFrame) -> DataFrame:
+    """The requests of ``route`` with their records, parsed and written once, each with a number of its own."""
     check_schema(requests.select("model_type", "payload"))
-    parsed = written(parse_payload(requests.select("request_id", "model_type", "payload"))
-                     .withColumn("_row", F.monotonically_increasing_id()).drop("payload"), "requests")
+    return written(parse_payload(requests.select("request_id", "model_type", "payload"))
+                   .withColumn("_row", F.monotonically_increasing_id()).drop("payload"), "requests")
+
+
+def route_parsed(parsed: DataFrame, as_of: _dt.date, valuation=None, lead=None, baseline: DataFrame | None = None) -> DataFrame:
+    """``route`` for requests that ``parsed_requests`` has written: for callers that read the records as well."""
+    from plotline.operators.forecast import forecast_requests
     judged = parsed.withColumn("wrong", fault(known_types(valuation, lead, baseline)))
     out = judged.filter(F.col("wrong").isNotNull()).select(*_ROW, F.col("wrong").alias("result"))
     ok = judged.filter(F.col("wrong").isNull())

@@ -111,3 +111,22 @@ def test_unpacking_surfaces_errors_alone_and_in_a_list(spark):
     rows = sorted((r["request_id"], r["error"], r["pos"]) for r in RQ.unpack_responses(df).collect() if r["pos"] is None)
     assert rows == [("a", "x", None), ("b", "y", None), ("c", None, None)]
     assert RQ.unpack_responses(df).filter("request_id = 'd'").count() == 2
+
+
+def test_schema_contract_parses_the_batch_once(spark):
+    from plotline.plans.catalog import REGISTRY
+    df = REGISTRY["schema_contract"][0](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan  # every reader takes the written records
+
+
+def test_request_batch_joins_the_listings_once(spark, monkeypatch):
+    import uuid
+
+    from plotline.plans import queries_requests as Q
+    from plotline.session import scratch_path
+    folder, made, raw = scratch_path(spark, f"fresh-{uuid.uuid4().hex}"), [], P.raw
+    monkeypatch.setattr(P, "_layer_path", lambda spark, sf, name: f"{folder}/{name}")
+    monkeypatch.setattr(P, "raw", lambda spark, sf: made.append(sf) or raw(spark, sf))
+    Q.request_batch(spark, SF_SMALL)
+    assert made == [SF_SMALL]  # silver comes from the bronze layer that the batch reads as well
