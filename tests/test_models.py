@@ -233,6 +233,44 @@ def test_a_falling_curve_costs_at_most_800_trees(spark, monkeypatch):
     assert sum(fitted) <= 800
 
 
+def test_a_curve_still_falling_goes_to_the_limit(spark, monkeypatch):
+    def steps(curve, limit=500, patience=30):
+        """The rounds that are fitted for a whole curve, and the trees that are kept."""
+        fitted = []
+
+        class Estimator:
+            def __init__(self, n=limit):
+                self.n = n
+
+            def getMaxIter(self):
+                return self.n
+
+            def copy(self):
+                return self
+
+            def setMaxIter(self, n):
+                return Estimator(n)
+
+            def fit(self, rows):
+                fitted.append(self.n)
+                return self
+
+            def evaluateEachIteration(self, rows, loss=None):
+                return curve[:self.n]
+
+        rows = spark.range(1)
+        return fitted, MD.fit_patient(Estimator(), rows, rows, patience, "squared")[0]
+
+    monkeypatch.setattr(MD, "cut", lambda spark, model, trees: trees)
+    falling = [1.0 / (i + 1) for i in range(500)]
+    assert steps(falling) == ([60, 500], 500)
+    early = [abs(i - 50.0) for i in range(500)]
+    assert steps(early) == ([60, 240], 51)
+    late = [abs(i - 90.0) for i in range(500)]
+    assert steps(late) == ([60, 500], 91)
+    assert steps([abs(i - 10.0) for i in range(500)]) == ([60], 11)
+
+
 def test_model_rows_lie_in_every_part(spark):
     x = MD._persist(spark.range(10_000).coalesce(1))
     sizes = x.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
