@@ -90,6 +90,34 @@ def test_large_bucket_of_unlike_lines_misses_no_pair(spark, monkeypatch):
     assert len(roots) <= 2 * 200  # no false links
 
 
+def test_unlike_long_lines_do_not_leave_the_prefix_join(spark):
+    """Lines of about 630 characters that share half of their segments: each meets each on some rare shingle."""
+    rng = random.Random(9)
+    segments = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=45)) for _ in range(21)]
+    lines = ["".join(segments[i] for i in sorted(rng.sample(range(21), 14))) for _ in range(60)]
+    lines += [changed(rng, lines[k], 3) for k in range(5)]
+    like = {(i, j) for j in range(len(lines)) for i in range(j) if similar(lines[i], lines[j])}
+    assert len(like) >= 5
+    open_ = spark.createDataFrame([(i, i, True) for i in range(len(lines))], "lid long, root long, stray boolean")
+    rows = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    met = line_dedup._prefix_pairs(open_, rows, 0.8).collect()
+    got = {(min(r.x, r.y), max(r.x, r.y)) for r in met}
+    assert like <= got  # none is lost
+    assert len(got - like) <= 0.1 * len(lines) * (len(lines) - 1) / 2
+
+
+def test_rounds_read_only_lines_that_share_a_bucket(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=90)) for _ in range(200)]
+    lines += [changed(rng, lines[k], 1) for k in range(10)]
+    read, check = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts, least: read.append(texts.count()) or check(pairs, texts, least))
+    rows = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    roots = {r.node: r.root for r in line_dedup.similar_lines(rows).collect()}
+    assert all(roots[200 + k] == k for k in range(10))
+    assert read and max(read) < 40  # not all 210 lines, whose texts every round would shuffle
+
+
 def table(spark):
     rng = random.Random(2)
     line = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12))
