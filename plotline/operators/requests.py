@@ -176,15 +176,17 @@ def check_answers(answers: DataFrame) -> DataFrame:
     return answers
 
 
-def canonical_payload(payload: Column) -> Column:
-    """Records re-serialised with their keys sorted (equal requests -> equal text; a repeated key has its last value)."""
-    recs = _records(payload)
+def canonical_payload(payload: Column, records: Column | None = None) -> Column:
+    """Records re-serialised with their keys sorted (equal requests -> equal text; a repeated key has its last value).
+    ``records`` are those of ``parse_payload``, if the request has been parsed: only a single object is then parsed again,
+    as its text may go on behind the object."""
+    recs = _records(payload) if records is None else F.when(F.trim(payload).startswith("{"), _records(payload)).otherwise(records)
     return F.to_json(F.transform(recs, lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))))
 
 
-def request_key() -> Column:
+def request_key(records: Column | None = None) -> Column:
     """Equal for identical requests: the trimmed type and the canonical payload (raw text if it does not parse)."""
-    return F.md5(F.concat_ws("\u0001", trimmed_type(), F.coalesce(canonical_payload(F.col("payload")), F.col("payload"), F.lit("\u0000"))))
+    return F.md5(F.concat_ws("\u0001", trimmed_type(), F.coalesce(canonical_payload(F.col("payload"), records), F.col("payload"), F.lit("\u0000"))))
 
 
 def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -55,8 +55,9 @@ def with_seen(requests: DataFrame, known: list[str], keep_for: _dt.timedelta | N
             state.setTimeoutDuration(wait)
 
     timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
-    good = RQ.parse_payload(requests.withColumn("_key", RQ.request_key())).withColumn("_good", RQ.fault(known).isNull())
-    rows = good.select("request_id", "model_type", "payload", "_key", "_good")
+    parsed = RQ.parse_payload(requests)  # once for the key and the judgement
+    rows = parsed.select("request_id", "model_type", "payload", RQ.request_key(F.col("records")).alias("_key"),
+                         RQ.fault(known).isNull().alias("_good"))
     return rows.groupBy("_key", "_good").applyInPandasWithState(
         mark, f"{_KEYED}, _good boolean, answerable boolean, seen boolean", "answered boolean", "append", timeout).drop("_good")
 
@@ -72,7 +73,7 @@ def serve(spark: SparkSession, landing: str, out: str, checkpoint: str, as_of: _
         with scratch_scope(spark):
             rows = written(batch, "micro-batch")  # the state is passed once
             old = _stored(spark, out, batch_id)
-            keys = rows.select("request_id", "model_type", "_key", "seen")
+            keys = rows.select("request_id", "model_type", "_key", "answerable")
             if old is None:
                 found = rows.limit(0).select("_key", F.lit("").alias("answered_by"), F.lit("").alias("result"))
             else:
@@ -87,7 +88,7 @@ def serve(spark: SparkSession, landing: str, out: str, checkpoint: str, as_of: _
             fresh = routed.select(F.col("request_id").alias("_key"), "result").join(unique.select("_key", "answered_by"), "_key")
             answers = fresh.select("_key", "answered_by", "result").unionByName(found)
             # written per batch; a hot key's rows are split by skew handling, as the other side has one row a key
-            (keys.join(answers, "_key").join(rows.select("_key", "answerable").distinct(), "_key")
+            (keys.join(answers, "_key")
              .select("request_id", "model_type", "_key", "answered_by", "result", F.col("answerable").alias("good"),
                      F.current_timestamp().alias("answered_at"))
              .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))

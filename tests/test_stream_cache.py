@@ -4,6 +4,8 @@ import json
 import os
 import uuid
 
+from pyspark.sql import functions as F
+
 from plotline.config import ADAPTER_AS_OF as AS_OF
 from plotline.operators import requests as RQ
 from plotline.session import scratch_path
@@ -76,3 +78,21 @@ def test_a_lost_answer_is_scored_again_and_a_replayed_batch_replaces_its_own(spa
     run()
     got = spark.read.parquet(f"{folder}/out").collect()
     assert [(r.request_id, r.answered_by, r.batch_id, len(json.loads(r.result))) for r in got] == [("c", "c", 2, 12)]
+
+
+def test_a_key_whose_texts_are_judged_differently_answers_each_request_once(spark):
+    base = spark.createDataFrame(BASE, "state string, property_type string, state_tier string, median_price double, count long")
+    folder = scratch_path(spark, f"cache-{uuid.uuid4().hex}")
+    x = json.dumps({"state": "X", "property_type": "SFR"})
+    ask(spark, folder, [("a", "price_forecast", x), ("b", "price_forecast", f"{x} x"), ("c", "price_forecast", f"[{x}]")])
+    serve(spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", AS_OF, baseline=base).awaitTermination()
+    rows = sorted((r.request_id, r.good) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert rows == [("a", True), ("b", False), ("c", True)]
+
+
+def test_the_key_of_a_parsed_request_is_that_of_its_text(spark):
+    texts = ['[{"a":1,"b":2}]', ' {"b":2,"a":1} ', '{"a":1} x', '{"a":1},{"b":2}', "[{", "", " ", None, "[]", "{}", "null", "[null]", '\n[{"a":1}]',
+             '\t{"a":1}', '[{"a":1,"a":2}]', '{"a":1,"a":2}', '[{"a":{"z":1}}]', '[{"a":1}] x', '[{"a":null}]']
+    rows = spark.createDataFrame([(str(i), "avm", t) for i, t in enumerate(texts)], FIELDS)
+    keys = RQ.parse_payload(rows).select("payload", RQ.request_key().alias("plain"), RQ.request_key(F.col("records")).alias("parsed")).collect()
+    assert len(keys) == len(texts) and all(r.plain == r.parsed for r in keys)
