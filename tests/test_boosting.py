@@ -69,11 +69,17 @@ def test_draws_leave_every_row_and_feature_a_part(spark, table, monkeypatch):
     assert np.mean((scores(fits[0], table) - y) ** 2) < 0.2 * np.var(y)
 
 
-def test_thresholds_are_all_gaps_or_equal_shares():
-    assert BO.edges([1, 1, 2, 4], 64) == [1.5, 3.0] and BO.edges([], 64) == BO.edges([7, 7], 64) == []
-    many = BO.edges(list(range(1025)), 64)
+def test_thresholds_are_all_gaps_or_equal_shares(spark):
+    edges = lambda v: BO.edges(np.array(v, float), np.ones(len(v)), 64)
+    assert edges([1, 1, 2, 4]) == [1.5, 3.0] and edges([]) == edges([7, 7]) == []
+    many = edges(range(1025))
     assert len(many) == 63 and np.diff(many).min() >= 15 and np.diff(many).max() <= 17
-    assert BO.edges([1.0, float("inf")], 64) == [1.0]
+    assert edges([1.0, float("inf")]) == [1.0]
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.range(300_000).repartition(2).select(F.col("id").cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")))
+    a, b = BO.thresholds(rows, 64)
+    assert b == [0.5, 1.5, 2.5, 3.5] and len(a) == 63
+    assert max(abs(t - 300_000 * (k + 1) / 64) for k, t in enumerate(a)) < 3_000
 
 
 def test_a_gang_adds_up_the_same_sums(tmp_path):
