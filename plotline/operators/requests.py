@@ -192,8 +192,11 @@ def request_key(records: Column | None = None) -> Column:
 def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K-5: identical requests (same trimmed type and canonical payload) are
     answered once. Returns (unique requests to route, request_id -> key map).
-    Unparsable payloads keep their raw text as key; a null payload is one too."""
-    keyed = requests.withColumn("_key", request_key())
+    Unparsable payloads keep their raw text as key; a null payload is one too.
+
+    The keyed requests (16 bytes a key) are dealt by key once, for the grouping and for the join of a caller."""
+    key = F.coalesce(F.unhex(request_key()), F.lit(b""))  # never null, so that no join asks and parses once more
+    keyed = requests.withColumn("_key", key).repartition("_key")
     unique = (keyed.groupBy("_key").agg(F.min("request_id").alias("request_id"),
                                         F.min("model_type").alias("model_type"),
                                         F.min("payload").alias("payload")))
