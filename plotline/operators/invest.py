@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import asdict
 from hashlib import md5
@@ -202,18 +203,65 @@ _MC_INPUTS = ["purchase_price", "monthly_rent", "monthly_payment", "total_cash_i
 _MC_ROWS = 1000  # rows whose draws are worked on at once
 
 
+_MD5_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_ROOM = 55  # bytes of a message that is one block
+_MD5_ROWS = 192  # keys whose hashes are worked on at once
+
+
+def _md5_first(heads: np.ndarray, tails: list[bytes]) -> np.ndarray:
+    """The first 32 bits of md5(head + tail) of messages of one block: (tails, heads). ``heads`` are rows of bytes."""
+    n, size = heads.shape
+    mine, ends = np.zeros((n, 64), np.uint8), np.zeros((len(tails), 64), np.uint8)
+    mine[:, :size] = heads
+    for i, t in enumerate(tails):
+        ends[i, size:size + len(t) + 1] = np.frombuffer(t + b"\x80", np.uint8)
+        ends[i, 56:58] = divmod(8 * (size + len(t)), 256)[::-1]
+    mine, ends = mine.view("<u4").astype(np.uint32), ends.view("<u4").astype(np.uint32)
+    words = [mine[None, :, j] if 4 * j + 4 <= size else ends[:, j, None] if 4 * j >= size else mine[None, :, j] + ends[:, j, None]
+             for j in range(16)]
+    a, b, c, d = (np.full((len(tails), n), v, np.uint32) for v in _MD5_START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            np.bitwise_xor(c, d, f), np.bitwise_and(f, b, f), np.bitwise_xor(f, d, f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, f), np.bitwise_and(f, d, f), np.bitwise_xor(f, c, f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, f), np.bitwise_xor(f, d, f)
+        else:
+            np.bitwise_not(d, f), np.bitwise_or(f, b, f), np.bitwise_xor(f, c, f)
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16] + np.uint32(_MD5_SINES[i])
+        shift = _MD5_SHIFTS[turn][i % 4]
+        np.add(f, a, f), np.add(f, word, f)
+        np.right_shift(f, np.uint32(32 - shift), g), np.left_shift(f, np.uint32(shift), f), np.bitwise_or(f, g, f)
+        np.add(f, b, f)
+        a, b, c, d, f = d, f, b, c, a
+    return (a + np.uint32(_MD5_START[0])).byteswap()
+
+
 def _uniforms(keys: list[str | None], n_draws: int) -> np.ndarray:
-    """Repeatable uniforms in [0, 1) from the first 32 bits of md5(key | draw | tag), draws from 1: (rows, draws, tags)."""
+    """Repeatable uniforms in [0, 1) from the first 32 bits of md5(key | draw | tag), draws from 1: (rows, draws, tags).
+
+    Keys of a length are hashed together, every hash of a batch a step at a time; messages above one block one by one."""
     tails = [f"{i}|{tag}".encode() for i in range(1, n_draws + 1) for tag in _TAGS]
     after = [b"|" + t for t in tails]
-    parts = []
-    for key in keys:
-        if key is None:  # a null part is left out
-            parts += [md5(t).digest()[:4] for t in tails]
-        else:
-            head = key.encode()
-            parts += [md5(head + t).digest()[:4] for t in after]
-    return np.frombuffer(b"".join(parts), ">u4").reshape(len(keys), n_draws, len(_TAGS)) / 4294967296.0
+    alike: dict[tuple[bool, int], list[int]] = {}
+    heads = [b"" if key is None else key.encode() for key in keys]
+    for at, key in enumerate(keys):
+        alike.setdefault((key is None, len(heads[at])), []).append(at)  # a null part is left out
+    out = np.empty((len(keys), len(tails)), np.uint32)
+    for (no_key, size), rows in alike.items():
+        ends = tails if no_key else after
+        for a in range(0, len(rows), _MD5_ROWS):
+            some = rows[a:a + _MD5_ROWS]
+            if size + max(map(len, ends), default=0) <= _MD5_ROOM:
+                out[some] = _md5_first(np.frombuffer(b"".join(heads[i] for i in some), np.uint8).reshape(len(some), size), ends).T
+            else:
+                out[some] = [[int.from_bytes(md5(heads[i] + t).digest()[:4]) for t in ends] for i in some]
+    return out.reshape(len(keys), n_draws, len(_TAGS)) / 4294967296.0
 
 
 def draw_npvs(u: np.ndarray, v: dict[str, np.ndarray], ops: dict, hold: dict, spread: dict) -> np.ndarray:
