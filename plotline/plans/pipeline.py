@@ -77,8 +77,9 @@ class Run:
         self.timings[name] = round(time.perf_counter() - t0, 3)
         return out
 
-    def write(self, df: DataFrame, name: str, by: str | None = None, skip_empty: bool = False) -> int | None:
-        df = df.hint("rebalance", by) if by else df
+    def write(self, df: DataFrame, name: str, by: str | None = None, skip_empty: bool = False, placed: bool = False) -> int | None:
+        """``placed``: rows that are read from a table partitioned by the same key, whose files already follow the key."""
+        df = df.hint("rebalance", by) if by and not placed else df
         return SN.replace(df, self.path(name), (by,) if by else (), skip_empty)
 
     # ------------------------------------------------------------ stages
@@ -98,7 +99,7 @@ class Run:
 
     def silver(self):
         census = self.read("census") if self.census_path or self.sf_dir else None
-        self.write(SV.silver(self.read("bronze_listings"), census, self.as_of), "silver_listings", by="state")
+        self.write(SV.silver(self.read("bronze_listings"), census, self.as_of), "silver_listings", by="state", placed=True)
 
     def sold(self) -> DataFrame:
         return SV.sold_listings(self.read("silver_listings"))
